@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import pii, url_filter, warc
+from packetloom.llm import jpeg, pii, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"))
 
 
+def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg.round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op10_url_filter]
+    named = [op1_warc, op2_pii, op5_jpeg, op10_url_filter]
     return {f.__name__: f for f in named}
 
 
