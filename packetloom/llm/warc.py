@@ -259,7 +259,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     raise WarcError(f"{path} holds {len(rows)} records, not {n_records}")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return manifest.select("path", "n_records").repartition("path").mapInArrow(read, RECORDS)
+    # The number is given, since Spark would join so few small rows in one task.
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("path", "n_records").repartition(tasks, "path").mapInArrow(read, RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
