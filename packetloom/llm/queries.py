@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import jpeg, pii, url_filter, warc
+from packetloom.llm import jpeg, packing, pii, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,8 +29,12 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op5_jpeg, op10_url_filter]
+    named = [op1_warc, op2_pii, op5_jpeg, op9_packing, op10_url_filter]
     return {f.__name__: f for f in named}
 
 
