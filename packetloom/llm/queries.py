@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import jpeg, packing, pii, url_filter, warc
+from packetloom.llm import decontaminate, jpeg, packing, pii, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,10 +33,18 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(packing.VOCABULARY))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op5_jpeg, op9_packing, op10_url_filter]
+    named = [op1_warc, op2_pii, op5_jpeg, op6_decontaminate, op9_packing, op10_url_filter]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op10_url_filter": url_filter.oracle_sql()}
+    return {
+        "op1_warc": warc.ORACLE_SQL,
+        "op6_decontaminate": decontaminate.ORACLE_SQL,
+        "op10_url_filter": url_filter.oracle_sql(),
+    }
