@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, jpeg, packing, pii, url_filter, warc
+from packetloom.llm import decontaminate, jpeg, packing, pii, substring_dedup, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,14 +37,19 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op5_jpeg, op6_decontaminate, op9_packing, op10_url_filter]
+    named = [op1_warc, op2_pii, op4_substring_dedup, op5_jpeg, op6_decontaminate, op9_packing, op10_url_filter]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.ORACLE_SQL,
+        "op4_substring_dedup": substring_dedup.ORACLE_SQL,
         "op6_decontaminate": decontaminate.ORACLE_SQL,
         "op10_url_filter": url_filter.oracle_sql(),
     }
