@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, jpeg, packing, pii, substring_dedup, url_filter, warc
+from packetloom.llm import decontaminate, jpeg, near_dedup, packing, pii, substring_dedup, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,8 +41,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.group_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op4_substring_dedup, op5_jpeg, op6_decontaminate, op9_packing, op10_url_filter]
+    named = [op1_warc, op2_pii, op4_substring_dedup, op5_jpeg, op6_decontaminate, op7_near_dedup, op9_packing, op10_url_filter]
     return {f.__name__: f for f in named}
 
 
