@@ -22,7 +22,7 @@ SPAN = 10
 GRAM = 5
 
 _WINDOWS = "item_id long, span int, window string, fingerprint long"
-_DOCUMENTS = "doc_id long, n_words long, hits array<struct<fingerprint:bigint,first:int,span:int,context:string>>"
+_DOCUMENTS = "doc_id long, version long, n_words long, hits array<struct<fingerprint:bigint,first:int,span:int,context:string>>"
 _HITS = pa.list_(pa.struct([("fingerprint", pa.int64()), ("first", pa.int32()), ("span", pa.int32()), ("context", pa.string())]))
 
 
@@ -84,9 +84,9 @@ def document_fingerprints(documents: DataFrame, sieve, spans: list[int]) -> Data
                         found[d].append((int(prints[a : a + 1].view(np.int64)[0]), a - int(words.first[d]), span, words.text(a, b + span).decode()))
                 hits += [[dict(zip(("fingerprint", "first", "span", "context"), h)) for h in f] for f in found]
             n_words = np.concatenate(counts) if counts else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(hits, _HITS)], ["doc_id", "n_words", "hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(hits, _HITS)], ["doc_id", "version", "n_words", "hits"])
 
-    return documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(find, _DOCUMENTS)
+    return documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS version").mapInArrow(find, _DOCUMENTS)
 
 
 def _covered(hits: DataFrame) -> DataFrame:
@@ -107,7 +107,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Words are runs of letters and digits, A-Z lower-cased. Items of fewer than
     SPAN words are one window. A null or empty text has no words and no hits;
     items without id or words are left out; equal items all count; rows with the
-    same doc_id are judged each on its own text; other columns are left out.
+    same doc_id are judged each on its own text, told apart by ``version``, a hash
+    of the text; other columns are left out.
     """
     spark = documents.sparkSession
     windows = materialize(item_windows(benchmark))
@@ -125,14 +126,21 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     of_window = windows.join(told.select("window", "span", "window_id"), ["window", "span"]).select("window_id", "item_id").distinct()
     items = hits.select("_row", "window_id").distinct().join(of_window, "window_id").select("_row", F.col("item_id").cast("string").alias("item")).distinct()
     items = items.groupBy("_row").agg(F.count("*").alias("n_items"), F.collect_list("item").alias("items"))
-    judged = read.select("_row", "doc_id", "n_words").join(_covered(hits), "_row", "left").join(items, "_row", "left")
+    judged = read.select("_row", "doc_id", "version", "n_words").join(_covered(hits), "_row", "left").join(items, "_row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return judged.select(
         "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
-        _items_digest(F.coalesce("items", F.array().cast("array<string>"))).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+        _items_digest(F.coalesce("items", F.array().cast("array<string>"))).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "version",
     )
 
 
+def remove_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` without the rows that hold a window of ``benchmark``; all columns stay."""
+    found = find_contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("_doc_id"), F.col("version").alias("_version")).distinct()
+    same = documents["doc_id"].eqNullSafe(found["_doc_id"]) & F.xxhash64(documents["text"]).eqNullSafe(found["_version"])
+    return documents.join(found, same, "left_anti")
+
+
 #: DuckDB SQL: words with positions, windows as text, an equi-join, and the positions that any window covers.
 ORACLE_SQL = f"""
 WITH doc_words AS (

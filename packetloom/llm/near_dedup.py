@@ -240,3 +240,9 @@ def group_near_duplicates(documents: DataFrame) -> DataFrame:
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def remove_near_duplicates(documents: DataFrame) -> DataFrame:
+    """``documents`` with one document of each component; all columns stay. Rows without doc_id stay."""
+    dropped = group_near_duplicates(documents).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    return documents.join(dropped, documents["doc_id"] == dropped["_dropped"], "left_anti")

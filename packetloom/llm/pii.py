@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int]
@@ -256,7 +257,10 @@ def mask(text: str | None, label: str = "<{}>") -> str | None:
 
 
 def mask_personal_data(documents: DataFrame, label: str = "<{}>") -> DataFrame:
-    """``documents`` with identifiers in ``text`` replaced by their kind; all other columns and rows stay."""
+    """``documents`` with identifiers in ``text`` replaced by their kind; all rows and columns stay.
+
+    ``n_chars``, if there, is counted anew.
+    """
     position = documents.columns.index("text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,4 +269,7 @@ def mask_personal_data(documents: DataFrame, label: str = "<{}>") -> DataFrame:
             masked = pa.array([mask(t, label) for t in batch.column(position).to_pylist()], column.type)
             yield batch.set_column(position, column, masked)
 
-    return documents.mapInArrow(scan, documents.schema)
+    masked = documents.mapInArrow(scan, documents.schema)
+    if "n_chars" not in documents.columns:
+        return masked
+    return masked.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))

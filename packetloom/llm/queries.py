@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, jpeg, near_dedup, packing, pii, substring_dedup, toxicity, url_filter, warc
+from packetloom.llm import decontaminate, jpeg, near_dedup, packing, pii, secrets, substring_dedup, toxicity, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,7 +34,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("version")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,8 +49,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op4_substring_dedup, op5_jpeg, op6_decontaminate, op7_near_dedup, op8_toxicity, op9_packing, op10_url_filter]
+    named = [op1_warc, op2_pii, op3_secrets, op4_substring_dedup, op5_jpeg, op6_decontaminate, op7_near_dedup, op8_toxicity, op9_packing, op10_url_filter]
     return {f.__name__: f for f in named}
 
 

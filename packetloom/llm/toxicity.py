@@ -192,23 +192,24 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most
     return model
 
 
+def _rate(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected severities, most likely grades and toxic flags of a column of texts."""
+    above = [np.zeros((0, CUTS))]
+    for begin, end, words in _chunks(column):
+        doc, feature, count, _ = model.counts(words, end - begin)
+        above.append(model.exceedance(np.bincount(doc, weights=np.log1p(count) * model.weights[feature], minlength=end - begin)))
+    every = np.concatenate(above)
+    return every.sum(axis=1), (every >= 0.5).sum(axis=1).astype(np.int32), every[:, 0] >= 0.5
+
+
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity, grade, toxic for every row; the model, of bounded size, is broadcast."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in batches:
-            severities, grades, flags = [], [], []
-            for begin, end, words in _chunks(batch.column(1)):
-                doc, feature, count, _ = m.counts(words, end - begin)
-                scores = np.bincount(doc, weights=np.log1p(count) * m.weights[feature], minlength=end - begin)
-                above = m.exceedance(scores)
-                severities.append(above.sum(axis=1))
-                grades.append((above >= 0.5).sum(axis=1))
-                flags.append(above[:, 0] >= 0.5)
-            join = lambda x, t: pa.array(np.concatenate(x) if x else [], t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), join(severities, pa.float64()), join(grades, pa.int32()), join(flags, pa.bool_())], ["doc_id", "severity", "grade", "toxic"])
+            severities, grades, flags = _rate(batch.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(severities), pa.array(grades), pa.array(flags)], ["doc_id", "severity", "grade", "toxic"])
 
     return documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text").mapInArrow(rate, "doc_id long, severity double, grade int, toxic boolean")
 
@@ -222,3 +223,16 @@ def grade_documents(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_
     other columns are left out; an empty table gives no rows.
     """
     return score(documents, train(documents, labels, rows))
+
+
+def remove_toxic(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """``documents`` without the rows that a model trained on ``labels`` finds toxic; all columns stay, no shuffle."""
+    shared = documents.sparkSession.sparkContext.broadcast(train(documents, labels, rows))
+    position = documents.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, flags = _rate(batch.column(position), shared.value)
+            yield batch.filter(pa.array(~flags))
+
+    return documents.mapInArrow(keep, documents.schema)
