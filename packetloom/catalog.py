@@ -1,4 +1,4 @@
-"""The engine's own queries, by name."""
+"""The engine's own queries, by name, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.storage import table
+from packetloom.plans import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
+_FAMILIES = (flows,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").count()
+    """Connections with their roles, handshake and shape."""
+    return flows.connections_build(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for family in _FAMILIES for name, query in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for family in _FAMILIES for name, text in family.ORACLES.items()}
