@@ -118,7 +118,9 @@ def word_parts(words: pa.Array, most_signs: int = 6) -> tuple[pa.Array, pa.Array
     """Words as cores and trailing signs that the tokenizer treats alike, alone or together."""
     cores = pc.utf8_rtrim(words, characters=_TRAILING)
     n_signs = pc.subtract(pc.binary_length(words), pc.binary_length(cores))
-    apart = pc.and_(pc.match_substring_regex(cores, r"[\pL0-9]$"), pc.less_equal(n_signs, most_signs))
+    # The one letter that lower-casing turns into a letter and a mark, which would join the signs, is left alone.
+    letter = pc.and_(pc.match_substring_regex(cores, r"[\pL0-9]$"), pc.invert(pc.ends_with(cores, "\u0130")))
+    apart = pc.and_(letter, pc.less_equal(n_signs, most_signs))
     cores, signs = pc.if_else(apart, cores, words), pa.scalar("", words.type)
     for n in range(1, most_signs + 1):
         signs = pc.if_else(pc.and_(apart, pc.equal(n_signs, n)), pc.utf8_slice_codeunits(words, start=-n), signs)
