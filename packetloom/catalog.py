@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.plans import flows
+from packetloom.plans import captures, flows, reports
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = (flows,)
+_FAMILIES = (flows, captures, reports)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
