@@ -7,10 +7,13 @@ vary less than independent hashes do, and once all registers of a document are
 filled, later ranks need not be drawn.
 
 Equal texts are grouped first, so a group of copies passes on as one document.
-Documents that share a band are compared with the band's smallest document,
-exactly, on their full sets. Bands whose documents do not end up in one
-component are then compared across components, so no link that the bands
-propose is lost, and no pair within a component is drawn up.
+Documents that share a band are compared with the band's pivot, exactly, on
+their full sets; the pivot is the document whose bands are the most crowded, so
+of many edited copies one near their common origin. Bands whose documents do not
+end up in one component are then compared across components, so no link that the
+bands propose is lost, and no pair within a component is drawn up. There an
+upper bound rules out most documents and pairs before they meet: shingles that
+no other document at hand has cannot be common.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +41,10 @@ REGISTERS = 337
 SKETCH_WORDS = 5
 #: Lowest bits of SKETCH_WORDS * 64 registers: at the threshold a tenth of them differs; this is six deviations more.
 MOST_DIFFERENT = 64
+#: The same for the first word alone, five deviations, as a first sieve of pairs.
+MOST_DIFFERENT_MARK = 19
+#: Slots that count band keys, for the choice of pivots.
+SLOTS = 1 << 22
 
 _EMPTY = np.iinfo(np.uint64).max
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch array<bigint>"
@@ -175,37 +183,107 @@ def _sketches_fit(s: str, t: str) -> Column:
     return different <= MOST_DIFFERENT
 
 
+def _marks_fit(s: str, t: str) -> Column:
+    return F.bit_count(F.col(s).bitwiseXOR(F.col(t))) <= MOST_DIFFERENT_MARK
+
+
+def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids``; a bitmap of fixed size keeps most others out of the shuffle."""
+    hashed = ids.select(F.xxhash64("doc_id").alias("h"))
+    sieve = documents.sparkSession.sparkContext.broadcast(bitmap.build(hashed, "h", bitmap.bits_for(ids.count())))
+
+    @F.pandas_udf("boolean")
+    def may_matter(h: pd.Series) -> pd.Series:
+        return pd.Series(bitmap.contains(sieve.value, h.to_numpy(dtype=np.int64).view(np.uint64)))
+
+    return materialize(documents.where(may_matter(F.xxhash64("doc_id"))).join(ids, "doc_id").select("doc_id", "text"))
+
+
 def _links(pairs: DataFrame, signed: DataFrame, documents: DataFrame) -> DataFrame:
     """The links among candidate ``pairs`` (a, b): sketches first, then the texts."""
-    marks = signed.select("doc_id", "sketch")
+    marks = signed.select("a", "sketch")
     near = pairs.join(marks.toDF("a", "sketch_a"), "a").join(marks.toDF("b", "sketch_b"), "b")
     near = materialize(near.where(_sketches_fit("sketch_a", "sketch_b")).select("a", "b"))
-    nodes = materialize(near.selectExpr("inline(array(struct(a AS doc_id), struct(b AS doc_id)))").distinct())
-    hashed = nodes.select(F.xxhash64("doc_id").alias("h"))
-    sieve = documents.sparkSession.sparkContext.broadcast(bitmap.build(hashed, "h", bitmap.bits_for(nodes.count())))
+    ids = materialize(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
+    texts = _texts(documents, ids)
+    return materialize(_confirm(near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")))
 
-    @F.pandas_udf("boolean")
-    def may_matter(h):
-        import pandas as pd
 
-        return pd.Series(bitmap.contains(sieve.value, h.to_numpy(dtype=np.int64).view(np.uint64)))
+def _with_crowds(signed: DataFrame) -> DataFrame:
+    """Add to (a, n, bands, sketch) how many documents the crowded bands of each hold in all.
+
+    Keys are counted in SLOTS slots, and only slots far above the mean reach the
+    driver, at most SLOTS / 8. The number serves to choose pivots alone.
+    """
+    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
+    counted = materialize(signed.select(F.explode("bands").alias("key")).groupBy(slot.alias("slot")).count())
+    total = counted.agg(F.sum("count")).first()[0] or 0
+    crowded = counted.where(F.col("count") > 8 * (1 + total // SLOTS)).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int32)
+    counts[crowded["slot"].to_numpy()] = np.minimum(crowded["count"].to_numpy(), 1 << 30)
+    shared = signed.sparkSession.sparkContext.broadcast(counts)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            keys = bands.flatten().to_numpy() & (SLOTS - 1)
+            crowds = shared.value[keys].reshape(len(bands), BANDS).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crowds)], [*batch.schema.names, "crowd"])
+
+    return signed.mapInArrow(add, "a long, n long, bands array<bigint>, sketch array<bigint>, crowd long")
+
+
+def _own_shingles(texts: DataFrame) -> DataFrame:
+    """(a, own): how many shingles of each of ``texts`` no other of them has; none if all are shared."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), textkit.column_bytes(batch.column(1))
+            for begin, end in textkit.chunks(texts):
+                words = textkit.words_of(texts[begin:end], textkit.NOT_SPACE, lower=True)
+                inside = textkit.gram_inside(words.doc, SHINGLE)
+                grams, doc = textkit.gram_hashes(words.hashes, SHINGLE)[inside], words.doc[: len(inside)][inside]
+                _, once = np.unique(textkit.mix64(grams + doc.astype(np.uint64)), return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[once].view(np.int64)), pa.array(ids[begin + doc[once]].astype(np.int64))], ["shingle", "a"])
+
+    rows = texts.select("doc_id", "text").mapInArrow(find, "shingle long, a long")
+    alone = rows.groupBy("shingle").agg(F.min("a").alias("a"), F.max("a").alias("last")).where("a = last")
+    return alone.groupBy("a").agg(F.count("*").alias("own"))
 
-    texts = materialize(documents.where(may_matter(F.xxhash64("doc_id"))).join(nodes, "doc_id"))
-    both = near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
-    return materialize(_confirm(both))
 
+def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame) -> DataFrame:
+    """Pairs of one band but of different components, each with one side outside the band's largest component.
 
-def _cross_pairs(members: DataFrame, components: DataFrame) -> DataFrame:
-    """Pairs of one band but of different components, each with one side outside the band's largest component."""
-    named = members.join(components.toDF("a", "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    named = materialize(named.select("key", "a", "n", "component"))
-    parts = named.groupBy("key", "component").agg(F.count("*").alias("size"))
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("size", "component")).alias("largest"), F.count("*").alias("parts"))
-    open_bands = materialize(largest.where("parts > 1").drop("parts"))
-    outside = named.join(open_bands, "key").where("component <> largest").select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"), "largest")
-    pairs = named.join(outside, "key").where((F.col("component") != F.col("other")) & _sizes_fit(F.col("n"), F.col("m")))
+    A pair shares at most the smaller number of shingles that are not its
+    documents' own, which bounds its similarity. The bound rules out documents
+    first; only those left are drawn up by band.
+    """
+    named = signed.join(components.toDF("a", "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    named = materialize(named.select("a", "n", "component", "bands"))
+    keys = named.select(F.explode("bands").alias("key"), "component").groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    open_keys = materialize(keys.where("least < most").select("key"))
+    sieve = signed.sparkSession.sparkContext.broadcast(bitmap.build(open_keys, "key", bitmap.bits_for(open_keys.count())))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            may = bitmap.contains(sieve.value, bands.flatten().to_numpy().view(np.uint64)).reshape(len(bands), BANDS)
+            kept = pa.array([k[m] for k, m in zip(bands.flatten().to_numpy().reshape(len(bands), BANDS), may)], pa.list_(pa.int64()))
+            yield batch.set_column(3, "bands", kept).filter(pa.array(may.any(axis=1)))
+
+    open_documents = materialize(named.mapInArrow(keep, named.schema))
+    own = _own_shingles(_texts(documents, open_documents.select(F.col("a").alias("doc_id"))))
+    shared = open_documents.join(own, "a", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    # No partner of fitting size could make up for more shingles of its own.
+    there = materialize(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select(F.explode("bands").alias("key"), "a", "n", "shared", "component"))
+    sizes = there.groupBy("key", "component").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    there = materialize(there.join(largest.select("key", F.col("largest.component").alias("largest")), "key"))
+    outside = there.where("component <> largest").select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_b"), F.col("component").alias("other"))
+    most = F.least("shared", "shared_b")
+    may = (F.col("component") != F.col("other")) & (100 * most >= PERCENT * (F.col("n") + F.col("m") - most))
     # Two that are both outside would come twice.
-    return pairs.where("component = largest OR a < b").select("a", "b").distinct()
+    return there.join(outside, "key").where(may & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
 
 
 def group_near_duplicates(documents: DataFrame) -> DataFrame:
@@ -223,16 +301,14 @@ def group_near_duplicates(documents: DataFrame) -> DataFrame:
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     copies = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("first_id")))
     first = known.join(copies.toDF("digest", "doc_id"), ["digest", "doc_id"], "left_semi").where("bands IS NOT NULL")
-    first = materialize(first.select("doc_id", F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["doc_id", "n", "bands"]))
-
-    members = first.select(F.explode("bands").alias("key"), F.col("doc_id").alias("a"), "n")
-    pivots = members.groupBy("key").agg(F.min(F.struct(F.col("a").alias("b"), F.col("n").alias("m"))).alias("pivot"), F.count("*").alias("size"))
-    pivots = materialize(pivots.where("size > 1").select("key", "pivot.*"))
-    members = materialize(members.join(pivots, "key"))
-    pairs = members.where((F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m"))).select("a", "b").distinct()
-    own = first.select("doc_id", "sketch")
-    links = _links(pairs, own, documents)
-    crossing = _links(_cross_pairs(members.select("key", "a", "n"), materialize(connected_components(links))), own, documents)
+    first = materialize(first.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["a", "n", "bands"]))
+
+    members = _with_crowds(first).select(F.explode("bands").alias("key"), "a", "n", "crowd", F.col("sketch")[0].alias("mark"))
+    best = F.max(F.struct("crowd", (-F.col("a")).alias("x"), F.col("n").alias("m"), F.col("mark").alias("mark_b"))).alias("p")
+    pivots = materialize(members.groupBy("key").agg(best, F.count("*").alias("size")).where("size > 1").select("key", (-F.col("p.x")).alias("b"), "p.m", "p.mark_b"))
+    may = (F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m")) & _marks_fit("mark", "mark_b")
+    links = _links(members.drop("crowd").join(pivots, "key").where(may).select("a", "b").distinct(), first, documents)
+    crossing = _links(_cross_pairs(first, materialize(connected_components(links)), documents), first, documents)
     components = connected_components(links.union(crossing))
 
     named = copies.join(components.toDF("first_id", "component"), "first_id", "left")
