@@ -8,7 +8,7 @@ filled, later ranks need not be drawn.
 
 Equal texts are grouped first, so a group of copies passes on as one document.
 Documents that share a band are compared with the band's pivot, exactly, on
-their full sets; the pivot is the document whose bands are the most crowded, so
+their full sets, a document with the pivots of most of its bands; the pivot is the document whose bands are the most crowded, so
 of many edited copies one near their common origin. Bands whose documents do not
 end up in one component are then compared across components, so no link that the
 bands propose is lost, and no pair within a component is drawn up. There an
@@ -43,6 +43,8 @@ SKETCH_WORDS = 5
 MOST_DIFFERENT = 64
 #: The same for the first word alone, five deviations, as a first sieve of pairs.
 MOST_DIFFERENT_MARK = 19
+#: Pivots that a document is compared with at first; the bands of the others are looked at again across components.
+FIRST_PIVOTS = 3
 #: Slots that count band keys, for the choice of pivots.
 SLOTS = 1 << 22
 
@@ -307,7 +309,11 @@ def group_near_duplicates(documents: DataFrame) -> DataFrame:
     best = F.max(F.struct("crowd", (-F.col("a")).alias("x"), F.col("n").alias("m"), F.col("mark").alias("mark_b"))).alias("p")
     pivots = materialize(members.groupBy("key").agg(best, F.count("*").alias("size")).where("size > 1").select("key", (-F.col("p.x")).alias("b"), "p.m", "p.mark_b"))
     may = (F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m")) & _marks_fit("mark", "mark_b")
-    links = _links(members.drop("crowd").join(pivots, "key").where(may).select("a", "b").distinct(), first, documents)
+    shared = members.drop("crowd").join(pivots, "key").where(may).groupBy("a", "b").agg(F.count("*").alias("bands"))
+    # A document has at most as many pivots as bands.
+    ranked = shared.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("bands", (-F.col("b")).alias("x"))), asc=False).alias("pivots"))
+    nearest = ranked.select("a", F.explode(F.slice("pivots", 1, FIRST_PIVOTS)).alias("p")).select("a", (-F.col("p.x")).alias("b"))
+    links = _links(nearest, first, documents)
     crossing = _links(_cross_pairs(first, materialize(connected_components(links)), documents), first, documents)
     components = connected_components(links.union(crossing))
 
