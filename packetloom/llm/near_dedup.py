@@ -13,7 +13,8 @@ of many edited copies one near their common origin. Bands whose documents do not
 end up in one component are then compared across components, so no link that the
 bands propose is lost, and no pair within a component is drawn up. There an
 upper bound rules out most documents and pairs before they meet: shingles that
-no other document at hand has cannot be common.
+no other document at hand has cannot be common, and of the rest two documents
+have at most the smaller number in common in each of several classes.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm import bitmap, textkit
@@ -48,8 +49,12 @@ FIRST_PIVOTS = 3
 #: Slots that count band keys, for the choice of pivots.
 SLOTS = 1 << 22
 
+#: Classes of shingles, by the upper bits of their hashes.
+CLASS_BITS = 5
+CLASSES = 1 << CLASS_BITS
+
 _EMPTY = np.iinfo(np.uint64).max
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch array<bigint>"
+_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch array<bigint>, classes array<int>"
 
 
 def super_minhash(elements: np.ndarray, doc: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -96,7 +101,7 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
 
 
 def sign(documents: DataFrame) -> DataFrame:
-    """Size of the shingle set, digest of the words, band keys and sketch of every document.
+    """Size of the shingle set, digest of the words, band keys, sketch and shingles by class of every document.
 
     A text without words has no digest, one of fewer than SHINGLE words no bands:
     its set meets no other text's.
@@ -120,15 +125,19 @@ def _sign_chunk(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
     long = np.flatnonzero(n_words >= SHINGLE)
     bands: list = [None] * len(texts)
     marks: list = [None] * len(texts)
+    classes: list = [None] * len(texts)
     if sets:
         sizes[long] = [len(s) for s in sets]
-        signatures = super_minhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes[long]), len(sets))
-        for i, keys, mark in zip(long.tolist(), band_keys(signatures), sketches(signatures)):
-            bands[i], marks[i] = keys, mark
+        elements, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes[long])
+        signatures = super_minhash(elements, owner, len(sets))
+        by_class = np.bincount(owner * CLASSES + (elements >> np.uint64(64 - CLASS_BITS)).astype(np.int64), minlength=len(sets) * CLASSES).astype(np.int32).reshape(-1, CLASSES)
+        for i, keys, mark, counts in zip(long.tolist(), band_keys(signatures), sketches(signatures), by_class):
+            bands[i], marks[i], classes[i] = keys, mark, counts
     digests = [hashlib.blake2b(b" ".join(_lower(t).split()), digest_size=16).digest() if n else None for t, n in zip(texts, n_words.tolist())]
     longs = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(marks, longs)], ["doc_id", "n_shingles", "digest", "bands", "sketch"]
+        [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(marks, longs), pa.array(classes, pa.list_(pa.int32()))],
+        ["doc_id", "n_shingles", "digest", "bands", "sketch", "classes"],
     )
 
 
@@ -189,6 +198,12 @@ def _marks_fit(s: str, t: str) -> Column:
     return F.bit_count(F.col(s).bitwiseXOR(F.col(t))) <= MOST_DIFFERENT_MARK
 
 
+def _classes_fit(n: Column, m: Column) -> Column:
+    """Whether two sets can be similar enough if each class has at most its smaller number in common."""
+    most = F.aggregate(F.zip_with("classes_a", "classes_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return 100 * most >= PERCENT * (n + m - most)
+
+
 def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, text) of the documents in ``ids``; a bitmap of fixed size keeps most others out of the shuffle."""
     hashed = ids.select(F.xxhash64("doc_id").alias("h"))
@@ -236,7 +251,7 @@ def _with_crowds(signed: DataFrame) -> DataFrame:
 
 
 def _own_shingles(texts: DataFrame) -> DataFrame:
-    """(a, own): how many shingles of each of ``texts`` no other of them has; none if all are shared."""
+    """(a, own, own_classes): how many shingles of each of ``texts`` no other of them has, in all and by class; no row if all are shared."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +265,9 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
 
     rows = texts.select("doc_id", "text").mapInArrow(find, "shingle long, a long")
     alone = rows.groupBy("shingle").agg(F.min("a").alias("a"), F.max("a").alias("last")).where("a = last")
-    return alone.groupBy("a").agg(F.count("*").alias("own"))
+    of = F.shiftrightunsigned("shingle", 64 - CLASS_BITS)
+    counts = alone.groupBy("a").agg(F.count("*").alias("own"), *(F.count_if(of == k).cast("int").alias(f"c{k}") for k in range(CLASSES)))
+    return counts.select("a", "own", F.array(*(f"c{k}" for k in range(CLASSES))).alias("own_classes"))
 
 
 def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame) -> DataFrame:
@@ -261,7 +278,7 @@ def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame)
     first; only those left are drawn up by band.
     """
     named = signed.join(components.toDF("a", "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    named = materialize(named.select("a", "n", "component", "bands"))
+    named = materialize(named.select("a", "n", "component", "bands", "classes"))
     keys = named.select(F.explode("bands").alias("key"), "component").groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     open_keys = materialize(keys.where("least < most").select("key"))
     sieve = signed.sparkSession.sparkContext.broadcast(bitmap.build(open_keys, "key", bitmap.bits_for(open_keys.count())))
@@ -275,17 +292,22 @@ def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame)
 
     open_documents = materialize(named.mapInArrow(keep, named.schema))
     own = _own_shingles(_texts(documents, open_documents.select(F.col("a").alias("doc_id"))))
-    shared = open_documents.join(own, "a", "left").withColumn("shared", F.col("n") - F.coalesce("own", F.lit(0)))
+    # Of a doc_id with several texts it is not known which of them has a shingle.
+    known = F.col("own").isNotNull() & (F.count("*").over(Window.partitionBy("a")) == 1)
+    less = F.zip_with("classes", "own_classes", lambda x, y: x - y)
+    shared = open_documents.join(own, "a", "left").withColumn("_known", known)
+    shared = shared.withColumns({"shared": F.when(F.col("_known"), F.col("n") - F.col("own")).otherwise(F.col("n")), "classes": F.when(F.col("_known"), less).otherwise(F.col("classes"))})
     # No partner of fitting size could make up for more shingles of its own.
-    there = materialize(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select(F.explode("bands").alias("key"), "a", "n", "shared", "component"))
+    there = materialize(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select(F.explode("bands").alias("key"), "a", "n", "shared", "component", F.col("classes").alias("classes_a")))
     sizes = there.groupBy("key", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     there = materialize(there.join(largest.select("key", F.col("largest.component").alias("largest")), "key"))
-    outside = there.where("component <> largest").select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_b"), F.col("component").alias("other"))
+    outside = there.where("component <> largest").select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_b"), F.col("component").alias("other"), F.col("classes_a").alias("classes_b"))
     most = F.least("shared", "shared_b")
-    may = (F.col("component") != F.col("other")) & (100 * most >= PERCENT * (F.col("n") + F.col("m") - most))
+    may = (F.col("component") != F.col("other")) & (100 * most >= PERCENT * (F.col("n") + F.col("m") - most)) & _classes_fit(F.col("n"), F.col("m"))
     # Two that are both outside would come twice.
-    return there.join(outside, "key").where(may & ((F.col("component") == F.col("largest")) | (F.col("a") < F.col("b")))).select("a", "b").distinct()
+    once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("b"))
+    return there.join(outside, "key").where(once & may).select("a", "b").distinct()
 
 
 def group_near_duplicates(documents: DataFrame) -> DataFrame:
@@ -303,9 +325,9 @@ def group_near_duplicates(documents: DataFrame) -> DataFrame:
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     copies = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("first_id")))
     first = known.join(copies.toDF("digest", "doc_id"), ["digest", "doc_id"], "left_semi").where("bands IS NOT NULL")
-    first = materialize(first.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "bands", "sketch").dropDuplicates(["a", "n", "bands"]))
+    first = materialize(first.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "bands", "sketch", "classes").dropDuplicates(["a", "n", "bands"]))
 
-    members = _with_crowds(first).select(F.explode("bands").alias("key"), "a", "n", "crowd", F.col("sketch")[0].alias("mark"))
+    members = _with_crowds(first.drop("classes")).select(F.explode("bands").alias("key"), "a", "n", "crowd", F.col("sketch")[0].alias("mark"))
     best = F.max(F.struct("crowd", (-F.col("a")).alias("x"), F.col("n").alias("m"), F.col("mark").alias("mark_b"))).alias("p")
     pivots = materialize(members.groupBy("key").agg(best, F.count("*").alias("size")).where("size > 1").select("key", (-F.col("p.x")).alias("b"), "p.m", "p.mark_b"))
     may = (F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m")) & _marks_fit("mark", "mark_b")
