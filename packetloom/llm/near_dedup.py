@@ -52,6 +52,8 @@ SLOTS = 1 << 22
 #: Classes of shingles, by the upper bits of their hashes.
 CLASS_BITS = 5
 CLASSES = 1 << CLASS_BITS
+#: Bits in which the shingles of a class are counted; larger sets are not bounded by class.
+COUNT_BITS = 16
 
 _EMPTY = np.iinfo(np.uint64).max
 _SIGNED = "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch array<bigint>, classes array<int>"
@@ -251,7 +253,11 @@ def _with_crowds(signed: DataFrame) -> DataFrame:
 
 
 def _own_shingles(texts: DataFrame) -> DataFrame:
-    """(a, own, own_classes): how many shingles of each of ``texts`` no other of them has, in all and by class; no row if all are shared."""
+    """(a, own_classes): how many shingles of each of ``texts`` no other of them has, by class; no row if all are shared.
+
+    A shingle that several texts of a chunk have is sent once, without a text.
+    The counts of four classes are summed in one long.
+    """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,14 +266,22 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
                 words = textkit.words_of(texts[begin:end], textkit.NOT_SPACE, lower=True)
                 inside = textkit.gram_inside(words.doc, SHINGLE)
                 grams, doc = textkit.gram_hashes(words.hashes, SHINGLE)[inside], words.doc[: len(inside)][inside]
-                _, once = np.unique(textkit.mix64(grams + doc.astype(np.uint64)), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[once].view(np.int64)), pa.array(ids[begin + doc[once]].astype(np.int64))], ["shingle", "a"])
+                order = np.argsort(grams, kind="stable")
+                grams, doc = grams[order], doc[order]
+                firsts = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
+                # Texts are in order within a run of equal grams.
+                several = doc[firsts] != doc[np.append(firsts[1:], len(grams)) - 1] if len(grams) else np.zeros(0, dtype=bool)
+                owner = pa.array(ids[begin + doc[firsts]].astype(np.int64), mask=several)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[firsts].view(np.int64)), owner], ["shingle", "a"])
 
     rows = texts.select("doc_id", "text").mapInArrow(find, "shingle long, a long")
-    alone = rows.groupBy("shingle").agg(F.min("a").alias("a"), F.max("a").alias("last")).where("a = last")
-    of = F.shiftrightunsigned("shingle", 64 - CLASS_BITS)
-    counts = alone.groupBy("a").agg(F.count("*").alias("own"), *(F.count_if(of == k).cast("int").alias(f"c{k}") for k in range(CLASSES)))
-    return counts.select("a", "own", F.array(*(f"c{k}" for k in range(CLASSES))).alias("own_classes"))
+    # Chunks have merged their rows; merging tasks' rows before the shuffle would make them wider and hardly fewer.
+    alone = rows.repartition("shingle").groupBy("shingle").agg(F.count("*").alias("chunks"), F.max("a").alias("a")).where("chunks = 1 AND a IS NOT NULL")
+    of, each = F.shiftrightunsigned("shingle", 64 - CLASS_BITS).cast("int"), 64 // COUNT_BITS
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), of % each * COUNT_BITS)
+    packed = alone.groupBy("a").agg(*(F.try_sum(F.when(F.floor(of / each) == k, one).otherwise(0)).alias(f"p{k}") for k in range(CLASSES // each)))
+    part = lambda k: F.shiftrightunsigned(f"p{k // each}", k % each * COUNT_BITS).bitwiseAND((1 << COUNT_BITS) - 1).cast("int")
+    return packed.select("a", F.array(*map(part, range(CLASSES))).alias("own_classes"))
 
 
 def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame) -> DataFrame:
@@ -293,10 +307,10 @@ def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame)
     open_documents = materialize(named.mapInArrow(keep, named.schema))
     own = _own_shingles(_texts(documents, open_documents.select(F.col("a").alias("doc_id"))))
     # Of a doc_id with several texts it is not known which of them has a shingle.
-    known = F.col("own").isNotNull() & (F.count("*").over(Window.partitionBy("a")) == 1)
+    known = F.col("own_classes").isNotNull() & (F.col("n") < 1 << COUNT_BITS - 1) & (F.count("*").over(Window.partitionBy("a")) == 1)
     less = F.zip_with("classes", "own_classes", lambda x, y: x - y)
     shared = open_documents.join(own, "a", "left").withColumn("_known", known)
-    shared = shared.withColumns({"shared": F.when(F.col("_known"), F.col("n") - F.col("own")).otherwise(F.col("n")), "classes": F.when(F.col("_known"), less).otherwise(F.col("classes"))})
+    shared = shared.withColumns({"shared": F.when(F.col("_known"), F.col("n") - F.aggregate("own_classes", F.lit(0), lambda x, y: x + y)).otherwise(F.col("n")), "classes": F.when(F.col("_known"), less).otherwise(F.col("classes"))})
     # No partner of fitting size could make up for more shingles of its own.
     there = materialize(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select(F.explode("bands").alias("key"), "a", "n", "shared", "component", F.col("classes").alias("classes_a")))
     sizes = there.groupBy("key", "component").agg(F.count("*").alias("size"))
