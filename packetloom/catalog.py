@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.plans import captures, flows, reports
+from packetloom.plans import captures, flows, reports, topologies
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = (flows, captures, reports)
+_FAMILIES = (flows, captures, reports, topologies)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
