@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from packetloom.llm import decontaminate, near_dedup, packing, pii, toxicity
 from packetloom.storage import materialize, table
 
+#: Words of the near-duplicate stage's shingles; op7_near_dedup takes four.
+SHINGLE = 5
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.remove_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.remove_near_duplicates(docs)
+    return near_dedup.remove_near_duplicates(docs, SHINGLE)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,6 +32,7 @@ from packetloom.llm import bitmap, textkit
 from packetloom.llm.components import connected_components
 from packetloom.storage import materialize
 
+#: Words of a shingle where the caller names no other number.
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -102,10 +103,10 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def sign(documents: DataFrame) -> DataFrame:
+def sign(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Size of the shingle set, digest of the words, band keys, sketch and shingles by class of every document.
 
-    A text without words has no digest, one of fewer than SHINGLE words no bands:
+    A text without words has no digest, one of fewer than ``shingle`` words no bands:
     its set meets no other text's.
     """
 
@@ -113,18 +114,18 @@ def sign(documents: DataFrame) -> DataFrame:
         for batch in batches:
             texts = textkit.column_bytes(batch.column(1))
             for begin, end in textkit.chunks(texts):
-                yield _sign_chunk(batch.column(0).slice(begin, end - begin), texts[begin:end])
+                yield _sign_chunk(batch.column(0).slice(begin, end - begin), texts[begin:end], shingle)
 
     return documents.select("doc_id", "text").mapInArrow(find, _SIGNED)
 
 
-def _sign_chunk(ids: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+def _sign_chunk(ids: pa.Array, texts: list[bytes], shingle: int) -> pa.RecordBatch:
     words = textkit.words_of(texts, textkit.NOT_SPACE, lower=True)
     n_words = np.diff(words.first)
-    grams = textkit.gram_hashes(words.hashes, SHINGLE)
-    sets = [np.unique(grams[a : b - SHINGLE + 1]) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()) if b - a >= SHINGLE]
+    grams = textkit.gram_hashes(words.hashes, shingle)
+    sets = [np.unique(grams[a : b - shingle + 1]) for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()) if b - a >= shingle]
     sizes = np.minimum(n_words, 1)
-    long = np.flatnonzero(n_words >= SHINGLE)
+    long = np.flatnonzero(n_words >= shingle)
     bands: list = [None] * len(texts)
     marks: list = [None] * len(texts)
     classes: list = [None] * len(texts)
@@ -173,13 +174,13 @@ def similar(a: bytes, b: bytes, shingle: int = SHINGLE, percent: int = PERCENT)
     return 100 * common >= percent * (sizes - common)
 
 
-def _confirm(pairs: DataFrame) -> DataFrame:
+def _confirm(pairs: DataFrame, shingle: int) -> DataFrame:
     """Pairs (a, b, text_a, text_b) that are links, checked on the full sets."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = textkit.column_bytes(batch.column(2)), textkit.column_bytes(batch.column(3))
-            keep = pa.array([similar(x, y) for x, y in zip(a, b)], pa.bool_())
+            keep = pa.array([similar(x, y, shingle) for x, y in zip(a, b)], pa.bool_())
             yield batch.select([0, 1]).filter(keep)
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
@@ -218,14 +219,14 @@ def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     return materialize(documents.where(may_matter(F.xxhash64("doc_id"))).join(ids, "doc_id").select("doc_id", "text"))
 
 
-def _links(pairs: DataFrame, signed: DataFrame, documents: DataFrame) -> DataFrame:
+def _links(pairs: DataFrame, signed: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
     """The links among candidate ``pairs`` (a, b): sketches first, then the texts."""
     marks = signed.select("a", "sketch")
     near = pairs.join(marks.toDF("a", "sketch_a"), "a").join(marks.toDF("b", "sketch_b"), "b")
     near = materialize(near.where(_sketches_fit("sketch_a", "sketch_b")).select("a", "b"))
     ids = materialize(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
     texts = _texts(documents, ids)
-    return materialize(_confirm(near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")))
+    return materialize(_confirm(near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle))
 
 
 def _with_crowds(signed: DataFrame) -> DataFrame:
@@ -252,7 +253,7 @@ def _with_crowds(signed: DataFrame) -> DataFrame:
     return signed.mapInArrow(add, "a long, n long, bands array<bigint>, sketch array<bigint>, crowd long")
 
 
-def _own_shingles(texts: DataFrame) -> DataFrame:
+def _own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
     """(a, own_classes): how many shingles of each of ``texts`` no other of them has, by class; no row if all are shared.
 
     A shingle that several texts of a chunk have is sent once, without a text.
@@ -264,8 +265,8 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), textkit.column_bytes(batch.column(1))
             for begin, end in textkit.chunks(texts):
                 words = textkit.words_of(texts[begin:end], textkit.NOT_SPACE, lower=True)
-                inside = textkit.gram_inside(words.doc, SHINGLE)
-                grams, doc = textkit.gram_hashes(words.hashes, SHINGLE)[inside], words.doc[: len(inside)][inside]
+                inside = textkit.gram_inside(words.doc, shingle)
+                grams, doc = textkit.gram_hashes(words.hashes, shingle)[inside], words.doc[: len(inside)][inside]
                 order = np.argsort(grams, kind="stable")
                 grams, doc = grams[order], doc[order]
                 firsts = np.flatnonzero(np.diff(grams, prepend=~grams[:1]) != 0)
@@ -284,7 +285,7 @@ def _own_shingles(texts: DataFrame) -> DataFrame:
     return packed.select("a", F.array(*map(part, range(CLASSES))).alias("own_classes"))
 
 
-def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame) -> DataFrame:
+def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
     """Pairs of one band but of different components, each with one side outside the band's largest component.
 
     A pair shares at most the smaller number of shingles that are not its
@@ -305,7 +306,7 @@ def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame)
             yield batch.set_column(3, "bands", kept).filter(pa.array(may.any(axis=1)))
 
     open_documents = materialize(named.mapInArrow(keep, named.schema))
-    own = _own_shingles(_texts(documents, open_documents.select(F.col("a").alias("doc_id"))))
+    own = _own_shingles(_texts(documents, open_documents.select(F.col("a").alias("doc_id"))), shingle)
     # Of a doc_id with several texts it is not known which of them has a shingle.
     known = F.col("own_classes").isNotNull() & (F.col("n") < 1 << COUNT_BITS - 1) & (F.count("*").over(Window.partitionBy("a")) == 1)
     less = F.zip_with("classes", "own_classes", lambda x, y: x - y)
@@ -324,18 +325,18 @@ def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame)
     return there.join(outside, "key").where(once & may).select("a", "b").distinct()
 
 
-def group_near_duplicates(documents: DataFrame) -> DataFrame:
+def group_near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``documents`` (doc_id, text).
 
     A component holds the documents that links connect; its id is its smallest
-    doc_id, and that document is kept. Texts are compared by words between ASCII
-    white space, A-Z lower-cased. Null, empty or blank texts are linked with
+    doc_id, and that document is kept. Texts are compared by shingles of
+    ``shingle`` words between ASCII white space, A-Z lower-cased. Null, empty or blank texts are linked with
     nothing. Rows without doc_id are linked with nothing, have no component and
     are kept. Rows of the same doc_id are one document with all their texts.
     Other columns are left out; an empty table gives no rows.
     """
     documents = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
-    signed = materialize(sign(documents))
+    signed = materialize(sign(documents, shingle))
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     copies = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("first_id")))
     first = known.join(copies.toDF("digest", "doc_id"), ["digest", "doc_id"], "left_semi").where("bands IS NOT NULL")
@@ -349,8 +350,8 @@ def group_near_duplicates(documents: DataFrame) -> DataFrame:
     # A document has at most as many pivots as bands.
     ranked = shared.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("bands", (-F.col("b")).alias("x"))), asc=False).alias("pivots"))
     nearest = ranked.select("a", F.explode(F.slice("pivots", 1, FIRST_PIVOTS)).alias("p")).select("a", (-F.col("p.x")).alias("b"))
-    links = _links(nearest, first, documents)
-    crossing = _links(_cross_pairs(first, materialize(connected_components(links)), documents), first, documents)
+    links = _links(nearest, first, documents, shingle)
+    crossing = _links(_cross_pairs(first, materialize(connected_components(links)), documents, shingle), first, documents, shingle)
     components = connected_components(links.union(crossing))
 
     named = copies.join(components.toDF("first_id", "component"), "first_id", "left")
@@ -360,7 +361,7 @@ def group_near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def remove_near_duplicates(documents: DataFrame) -> DataFrame:
+def remove_near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``documents`` with one document of each component; all columns stay. Rows without doc_id stay."""
-    dropped = group_near_duplicates(documents).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
+    dropped = group_near_duplicates(documents, shingle).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
     return documents.join(dropped, documents["doc_id"] == dropped["_dropped"], "left_anti")

@@ -42,7 +42,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.group_near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.group_near_duplicates(table(spark, sf_dir, "documents"), shingle=4)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -331,6 +331,20 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.group_near_duplicates(edges.limit(0)).count() == 0
 
 
+def test_shingle_length_is_the_callers(spark):
+    import corpus_pipeline
+
+    plain = [f"u{i}" for i in range(200)]
+    near = [f"new{i}" if i in (20, 60, 100, 140, 180) else w for i, w in enumerate(plain)]
+    docs = documents(spark, [" ".join(plain), " ".join(near), " ".join(near) + " end", "a b c d", "a b c d"])
+    component = lambda **by: {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in near_dedup.group_near_duplicates(docs, **by).collect()}
+    # Of 0 and 1, 177 of 217 shingles of four words are common, but 171 of 221 of five.
+    assert component() == {0: (197, 0), 1: (197, 0), 2: (198, 0), 3: (1, 3), 4: (1, 3)}
+    assert component(shingle=5) == {0: (196, 0), 1: (196, 1), 2: (197, 1), 3: (1, 3), 4: (1, 3)}
+    stage = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(x["doc_id"] for x in stage.collect()) == [0, 1, 3]
+
+
 def test_super_minhash_estimates_similarity():
     r = np.random.default_rng(5)
     common, own = r.integers(0, 2**63, 400).astype(np.uint64), r.integers(0, 2**63, (2, 50)).astype(np.uint64)
