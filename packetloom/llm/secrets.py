@@ -20,6 +20,8 @@ from packetloom.storage import materialize
 #: A candidate: a run of so many characters that tokens and keys are written in.
 LEAST_LENGTH = 16
 CANDIDATE = rf"[A-Za-z0-9_+/=-]{{{LEAST_LENGTH},}}"
+#: A part of a run that is a candidate of its own; parts end behind equals signs: name=, value, base64==.
+VALUE = rf"^[A-Za-z0-9_+/-]{{{LEAST_LENGTH},}}"
 #: Words on each side of a candidate that count as its neighbours.
 NEIGHBOURS = 3
 #: The dictionary: so many of the words that occur most in all texts.
@@ -38,7 +40,8 @@ def candidates(documents: DataFrame) -> DataFrame:
     """(doc_id, path, word_index, place, candidate, before, after, quoted): a row per candidate; no shuffle.
 
     ``word_index`` counts the words between white space, ``place`` the
-    candidates in a word.
+    candidates in a word. ``before`` holds the words before it and what stands
+    ahead of it in its own word, from the run before.
     """
     around = lambda ws, begin, end: F.array_join(F.slice(ws, begin, F.greatest(end - begin, F.lit(0))), " ")
 
@@ -58,8 +61,31 @@ def candidates(documents: DataFrame) -> DataFrame:
     words = F.transform(F.array(F.split("text", r"\s+")), found)[0]
     path = F.col("source").cast("string") if "source" in documents.columns else F.lit(None).cast("string")
     rows = documents.where(F.col("text").rlike(CANDIDATE)).select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), F.explode(words).alias("w"))
-    every = rows.select("doc_id", "path", "w.*", F.posexplode(F.regexp_extract_all("w.word", F.lit(f"({CANDIDATE})"), F.lit(1))).alias("place", "candidate"))
-    return every.select("doc_id", "path", "word_index", "place", "candidate", "before", "after", F.col("word").rlike("[\"'`]").alias("quoted"))
+    every = rows.select("doc_id", "path", "w.*", F.posexplode(_parts(F.col("w.word"))).alias("place", "part"))
+    before = F.concat_ws(" ", F.nullif("before", F.lit("")), F.nullif("part.ahead", F.lit("")))
+    return every.select("doc_id", "path", "word_index", "place", "part.candidate", before.alias("before"), "after", F.col("word").rlike("[\"'`]").alias("quoted"))
+
+
+def _parts(word: Column) -> Column:
+    """The candidates of a word, each with what stands ahead of it in the word.
+
+    A run that holds name=value is parted behind its equals signs, where a part
+    is long enough for a candidate; another run is one candidate.
+    """
+    held = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def of_run(runs: Column, gaps: Column, run: Column, k: Column) -> Column:
+        ahead = F.concat(F.coalesce(F.get(runs, k - 1), F.lit("")), F.get(gaps, k))
+
+        def of_parts(parts: Column) -> Column:
+            values = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.get(parts, i).rlike(VALUE))
+            one = lambda i: F.struct(F.get(parts, i).alias("candidate"), F.concat(ahead, F.coalesce(F.get(parts, i - 1), F.lit(""))).alias("ahead"))
+            return F.when(F.size(values) > 0, F.transform(values, one)).otherwise(F.array(F.struct(run.alias("candidate"), ahead.alias("ahead"))))
+
+        return held(F.split(run, "(?<==)(?=[^=])"), of_parts)
+
+    of_word = lambda runs, gaps: F.flatten(F.transform(runs, lambda run, k: of_run(runs, gaps, run, k)))
+    return held(F.regexp_extract_all(word, F.lit(f"({CANDIDATE})"), F.lit(1)), lambda runs: held(F.split(word, CANDIDATE), lambda gaps: of_word(runs, gaps)))
 
 
 def dictionary(documents: DataFrame, size: int = DICTIONARY_WORDS) -> DataFrame:
@@ -101,7 +127,7 @@ def with_features(found: DataFrame, known_words: DataFrame) -> DataFrame:
         flag(path.rlike(TEST_PATH)).alias("test_path"), flag(path.rlike(CONFIG_PATH)).alias("config_path"),
         flag(F.lower("before").rlike(SECRET_WORDS)).alias("secret_before"), flag(near.rlike(HARMLESS_WORDS)).alias("harmless_near"),
         flag(lower.rlike(r"example|your|placeholder|xxxx|1234|abcd|changeme")).alias("placeholder"),
-        flag(F.col("before").rlike(r"[=:]\s*$")).alias("assigned"), flag(F.col("quoted")).alias("in_quotes"),
+        flag(F.col("before").rlike(r"[=:]\s*[\"'`]*$") & ~c.startswith("//")).alias("assigned"), flag(F.col("quoted")).alias("in_quotes"),
     )
 
 
@@ -115,7 +141,7 @@ def labelled_findings(spark: SparkSession, known_words: DataFrame, rows: int = L
     """Findings with a ``label``: ``rows`` secrets (1) and ``rows`` others (0), written by rule from a hash of their number.
 
     Secrets are hexadecimal, base64 or mixed strings behind words such as token
-    or password. Others are words of the dictionary put together, numbers,
+    or password, apart or in the same word. Others are words of the dictionary put together, numbers,
     digests and identifiers named as such, paths and placeholders.
     """
     words = F.array(*(F.lit(r["word"]) for r in known_words.orderBy("word").limit(200).collect() or [{"word": "word"}]))
@@ -127,6 +153,9 @@ def labelled_findings(spark: SparkSession, known_words: DataFrame, rows: int = L
     base64 = F.translate(F.base64(F.unhex(digest)), "=", "")
     secret = pick(1, F.sha1(i.cast("string").cast("binary")), digest, F.md5(i.cast("string").cast("binary")), base64, F.substring(base64, 1, 24), F.concat(pick(2, "ghp_", "sk-", "AKIA", "xoxb-"), F.substring(base64, 3, 30)))
     secret_before = F.concat_ws(" ", word(3), pick(4, "token", "secret", "password", "api_key", "access_key", "auth", "Bearer", "PASSWORD", "TOKEN"), pick(5, "=", ":", "=", ""))
+    inline = lambda salt, name: F.concat(pick(salt, "", "{\"", "--"), name, pick(salt + 1, "=", "=\"", ":'", "\":\""))
+    apart = draw(27, 2) == 0
+    secret_before = F.when(apart, secret_before).otherwise(F.concat_ws(" ", word(3), inline(28, pick(4, "token", "secret", "password", "api_key", "access_key", "auth", "bearer", "PASSWORD", "TOKEN"))))
     number = F.conv(F.substring(digest, 1, 15), 16, 10)
     joint = pick(6, "", "_", "-", "/")
     other_kind = draw(7, 6)
@@ -139,6 +168,8 @@ def labelled_findings(spark: SparkSession, known_words: DataFrame, rows: int = L
     )
     plain_before = F.concat_ws(" ", word(16), word(17), word(18))
     harmless = F.concat_ws(" ", word(16), pick(19, "commit", "sha256", "md5", "checksum", "revision", "uuid"), pick(20, "", "=", ":"))
+    harmless = F.when(apart, harmless).otherwise(F.concat_ws(" ", word(16), inline(30, pick(19, "commit", "sha256", "md5", "checksum", "revision", "uuid"))))
+    plain_before = F.when(draw(32, 3) > 0, plain_before).otherwise(F.concat_ws(" ", word(16), inline(33, word(17))))
     other_before = F.when(other_kind == 3, harmless).when((other_kind == 4) & (draw(21, 2) == 0), secret_before).otherwise(plain_before)
     base = lambda label: spark.range(rows).withColumn("id", i * 2 + label).withColumn("label", F.lit(float(label)))
     path = pick(22, "src1", "src2/app.py", "config/settings.yaml", "tests/test_login.py", "docs/readme.md", ".env")

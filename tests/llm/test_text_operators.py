@@ -449,6 +449,20 @@ def test_secrets_are_told_from_harmless_strings(spark):
     assert secrets.scan(edges).count() == 0 and secrets.scan(edges.limit(0)).count() == 0
 
 
+def test_secrets_whose_names_stand_in_the_same_word(spark):
+    key, other = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "0beec7b5ea3f0fdbc95d0dd47f3c5bc275da8a33"
+    base64 = "n4bQgYhMfWWaL+qgxVrQFaO/TxsrC0Is0V1sFbDwCgg="
+    forms = {0: f'token="{key}"', 1: f"password:'{key}'", 2: f"token={key}", 3: f'{{"user":"me","api_key":"{key}","commit_of_the_release":"{other}"}}', 4: f"--secret={base64}", 5: f"https://h.net/x?auth={key}&n=1"}
+    plain = {6: f"commit={key}", 7: f'"sha256":"{key}"', 8: "a=b=c=d=e=f=g=h=i=j", 9: "=" * 20}
+    texts = [f"see {x} there" for x in (forms | plain).values()]
+    found = {(r["doc_id"], r["place"]): r for r in secrets.candidates(documents(spark, texts)).collect()}
+    at = {(i, 0): key for i in (0, 1, 2, 3, 5, 6, 7)} | {(3, 1): "commit_of_the_release", (3, 2): other, (4, 0): base64, (8, 0): plain[8], (9, 0): plain[9]}
+    assert {k: r["candidate"] for k, r in found.items()} == at
+    assert found[0, 0]["before"] == 'see token="' and found[2, 0]["before"] == "see token=" and found[3, 2]["before"] == 'see commit_of_the_release":"' and found[8, 0]["before"] == "see"
+    got = {(r["doc_id"], r["place"]) for r in secrets.scan(documents(spark, texts)).collect() if r["secret"]}
+    assert got == {(i, 0) for i in forms}
+
+
 def test_forest_on_held_out_findings(spark):
     known = spark.createDataFrame([(w,) for w in ("apple", "river", "stone", "cloud", "table")], "word string")
     every = secrets.labelled_findings(spark, known, 600)
