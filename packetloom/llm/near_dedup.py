@@ -7,14 +7,18 @@ vary less than independent hashes do, and once all registers of a document are
 filled, later ranks need not be drawn.
 
 Equal texts are grouped first, so a group of copies passes on as one document.
-Documents that share a band are compared with the band's pivot, exactly, on
-their full sets, a document with the pivots of most of its bands; the pivot is the document whose bands are the most crowded, so
-of many edited copies one near their common origin. Bands whose documents do not
-end up in one component are then compared across components, so no link that the
-bands propose is lost, and no pair within a component is drawn up. There an
-upper bound rules out most documents and pairs before they meet: shingles that
-no other document at hand has cannot be common, and of the rest two documents
-have at most the smaller number in common in each of several classes.
+Band keys are shuffled once, as (key, document); bands that one document alone
+has end there, and all that follows works on the shared ones. Bands with very
+many documents are dealt to several parts. The documents of a part are compared
+with its pivot, exactly, on their full sets, a document with the pivots of most
+of its bands; the pivot is the document whose bands are the most crowded, so of
+many edited copies one near their common origin. Bands whose documents do not
+end up in one component are then compared across components and parts, so no
+link that the bands propose is lost, and no pair within a component is drawn up.
+There an upper bound rules out most documents and pairs before they meet:
+shingles that no other document at hand has cannot be common, and of the rest
+two documents have at most the smaller number in common in each of several
+classes.
 """
 
 from __future__ import annotations
@@ -47,8 +51,10 @@ MOST_DIFFERENT = 64
 MOST_DIFFERENT_MARK = 19
 #: Pivots that a document is compared with at first; the bands of the others are looked at again across components.
 FIRST_PIVOTS = 3
-#: Slots that count band keys, for the choice of pivots.
-SLOTS = 1 << 22
+#: Slots that count band keys, to find crowded ones; a task names the slots in which it has so many keys itself.
+SLOTS, LEAST_OF_TASK = 1 << 22, 16
+#: Documents of a part of a crowded band; more where the mean of all slots is an eighth of this.
+PART = 1 << 12
 
 #: Classes of shingles, by the upper bits of their hashes.
 CLASS_BITS = 5
@@ -57,7 +63,7 @@ CLASSES = 1 << CLASS_BITS
 COUNT_BITS = 16
 
 _EMPTY = np.iinfo(np.uint64).max
-_SIGNED = "doc_id long, n_shingles long, digest binary, bands array<bigint>, sketch array<bigint>, classes array<int>"
+_SIGNED = "doc_id long, version long, n_shingles long, digest binary, bands array<bigint>, sketch array<bigint>, classes array<int>"
 
 
 def super_minhash(elements: np.ndarray, doc: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
@@ -106,20 +112,20 @@ def sketches(signatures: np.ndarray) -> np.ndarray:
 def sign(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Size of the shingle set, digest of the words, band keys, sketch and shingles by class of every document.
 
-    A text without words has no digest, one of fewer than ``shingle`` words no bands:
+    ``version`` is a hash of the text, which tells rows of one doc_id apart. A text without words has no digest, one of fewer than ``shingle`` words no bands:
     its set meets no other text's.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = textkit.column_bytes(batch.column(1))
+            texts = textkit.column_bytes(batch.column(2))
             for begin, end in textkit.chunks(texts):
-                yield _sign_chunk(batch.column(0).slice(begin, end - begin), texts[begin:end], shingle)
+                yield _sign_chunk(batch.slice(begin, end - begin).columns[:2], texts[begin:end], shingle)
 
-    return documents.select("doc_id", "text").mapInArrow(find, _SIGNED)
+    return documents.select("doc_id", F.xxhash64("text").alias("version"), "text").mapInArrow(find, _SIGNED)
 
 
-def _sign_chunk(ids: pa.Array, texts: list[bytes], shingle: int) -> pa.RecordBatch:
+def _sign_chunk(ids: list[pa.Array], texts: list[bytes], shingle: int) -> pa.RecordBatch:
     words = textkit.words_of(texts, textkit.NOT_SPACE, lower=True)
     n_words = np.diff(words.first)
     grams = textkit.gram_hashes(words.hashes, shingle)
@@ -139,8 +145,8 @@ def _sign_chunk(ids: pa.Array, texts: list[bytes], shingle: int) -> pa.RecordBat
     digests = [hashlib.blake2b(b" ".join(_lower(t).split()), digest_size=16).digest() if n else None for t, n in zip(texts, n_words.tolist())]
     longs = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
-        [ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(marks, longs), pa.array(classes, pa.list_(pa.int32()))],
-        ["doc_id", "n_shingles", "digest", "bands", "sketch", "classes"],
+        [*ids, pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(marks, longs), pa.array(classes, pa.list_(pa.int32()))],
+        ["doc_id", "version", "n_shingles", "digest", "bands", "sketch", "classes"],
     )
 
 
@@ -229,28 +235,60 @@ def _links(pairs: DataFrame, signed: DataFrame, documents: DataFrame, shingle: i
     return materialize(_confirm(near.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b"), shingle))
 
 
-def _with_crowds(signed: DataFrame) -> DataFrame:
-    """Add to (a, n, bands, sketch) how many documents the crowded bands of each hold in all.
+def _crowded_slots(first: DataFrame) -> np.ndarray:
+    """Into how many parts the band keys of each of SLOTS slots are dealt: 1 but for crowded ones.
 
-    Keys are counted in SLOTS slots, and only slots far above the mean reach the
-    driver, at most SLOTS / 8. The number serves to choose pivots alone.
+    Each task names the slots in which it has many keys itself, so hardly a row is
+    shuffled; a key of a third of all documents is crowded in some task. At most
+    SLOTS / 8 rows reach the driver.
     """
-    slot = F.col("key").bitwiseAND(F.lit(SLOTS - 1))
-    counted = materialize(signed.select(F.explode("bands").alias("key")).groupBy(slot.alias("slot")).count())
-    total = counted.agg(F.sum("count")).first()[0] or 0
-    crowded = counted.where(F.col("count") > 8 * (1 + total // SLOTS)).toArrow()
-    counts = np.zeros(SLOTS, dtype=np.int32)
-    counts[crowded["slot"].to_numpy()] = np.minimum(crowded["count"].to_numpy(), 1 << 30)
-    shared = signed.sparkSession.sparkContext.broadcast(counts)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
         for batch in batches:
-            bands = batch.column("bands")
-            keys = bands.flatten().to_numpy() & (SLOTS - 1)
-            crowds = shared.value[keys].reshape(len(bands), BANDS).sum(axis=1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(crowds)], [*batch.schema.names, "crowd"])
+            slots, n = np.unique(batch.column(0).flatten().to_numpy() & (SLOTS - 1), return_counts=True)
+            counts[slots] += n
+        many = np.flatnonzero(counts >= LEAST_OF_TASK)
+        yield pa.RecordBatch.from_arrays([pa.array(many), pa.array(counts[many])], ["slot", "count"])
+
+    most = max(PART, 8 * (1 + first.count() * BANDS // SLOTS))
+    counted = first.select("bands").mapInArrow(count, "slot long, count long").groupBy("slot").agg(F.sum("count").alias("count"))
+    crowded = counted.where(F.col("count") > most).toArrow()
+    parts = np.ones(SLOTS, dtype=np.int32)
+    parts[crowded["slot"].to_numpy()] = -(-crowded["count"].to_numpy() // most)
+    return parts
+
 
-    return signed.mapInArrow(add, "a long, n long, bands array<bigint>, sketch array<bigint>, crowd long")
+def _shared_bands(first: DataFrame) -> DataFrame:
+    """(key, part, a, size): the bands that several documents of ``first`` (a, bands) have; the rows of a part number ``size``.
+
+    Parts of crowded bands are numbered from 1, all others are 0.
+    """
+    crowded = first.sparkSession.sparkContext.broadcast(_crowded_slots(first))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, a = batch.column(1).flatten().to_numpy(), np.repeat(batch.column(0).to_numpy(zero_copy_only=False), BANDS)
+            parts = crowded.value[keys & (SLOTS - 1)]
+            of = textkit.mix64((keys ^ a * 0x61C88647).view(np.uint64)) % parts.astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.where(parts > 1, of.astype(np.int32) + 1, 0).astype(np.int32)), pa.array(a)], ["key", "part", "a"])
+
+    rows = first.select("a", "bands").mapInArrow(deal, "key long, part int, a long")
+    sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("key", "part")))
+    return materialize(sized.where("size > 1 OR part > 0"))
+
+
+def _nearest_pivots(shared: DataFrame, first: DataFrame) -> DataFrame:
+    """(a, b): each document with the pivots of most of its bands; a pivot is the document of a part with the most crowded bands."""
+    crowds = shared.groupBy("a").agg(F.sum("size").alias("crowd"))
+    members = shared.select("key", "part", "a").join(crowds.join(first.select("a", "n", F.col("sketch")[0].alias("mark")), "a"), "a")
+    best = F.max(F.struct("crowd", (-F.col("a")).alias("x"), F.col("n").alias("m"), F.col("mark").alias("mark_b"))).over(Window.partitionBy("key", "part"))
+    met = members.withColumn("p", best).select("a", "n", "mark", (-F.col("p.x")).alias("b"), "p.m", "p.mark_b")
+    may = (F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m")) & _marks_fit("mark", "mark_b")
+    counted = met.where(may).groupBy("a", "b").agg(F.count("*").alias("bands"))
+    # A document has at most as many pivots as bands.
+    ranked = counted.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("bands", (-F.col("b")).alias("x"))), asc=False).alias("pivots"))
+    return ranked.select("a", F.explode(F.slice("pivots", 1, FIRST_PIVOTS)).alias("p")).select("a", (-F.col("p.x")).alias("b"))
 
 
 def _own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
@@ -285,41 +323,33 @@ def _own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
     return packed.select("a", F.array(*map(part, range(CLASSES))).alias("own_classes"))
 
 
-def _cross_pairs(signed: DataFrame, components: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
+def _cross_pairs(first: DataFrame, shared: DataFrame, components: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
     """Pairs of one band but of different components, each with one side outside the band's largest component.
 
     A pair shares at most the smaller number of shingles that are not its
     documents' own, which bounds its similarity. The bound rules out documents
     first; only those left are drawn up by band.
     """
-    named = signed.join(components.toDF("a", "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    named = materialize(named.select("a", "n", "component", "bands", "classes"))
-    keys = named.select(F.explode("bands").alias("key"), "component").groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    open_keys = materialize(keys.where("least < most").select("key"))
-    sieve = signed.sparkSession.sparkContext.broadcast(bitmap.build(open_keys, "key", bitmap.bits_for(open_keys.count())))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bands = batch.column("bands")
-            may = bitmap.contains(sieve.value, bands.flatten().to_numpy().view(np.uint64)).reshape(len(bands), BANDS)
-            kept = pa.array([k[m] for k, m in zip(bands.flatten().to_numpy().reshape(len(bands), BANDS), may)], pa.list_(pa.int64()))
-            yield batch.set_column(3, "bands", kept).filter(pa.array(may.any(axis=1)))
-
-    open_documents = materialize(named.mapInArrow(keep, named.schema))
-    own = _own_shingles(_texts(documents, open_documents.select(F.col("a").alias("doc_id"))), shingle)
+    named = shared.select("key", "a").join(components.toDF("a", "component"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    named = materialize(named)
+    open_keys = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("key")
+    open_bands = materialize(named.join(open_keys, "key"))
+    ids = materialize(open_bands.select("a").distinct())
+    own = _own_shingles(_texts(documents, ids.select(F.col("a").alias("doc_id"))), shingle)
     # Of a doc_id with several texts it is not known which of them has a shingle.
     known = F.col("own_classes").isNotNull() & (F.col("n") < 1 << COUNT_BITS - 1) & (F.count("*").over(Window.partitionBy("a")) == 1)
     less = F.zip_with("classes", "own_classes", lambda x, y: x - y)
-    shared = open_documents.join(own, "a", "left").withColumn("_known", known)
-    shared = shared.withColumns({"shared": F.when(F.col("_known"), F.col("n") - F.aggregate("own_classes", F.lit(0), lambda x, y: x + y)).otherwise(F.col("n")), "classes": F.when(F.col("_known"), less).otherwise(F.col("classes"))})
+    left = first.select("a", "n", "classes", F.col("sketch")[0].alias("mark")).join(ids, "a").join(own, "a", "left").withColumn("_known", known)
+    left = left.withColumns({"shared": F.when(F.col("_known"), F.col("n") - F.aggregate("own_classes", F.lit(0), lambda x, y: x + y)).otherwise(F.col("n")), "classes": F.when(F.col("_known"), less).otherwise(F.col("classes"))})
     # No partner of fitting size could make up for more shingles of its own.
-    there = materialize(shared.where(100 * F.col("shared") >= PERCENT * F.col("n")).select(F.explode("bands").alias("key"), "a", "n", "shared", "component", F.col("classes").alias("classes_a")))
+    left = left.where(100 * F.col("shared") >= PERCENT * F.col("n")).select("a", "n", "mark", "shared", F.col("classes").alias("classes_a"))
+    there = materialize(open_bands.join(left, "a"))
     sizes = there.groupBy("key", "component").agg(F.count("*").alias("size"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
     there = materialize(there.join(largest.select("key", F.col("largest.component").alias("largest")), "key"))
-    outside = there.where("component <> largest").select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("shared").alias("shared_b"), F.col("component").alias("other"), F.col("classes_a").alias("classes_b"))
+    outside = there.where("component <> largest").select("key", F.col("a").alias("b"), F.col("n").alias("m"), F.col("mark").alias("mark_b"), F.col("shared").alias("shared_b"), F.col("component").alias("other"), F.col("classes_a").alias("classes_b"))
     most = F.least("shared", "shared_b")
-    may = (F.col("component") != F.col("other")) & (100 * most >= PERCENT * (F.col("n") + F.col("m") - most)) & _classes_fit(F.col("n"), F.col("m"))
+    may = (F.col("component") != F.col("other")) & _marks_fit("mark", "mark_b") & (100 * most >= PERCENT * (F.col("n") + F.col("m") - most)) & _classes_fit(F.col("n"), F.col("m"))
     # Two that are both outside would come twice.
     once = (F.col("component") == F.col("largest")) | (F.col("a") < F.col("b"))
     return there.join(outside, "key").where(once & may).select("a", "b").distinct()
@@ -330,11 +360,17 @@ def group_near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataF
 
     A component holds the documents that links connect; its id is its smallest
     doc_id, and that document is kept. Texts are compared by shingles of
-    ``shingle`` words between ASCII white space, A-Z lower-cased. Null, empty or blank texts are linked with
-    nothing. Rows without doc_id are linked with nothing, have no component and
-    are kept. Rows of the same doc_id are one document with all their texts.
-    Other columns are left out; an empty table gives no rows.
+    ``shingle`` words between ASCII white space, A-Z lower-cased. Null, empty or
+    blank texts are linked with nothing. Rows without doc_id are linked with
+    nothing, have no component and are kept. Different texts of one doc_id are
+    judged each by itself. A text is held whole in its task, with temporaries of
+    some 40 times its bytes. Other columns are left out; an empty table gives no rows.
     """
+    out = _grouped(documents, shingle)
+    return out.drop("version")
+
+
+def _grouped(documents: DataFrame, shingle: int) -> DataFrame:
     documents = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text")
     signed = materialize(sign(documents, shingle))
     known = signed.where("digest IS NOT NULL AND doc_id IS NOT NULL")
@@ -342,26 +378,24 @@ def group_near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataF
     first = known.join(copies.toDF("digest", "doc_id"), ["digest", "doc_id"], "left_semi").where("bands IS NOT NULL")
     first = materialize(first.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), "bands", "sketch", "classes").dropDuplicates(["a", "n", "bands"]))
 
-    members = _with_crowds(first.drop("classes")).select(F.explode("bands").alias("key"), "a", "n", "crowd", F.col("sketch")[0].alias("mark"))
-    best = F.max(F.struct("crowd", (-F.col("a")).alias("x"), F.col("n").alias("m"), F.col("mark").alias("mark_b"))).alias("p")
-    pivots = materialize(members.groupBy("key").agg(best, F.count("*").alias("size")).where("size > 1").select("key", (-F.col("p.x")).alias("b"), "p.m", "p.mark_b"))
-    may = (F.col("a") != F.col("b")) & _sizes_fit(F.col("n"), F.col("m")) & _marks_fit("mark", "mark_b")
-    shared = members.drop("crowd").join(pivots, "key").where(may).groupBy("a", "b").agg(F.count("*").alias("bands"))
-    # A document has at most as many pivots as bands.
-    ranked = shared.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("bands", (-F.col("b")).alias("x"))), asc=False).alias("pivots"))
-    nearest = ranked.select("a", F.explode(F.slice("pivots", 1, FIRST_PIVOTS)).alias("p")).select("a", (-F.col("p.x")).alias("b"))
+    shared = _shared_bands(first)
+    nearest = _nearest_pivots(shared, first)
     links = _links(nearest, first, documents, shingle)
-    crossing = _links(_cross_pairs(first, materialize(connected_components(links)), documents, shingle), first, documents, shingle)
+    crossing = _links(_cross_pairs(first, shared, materialize(connected_components(links)), documents, shingle), first, documents, shingle)
     components = connected_components(links.union(crossing))
 
     named = copies.join(components.toDF("first_id", "component"), "first_id", "left")
     named = materialize(named.select("digest", F.coalesce("component", "first_id").alias("component")))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    out = signed.select("doc_id", "version", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "version", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def remove_near_duplicates(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``documents`` with one document of each component; all columns stay. Rows without doc_id stay."""
-    dropped = group_near_duplicates(documents, shingle).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return documents.join(dropped, documents["doc_id"] == dropped["_dropped"], "left_anti")
+    """``documents`` with one document of each component; all columns stay.
+
+    Rows without doc_id stay, and so do all equal rows of a document that is kept.
+    Of a doc_id with several texts those go whose component another document stands for.
+    """
+    dropped = _grouped(documents, shingle).where("NOT kept").select(F.col("doc_id").alias("_dropped"), F.col("version").alias("_version")).distinct()
+    return documents.join(dropped, (documents["doc_id"] == dropped["_dropped"]) & (F.xxhash64(documents["text"]) == dropped["_version"]), "left_anti")
