@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -104,33 +105,46 @@ _STRANGE = (
     rf"[{INVISIBLE}  Ͱ-ԯա-ֆ٠-٩۰-۹०-९০-৯๐-๙"
     r"‐-–․⁰-⁹−①-⓿。﹒-﹫！-～\U0001d400-\U0001d7ff]"
 )
+_FEW = r"\s{0,3}"
+# Every repetition is bounded or consumes what it matches, so long runs of one character take linear time.
 _TOKEN = re.compile(
     rf"(?P<strange>{_STRANGE})"
-    rf"|(?P<at>\s*{_OPEN}\s*(?:at|@)\s*{_CLOSE}\s*)"
-    rf"|(?P<dot>\s*{_OPEN}\s*(?:{_DOT_WORD}|\.)\s*{_CLOSE}\s*)"
+    rf"|(?P<at>{_FEW}{_OPEN}{_FEW}(?:at|@){_FEW}{_CLOSE}{_FEW})"
+    rf"|(?P<dot>{_FEW}{_OPEN}{_FEW}(?:{_DOT_WORD}|\.){_FEW}{_CLOSE}{_FEW})"
     rf"|(?P<spelled>\b(?:plus[\s-]{{1,3}})?{_WORD}(?:(?:[\s,-]{{1,3}}|\s{{1,3}}{_DOT_WORD}\s{{1,3}}){_WORD}){{3,}}\b)"
-    rf"|(?P<spaced_at>\s{{1,3}}at\s{{1,3}}(?=[A-Za-z0-9-]+\s{{0,3}}{_OPEN}?\s{{0,3}}{_DOT_WORD}\b))"
-    rf"|(?P<spaced_dot>(?<=[A-Za-z0-9])\s{{1,3}}{_DOT_WORD}\s{{1,3}}(?=[A-Za-z0-9]))",
+    rf"|(?P<spaced_at>\s{{1,3}}at\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\s{{1,3}}|{_FEW}{_OPEN}{_FEW}){_DOT_WORD}\b))"
+    rf"|(?P<sign_at>(?:\s{{1,3}}@{_FEW}|@\s{{1,3}})(?=[A-Za-z0-9-]{{1,63}}(?:{_FEW}\.{_FEW}|\s{{1,3}}{_DOT_WORD}\s{{1,3}}|{_FEW}{_OPEN})))"
+    rf"|(?P<spaced_dot>(?<=[A-Za-z0-9])\s{{1,3}}{_DOT_WORD}\s{{1,3}}(?=[A-Za-z0-9]))"
+    rf"|(?P<sign_dot>(?<=[A-Za-z0-9])\s{{1,3}}\.\s{{1,3}}(?=[a-z]))",
     re.IGNORECASE,
 )
-_PIECE = re.compile(rf"(?P<plus>plus[\s-]+)|(?P<dot>\s+{_DOT_WORD}\s+)|(?P<word>{_WORD})|[\s,-]+", re.IGNORECASE)
-#: Cheap signs that a text may hold a disguise; without one it is not rewritten.
+_PIECE = re.compile(rf"(?P<plus>plus[\s-]{{1,3}})|(?P<dot>\s{{1,3}}{_DOT_WORD}\s{{1,3}})|(?P<word>{_WORD})|[\s,-]{{1,3}}", re.IGNORECASE)
+#: Cheap signs that a text may hold a disguise; a text without one shows nothing more when it is rewritten.
 _HINT_STRANGE = re.compile(_STRANGE)
-_HINT_BRACKETS = re.compile(rf"{_OPEN}\s*(?:at|@|{_DOT_WORD}|\.)\s*{_CLOSE}", re.IGNORECASE)
-_DOTS = frozenset(("dot", "point", "punkt", "punto"))
-_HINT_RUN = re.compile(rf"\b{_WORD}(?:(?:[\s,-]{{1,3}}|\s{{1,3}}{_DOT_WORD}\s{{1,3}}){_WORD}){{3}}")
+_HINT_BRACKETS = re.compile(rf"{_OPEN}{_FEW}(?:at|@|{_DOT_WORD}|\.){_FEW}{_CLOSE}", re.IGNORECASE)
+_HINT_SIGN = re.compile(r"\s@|@\s|\s\.\s")
+_DOTS = ("dot", "point", "punkt", "punto")
+
+
+def _fold(text: str) -> str:
+    """Letters that the patterns hold equal, made equal."""
+    return text.replace("\u0131", "i").replace("\u0130", "i").casefold()
 
 
 @dataclass
 class Rewritten:
-    """A rewritten text; character i came from ``starts[i]:ends[i]`` of the source."""
+    """A rewritten text in pieces: from ``begins[i]`` on it shows ``sources[i]``, letter by letter or, where ``whole[i]``, as one."""
 
     text: str
-    starts: list[int]
-    ends: list[int]
+    begins: list[int]
+    sources: list[Span]
+    whole: list[bool]
 
     def source_span(self, start: int, end: int) -> Span:
-        return self.starts[start], self.ends[end - 1]
+        """The source span of the characters ``start:end``."""
+        i, j = bisect_right(self.begins, start) - 1, bisect_right(self.begins, end - 1) - 1
+        begin = self.sources[i][0] if self.whole[i] else self.sources[i][0] + start - self.begins[i]
+        return begin, self.sources[j][1] if self.whole[j] else self.sources[j][0] + end - self.begins[j]
 
 
 def _plain_character(c: str) -> str:
@@ -146,19 +160,22 @@ def _plain_character(c: str) -> str:
 def rewrite(text: str) -> Rewritten:
     """Run the transducers over a whole text."""
     parts: list[str] = []
-    starts: list[int] = []
-    ends: list[int] = []
-    at = 0
-
-    def put(out: str, start: int, end: int) -> None:
-        parts.append(out)
-        starts.extend([start] * len(out))
-        ends.extend([end] * len(out))
+    begins: list[int] = []
+    sources: list[Span] = []
+    whole: list[bool] = []
+    at = size = 0
+
+    def put(out: str, start: int, end: int, as_one: bool = True) -> None:
+        nonlocal size
+        if out:
+            parts.append(out)
+            begins.append(size)
+            sources.append((start, end))
+            whole.append(as_one)
+            size += len(out)
 
     def keep(start: int, end: int) -> None:
-        parts.append(text[start:end])
-        starts.extend(range(start, end))
-        ends.extend(range(start + 1, end + 1))
+        put(text[start:end], start, end, False)
 
     for m in _TOKEN.finditer(text):
         keep(at, m.start())
@@ -167,43 +184,47 @@ def rewrite(text: str) -> Rewritten:
         if kind == "spelled":
             for piece in _PIECE.finditer(text, start, at):
                 if word := piece["word"]:
-                    put(_VALUES[word.lower()], *piece.span())
+                    put(_VALUES[_fold(word)], *piece.span())
                 elif piece["dot"] or piece["plus"]:
                     put("." if piece["dot"] else "+", *piece.span())
         elif kind == "strange":
             put(_plain_character(m[0]), start, at)
         else:
-            put("@" if kind in ("at", "spaced_at") else ".", start, at)
+            put("@" if kind in ("at", "spaced_at", "sign_at") else ".", start, at)
     keep(at, len(text))
-    return Rewritten("".join(parts), starts, ends)
+    return Rewritten("".join(parts), begins, sources, whole)
 
 
 def may_be_disguised(text: str) -> bool:
-    """Whether a text has a strange character, a bracketed at or dot, a dot word, or a run of digit words."""
-    if not text.isascii() and _HINT_STRANGE.search(text) or _HINT_BRACKETS.search(text):
+    """Whether rewriting may show more: a strange character, a bracketed or spaced sign, a dot word, or digit words."""
+    if not text.isascii() and _HINT_STRANGE.search(text) or _HINT_BRACKETS.search(text) or "@" in text and _HINT_SIGN.search(text):
+        return True
+    folded = _fold(text)
+    if any(dot in folded for dot in _DOTS):
         return True
-    lower = text.lower()
-    words = lower.replace(",", " ").replace("-", " ").split()
-    return not _DOTS.isdisjoint(words) or sum(map(_VALUES.__contains__, words)) >= 4 and _HINT_RUN.search(lower) is not None
+    # Of four digit words in a row, at most the first and the last touch other signs.
+    return sum(map(_VALUES.__contains__, folded.replace(",", " ").replace("-", " ").split())) >= 2
 
 
-def find_disguised(text: str, plain: dict[str, list[Span]]) -> dict[str, list[Span]]:
+def find_disguised(text: str, plain: dict[str, list[Span]], gate: bool = True) -> dict[str, list[Span]]:
     """Spans that only the rewritten text shows; those that meet a plain span of their kind are left out.
 
     Rewriting is repeated once, since a homoglyph may stand inside a disguise.
+    Without ``gate`` a text is rewritten whether or not it shows signs of a disguise.
     """
-    if not may_be_disguised(text):
+    if gate and not may_be_disguised(text):
         return {k: [] for k in KINDS}
     first = rewrite(text)
     second = rewrite(first.text)
     found: dict[str, list[Span]] = {}
     for kind, spans in find_plain(second.text).items():
-        found[kind] = []
+        found[kind], ends = [], [e for _, e in plain[kind]]
         for start, end in spans:
-            span = first.source_span(*second.source_span(start, end))
-            disguised = text[slice(*span)] != second.text[start:end]
-            if disguised and not any(span[0] < e and s < span[1] for s, e in plain[kind]):
-                found[kind].append(span)
+            begin, stop = first.source_span(*second.source_span(start, end))
+            # The first plain span that ends behind the beginning; plain spans are in order and apart.
+            k = bisect_right(ends, begin)
+            if text[begin:stop] != second.text[start:end] and (k == len(ends) or plain[kind][k][0] >= stop):
+                found[kind].append((begin, stop))
     return found
 
 
