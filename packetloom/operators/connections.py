@@ -14,76 +14,96 @@ SIGNATURE_PACKETS = 20
 FIVE_TUPLE = ("capture_id", "protocol", "ip_1", "port_1", "ip_2", "port_2")
 
 
-def with_roles(packets: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Add each packet's client and server, its place in the connection, and the handshake's packets.
+_PACKET = ("frame_number", "src_ip", "src_port", "dst_ip", "dst_port", "seq", "options", "tsval", "tsecr", "ip_id", "time_ms")
+_ENDS = ("src_ip", "src_port", "dst_ip", "dst_port")
+
+
+def _halves(packets: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Packets grouped by key, sender (1: the lesser address, 2) and TTL: partial sums before the shuffle, so a hot connection is a few rows a task."""
+    side = F.when(F.col("src_ip") <= F.col("dst_ip"), 1).otherwise(2)
+    packet, flags = F.struct(*_PACKET), F.col("flags")
+    payload = (F.col("len") > 0) & (F.col("payload") != "")
+    return packets.withColumn("_side", side).groupBy(*key, "_side", "ttl").agg(
+        # Only handshake packets are listed; a connection has a few.
+        F.collect_list(F.when(P.is_syn(flags), packet)).alias("syns"), F.collect_list(F.when(P.is_syn_ack(flags), packet)).alias("acks"),
+        F.min_by(F.struct(*_PACKET, "protocol"), "frame_number").alias("first"), F.min("frame_number").alias("seen"),
+        F.bool_and(F.col("len") == 0).alias("header_only"),
+        F.min(F.when(payload, F.struct("frame_number", "payload"))).alias("payload"),
+        F.collect_set(F.when(F.col("ip_id") != 0, F.col("ip_id"))).alias("ids"),
+        F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"), F.count("*").alias("n"),
+        F.sum(F.when(F.col("frame_len") > 0, F.col("frame_len")).otherwise(0)).cast("long").alias("bytes"),
+    )
+
+
+def _with_ends(grouped: DataFrame) -> DataFrame:
+    """Add the handshake's packets and which end is the client.
 
     The last SYN up to the first frame by which both a SYN and a SYN-ACK were
     seen names the client; else the SYN-ACK's sender is the server; else the
-    first packet's sender is the client. All windows share the key's one shuffle.
+    first packet's sender is the client.
     """
-    whole = Window.partitionBy(*key)
-    frame = F.col("frame_number")
-    syn, syn_ack = P.is_syn(F.col("flags")), P.is_syn_ack(F.col("flags"))
-    first_syn, first_ack = F.min(F.when(syn, frame)).over(whole), F.min(F.when(syn_ack, frame)).over(whole)
-    pair = F.when(first_syn.isNotNull() & first_ack.isNotNull(), F.greatest(first_syn, first_ack)).otherwise(F.lit(2**62))
-    packet = F.struct("src_ip", "src_port", "dst_ip", "dst_port", "seq", "options", "tsval", "tsecr", "ip_id", "time_ms")
-    early = packets.withColumn("_pair", pair).withColumn("_packet", packet).withColumn("_place", F.row_number().over(whole.orderBy("frame_number")))
-    seen = early.withColumns({
-        "_syn": F.max_by(F.when(syn & (frame <= F.col("_pair")), F.col("_packet")), F.when(syn & (frame <= F.col("_pair")), frame)).over(whole),
-        "_syn_ack": F.max_by(F.when(syn_ack & (frame <= F.col("_pair")), F.col("_packet")), F.when(syn_ack & (frame <= F.col("_pair")), frame)).over(whole),
-        "_first": F.min_by("_packet", frame).over(whole),
-    })
-    of = lambda p: F.struct(*(F.col(f"{p}.{c}") for c in ("src_ip", "src_port", "dst_ip", "dst_port")))
+    frames = lambda c: F.array_min(F.transform(c, lambda p: p.frame_number))
+    upto = F.when((F.size("syns") > 0) & (F.size("acks") > 0), F.greatest(frames("syns"), frames("acks"))).otherwise(F.lit(2**62))
+    last = lambda c: F.array_max(F.filter(c, lambda p: p.frame_number <= F.col("_upto")))
+    seen = grouped.withColumn("_upto", upto).withColumns({"_syn": last("syns"), "_syn_ack": last("acks")}).drop("_upto", "syns", "acks")
+    of = lambda p: F.struct(*(F.col(f"{p}.{c}") for c in _ENDS))
     turned = F.struct(F.col("_syn_ack.dst_ip").alias("src_ip"), F.col("_syn_ack.dst_port").alias("src_port"), F.col("_syn_ack.src_ip").alias("dst_ip"), F.col("_syn_ack.src_port").alias("dst_port"))
     ends = F.when(F.col("_syn").isNotNull(), of("_syn")).when(F.col("_syn_ack").isNotNull(), turned).otherwise(of("_first"))
     return seen.withColumn("_ends", ends).withColumns({"client_ip": F.col("_ends.src_ip"), "client_port": F.col("_ends.src_port"), "server_ip": F.col("_ends.dst_ip"), "server_port": F.col("_ends.dst_port")}).drop("_ends")
 
 
+def _signatures(packets: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Senders' sides and lengths of a connection's first packets; the rank's limit is applied before the shuffle."""
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("frame_number"))
+    first = packets.withColumn("_place", place).where(F.col("_place") <= SIGNATURE_PACKETS)
+    token = F.struct(F.col("_place").alias("p"), F.when(F.col("src_ip") <= F.col("dst_ip"), 1).otherwise(2).alias("side"), F.col("len").cast("string").alias("len"))
+    return first.groupBy(*key).agg(F.array_sort(F.collect_list(token)).alias("_tokens"))
+
+
 def build_connections(packets: DataFrame, key: Sequence[str] = ("capture_id", "stream_id")) -> DataFrame:
-    """A row per connection. Windows and groups share ``key``, so packets are shuffled once."""
-    from_client, from_server = F.col("src_ip") == F.col("client_ip"), F.col("src_ip") == F.col("server_ip")
-    roles = with_roles(packets, key)
-    payload = (F.col("len") > 0) & (F.col("payload") != "")
-    token = F.struct(F.col("_place").alias("p"), F.concat(F.when(from_client, "C:").otherwise("S:"), F.col("len").cast("string")).alias("t"))
-    ids = lambda condition: F.array_sort(F.collect_set(F.when(condition & (F.col("ip_id") != 0), F.col("ip_id"))))
-    grouped = roles.groupBy(*key).agg(
-        *(F.first(c).alias(c) for c in ("client_ip", "client_port", "server_ip", "server_port", "_syn", "_syn_ack", "_first")),
-        F.min_by("protocol", "frame_number").alias("protocol_number"),
-        F.bool_and(F.col("len") == 0).alias("header_only"),
-        F.min_by(F.when(payload & from_client, F.col("payload")), F.when(payload & from_client, F.col("frame_number"))).alias("_client_payload"),
-        F.min_by(F.when(payload & ~from_client, F.col("payload")), F.when(payload & ~from_client, F.col("frame_number"))).alias("_server_payload"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= SIGNATURE_PACKETS, token))), lambda x: x.t), " ").alias("length_signature"),
-        ids(F.lit(True)).alias("_ids"), ids(from_client).alias("client_ipids"), ids(from_server).alias("server_ipids"),
-        F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"), F.count("*").alias("packet_count"),
-        F.sum(F.when(F.col("frame_len") > 0, F.col("frame_len")).otherwise(0)).cast("long").alias("total_bytes"),
+    """A row per connection.
+
+    Packets are summed by sender and TTL before they are shuffled; only a
+    connection's first packets, handshake and distinct identification values
+    reach its row.
+    """
+    of_side = lambda side, column: F.when(F.col("_side") == side, F.col(column))
+    merged = lambda condition: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(condition, F.col("ids"))))))
+    rank = F.struct("n", -F.col("seen"))
+    both = {}
+    for k in (1, 2):
+        here = F.col("_side") == k
+        both |= {f"_payload_{k}": F.min(of_side(k, "payload")).payload, f"_ids_{k}": merged(here), f"_ttl_{k}": F.max_by(F.when(here & (F.col("ttl") > 0), F.col("ttl")), F.when(here & (F.col("ttl") > 0), rank))}
+    grouped = _halves(packets, key).groupBy(*key).agg(
+        F.flatten(F.collect_list("syns")).alias("syns"), F.flatten(F.collect_list("acks")).alias("acks"), F.min_by("first", "seen").alias("_first"),
+        F.bool_and("header_only").alias("header_only"), merged(F.lit(True)).alias("_ids"), *(c.alias(n) for n, c in both.items()),
+        F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("n").alias("packet_count"), F.sum("bytes").alias("total_bytes"),
     )
+    ended = _with_ends(grouped).join(_signatures(packets, key), list(key))
+    # Two ends of one address are not told apart: all is the client's.
+    client_side = F.when(F.col("client_ip") <= F.col("server_ip"), 1).otherwise(2)
+    alike = F.col("client_ip") == F.col("server_ip")
+    client = lambda name: F.when(client_side == 1, F.col(f"_{name}_1")).otherwise(F.col(f"_{name}_2"))
+    server = lambda name, if_alike: F.when(alike, if_alike).when(client_side == 1, F.col(f"_{name}_2")).otherwise(F.col(f"_{name}_1"))
     syn, syn_ack = F.col("_syn"), F.col("_syn_ack")
     first_id = F.coalesce(F.when(syn.isNotNull(), syn.ip_id).when(syn_ack.isNotNull(), syn_ack.ip_id), F.col("_first.ip_id"))
-    grouped = grouped.join(modal_ttls(roles, key), list(key), "left")
-    return grouped.select(
-        *key, F.col("protocol_number") if "protocol" not in key else F.col("protocol").alias("protocol_number"), "client_ip", "client_port", "server_ip", "server_port",
+    signature = F.array_join(F.transform("_tokens", lambda t: F.concat(F.when(t.side == client_side, "C:").otherwise("S:"), t.len)), " ")
+    none = F.lit(None)
+    return ended.select(
+        *key, F.col("_first.protocol").alias("protocol_number"), "client_ip", "client_port", "server_ip", "server_port",
         (syn.isNotNull() | syn_ack.isNotNull()).alias("has_syn"), F.coalesce(syn.options, F.lit("")).alias("syn_options"),
         F.coalesce(syn.seq, F.lit(0)).alias("client_isn"), F.coalesce(syn_ack.seq, F.lit(0)).alias("server_isn"),
         F.coalesce(syn.time_ms, syn_ack.time_ms, F.col("_first.time_ms")).alias("syn_ms"),
         F.when(syn.isNotNull(), syn.tsval).otherwise(F.col("_first.tsval")).alias("tsval"), F.when(syn.isNotNull(), syn.tsecr).otherwise(F.col("_first.tsecr")).alias("tsecr"),
-        F.when(F.col("header_only"), "").otherwise(P.payload_md5(F.col("_client_payload"))).alias("client_md5"),
-        F.when(F.col("header_only"), "").otherwise(P.payload_md5(F.col("_server_payload"))).alias("server_md5"),
-        "length_signature", "header_only",
-        F.when(F.size("_ids") > 0, F.col("_ids")).otherwise(F.array(first_id)).alias("ipids"), "client_ipids", "server_ipids",
-        F.coalesce("client_ttl", F.lit(0)).alias("client_ttl"), F.coalesce("server_ttl", F.lit(0)).alias("server_ttl"),
+        F.when(F.col("header_only"), "").otherwise(P.payload_md5(client("payload"))).alias("client_md5"),
+        F.when(F.col("header_only"), "").otherwise(P.payload_md5(server("payload", none))).alias("server_md5"),
+        signature.alias("length_signature"), "header_only",
+        F.when(F.size("_ids") > 0, F.col("_ids")).otherwise(F.array(first_id)).alias("ipids"), client("ids").alias("client_ipids"), server("ids", F.col("_ids")).alias("server_ipids"),
+        F.coalesce(client("ttl"), F.lit(0)).alias("client_ttl"), F.coalesce(server("ttl", none), F.lit(0)).alias("server_ttl"),
         "first_ms", "last_ms", "packet_count", "total_bytes",
     )
 
 
-def modal_ttls(roles: DataFrame, key: Sequence[str]) -> DataFrame:
-    """The most frequent positive TTL of each direction, the first seen among equals. The key's partitioning serves both groupings."""
-    direction = F.when(F.col("src_ip") == F.col("client_ip"), "c").otherwise("s")
-    counted = roles.where(F.col("ttl") > 0).groupBy(*key, direction.alias("_side"), "ttl").agg(F.count("*").alias("_n"), F.min("frame_number").alias("_seen"))
-    rank = F.struct("_n", -F.col("_seen"))
-    side = lambda x: F.max_by(F.when(F.col("_side") == x, F.col("ttl")), F.when(F.col("_side") == x, rank))
-    return counted.groupBy(*key).agg(side("c").alias("client_ttl"), side("s").alias("server_ttl"))
-
-
 def with_five_tuple(packets: DataFrame) -> DataFrame:
     """Add the canonical ends, so packets can be grouped by FIVE_TUPLE where there are no stream ids."""
     low, high = P.canonical_ends(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
@@ -91,36 +111,56 @@ def with_five_tuple(packets: DataFrame) -> DataFrame:
 
 
 def build_connections_by_tuple(packets: DataFrame) -> DataFrame:
-    """Connections of packets without stream ids; the id is a stable hash of the canonical 5-tuple."""
+    """Connections of packets without stream ids; the id is a stable 64-bit hash of the canonical 5-tuple."""
     built = build_connections(with_five_tuple(packets), FIVE_TUPLE)
-    return built.withColumn("stream_id", F.xxhash64(*FIVE_TUPLE).bitwiseAND(0x7FFFFFFF))
+    return built.withColumn("stream_id", F.xxhash64(*FIVE_TUPLE))
 
 
-def sample_connections(connections: DataFrame, threshold: int = 1000, rate: float = 0.5, strata: int = 10, special_ports: Sequence[int] = ()) -> DataFrame:
-    """Keep all of few connections; of many, the header-only ones, those on special ports, and an even sample of the rest.
+#: Server ports whose connections a sample always keeps.
+SPECIAL_PORTS = (20, 21, 22, 23, 25, 53, 80, 110, 143, 443, 3306, 5432, 6379, 27017)
+STRATA = 10
+
+
+def is_protected(special_ports: Sequence[int] = SPECIAL_PORTS) -> Column:
+    return F.col("header_only") | F.col("server_port").isin(list(special_ports))
+
+
+def sample_connections(connections: DataFrame, threshold: int = 1000, rate: float = 0.5, special_ports: Sequence[int] = SPECIAL_PORTS) -> DataFrame:
+    """Keep all of few connections; of many, the protected ones (header-only, special server ports) and an even sample of the rest.
 
     The rest is ordered by time and cut into strata of equal size, the last of
-    which takes the remainder; each gives its share at a fixed step. The order is
-    a single global one, so ranks come from counts per time bucket, not from one
-    sorted partition.
+    which takes the remainder; each gives connections at a fixed step until
+    ``rate`` of all is reached. The order is a single global one, so ranks come
+    from counts per time bucket, not from one sorted partition.
     """
-    keep = F.col("header_only") | F.col("server_port").isin(list(special_ports)) | F.col("client_port").isin(list(special_ports))
-    total = connections.count()
-    if total <= threshold:
+    if threshold <= 0 or not 0 < rate <= 1:
+        raise ValueError("threshold must be positive and rate within (0, 1]")
+    if connections.count() <= threshold:
         return connections
-    rest = connections.where(~keep)
+    rest = connections.where(~is_protected(special_ports))
     n = rest.count()
-    target = int(n * rate)
-    if not n or not target:
-        return connections.where(keep)
-    groups = min(strata, target)
-    size, each = n // groups, max(1, target // groups)
-    step = max(1, size // each)
-    ranked = ranks(rest, ["syn_ms", "stream_id"], "_rank")
-    stratum = F.least(F.floor(F.col("_rank") / size), F.lit(groups - 1))
-    within = F.col("_rank") - stratum * size
-    picked = ranked.where((within % step == 0) & (within / step < each)).drop("_rank")
-    return connections.where(keep).unionByName(picked)
+    if not n:
+        return connections
+    target, strata = max(1, int(n * rate)), min(STRATA, n)
+    size, taken = n // strata, 0
+    picked = F.lit(False)
+    rank = F.col("_rank")
+    for i in range(strata):
+        begin, length = i * size, size if i < strata - 1 else n - i * size
+        step = max(1, length // max(1, length * target // n))
+        here = min(-(-length // step), target - taken)
+        taken += here
+        picked = picked | (rank.between(begin, begin + length - 1) & ((rank - begin) % step == 0) & (rank - begin < here * step))
+    sampled = ranks(rest, ["syn_ms", "stream_id"], "_rank").where(picked).drop("_rank")
+    return connections.where(is_protected(special_ports)).unionByName(sampled)
+
+
+def sampling_statistics(connections: DataFrame, sampled: DataFrame, special_ports: Sequence[int] = SPECIAL_PORTS) -> DataFrame:
+    """One row: connections before and after sampling, how many of those kept are protected, and the share left out."""
+    kept = sampled.agg(F.count("*").alias("sampled"), F.count_if(is_protected(special_ports)).alias("protected"))
+    counts = connections.agg(F.count("*").alias("original")).crossJoin(kept)
+    rate = F.when(F.col("original") > 0, 1 - F.col("sampled") / F.col("original")).otherwise(0.0)
+    return counts.select("original", "sampled", "protected", (F.col("sampled") - F.col("protected")).alias("regular"), F.round(rate, 6).alias("reduction_rate"))
 
 
 def ranks(df: DataFrame, order: Sequence[str], name: str, buckets: int = 64) -> DataFrame:

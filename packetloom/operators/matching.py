@@ -1,11 +1,22 @@
-"""The same connection at two capture points: candidates, scores, assignment."""
+"""The same connection at two capture points: candidates, scores, assignment.
+
+``a`` and ``b`` hold one capture each, so a stream id names a connection. Pairs
+are ids until they have been judged: only what the scores need of a connection,
+and no list, goes through a shuffle, and whole connections are attached to
+matches alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packetloom.functions import packets as P
 from packetloom.operators import scoring as S
+from packetloom.operators.connections import ranks
+from packetloom.operators.roles import cardinalities, detect_roles
 from packetloom.storage import materialize
 
 SERVER, PORT, NONE = "server", "port", "none"
@@ -33,39 +44,70 @@ def bucket(strategy: str) -> Column:
 
 
 def candidates(a: DataFrame, b: DataFrame, strategy: str = SERVER) -> DataFrame:
-    """Pairs that any score can accept, as structs ``a`` and ``b``.
+    """(id_a, id_b, ids, any_ids): pairs that some score may accept, with how many identification values both have, zero apart or not.
 
-    The feature score needs two common ids; the other scores cannot reach their
-    limits without an equal initial sequence number. So pairs meet in equi-joins
-    on (bucket, id) and (bucket, sequence number), not in a product of buckets.
+    All scores ask for a common port. The features need two common values. The
+    score without addresses, and that of short flows with options on both sides,
+    cannot be reached without the same client sequence number; other short flows
+    need one common value and overlapping times. So pairs meet in one equi-join
+    on (bucket, value or sequence number), not in a product of buckets; skewed
+    keys are split by the adaptive plan.
     """
-    left, right = (x.withColumn("bucket", bucket(strategy)) for x in (a, b))
-    ids = lambda x, name: x.select(F.col("stream_id").alias(name), "bucket", F.explode(F.array_remove("ipids", 0)).alias("v"))
-    by_id = ids(left, "id_a").join(ids(right, "id_b"), ["bucket", "v"]).groupBy("id_a", "id_b").count().where(F.col("count") >= S.LEAST_COMMON_IDS).select("id_a", "id_b")
-    isn = lambda x, name, c: x.where(F.col(c) != 0).select(F.col("stream_id").alias(name), "bucket", F.col(c).alias("v"))
-    pairs = by_id
-    for c in ("client_isn", "server_isn"):
-        pairs = pairs.union(isn(left, "id_a", c).join(isn(right, "id_b", c), ["bucket", "v"]).select("id_a", "id_b"))
-    whole = lambda x, name: x.select(F.col("stream_id").alias(f"id_{name}"), F.struct(*x.columns).alias(name))
-    return pairs.distinct().join(whole(a, "a"), "id_a").join(whole(b, "b"), "id_b")
-
-
-def scored(pairs: DataFrame, threshold: float = S.THRESHOLD, second_chance: bool = True) -> DataFrame:
-    """Valid pairs with score, evidence kind and force; ``second_chance`` lets pairs that fail the features try without addresses."""
+    port = [f"{side}_port" for side in ("client", "server")]
+
+    def keyed(x: DataFrame, name: str) -> DataFrame:
+        ids = F.transform("ipids", lambda v: F.struct(F.lit(False).alias("isn"), v.cast("long").alias("v")))
+        isn = F.when((F.col("client_isn") != 0) | (F.col("syn_options") != ""), F.array(F.struct(F.lit(True).alias("isn"), F.col("client_isn").cast("long").alias("v"))))
+        rest = [F.col(c).alias(f"{c}_{name}") for c in (*port, "first_ms", "last_ms", "packet_count")]
+        return x.select(bucket(strategy).alias("bucket"), F.col("stream_id").alias(f"id_{name}"), *rest, F.inline(F.concat(ids, F.coalesce(isn, F.array()))))
+
+    both_ports = [F.col(f"{p}_a") == F.col(f"{q}_b") for p in port for q in port]
+    overlap = ~((F.col("last_ms_a") < F.col("first_ms_b")) | (F.col("last_ms_b") < F.col("first_ms_a")))
+    short = (F.least("packet_count_a", "packet_count_b") <= S.MICRO_PACKETS) | (F.least(F.col("last_ms_a") - F.col("first_ms_a"), F.col("last_ms_b") - F.col("first_ms_b")) <= S.MICRO_MS)
+    met = keyed(a, "a").join(keyed(b, "b"), ["bucket", "isn", "v"]).where(both_ports[0] | both_ports[1] | both_ports[2] | both_ports[3])
+    counted = met.groupBy("id_a", "id_b").agg(F.count_if(~F.col("isn") & (F.col("v") != 0)).alias("ids"), F.count_if(~F.col("isn")).alias("any_ids"), F.bool_or("isn").alias("_isn"), F.bool_or(overlap & short).alias("_short"))
+    return counted.where((F.col("ids") >= S.LEAST_COMMON_IDS) | F.col("_isn") | ((F.col("any_ids") >= 1) & F.col("_short"))).drop("_isn", "_short")
+
+
+def with_scores(a: DataFrame, b: DataFrame, strategy: str = SERVER) -> DataFrame:
+    """Candidates with all their scores: f (features), micro and nat."""
+    pairs = candidates(a, b, strategy).join(S.slim(a, "a"), "id_a").join(S.slim(b, "b"), "id_b")
     # The evidence is written: its many expressions would not fit one generated method with the scores.
-    with_scores = materialize(S.with_evidence(pairs)).withColumn("f", S.feature_score()).withColumn("micro", S.microflow_score()).withColumn("nat", S.nat_score())
-    by_features = F.col("f.score").isNotNull() & ((F.col("f.score") >= threshold) | F.col("f.forced"))
-    by_micro = (F.col("f.ids") < S.LEAST_COMMON_IDS) & (F.col("micro") >= S.MICRO_ACCEPT)
-    prefiltered = F.col("f.ids") < S.LEAST_COMMON_IDS
-    by_nat = F.col("nat.accepted") & (F.lit(second_chance) | prefiltered)
+    judged = materialize(S.with_evidence(pairs).drop("a", "b"))
+    return judged.withColumn("f", S.feature_score()).withColumn("micro", S.microflow_score()).withColumn("nat", S.nat_score())
+
+
+def scored(a: DataFrame, b: DataFrame, strategy: str = SERVER, threshold: float = S.THRESHOLD, second_chance: bool = True) -> DataFrame:
+    """(id_a, id_b, score, forced, kind, evidence) of valid pairs.
+
+    Pairs with too few common values are judged as short flows, else without
+    addresses; ``second_chance`` lets pairs that fail the features try the latter.
+    """
+    enough = F.col("any_ids") >= S.LEAST_COMMON_IDS
+    by_features = enough & F.col("f.required") & ((F.col("f.score") >= threshold) | F.col("f.forced"))
+    by_micro = ~enough & F.coalesce(F.col("micro.score") >= S.MICRO_ACCEPT, F.lit(False))
+    by_nat = F.col("nat.accepted") & (F.lit(second_chance) | ~enough)
+    pick = lambda field: F.when(by_features, F.col(f"f.{field}")).when(by_micro, F.col(f"micro.{field}")).otherwise(nat[field])
+    nat = {"score": F.col("nat.raw") / F.col("nat.available"), "evidence": F.col("nat.evidence")}
     kind = F.when(by_features, "features").when(by_micro, "microflow").when(by_nat, "handshake")
-    score = F.when(by_features, F.col("f.score")).when(by_micro, F.col("micro") / 100).otherwise(F.col("nat.raw") / F.col("nat.available"))
-    return with_scores.withColumn("kind", kind).where("kind IS NOT NULL").select("id_a", "id_b", F.round(score, 6).alias("score"), (F.col("f.forced") & by_features).alias("forced"), "kind", "a", "b")
+    out = with_scores(a, b, strategy).withColumn("kind", kind).where("kind IS NOT NULL")
+    return out.select("id_a", "id_b", F.round(pick("score"), 6).alias("score"), (by_features & F.col("f.forced")).alias("forced"), "kind", pick("evidence").alias("evidence"))
 
 
-def one_to_many(pairs: DataFrame) -> DataFrame:
+def one_to_many(a: DataFrame, b: DataFrame, strategy: str = SERVER) -> DataFrame:
     """Every valid pair."""
-    return scored(pairs, second_chance=False)
+    return scored(a, b, strategy, second_chance=False)
+
+
+def one_to_one(a: DataFrame, b: DataFrame, strategy: str = SERVER) -> DataFrame:
+    """The best pairs, each connection in one at most."""
+    return assign(scored(a, b, strategy))
+
+
+def attach(matches: DataFrame, a: DataFrame, b: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Matches with the connections of both sides, or some ``columns`` of them, as structs ``a`` and ``b``; pairs whose connection is not there are left out."""
+    side = lambda x, name: x.select(F.col("stream_id").alias(f"id_{name}"), F.struct(*(columns or x.columns)).alias(name))
+    return matches.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b")
 
 
 def assign(matches: DataFrame) -> DataFrame:
@@ -118,29 +160,138 @@ def align_directions(matches: DataFrame) -> DataFrame:
     return matches.withColumns({"a": a, "b": b})
 
 
+BEHAVIOR = ["first_ms", "last_ms", "packet_count", "total_bytes"]
+
+
+def behavioral(a: DataFrame, b: DataFrame, strategy: str = SERVER, threshold: float = S.THRESHOLD, weights: tuple[float, float, float, float] = S.BEHAVIOR_WEIGHTS) -> DataFrame:
+    """(id_a, id_b, score, forced, kind, evidence) of pairs of a bucket that behave alike, judged by times and sizes alone.
+
+    A score of at least ``threshold`` needs some weighted likeness of at least
+    ``threshold`` itself. Durations, paces and sizes are alike so far only if they
+    stand in the same or in neighbouring classes of their logarithm; pairs meet by
+    these classes, where a weight counts, or by slices of time for the overlap.
+    """
+    ratio_bits = -math.log2(threshold) if 0 < threshold <= 1 else None
+    if ratio_bits is None or weights[0] > 0:
+        classes = [("all", F.lit(0), F.array(F.lit(0)))]
+    else:
+        span, pace = F.col("last_ms") - F.col("first_ms"), (F.col("last_ms") - F.col("first_ms")) / F.greatest(F.col("packet_count") - 1, F.lit(1))
+        width = max(ratio_bits, 1e-3) * 1.000001
+        classes = []
+        for name, w, x in zip(("dur", "iat", "bytes"), weights[1:], (span, pace, F.col("total_bytes"))):
+            if w > 0:
+                level = F.when(x > 0, F.floor(F.log2(x.cast("double")) / width)).otherwise(F.lit(-(1 << 40))).cast("long")
+                classes.append((name, level, F.when(x > 0, F.array(level - 1, level, level + 1)).otherwise(F.array(level))))
+    pairs = None
+    for _, own, near in classes:
+        left = a.select(bucket(strategy).alias("bucket"), F.col("stream_id").alias("id_a"), F.struct(*BEHAVIOR).alias("a"), F.explode(near).alias("level"))
+        right = b.select(bucket(strategy).alias("bucket"), F.col("stream_id").alias("id_b"), F.struct(*BEHAVIOR).alias("b"), own.alias("level"))
+        # Both sides' classes are judged before the pair leaves the join.
+        met = left.join(right, ["bucket", "level"]).withColumn("s", S.behavioral_score(weights)).where(F.col("s.score") >= threshold).select("id_a", "id_b", "s")
+        pairs = met if pairs is None else pairs.union(met)
+    return pairs.distinct().select("id_a", "id_b", F.round("s.score", 6).alias("score"), F.lit(False).alias("forced"), F.lit("behavior").alias("kind"), "s.evidence")
+
+
+# ---- stages on exact evidence ------------------------------------------------------------------
+
+PAIR = ("id_a", "id_b", "score", "forced", "kind", "evidence")
+
+
+def match_trailers(snat: DataFrame, vip: DataFrame) -> DataFrame:
+    """Streams whose SYN carries the other side's client as its first peer, from rows of ``sources.scans.trailers``.
+
+    An equi-join on (ip, port); the last SYN of a stream counts. ``tuple_a`` and
+    ``tuple_b`` are the canonical ends of both SYNs.
+    """
+    syn = lambda x: x.where(P.is_syn(F.col("flags")))
+    ends = _tuple(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
+    peers = syn(snat).where((F.size("peer_ips") > 0) & (F.size("peer_ports") > 0)).withColumn("_tuple", ends)
+    last = peers.groupBy(F.col("stream_id").alias("id_a")).agg(F.max_by(F.struct(F.col("peer_ips")[0].alias("ip"), F.col("peer_ports")[0].alias("port"), F.col("_tuple").alias("tuple_a")), "frame_number").alias("p"))
+    clients = syn(vip).withColumn("_tuple", ends).groupBy(F.col("stream_id").alias("id_b")).agg(F.max_by(F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"), F.col("_tuple").alias("tuple_b")), "frame_number").alias("c"))
+    met = last.select("id_a", "p.*").join(clients.select("id_b", "c.*"), ["ip", "port"])
+    evidence = F.concat(F.lit("TRAILER(client="), F.col("ip"), F.lit(":"), F.col("port").cast("string"), F.lit(")"))
+    return met.select("id_a", "id_b", "tuple_a", "tuple_b", F.lit("trailer").alias("kind"), evidence.alias("evidence"))
+
+
+def match_hellos(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Streams whose first hello has the same random and session id, from rows of ``sources.scans.client_hellos``."""
+
+    def first(x: DataFrame, s: str) -> DataFrame:
+        hello = F.struct("random", "session_id", _tuple(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port")).alias(f"tuple_{s}"))
+        return x.groupBy(F.col("stream_id").alias(f"id_{s}")).agg(F.min_by(hello, "frame_number").alias("h")).select(f"id_{s}", "h.*")
+
+    met = first(a, "a").join(first(b, "b"), ["random", "session_id"])
+    evidence = F.concat(F.lit("CLIENT_HELLO(random="), F.substring("random", 1, 16), F.lit("..., session_id="), F.substring("session_id", 1, 16), F.lit("...)"))
+    return met.select("id_a", "id_b", "tuple_a", "tuple_b", F.lit("hello").alias("kind"), evidence.alias("evidence"))
+
+
+def _tuple(src_ip: Column, src_port: Column, dst_ip: Column, dst_port: Column) -> Column:
+    low, high = P.canonical_ends(src_ip, src_port, dst_ip, dst_port)
+    return F.struct(low.ip.alias("ip_1"), low.port.cast("int").alias("port_1"), high.ip.alias("ip_2"), high.port.cast("int").alias("port_2"))
+
+
+def to_connections(found: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of exact evidence as matches of connections that are there: by both stream ids, else by both canonical tuples.
+
+    Where several connections share a tuple, the one with the largest id stands for it.
+    """
+
+    def named(x: DataFrame, s: str) -> tuple[DataFrame, DataFrame]:
+        tuples = x.select(_tuple(F.col("client_ip"), F.col("client_port"), F.col("server_ip"), F.col("server_port")).alias(f"tuple_{s}"), "stream_id").groupBy(f"tuple_{s}").agg(F.max("stream_id").alias(f"by_tuple_{s}"))
+        return x.select(F.col("stream_id").alias(f"id_{s}"), F.col("stream_id").alias(f"by_id_{s}")), tuples
+
+    out = found
+    for s, x in (("a", a), ("b", b)):
+        ids, tuples = named(x, s)
+        out = out.join(ids, f"id_{s}", "left").join(tuples, f"tuple_{s}", "left")
+    by_ids = F.col("by_id_a").isNotNull() & F.col("by_id_b").isNotNull()
+    side = lambda s: F.when(by_ids, F.col(f"by_id_{s}")).otherwise(F.col(f"by_tuple_{s}")).alias(f"id_{s}")
+    return out.select(side("a"), side("b"), F.lit(1.0).alias("score"), F.lit(True).alias("forced"), "kind", "evidence").where("id_a IS NOT NULL AND id_b IS NOT NULL")
+
+
 def staged(stages: list[DataFrame], a: DataFrame, b: DataFrame, features) -> DataFrame:
-    """Matches of exact stages (id_a, id_b, kind), each on what earlier ones left, then ``features(a, b)`` on the rest."""
+    """Matches of exact stages (as ``match_trailers`` gives them), each among the connections that earlier ones left, then ``features(a, b)`` on the rest."""
     out = None
     for stage in stages:
-        found = stage.join(a.select(F.col("stream_id").alias("id_a")), "id_a", "left_semi").join(b.select(F.col("stream_id").alias("id_b")), "id_b", "left_semi")
-        found = materialize(found)
-        a = a.join(found.select(F.col("id_a").alias("stream_id")), "stream_id", "left_anti")
-        b = b.join(found.select(F.col("id_b").alias("stream_id")), "stream_id", "left_anti")
+        found = materialize(to_connections(stage, a, b))
+        a = a.join(found.select(F.col("id_a").alias("stream_id")).distinct(), "stream_id", "left_anti")
+        b = b.join(found.select(F.col("id_b").alias("stream_id")).distinct(), "stream_id", "left_anti")
         out = found if out is None else out.unionByName(found)
-    rest = features(a, b).select("id_a", "id_b", "kind")
+    rest = features(a, b).select(*PAIR)
     return rest if out is None else out.unionByName(rest)
 
 
-def match_trailers(snat: DataFrame, vip: DataFrame) -> DataFrame:
-    """Streams whose SYN carries the other side's client as its first peer: an equi-join on (ip, port); the last SYN of a stream counts."""
-    last = snat.groupBy("stream_id").agg(F.max_by(F.struct("peer_ip", "peer_port"), "frame_number").alias("peer"))
-    ends = vip.groupBy("stream_id").agg(F.max_by(F.struct("src_ip", "src_port"), "frame_number").alias("end"))
-    left = last.select(F.col("stream_id").alias("id_a"), F.col("peer.peer_ip").alias("ip"), F.col("peer.peer_port").alias("port"))
-    right = ends.select(F.col("stream_id").alias("id_b"), F.col("end.src_ip").alias("ip"), F.col("end.src_port").alias("port"))
-    return left.join(right, ["ip", "port"]).select("id_a", "id_b", F.lit("trailer").alias("kind"))
+def choose_stages(trailers: tuple[DataFrame, DataFrame], hellos: tuple[DataFrame, DataFrame]) -> tuple[bool, bool]:
+    """Whether to match by trailers and by hellos: each only where both captures have some."""
+    return tuple(not any(x.isEmpty() for x in pair) for pair in (trailers, hellos))
 
 
-def match_hellos(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Streams whose first hello has the same random and session id."""
-    first = lambda x, name: x.groupBy(F.col("stream_id").alias(name)).agg(F.min_by(F.struct("random", "session_id"), "frame_number").alias("h")).select(name, "h.*")
-    return first(a, "id_a").where("random <> ''").join(first(b, "id_b"), ["random", "session_id"]).select("id_a", "id_b", F.lit("hello").alias("kind"))
+def match(a: DataFrame, b: DataFrame, trailers: tuple[DataFrame, DataFrame] | None = None, hellos: tuple[DataFrame, DataFrame] | None = None, strategy: str | None = None, many: bool = False, services: DataFrame | None = None) -> DataFrame:
+    """Match two captures' connections in one call.
+
+    Stages run where both captures have their evidence; without any, server roles
+    are detected first. ``strategy`` None lets the addresses of both decide the bucket.
+    """
+    use = choose_stages(trailers, hellos) if trailers and hellos else (False, False)
+    stages = [f(*rows) for used, f, rows in zip(use, (match_trailers, match_hellos), (trailers, hellos)) if used]
+    if not stages:
+        both_sides = cardinalities(a.select(*_ROLE).union(b.select(*_ROLE)))
+        a, b = (materialize(detect_roles(x, services, both_sides).drop("server_confidence", "server_method")) for x in (a, b))
+    judge = one_to_many if many else one_to_one
+    return staged(stages, a, b, lambda x, y: judge(x, y, strategy or choose_bucket(x, y)))
+
+
+_ROLE = ("client_ip", "client_port", "server_ip", "server_port")
+
+
+def matches_of_pairs(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Saved pairs (id_a, id_b, ...) whose connections both captures have."""
+    ids = lambda x, s: x.select(F.col("stream_id").alias(f"id_{s}"))
+    return pairs.join(ids(a, "a"), "id_a", "left_semi").join(ids(b, "b"), "id_b", "left_semi")
+
+
+def pick_pair(matches: DataFrame, number: int) -> DataFrame:
+    """The match of a 1-based number in the order of ids: a report's feature."""
+    if number < 1:
+        raise ValueError("pairs are numbered from 1")
+    return ranks(matches, ["id_a", "id_b"], "_place").where(F.col("_place") == number - 1).drop("_place")

@@ -14,6 +14,8 @@ A_FIRST, B_FIRST, SAME, UNKNOWN = "A_CLOSER_TO_CLIENT", "B_CLOSER_TO_CLIENT", "S
 #: The TTLs that hosts start with.
 INITIAL_TTLS = (64, 128, 255)
 _ENDPOINT = ("client_ip", "server_ip", "server_port", "protocol_number")
+#: What the statistics need of a connection.
+NEEDED = [*_ENDPOINT, "client_ttl", "server_ttl", "total_bytes"]
 TTLS = ("client_ttl_a", "server_ttl_a", "client_ttl_b", "server_ttl_b")
 
 

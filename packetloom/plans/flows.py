@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from packetloom.operators import connections as C
 from packetloom.operators import matching as M
 from packetloom.operators import scoring as S
 from packetloom.plans import sql
+from packetloom.sources import match_files, scans
 from packetloom.sources.testbed import packet_view
-from packetloom.storage import materialize
+from packetloom.storage import materialize, shared_dir
 
 _LISTS = ("ipids", "client_ipids", "server_ipids")
 
@@ -43,55 +46,50 @@ FROM c"""
 
 def match_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scores of all candidate pairs within an address pair."""
-    pairs = S.with_evidence(M.candidates(*_both(spark, sf_dir), M.SERVER)).withColumn("f", S.feature_score()).withColumn("nat", S.nat_score())
-    return pairs.select("id_a", "id_b", "f.raw", "f.available", F.round("f.score", 6).alias("score"), "f.ids", "f.forced", S.microflow_score().alias("microflow"), F.col("nat.raw").alias("nat_raw"), F.col("nat.available").alias("nat_available"), F.col("nat.accepted").alias("nat_accepted"))
+    pairs = M.with_scores(*_both(spark, sf_dir))
+    return pairs.select(
+        "id_a", "id_b", "ids", F.round("f.raw", 6).alias("raw"), F.round("f.available", 6).alias("available"), F.round("f.score", 6).alias("score"), "f.required", "f.forced", F.round("micro.score", 6).alias("microflow"),
+        F.round("nat.raw", 6).alias("nat_raw"), F.round("nat.available", 6).alias("nat_available"), "nat.accepted", "f.evidence",
+    )
 
 
 _SCORES_SQL = f"""
 WITH {sql.pairs()}
-SELECT id_a, id_b, f_raw AS raw, f_avail AS available, CASE WHEN f_ok THEN round(f_raw / f_avail, 6) END AS score, CAST(n AS INT) AS ids, strong AND f_ok AS forced, m_score AS microflow,
-       n_raw AS nat_raw, n_avail AS nat_available, n_ok AS nat_accepted
-FROM sv WHERE n >= 2 OR isnc OR isns"""
+SELECT id_a, id_b, n AS ids, round(f_raw, 6) AS raw, round(f_avail, 6) AS available, round(f_raw / f_avail, 6) AS score, f_ok AS required, forced, round(m_score, 6) AS microflow,
+       round(n_raw, 6) AS nat_raw, round(n_avail, 6) AS nat_available, n_ok AS accepted, f_text AS evidence
+FROM tx"""
 
-_VALID_SQL = f"""
-WITH {sql.pairs()},
-vm AS (
-  SELECT id_a, id_b, a, b, f_ok AND (f_raw / f_avail >= 0.6 OR strong) AS by_f, n < 2 AND m_score >= 80 AS by_m, n_ok AND ({{second}} OR n < 2) AS by_n, strong, f_raw, f_avail, m_score, n_raw, n_avail, f_ok FROM sv),
-va AS (
-  SELECT id_a, id_b, a, b, CASE WHEN by_f THEN 'features' WHEN by_m THEN 'microflow' ELSE 'handshake' END AS kind,
-         round(CASE WHEN by_f THEN f_raw / f_avail WHEN by_m THEN m_score / 100 ELSE n_raw / n_avail END, 6) AS score, strong AND f_ok AND by_f AS forced
-  FROM vm WHERE coalesce(by_f, false) OR coalesce(by_m, false) OR coalesce(by_n, false))"""
+#: More than the bench data need.
+_ROUNDS = 6
+_ONE_SQL = sql.assigned(_ROUNDS, sql.valid(True))
+_MANY_SQL = sql.valid(False)
 
 
 def match_one_to_many(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.one_to_many(M.candidates(*_both(spark, sf_dir), M.SERVER)).drop("a", "b")
+    return M.one_to_many(*_both(spark, sf_dir))
 
 
 def match_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.assign(materialize(M.scored(M.candidates(*_both(spark, sf_dir), M.SERVER)).drop("a", "b")))
+    return M.one_to_one(*_both(spark, sf_dir))
 
 
-#: Rounds of mutually best pairs, unrolled: more than the bench data need.
-_ASSIGN_ROUNDS = 4
+def match_by_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of one side rewritten to share nothing, so the bucket that is chosen is the port."""
+    a, b = _both(spark, sf_dir)
+    hidden = b.withColumns({c: F.concat(F.lit("198.51.100."), F.split_part(c, F.lit("."), F.lit(4))) for c in ("client_ip", "server_ip")})
+    return M.one_to_one(a, hidden, M.choose_bucket(a, hidden))
 
 
-def _assign_sql() -> str:
-    text, left = _VALID_SQL.format(second="true"), "va"
-    for k in range(_ASSIGN_ROUNDS):
-        text += f""",
-r{k} AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY forced DESC, score DESC, id_a, id_b) AS ra, row_number() OVER (PARTITION BY id_b ORDER BY forced DESC, score DESC, id_a, id_b) AS rb FROM {left}),
-t{k} AS (SELECT * FROM r{k} WHERE ra = 1 AND rb = 1),
-l{k} AS (SELECT * EXCLUDE (ra, rb) FROM r{k} WHERE id_a NOT IN (SELECT id_a FROM t{k}) AND id_b NOT IN (SELECT id_b FROM t{k}))"""
-        left = f"l{k}"
-    return text + " " + " UNION ALL ".join(f"SELECT id_a, id_b, score, forced, kind FROM t{k}" for k in range(_ASSIGN_ROUNDS))
+_HIDDEN = "198.51.100."
+_PORT_SQL = sql.assigned(_ROUNDS, sql.valid(True, "port", "ca", "ch", sql.connections("capture_a", "ca") + ", " + sql.connections("capture_b", "cb") + f", ch AS (SELECT * REPLACE ('{_HIDDEN}' || split_part(client_ip, '.', 4) AS client_ip, '{_HIDDEN}' || split_part(server_ip, '.', 4) AS server_ip) FROM cb)"))
 
 
 def match_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _both(spark, sf_dir)
-    return M.statistics(M.one_to_many(M.candidates(a, b, M.SERVER)), a, b)
+    return M.statistics(M.one_to_many(a, b), a, b)
 
 
-_STATISTICS_SQL = _VALID_SQL.format(second="false") + """,
+_STATISTICS_SQL = _MANY_SQL + """,
 vs AS MATERIALIZED (SELECT id_a, id_b, score FROM va),
 s AS (SELECT count(*) AS pairs, count(DISTINCT id_a) AS matched_a, count(DISTINCT id_b) AS matched_b, round(avg(score), 6) AS avg_score FROM vs),
 f AS (SELECT max(n) AS max_fan_out, round(avg(n), 6) AS avg_fan_out FROM (SELECT count(*) AS n FROM vs GROUP BY id_a)),
@@ -99,12 +97,18 @@ na AS (SELECT count(DISTINCT stream_id) AS total_a FROM ca_pk), nb AS (SELECT co
 SELECT *, round(matched_a / total_a, 6) AS rate_a, round(matched_b / total_b, 6) AS rate_b FROM na, nb, s, f"""
 
 
-def behavioral_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Behaviour of pairs on one address pair whose times overlap."""
-    a, b = _both(spark, sf_dir)
-    left, right = (x.select(M.bucket(M.SERVER).alias("bucket"), F.col("stream_id").alias(f"id_{n}"), F.struct("first_ms", "last_ms", "packet_count", "total_bytes").alias(n)) for x, n in ((a, "a"), (b, "b")))
-    pairs = left.join(right, "bucket").where(S.windows_overlap())
-    return pairs.select("id_a", "id_b", F.round(S.behavioral_score(), 6).alias("score"))
+def evidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.evidence_tokens(M.one_to_many(*_both(spark, sf_dir)))
+
+
+_EVIDENCE_SQL = _MANY_SQL + """,
+tk AS (SELECT unnest(list_distinct(list_transform(string_split(evidence, ' '), lambda t: split_part(t, '(', 1)))) AS token FROM va)
+SELECT token, count(*) AS matches, round(count(*) / (SELECT count(*) FROM va), 6) AS share FROM tk WHERE token <> '' GROUP BY 1"""
+
+
+def behavioral_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of an address pair that behave alike, each connection in one at most."""
+    return M.assign(M.behavioral(*_both(spark, sf_dir)))
 
 
 _BEHAVIOR_SQL = f"""
@@ -113,57 +117,92 @@ p AS (
   SELECT a.stream_id AS id_a, b.stream_id AS id_b, a.last_ms - a.first_ms AS da, b.last_ms - b.first_ms AS db, a.total_bytes AS ba, b.total_bytes AS bb,
          (a.last_ms - a.first_ms) / greatest(a.packet_count - 1, 1) AS pa, (b.last_ms - b.first_ms) / greatest(b.packet_count - 1, 1) AS pb,
          greatest(a.last_ms, b.last_ms) - least(a.first_ms, b.first_ms) AS uni, greatest(0, least(a.last_ms, b.last_ms) - greatest(a.first_ms, b.first_ms)) AS com
-  FROM ca a JOIN cb b ON least(a.client_ip, a.server_ip) = least(b.client_ip, b.server_ip) AND greatest(a.client_ip, a.server_ip) = greatest(b.client_ip, b.server_ip)
-  WHERE NOT (a.last_ms < b.first_ms OR b.last_ms < a.first_ms))
-SELECT id_a, id_b, round(CAST(0.35 AS DOUBLE) * CASE WHEN uni <= 0 THEN 1 ELSE com / uni END
-  + CAST(0.25 AS DOUBLE) * CASE WHEN da <= 0 AND db <= 0 THEN 1 WHEN da <= 0 OR db <= 0 THEN 0 ELSE least(da, db) / greatest(da, db) END
-  + CAST(0.20 AS DOUBLE) * CASE WHEN pa <= 0 AND pb <= 0 THEN 1 WHEN pa <= 0 OR pb <= 0 THEN 0 ELSE least(pa, pb) / greatest(pa, pb) END
-  + CAST(0.20 AS DOUBLE) * CASE WHEN ba <= 0 AND bb <= 0 THEN 1 WHEN ba <= 0 OR bb <= 0 THEN 0 ELSE least(ba, bb) / greatest(ba, bb) END, 6) AS score
-FROM p"""
+  FROM ca a JOIN cb b ON {sql.BUCKETS["server"]}),
+q AS (SELECT id_a, id_b, CASE WHEN uni <= 0 THEN CAST(1 AS DOUBLE) ELSE com / uni END AS o, CASE WHEN da <= 0 AND db <= 0 THEN CAST(1 AS DOUBLE) WHEN da <= 0 OR db <= 0 THEN 0 ELSE least(da, db) / greatest(da, db) END AS d,
+             CASE WHEN pa <= 0 AND pb <= 0 THEN CAST(1 AS DOUBLE) WHEN pa <= 0 OR pb <= 0 THEN 0 ELSE least(pa, pb) / greatest(pa, pb) END AS i, CASE WHEN ba <= 0 AND bb <= 0 THEN CAST(1 AS DOUBLE) WHEN ba <= 0 OR bb <= 0 THEN 0 ELSE least(ba, bb) / greatest(ba, bb) END AS y FROM p),
+va AS (SELECT id_a, id_b, round(s, 6) AS score, false AS forced, 'behavior' AS kind, 'BEHAV(overlap=' || printf('%.2f', round_even(o, 2)) || ' dur=' || printf('%.2f', round_even(d, 2)) || ' iat=' || printf('%.2f', round_even(i, 2)) || ' bytes=' || printf('%.2f', round_even(y, 2)) || ')' AS evidence
+       FROM (SELECT *, CAST(0.4 AS DOUBLE) * d + CAST(0.3 AS DOUBLE) * i + CAST(0.3 AS DOUBLE) * y AS s FROM q) WHERE s / (CAST(0.4 AS DOUBLE) + CAST(0.3 AS DOUBLE) + CAST(0.3 AS DOUBLE)) >= 0.6)"""
+
+
+#: Fields of a load balancer's trailer and of a TLS hello, as a dissector prints them: lists joined by commas, hellos with their type.
+_FIELDS = {
+    "peer_addresses": "CASE WHEN flags = 2 AND stream_id % 4 = 0 THEN src_ip || ', 10.255.0.1' ELSE '' END", "peer_ports_text": "CASE WHEN flags = 2 AND stream_id % 4 = 0 THEN CAST(src_port AS STRING) || ',x,9' ELSE '' END",
+    "hello_type": "CASE WHEN payload <> '' AND stream_id % 3 = 0 THEN CAST(frame_number % 2 + 1 AS STRING) ELSE '' END",
+    "hello_random": "CASE WHEN frame_number % 5 = 0 THEN '' ELSE payload END", "hello_session": "CASE WHEN ip_id % 2 = 0 THEN payload ELSE '' END",
+}
+
+
+def _field_rows(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [packet_view(spark, sf_dir, v).selectExpr("*", *(f"{e} AS {n}" for n, e in _FIELDS.items())) for v in ("capture_a", "capture_b")]
+
+
+def _field_sql(view: str) -> str:
+    return f"(SELECT *, {', '.join(f'{e} AS {n}' for n, e in _FIELDS.items()).replace('STRING', 'VARCHAR')} FROM {sql.duckdb_view(view)})"
+
+
+def trailer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = scans.trailers(_field_rows(spark, sf_dir)[0])
+    return rows.select("stream_id", "frame_number", "src_ip", "src_port", F.array_join("peer_ips", ",").alias("peers"), F.array_join(F.col("peer_ports").cast("array<string>"), ",").alias("ports"))
+
+
+_TRAILER_SCAN_SQL = f"""
+SELECT stream_id, frame_number, src_ip, src_port, array_to_string(list_filter(list_transform(string_split(peer_addresses, ','), lambda x: trim(x)), lambda x: x <> ''), ',') AS peers,
+       array_to_string(list_filter(list_transform(string_split(peer_ports_text, ','), lambda x: TRY_CAST(trim(x) AS INT)), lambda x: x IS NOT NULL), ',') AS ports
+FROM {_field_sql("capture_a")} WHERE peer_addresses <> '' OR peer_ports_text <> ''"""
+
+
+def hello_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.client_hellos(_field_rows(spark, sf_dir)[0]).select("stream_id", "frame_number", "src_ip", "random", "session_id")
+
+
+_HELLO_SCAN_SQL = f"SELECT stream_id, frame_number, src_ip, hello_random AS random, hello_session AS session_id FROM {_field_sql('capture_a')} WHERE hello_type = '1' AND hello_random <> ''"
 
 
 def trailer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peers stand in for the trailer of a load balancer: the client as capture B names it."""
-    a, b = (packet_view(spark, sf_dir, v).where("flags = 2") for v in ("capture_a", "capture_b"))
-    return M.match_trailers(a.withColumns({"peer_ip": F.col("src_ip"), "peer_port": F.col("src_port")}), b)
+    a, b = _field_rows(spark, sf_dir)
+    return M.match_trailers(scans.trailers(a), b).select("id_a", "id_b", "kind", "evidence")
 
 
-_TRAILER_SQL = f"""
-WITH a AS (SELECT stream_id AS id_a, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_a")} WHERE flags = 2 GROUP BY 1),
-b AS (SELECT stream_id AS id_b, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_b")} WHERE flags = 2 GROUP BY 1)
-SELECT id_a, id_b, 'trailer' AS kind FROM a JOIN b USING (ip, port)"""
+_TRAILER_CTES = f"""
+ta AS (SELECT stream_id AS id_a, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_a")} WHERE flags = 2 AND stream_id % 4 = 0 GROUP BY 1),
+tb AS (SELECT stream_id AS id_b, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_b")} WHERE flags = 2 GROUP BY 1),
+tr AS (SELECT id_a, id_b, 'trailer' AS kind, 'TRAILER(client=' || ip || ':' || port || ')' AS evidence FROM ta JOIN tb USING (ip, port))"""
+_TRAILER_SQL = f"WITH {_TRAILER_CTES} SELECT * FROM tr"
 
 
 def hello_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payload digests stand in for hello randoms, the server port for the session id."""
-    views = [packet_view(spark, sf_dir, v).where("payload <> ''").withColumns({"random": F.col("payload"), "session_id": F.lit("")}) for v in ("capture_a", "capture_b")]
-    return M.match_hellos(*views)
+    return M.match_hellos(*map(scans.client_hellos, _field_rows(spark, sf_dir))).select("id_a", "id_b", "kind", "evidence")
 
 
-_HELLO_SQL = f"""
-WITH a AS (SELECT stream_id AS id_a, arg_min(payload, frame_number) AS r FROM {sql.duckdb_view("capture_a")} WHERE payload <> '' GROUP BY 1),
-b AS (SELECT stream_id AS id_b, arg_min(payload, frame_number) AS r FROM {sql.duckdb_view("capture_b")} WHERE payload <> '' GROUP BY 1)
-SELECT id_a, id_b, 'hello' AS kind FROM a JOIN b USING (r)"""
+_HELLO_CTES = f"""
+ha AS (SELECT stream_id AS id_a, arg_min(hello_random, frame_number) AS r, arg_min(hello_session, frame_number) AS s FROM {_field_sql("capture_a")} WHERE hello_type = '1' AND hello_random <> '' GROUP BY 1),
+hb AS (SELECT stream_id AS id_b, arg_min(hello_random, frame_number) AS r, arg_min(hello_session, frame_number) AS s FROM {_field_sql("capture_b")} WHERE hello_type = '1' AND hello_random <> '' GROUP BY 1),
+hl AS (SELECT id_a, id_b, 'hello' AS kind, 'CLIENT_HELLO(random=' || r[:16] || '..., session_id=' || s[:16] || '...)' AS evidence FROM ha JOIN hb USING (r, s))"""
+_HELLO_SQL = f"WITH {_HELLO_CTES} SELECT * FROM hl"
 
 
 def staged_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailers, then hellos, then features, by the one call that finds out which stages there are."""
     a, b = _both(spark, sf_dir)
-    return M.staged([trailer_matches(spark, sf_dir)], a, b, lambda x, y: M.one_to_many(M.candidates(x, y, M.SERVER)))
+    rows = _field_rows(spark, sf_dir)
+    trailers = (scans.trailers(rows[0]), rows[1].where("flags = 2"))
+    return M.match(a, b, trailers, tuple(map(scans.client_hellos, rows)), M.SERVER, many=True)
 
 
-_STAGED_SQL = _VALID_SQL.format(second="false") + f""",
-ta AS (SELECT stream_id AS id_a, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_a")} WHERE flags = 2 GROUP BY 1),
-tb AS (SELECT stream_id AS id_b, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_b")} WHERE flags = 2 GROUP BY 1),
-tr AS (SELECT id_a, id_b, 'trailer' AS kind FROM ta JOIN tb USING (ip, port))
-SELECT * FROM tr UNION ALL SELECT id_a, id_b, kind FROM va WHERE id_a NOT IN (SELECT id_a FROM tr) AND id_b NOT IN (SELECT id_b FROM tr)"""
+_STAGED_SQL = _MANY_SQL + f""", {_TRAILER_CTES}, {_HELLO_CTES},
+h2 AS (SELECT * FROM hl WHERE id_a NOT IN (SELECT id_a FROM tr) AND id_b NOT IN (SELECT id_b FROM tr) AND id_a IN (SELECT stream_id FROM ca) AND id_b IN (SELECT stream_id FROM cb)),
+ex AS (SELECT * FROM tr UNION ALL SELECT * FROM h2)
+SELECT id_a, id_b, CAST(1 AS DOUBLE) AS score, true AS forced, kind, evidence FROM ex
+UNION ALL SELECT id_a, id_b, score, forced, kind, evidence FROM va WHERE id_a NOT IN (SELECT id_a FROM ex) AND id_b NOT IN (SELECT id_b FROM ex)"""
 
 
 def connection_pairs_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matches = M.align_directions(M.one_to_many(M.candidates(*_both(spark, sf_dir), M.SERVER)))
+    a, b = _both(spark, sf_dir)
+    matches = M.align_directions(M.attach(M.one_to_many(a, b), a, b))
     return matches.select("id_a", "id_b", "a.client_ip", "a.client_port", "a.server_ip", "a.server_port", F.col("b.client_ip").alias("client_ip_b"), F.col("b.server_port").alias("server_port_b"))
 
 
-_ALIGNED_SQL = _VALID_SQL.format(second="false") + """,
+_ALIGNED_SQL = _MANY_SQL + """,
 al AS (SELECT *, a.server_port <> b.server_port AND (a.server_port = b.client_port OR a.client_port = b.server_port) AS crossed FROM va),
 sw AS (SELECT *, crossed AND NOT a.has_syn AND b.has_syn AS sa FROM al)
 SELECT id_a, id_b, CASE WHEN sa THEN a.server_ip ELSE a.client_ip END AS client_ip, CASE WHEN sa THEN a.server_port ELSE a.client_port END AS client_port,
@@ -171,17 +210,68 @@ SELECT id_a, id_b, CASE WHEN sa THEN a.server_ip ELSE a.client_ip END AS client_
        CASE WHEN crossed AND NOT sa THEN b.server_ip ELSE b.client_ip END AS client_ip_b, CASE WHEN crossed AND NOT sa THEN b.client_port ELSE b.server_port END AS server_port_b
 FROM sw"""
 
-QUERIES = {f.__name__: f for f in (connections_build, connections_five_tuple, match_scores, match_one_to_many, match_one_to_one, match_statistics, behavioral_scores, trailer_matches, hello_matches, staged_matches, connection_pairs_aligned)}
+
+def saved_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches written as JSON lines, read back, and joined to the connections that are still there."""
+    a, b = _both(spark, sf_dir)
+    at = f"{shared_dir(spark)}/matches/{uuid.uuid4().hex}"
+    match_files.write_matches(M.attach(M.one_to_many(a, b), a, b), at, "a.pcap", "b.pcap")
+    still = a.where("stream_id % 3 <> 0")
+    return M.matches_of_pairs(match_files.read_matches(spark, at), still, b).select("id_a", "id_b", "score", "forced", "evidence", "a.server_port", F.col("b.packet_count").alias("packets_b"), "version", "file1")
+
+
+_SAVED_SQL = _MANY_SQL + " SELECT id_a, id_b, score, forced, evidence, a.server_port AS server_port, b.packet_count AS packets_b, '1.0' AS version, 'a.pcap' AS file1 FROM va WHERE id_a % 3 <> 0"
+
+
+def sampled_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = C.build_connections(packet_view(spark, sf_dir, "capture_a"))
+    return C.sample_connections(built, threshold=100, rate=0.3).select("stream_id", "server_port", "syn_ms")
+
+
+_SAMPLED_SQL = f"""
+WITH {sql.connections("capture_a", "c")}, k AS (SELECT *, header_only OR server_port IN {C.SPECIAL_PORTS} AS keep FROM c),
+r AS (SELECT stream_id, server_port, syn_ms, row_number() OVER (ORDER BY syn_ms, stream_id) - 1 AS rank, count(*) OVER () AS n FROM k WHERE NOT keep),
+p AS (SELECT *, greatest(1, CAST(floor(n * CAST(0.3 AS DOUBLE)) AS BIGINT)) AS target, least(10, n) AS strata FROM r),
+q AS (SELECT *, least(rank // (n // strata), strata - 1) AS stratum FROM p), o AS (SELECT *, rank - stratum * (n // strata) AS within, CASE WHEN stratum < strata - 1 THEN n // strata ELSE n - (strata - 1) * (n // strata) END AS length FROM q),
+t AS (SELECT *, within % greatest(1, length // greatest(1, length * target // n)) = 0 AS hit FROM o),
+u AS (SELECT *, row_number() OVER (ORDER BY rank) AS place FROM t WHERE hit)
+SELECT stream_id, server_port, syn_ms FROM k WHERE keep OR (SELECT count(*) FROM c) <= 100 UNION ALL SELECT stream_id, server_port, syn_ms FROM u WHERE place <= target AND (SELECT count(*) FROM c) > 100"""
+
+
+def sampling_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = materialize(C.build_connections(packet_view(spark, sf_dir, "capture_a")))
+    return C.sampling_statistics(built, C.sample_connections(built, threshold=100, rate=0.3))
+
+
+_SAMPLING_SQL = f"""
+WITH s AS ({_SAMPLED_SQL}), {sql.connections("capture_a", "c")},
+x AS (SELECT count(*) AS original, count(*) FILTER (WHERE header_only OR server_port IN {C.SPECIAL_PORTS}) AS protected FROM c), y AS (SELECT count(*) AS sampled FROM s)
+SELECT original, sampled, protected, sampled - protected AS regular, round(1 - sampled / original, 6) AS reduction_rate FROM x, y"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        connections_build, connections_five_tuple, match_scores, match_one_to_many, match_one_to_one, match_by_port, match_statistics, evidence_counts, behavioral_matches, trailer_scan, hello_scan, trailer_matches, hello_matches,
+        staged_matches, connection_pairs_aligned, saved_matches, sampled_connections, sampling_statistics,
+    )
+}
 ORACLES = {
     "connections_build": f"WITH {sql.connections('packets', 'c')} SELECT * REPLACE (array_to_string(ipids, ',') AS ipids, array_to_string(client_ipids, ',') AS client_ipids, array_to_string(server_ipids, ',') AS server_ipids) FROM c",
     "connections_five_tuple": _FIVE_TUPLE_SQL,
     "match_scores": _SCORES_SQL,
-    "match_one_to_many": _VALID_SQL.format(second="false") + " SELECT id_a, id_b, score, forced, kind FROM va",
-    "match_one_to_one": _assign_sql(),
+    "match_one_to_many": _MANY_SQL + " SELECT id_a, id_b, score, forced, kind, evidence FROM va",
+    "match_one_to_one": _ONE_SQL + " SELECT * FROM best",
+    "match_by_port": _PORT_SQL + " SELECT * FROM best",
     "match_statistics": _STATISTICS_SQL,
-    "behavioral_scores": _BEHAVIOR_SQL,
+    "evidence_counts": _EVIDENCE_SQL,
+    "behavioral_matches": sql.assigned(_ROUNDS, _BEHAVIOR_SQL) + " SELECT * FROM best",
+    "trailer_scan": _TRAILER_SCAN_SQL,
+    "hello_scan": _HELLO_SCAN_SQL,
     "trailer_matches": _TRAILER_SQL,
     "hello_matches": _HELLO_SQL,
     "staged_matches": _STAGED_SQL,
     "connection_pairs_aligned": _ALIGNED_SQL,
+    "saved_matches": _SAVED_SQL,
+    "sampled_connections": _SAMPLED_SQL,
+    "sampling_statistics": _SAMPLING_SQL,
 }

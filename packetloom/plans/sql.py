@@ -50,9 +50,31 @@ def connections(view: str, prefix: str) -> str:
   FROM {p}_en e LEFT JOIN {p}_tt t USING (stream_id) GROUP BY e.stream_id)"""
 
 
-def pairs() -> str:
-    """Connections of both captures, candidate pairs by address pair, and all features of a pair as columns."""
-    return f"""{connections("capture_a", "ca")}, {connections("capture_b", "cb")},
+BUCKETS = {
+    "server": "least(a.client_ip, a.server_ip) = least(b.client_ip, b.server_ip) AND greatest(a.client_ip, a.server_ip) = greatest(b.client_ip, b.server_ip)",
+    "port": "a.server_port = b.server_port",
+}
+
+
+def _sum(start: str, parts: list[tuple[str, float]]) -> str:
+    """Doubles added in order."""
+    out = start
+    for condition, points in parts:
+        out = f"({out} + CASE WHEN {condition} THEN CAST({points} AS DOUBLE) ELSE 0 END)"
+    return out
+
+
+def pairs(strategy: str = "server", left: str = "ca", right: str = "cb", sources: str | None = None) -> str:
+    """Connections of both captures, pairs of a bucket that some score may accept, and all features of a pair as columns."""
+    zero = "CAST(0 AS DOUBLE)"
+    shape = "'shape(' || printf('%.2f', round_even(shape, 2)) || ')'"
+    f_raw = [("opt2 AND opt_eq", 0.25), ("opt2 AND isnc_as_is", 0.12), ("opt2 AND isns_as_is", 0.06), ("ts_eq", 0.10), ("pay AND dc_eq", 0.15), ("pay AND ds_eq", 0.08), ("shape_eq", 0.08), ("true", 0.16)]
+    f_avail = [("opt2", 0.25), ("opt2", 0.12), ("opt2", 0.06), ("ts_a OR ts_b", 0.10), ("pay AND dc2", 0.15), ("pay AND ds2", 0.08), ("true", 0.08), ("true", 0.16)]
+    m_raw = [("opt2 AND opt_eq", 0.30), ("opt2 AND isnc_as_is", 0.30), ("ts_a AND ts_b AND ts_eq", 0.20), ("ttl2 AND ttl_eq", 0.10), ("shape_eq", 0.10)]
+    m_avail = [("opt2", 0.30), ("opt2", 0.30), ("ts_a AND ts_b", 0.20), ("ttl2", 0.10), ("true", 0.10)]
+    n_raw = [("opt_eq", 0.30), ("opt1 AND isnc", 0.25), ("opt1 AND isns", 0.10), ("ts_eq", 0.15), ("CASE WHEN dc2 THEN dc_eq ELSE ds_eq END", 0.05), ("shape_eq", 0.10), ("ttl_eq", 0.05)]
+    n_avail = [("opt1", 0.30), ("opt1", 0.25), ("opt1", 0.10), ("ts_a OR ts_b", 0.15), ("dc2 OR ds2", 0.05), ("true", 0.10), ("ttl2", 0.05)]
+    return f"""{sources or connections("capture_a", "ca") + ", " + connections("capture_b", "cb")},
 pair AS (
   SELECT a.stream_id AS id_a, b.stream_id AS id_b, a, b,
          len(list_intersect(list_filter(a.ipids, lambda x: x <> 0), list_filter(b.ipids, lambda x: x <> 0))) AS n,
@@ -61,11 +83,13 @@ pair AS (
          len(list_intersect(a.ipids, b.ipids)) AS n_any,
          len(list_intersect(list_distinct(string_split(a.length_signature, ' ')), list_distinct(string_split(b.length_signature, ' '))))
            / len(list_distinct(list_concat(string_split(a.length_signature, ' '), string_split(b.length_signature, ' ')))) AS shape
-  FROM ca a JOIN cb b ON least(a.client_ip, a.server_ip) = least(b.client_ip, b.server_ip) AND greatest(a.client_ip, a.server_ip) = greatest(b.client_ip, b.server_ip)),
+  FROM {left} a JOIN {right} b ON {BUCKETS[strategy]}
+  WHERE a.client_port IN (b.client_port, b.server_port) OR a.server_port IN (b.client_port, b.server_port)),
 ev AS (
   SELECT *, a.syn_options <> '' AND b.syn_options <> '' AS opt2, a.syn_options <> '' OR b.syn_options <> '' AS opt1,
          a.syn_options <> '' AND a.syn_options = b.syn_options AS opt_eq,
          a.client_isn <> 0 AND a.client_isn = b.client_isn AS isnc, a.server_isn <> 0 AND a.server_isn = b.server_isn AS isns,
+         a.client_isn = b.client_isn AS isnc_as_is, a.server_isn = b.server_isn AS isns_as_is,
          a.tsval <> '' OR a.tsecr <> '' AS ts_a, b.tsval <> '' OR b.tsecr <> '' AS ts_b,
          (a.tsval <> '' AND a.tsval = b.tsval) OR (a.tsecr <> '' AND a.tsecr = b.tsecr AND a.tsecr <> '0') AS ts_eq,
          a.client_md5 <> '' AND b.client_md5 <> '' AS dc2, a.client_md5 <> '' AND a.client_md5 = b.client_md5 AS dc_eq,
@@ -74,23 +98,49 @@ ev AS (
          CASE WHEN least_ids > 0 THEN n / least_ids ELSE 0 END AS share, CASE WHEN union_ids > 0 THEN n / union_ids ELSE 0 END AS jac,
          NOT (a.last_ms < b.first_ms OR b.last_ms < a.first_ms) AS overlap, greatest(a.first_ms, b.first_ms) - least(a.last_ms, b.last_ms) AS gap,
          least(a.packet_count, b.packet_count) <= 3 OR least(a.last_ms - a.first_ms, b.last_ms - b.first_ms) <= 2000 AS micro,
-         a.client_port IN (b.client_port, b.server_port) OR a.server_port IN (b.client_port, b.server_port) AS port_eq,
          (a.client_ttl > 0 AND b.client_ttl > 0) OR (a.server_ttl > 0 AND b.server_ttl > 0) AS ttl2,
-         CASE WHEN a.client_ttl > 0 AND b.client_ttl > 0 THEN abs(a.client_ttl - b.client_ttl) <= 16 WHEN a.server_ttl > 0 AND b.server_ttl > 0 THEN abs(a.server_ttl - b.server_ttl) <= 16 ELSE false END AS ttl_eq
+         (a.client_ttl > 0 AND b.client_ttl > 0 AND abs(a.client_ttl - b.client_ttl) <= 16) OR (a.server_ttl > 0 AND b.server_ttl > 0 AND abs(a.server_ttl - b.server_ttl) <= 16) AS ttl_eq
   FROM pair),
 sc AS (
-  SELECT *,
-         16 + 25 * CAST(opt2 AND opt_eq AS INT) + 12 * CAST(opt2 AND isnc AS INT) + 6 * CAST(opt2 AND isns AS INT) + 10 * CAST(ts_eq AS INT)
-            + 15 * CAST(pay AND dc_eq AS INT) + 8 * CAST(pay AND ds_eq AS INT) + 8 * CAST(shape_eq AS INT) AS f_raw,
-         16 + 43 * CAST(opt2 AS INT) + 10 * CAST(ts_a OR ts_b AS INT) + 15 * CAST(pay AND dc2 AS INT) + 8 * CAST(pay AND ds2 AS INT) + 8 AS f_avail,
-         n >= 10 AND share >= 0.8 AND jac >= 0.25 AS strong,
-         CASE WHEN port_eq AND overlap AND micro AND n_any >= 1 THEN 30 * CAST(opt_eq AS INT) + 30 * CAST(isnc OR isns AS INT) + 20 * CAST(ts_a AND ts_b AND ts_eq AS INT) + 10 * CAST(ttl2 AND ttl_eq AS INT) + 10 * CAST(shape_eq AS INT) END AS m_score,
-         30 * CAST(opt_eq AS INT) + 25 * CAST(opt1 AND isnc AS INT) + 10 * CAST(opt1 AND isns AS INT) + 15 * CAST(ts_eq AS INT) + 5 * CAST(CASE WHEN dc2 THEN dc_eq ELSE ds_eq END AS INT) + 10 * CAST(shape_eq AS INT) + 5 * CAST(ttl_eq AS INT) AS n_raw,
-         65 * CAST(opt1 AS INT) + 15 * CAST(ts_a OR ts_b AS INT) + 5 * CAST(dc2 OR ds2 AS INT) + 10 + 5 * CAST(ttl2 AS INT) AS n_avail
-  FROM ev),
+  SELECT *, {_sum(zero, f_raw)} AS f_raw, {_sum(zero, f_avail)} AS f_avail, {_sum(zero, m_raw)} AS m_raw, {_sum(zero, m_avail)} AS m_avail, {_sum(zero, n_raw)} AS n_raw, {_sum(zero, n_avail)} AS n_avail,
+         n >= 2 AND share >= 0.5 AS f_ok, n >= 10 AND share >= 0.8 AND jac >= 0.25 AND gap <= 2000 AND NOT (opt2 AND a.client_ip = b.client_ip AND a.client_port <> b.client_port)
+           AND NOT ((len(a.client_ipids) > 0 AND len(b.client_ipids) > 0) <> (len(a.server_ipids) > 0 AND len(b.server_ipids) > 0) AND (share < 0.95 OR jac < 0.8)) AS open_gates
+  FROM ev WHERE n >= 2 OR (isnc_as_is AND (a.client_isn <> 0 OR (a.syn_options <> '' AND b.syn_options <> ''))) OR (n_any >= 1 AND overlap AND micro)),
 sv AS (
-  SELECT *, n >= 2 AND share >= 0.5 AND NOT (strong AND (gap > 2000 OR (opt2 AND a.client_ip = b.client_ip AND a.client_port <> b.client_port)
-              OR ((len(a.client_ipids) > 0 AND len(b.client_ipids) > 0) <> (len(a.server_ipids) > 0 AND len(b.server_ipids) > 0) AND (share < 0.95 OR jac < 0.8)))) AS f_ok,
-         (overlap OR gap <= 60000) AND n_avail >= 50 AND (n_raw >= 0.85 * n_avail
-              OR (micro AND a.client_md5 = '' AND a.server_md5 = '' AND b.client_md5 = '' AND b.server_md5 = '' AND isnc AND n_any >= 2 AND gap <= 60000)) AS n_ok
-  FROM sc)"""
+  SELECT *, f_ok AND open_gates AS forced, CASE WHEN overlap AND micro AND n_any >= 1 THEN m_raw / m_avail END AS m_score,
+         (overlap OR gap <= 60000) AND n_avail >= 0.5 AND (n_raw / n_avail >= 0.85
+              OR (micro AND a.client_md5 = '' AND a.server_md5 = '' AND b.client_md5 = '' AND b.server_md5 = '' AND isnc AND n_any >= 2)) AS n_ok
+  FROM sc),
+tx AS (
+  SELECT *, concat_ws(' ', CASE WHEN opt2 AND opt_eq THEN 'synopt' END, CASE WHEN opt2 AND isnc_as_is THEN 'isnC' END, CASE WHEN opt2 AND isns_as_is THEN 'isnS' END, CASE WHEN ts_eq THEN 'ts' END, CASE WHEN pay AND dc_eq THEN 'dataC' END,
+           CASE WHEN pay AND ds_eq THEN 'dataS' END, CASE WHEN shape_eq THEN {shape} END,
+           CASE WHEN forced THEN 'ipid*' ELSE 'ipid' END || '(n=' || n || ',r=' || printf('%.2f', round_even(share, 2)) || ',j=' || printf('%.2f', round_even(jac, 2)) || ')') AS f_text,
+         concat_ws(' ', 'micro', CASE WHEN opt2 AND opt_eq THEN 'synopt' END, CASE WHEN opt2 AND isnc_as_is THEN 'isnC' END, CASE WHEN ts_a AND ts_b AND ts_eq THEN 'ts' END, CASE WHEN ttl2 AND ttl_eq THEN 'ttl' END, CASE WHEN shape_eq THEN {shape} END, 'ipid(1)') AS m_text,
+         concat_ws(' ', 'nat2', CASE WHEN opt_eq THEN 'synopt' END, CASE WHEN opt1 AND isnc THEN 'isnC' END, CASE WHEN opt1 AND isns THEN 'isnS' END, CASE WHEN ts_eq THEN 'ts' END,
+           CASE WHEN dc2 AND dc_eq THEN 'dataC' WHEN NOT dc2 AND ds_eq THEN 'dataS' END, CASE WHEN shape_eq THEN {shape} END, CASE WHEN ttl_eq THEN 'ttl' END, CASE WHEN n_any > 0 THEN 'ipid(' || n_any || ')' END,
+           CASE WHEN n_raw / n_avail < 0.85 THEN 'micro-isnC-ipid' END) AS n_text
+  FROM sv)"""
+
+
+def valid(second_chance: bool, strategy: str = "server", left: str = "ca", right: str = "cb", sources: str | None = None) -> str:
+    """CTEs ending in ``va``: valid pairs with their connections, kind, score, force and evidence."""
+    return f"""
+WITH {pairs(strategy, left, right, sources)},
+vm AS (
+  SELECT *, n_any >= 2 AND f_ok AND (f_raw / f_avail >= 0.6 OR forced) AS by_f, n_any < 2 AND coalesce(m_score >= 0.8, false) AS by_m, n_ok AND ({str(second_chance).lower()} OR n_any < 2) AS by_n FROM tx),
+va AS (
+  SELECT id_a, id_b, a, b, CASE WHEN by_f THEN 'features' WHEN by_m THEN 'microflow' ELSE 'handshake' END AS kind,
+         round(CASE WHEN by_f THEN f_raw / f_avail WHEN by_m THEN m_score ELSE n_raw / n_avail END, 6) AS score, by_f AND forced AS forced, CASE WHEN by_f THEN f_text WHEN by_m THEN m_text ELSE n_text END AS evidence
+  FROM vm WHERE by_f OR by_m OR by_n)"""
+
+
+def assigned(rounds: int, first: str) -> str:
+    """``first`` (a chain of CTEs ending in va) and rounds of mutually best pairs, unrolled, as one union."""
+    text, left = first, "va"
+    for k in range(rounds):
+        text += f""",
+r{k} AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY forced DESC, score DESC, id_a, id_b) AS ra, row_number() OVER (PARTITION BY id_b ORDER BY forced DESC, score DESC, id_a, id_b) AS rb FROM {left}),
+t{k} AS (SELECT * FROM r{k} WHERE ra = 1 AND rb = 1),
+l{k} AS (SELECT * EXCLUDE (ra, rb) FROM r{k} WHERE id_a NOT IN (SELECT id_a FROM t{k}) AND id_b NOT IN (SELECT id_b FROM t{k}))"""
+        left = f"l{k}"
+    return text + ", best AS (" + " UNION ALL ".join(f"SELECT id_a, id_b, score, forced, kind, evidence FROM t{k}" for k in range(rounds)) + ")"

@@ -12,14 +12,15 @@ from packetloom.operators import roles as R
 from packetloom.operators import topology as T
 from packetloom.operators.connections import build_connections
 from packetloom.plans import sql
-from packetloom.plans.flows import _VALID_SQL, _both
+from packetloom.plans.flows import _MANY_SQL, _both
 from packetloom.sources.testbed import packet_view
 from packetloom.storage import materialize, shared_dir, table
 from packetloom.streaming import sessions as S
 
 
 def _endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.endpoint_stats(materialize(M.one_to_many(M.candidates(*_both(spark, sf_dir), M.SERVER))))
+    a, b = _both(spark, sf_dir)
+    return T.endpoint_stats(M.attach(M.one_to_many(a, b), a, b, T.NEEDED))
 
 
 def endpoint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,7 @@ def endpoint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _KEYS = [f"{c}_{s}" for s in "ab" for c in ("client_ip", "server_ip", "server_port", "protocol_number")]
-_ENDPOINTS_SQL = _VALID_SQL.format(second="false") + f""",
+_ENDPOINTS_SQL = _MANY_SQL + f""",
 ef AS (SELECT id_a, score, {", ".join(f"{k[-1]}.{k[:-2]} AS {k}" for k in _KEYS)}, {", ".join(f"{t[-1]}.{t[:-2]} AS {t}" for t in T.TTLS)}, a.total_bytes AS ba, b.total_bytes AS bb FROM va),
 eg AS (SELECT {", ".join(_KEYS)}, count(*) AS count, floor((2 * sum(CAST(round(score * 1000000) AS BIGINT)) + count(*)) / (2 * count(*))) / 1000000 AS avg_score, CAST(sum(ba) AS BIGINT) AS bytes_a, CAST(sum(bb) AS BIGINT) AS bytes_b FROM ef GROUP BY ALL),
 {", ".join(f'''e{i} AS (SELECT {", ".join(_KEYS)}, {t} FROM (SELECT {", ".join(_KEYS)}, {t}, count(*) AS n, min(id_a) AS seen FROM ef WHERE {t} > 0 GROUP BY ALL)
@@ -91,11 +92,16 @@ j AS (SELECT i.*, se.peers AS s_peers, se.pps AS s_pps, sp.hosts AS s_hosts, ce.
 w AS (SELECT *, {_WAY(_LISTED)} AS w1, CASE WHEN syn_options <> '' THEN 'keep' END AS w2, {_WAY(lambda s: _IN(s, R.WELL_KNOWN_PORTS))} AS w3, {_WAY(lambda s: _IN(s, R.DATABASE_PORTS))} AS w4, {_WAY(lambda s: f"{s}_port < 1024")} AS w5,
         {_WAY(lambda s: f"{s[0]}_peers >= 2")} AS w6, {_WAY(lambda s: f"{s[0]}_hosts >= 2")} AS w7, {_WAY(lambda s: f"{s[0]}_pps >= 2")} AS w8,
         CASE WHEN s_peers >= 3 * c_peers THEN 'keep' WHEN c_peers >= 3 * s_peers THEN 'swap' END AS w9, CASE WHEN server_port < client_port THEN 'keep' ELSE 'swap' END AS w0 FROM j),
-v AS (SELECT *, coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' AS sw, CASE WHEN w6 = 'swap' THEN c_peers ELSE s_peers END AS p6, CASE WHEN w6 = 'swap' THEN c_hosts ELSE s_hosts END AS h6 FROM w)
+v AS (SELECT *, coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' AS sw,
+        CASE WHEN coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' THEN '_SWAPPED' ELSE '' END AS t, coalesce(w6 = w7, false) AS reused,
+        CASE WHEN coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' THEN c_peers || 'v' || s_peers ELSE s_peers || 'v' || c_peers END AS pv,
+        CASE WHEN coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' THEN c_peers ELSE s_peers END AS p, CASE WHEN coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' THEN c_hosts ELSE s_hosts END AS h,
+        CASE WHEN coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' THEN c_pps ELSE s_pps END AS q, CASE WHEN coalesce(w1, w2, w3, w4, w5, w6, w7, w8, w9, w0) = 'swap' THEN client_port ELSE server_port END AS sp FROM w)
 SELECT capture_id, stream_id, CASE WHEN sw THEN server_ip ELSE client_ip END AS client_ip, CASE WHEN sw THEN server_port ELSE client_port END AS client_port, CASE WHEN sw THEN client_ip ELSE server_ip END AS server_ip, CASE WHEN sw THEN client_port ELSE server_port END AS server_port, syn_options,
-       CASE WHEN w1 IS NOT NULL OR w2 IS NOT NULL OR w3 IS NOT NULL THEN 'HIGH' WHEN w4 IS NOT NULL OR w5 IS NOT NULL THEN 'MEDIUM' WHEN w6 IS NOT NULL THEN CASE WHEN p6 >= 5 OR h6 >= 2 THEN 'HIGH' ELSE 'MEDIUM' END WHEN coalesce(w7, w8, w9) IS NOT NULL THEN 'MEDIUM' ELSE 'VERY_LOW' END AS server_confidence,
-       CASE WHEN w1 = 'swap' THEN 'SERVICE_LIST_SWAPPED' WHEN w1 = 'keep' THEN 'SERVICE_LIST' WHEN w2 IS NOT NULL THEN 'SYN_PACKET' WHEN w3 IS NOT NULL THEN 'WELL_KNOWN_PORT' WHEN w4 IS NOT NULL THEN 'DATABASE_PORT' WHEN w5 IS NOT NULL THEN 'PRIVILEGED_PORT'
-            WHEN w6 IS NOT NULL THEN 'CARDINALITY_' || p6 || '_P' || h6 WHEN w7 IS NOT NULL THEN 'PORT_REUSE' WHEN w8 IS NOT NULL THEN 'PEER_PORTS' WHEN w9 IS NOT NULL THEN 'CLIENT_RATIO' ELSE 'LOWER_PORT' END AS server_method
+       CASE WHEN w1 IS NOT NULL OR w2 IS NOT NULL OR w3 IS NOT NULL THEN 'HIGH' WHEN w4 IS NOT NULL OR w5 IS NOT NULL THEN 'MEDIUM' WHEN w6 IS NOT NULL THEN CASE WHEN reused OR p >= 5 THEN 'HIGH' ELSE 'MEDIUM' END WHEN coalesce(w7, w8, w9) IS NOT NULL THEN 'MEDIUM' ELSE 'VERY_LOW' END AS server_confidence,
+       CASE WHEN w1 IS NOT NULL THEN 'SERVICE_LIST' || t WHEN w2 IS NOT NULL THEN 'SYN_PACKET' WHEN coalesce(w3, w4, w5) IS NOT NULL THEN 'PORT_HEURISTIC' || t
+            WHEN w6 IS NOT NULL THEN CASE WHEN reused THEN 'CARDINALITY_PORT_REUSE' || t || '_' || pv || '_P' || h ELSE 'CARDINALITY' || t || '_' || pv END WHEN w7 IS NOT NULL THEN 'PORT_REUSE' || t || '_' || h || 'servers_on_port' || sp
+            WHEN w8 IS NOT NULL THEN 'PORT_STABILITY' || t || '_' || q || 'peer_ports' WHEN w9 IS NOT NULL THEN 'CARDINALITY_RATIO' || t || '_' || pv ELSE 'FALLBACK_PORT_COMPARISON' || t END AS server_method
 FROM v"""
 
 

@@ -11,9 +11,9 @@ CONNECTION = "capture_id string, stream_id long, client_ip string, client_port i
 def test_known_port_of_the_client_turns_the_ends(spark):
     df = spark.createDataFrame([("A", 1, "1.1.1.1", 443, "2.2.2.2", 50001, ""), ("A", 2, "3.3.3.3", 50002, "4.4.4.4", 60000, "mss"), ("A", 3, "5.5.5.5", 5, "6.6.6.6", 5, "")], CONNECTION)
     got = {r.stream_id: r for r in roles.detect_roles(df).collect()}
-    assert (got[1].server_ip, got[1].server_port, got[1].server_confidence, got[1].server_method) == ("1.1.1.1", 443, "HIGH", "WELL_KNOWN_PORT")
+    assert (got[1].server_ip, got[1].server_port, got[1].server_confidence, got[1].server_method) == ("1.1.1.1", 443, "HIGH", "PORT_HEURISTIC_SWAPPED")
     assert (got[2].server_port, got[2].server_method) == (60000, "SYN_PACKET")
-    assert (got[3].server_ip, got[3].server_method) == ("5.5.5.5", "LOWER_PORT"), "equal ports are exchanged"
+    assert (got[3].server_ip, got[3].server_method) == ("5.5.5.5", "FALLBACK_PORT_COMPARISON_SWAPPED"), "equal ports are exchanged"
 
 
 def test_services_of_any_port(spark):
@@ -42,8 +42,8 @@ def test_group_ids_follow_known_ones(spark):
 
 
 def test_assignment_is_greedy(spark):
-    rows = [(i, 100 + j, ((i * 7 + j * 5) % 4) / 4, (i + j) % 5 == 0, "features") for i in range(12) for j in range(9) if (i + 2 * j) % 3]
-    got = {(r.id_a, r.id_b) for r in matching.assign(spark.createDataFrame(rows, "id_a long, id_b long, score double, forced boolean, kind string")).collect()}
+    rows = [(i, 100 + j, ((i * 7 + j * 5) % 4) / 4, (i + j) % 5 == 0, "features", "") for i in range(12) for j in range(9) if (i + 2 * j) % 3]
+    got = {(r.id_a, r.id_b) for r in matching.assign(spark.createDataFrame(rows, "id_a long, id_b long, score double, forced boolean, kind string, evidence string")).collect()}
     want, used_a, used_b = set(), set(), set()
     for a, b, *_ in sorted(rows, key=lambda r: (r[3], r[2], -r[0], -r[1]), reverse=True):
         if a not in used_a and b not in used_b:
@@ -60,3 +60,103 @@ def test_connections_end_in_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     ended = sessions.run_available(sessions.stateful_connections(stream)).collect()
     assert [(r.stream_id, r.first_ms, r.last_ms, r.packet_count, r.total_bytes, r.ended) for r in ended if r.ended] == [(1, 1000, 2000, 2, 100, True)]
+
+
+PAIR = {
+    "capture_id": "A", "stream_id": 1, "client_ip": "10.0.0.1", "client_port": 40000, "server_ip": "10.0.0.2", "server_port": 443, "has_syn": False, "syn_options": "", "client_isn": 0, "server_isn": 0, "tsval": "", "tsecr": "",
+    "client_md5": "", "server_md5": "", "length_signature": "C:100 S:200 C:50", "header_only": False, "ipids": list(range(1, 21)), "client_ipids": list(range(1, 11)), "server_ipids": list(range(11, 21)), "client_ttl": 64, "server_ttl": 64,
+    "first_ms": 0, "last_ms": 60_000, "packet_count": 40,
+}
+TYPES = (
+    "capture_id string, stream_id long, client_ip string, client_port int, server_ip string, server_port int, has_syn boolean, syn_options string, client_isn long, server_isn long, tsval string, tsecr string, client_md5 string, server_md5 string,"
+    " length_signature string, header_only boolean, ipids array<int>, client_ipids array<int>, server_ipids array<int>, client_ttl int, server_ttl int, first_ms long, last_ms long, packet_count long"
+)
+
+
+def match_one(spark, a=None, b=None, **by):
+    frames = [spark.createDataFrame([tuple((PAIR | {"stream_id": i} | (x or {}))[c.split()[0]] for c in TYPES.split(", ") for c in [c.strip()])] if x is not None else [], TYPES) for i, x in ((1, a or {}), (2, b or {}))]
+    return [(r.kind, r.score, r.forced, r.evidence) for r in matching.scored(*frames, **by).collect()]
+
+
+def test_a_shut_gate_leaves_a_strong_pair_to_its_score(spark):
+    assert match_one(spark) == [("features", 1.0, True, "shape(1.00) ipid*(n=20,r=1.00,j=1.00)")]
+    # 5 s apart: the common values force nothing, the score still accepts.
+    late = {"first_ms": 65_000, "last_ms": 90_000}
+    assert match_one(spark, b=late) == [("features", 1.0, False, "shape(1.00) ipid(n=20,r=1.00,j=1.00)")]
+    # Values of one direction alone ask for more of both.
+    one_sided = {"server_ipids": [], "ipids": list(range(1, 11)), "client_ipids": list(range(1, 11))}
+    assert match_one(spark, one_sided, one_sided)[0][2] is True
+    wider = one_sided | {"ipids": list(range(1, 16)), "client_ipids": list(range(1, 16))}
+    assert match_one(spark, one_sided, wider) == [("features", 1.0, False, "shape(1.00) ipid(n=10,r=1.00,j=0.67)")]
+    options = {"syn_options": "mss=1460", "client_isn": 7, "server_isn": 9}
+    other_port = match_one(spark, options, options | {"client_port": 40001})
+    assert other_port[0][2] is False and other_port[0][1] == 1.0
+
+
+def test_sequence_numbers_count_as_they_are_in_features(spark):
+    options = {"syn_options": "mss=1460", "client_isn": 7, "server_isn": 0}
+    # 0.25 + 0.12 + 0.06 + 0.08 + 0.16 of as much: an unseen server number on both sides is equal.
+    assert match_one(spark, options, options)[0][3] == "synopt isnC isnS shape(1.00) ipid*(n=20,r=1.00,j=1.00)"
+
+
+def test_short_flows_without_options_match_on_what_they_have(spark):
+    short = {"ipids": [5], "client_ipids": [5], "server_ipids": [], "packet_count": 2, "last_ms": 10}
+    assert match_one(spark, short, short) == [("microflow", 1.0, False, "micro ttl shape(1.00) ipid(1)")]
+    # TTLs far apart: 0.10 of 0.20.
+    assert match_one(spark, short, short | {"client_ttl": 128, "server_ttl": 128}) == []
+    # The client's are far apart, the server's are close.
+    assert match_one(spark, short, short | {"client_ttl": 128})[0][0] == "microflow"
+    assert match_one(spark, short, short | {"client_port": 1, "server_port": 2}) == []
+    zero = {"ipids": [0], "client_ipids": []}
+    assert match_one(spark, short | zero, short | zero)[0][0] == "microflow"
+    # 0.3 + 0.3 + 0.1 + 0.1 of 1.0, added in order, is less than 0.8.
+    full = short | {"syn_options": "mss", "client_isn": 3, "tsval": "1"}
+    assert match_one(spark, full, full | {"tsval": "2"}) == []
+
+
+def test_handshakes_match_across_addresses(spark):
+    a = {"ipids": [1], "client_ipids": [1], "server_ipids": [], "syn_options": "mss=1460", "client_isn": 77, "server_isn": 78, "packet_count": 30}
+    b = a | {"ipids": [2], "client_ipids": [2], "client_ip": "172.16.0.1"}
+    assert match_one(spark, a, b, strategy=matching.PORT) == [("handshake", 1.0, False, "nat2 synopt isnC isnS shape(1.00) ttl")]
+    assert match_one(spark, a, b | {"first_ms": 130_000, "last_ms": 140_000}, strategy=matching.PORT) == []
+    clamped = {"syn_options": "mss=1380", "ipids": [1, 9, 11], "packet_count": 3}
+    assert match_one(spark, a | {"ipids": [1, 9], "packet_count": 3, "length_signature": "C:0"}, b | clamped | {"length_signature": "S:0"}, strategy=matching.PORT)[0][3].endswith("ipid(2) micro-isnC-ipid")
+
+
+def test_bucket_follows_the_addresses_that_both_have(spark):
+    rows = lambda *ends: spark.createDataFrame([(c, s, p) for c, s, p in ends], "client_ip string, server_ip string, server_port int")
+    a = rows(("c1", "s1", 443))
+    assert matching.choose_bucket(a, rows(("c1", "s1", 443))) == matching.SERVER
+    assert matching.choose_bucket(a, rows(("x", "s1", 443))) == matching.PORT
+    assert matching.choose_bucket(a, rows(("c1", "x", 443))) == matching.PORT
+    assert matching.choose_bucket(a, rows(("x", "y", 443))) == matching.PORT
+
+
+def test_behavior_meets_by_classes_of_any_likeness(spark):
+    import itertools
+    import random
+
+    r = random.Random(3)
+    flows = [{"stream_id": i, "first_ms": (f := r.randrange(1000)), "last_ms": f + r.choice([0, 5, 50, 400, 3000]) * r.randrange(1, 4), "packet_count": r.randrange(1, 9), "total_bytes": r.choice([0, 60, 900, 70_000]) * r.randrange(1, 3)} for i in range(40)]
+    schema = "stream_id long, client_ip string, server_ip string, server_port int, first_ms long, last_ms long, packet_count long, total_bytes long"
+    df = spark.createDataFrame([(f["stream_id"], "c", "s", 1, f["first_ms"], f["last_ms"], f["packet_count"], f["total_bytes"]) for f in flows], schema)
+
+    def like(x, y):
+        return 1.0 if x <= 0 and y <= 0 else 0.0 if x <= 0 or y <= 0 else min(x, y) / max(x, y)
+
+    for threshold in (0.6, 0.9):
+        got = {(x.id_a, x.id_b): x.score for x in matching.behavioral(df, df, threshold=threshold).collect()}
+        want = {}
+        for x, y in itertools.product(flows, flows):
+            dx, dy = x["last_ms"] - x["first_ms"], y["last_ms"] - y["first_ms"]
+            s = 0.4 * like(dx, dy) + 0.3 * like(dx / max(x["packet_count"] - 1, 1), dy / max(y["packet_count"] - 1, 1)) + 0.3 * like(x["total_bytes"], y["total_bytes"])
+            if s >= threshold:
+                want[x["stream_id"], y["stream_id"]] = round(s, 6)
+        assert got == want
+
+
+def test_confidences(spark):
+    rows = spark.createDataFrame([("HIGH", "LOW"), ("MEDIUM", "HIGH"), ("odd", "HIGH")], "a string, b string")
+    assert [r[0] for r in rows.select(roles.lesser_confidence(F.col("a"), F.col("b"))).collect()] == ["LOW", "MEDIUM", "UNKNOWN"]
+    assert rows.agg(roles.mean_confidence(F.col("a")), roles.mean_confidence(F.col("b"))).first()[:] == ("LOW", "MEDIUM")
+    assert rows.limit(0).agg(roles.mean_confidence(F.col("a"))).first()[0] == "UNKNOWN"
