@@ -1,4 +1,7 @@
-"""Analysis modules: one aggregation each over packets or over fields of one protocol."""
+"""Analysis modules: one aggregation each over packets or over fields of one protocol.
+
+Fixed values: limits, buckets, labels and constants of the ratings below.
+"""
 
 from __future__ import annotations
 
@@ -19,11 +22,6 @@ def share(count: str = "count") -> Column:
     return F.round(100.0 * F.col(count) / F.sum(count).over(Window.partitionBy()), 4)
 
 
-def top(df: DataFrame, n: int, *order) -> DataFrame:
-    """A top-k report."""
-    return df.orderBy(*order).limit(n)
-
-
 # ---- packets -----------------------------------------------------------------------------------
 
 
@@ -65,16 +63,42 @@ def tree(packets: DataFrame, levels: Sequence[str]) -> DataFrame:
     return with_totals.select(*levels, F.col("g").cast("int").alias("level_mask"), "count", F.round(F.when(F.col("span") > 0, F.col("count") / F.col("span")).otherwise(0.0), 9).alias("rate_ms"), F.round(100.0 * F.col("count") / F.col("total"), 4).alias("percent"))
 
 
+def bursts(packets: DataFrame, levels: Sequence[str], window_ms: int = 100) -> DataFrame:
+    """The most packets of each group of ``levels`` in any window of ``window_ms`` that starts at a packet, and when it started.
+
+    Packets are counted by millisecond first; a window over these counts then
+    holds ``window_ms`` rows at most.
+    """
+    counted = packets.groupBy(*levels, "time_ms").agg(F.count("*").alias("_n"))
+    here = F.sum("_n").over(Window.partitionBy(*levels).orderBy("time_ms").rangeBetween(0, window_ms - 1))
+    return counted.withColumn("_here", here).groupBy(*levels).agg(F.max(F.struct("_here", (-F.col("time_ms")).alias("_t"))).alias("_b")).select(*levels, F.col("_b._here").alias("burst"), (-F.col("_b._t")).alias("burst_start_ms"))
+
+
 def zero_windows(packets: DataFrame, window: str) -> DataFrame:
     """Packets that announce a window of zero, by flow and severity."""
     counted = packets.where(F.col(window) == 0).groupBy("src_ip", "src_port", "dst_ip", "dst_port").count()
     return counted.withColumn("severity", severity(F.col("count") >= 50, F.col("count") >= 10))
 
 
+def worst_zero_windows(flows: DataFrame, n: int = 5) -> DataFrame:
+    """The ``n`` worst flows: a top-k report."""
+    rank = F.when(F.col("severity") == HIGH, 0).when(F.col("severity") == MEDIUM, 1).otherwise(2)
+    return flows.orderBy(rank, F.desc("count"), "src_ip", "src_port", "dst_ip", "dst_port").limit(n)
+
+
+DURATIONS = (("<1s", 1), ("1-5s", 5), ("5-10s", 10), ("10-30s", 30), ("30-60s", 60), (">=60s", None))
+
+
+def duration_bucket(seconds: Column) -> Column:
+    out = F.lit(DURATIONS[-1][0])
+    for name, limit in reversed(DURATIONS[:-1]):
+        out = F.when(seconds < limit, name).otherwise(out)
+    return out
+
+
 def durations(connections: DataFrame) -> DataFrame:
     """Connections by duration, in six buckets."""
-    seconds = (F.col("last_ms") - F.col("first_ms")) / 1000
-    bucket = F.when(seconds < 1, "<1s").when(seconds < 5, "1-5s").when(seconds < 10, "5-10s").when(seconds < 30, "10-30s").when(seconds < 60, "30-60s").otherwise(">=60s")
+    bucket = duration_bucket((F.col("last_ms") - F.col("first_ms")) / 1000)
     counted = connections.groupBy(bucket.alias("bucket")).count()
     rating = F.when(F.col("bucket").isin("30-60s", ">=60s"), HIGH).when(F.col("bucket") == "10-30s", MEDIUM).otherwise(LOW)
     return counted.select("bucket", "count", share().alias("share"), rating.alias("severity"))
@@ -82,11 +106,12 @@ def durations(connections: DataFrame) -> DataFrame:
 
 def completeness(streams: DataFrame) -> DataFrame:
     """Streams by what their flag string shows: six places R F D A S S for reset, end, data, acknowledgement, server and client SYN."""
-    place = lambda i: F.substring("completeness", i + 1, 1)
-    syn, syn_ack, ack = place(5) == "S", place(4) == "S", place(3) == "A"
-    status = F.when(syn & syn_ack & ack, "Complete").when(syn & ack, "Established").when(syn | syn_ack, "Half-open").otherwise("Unknown")
-    data = F.when(place(2) == "D", "data").otherwise("no data")
-    return streams.groupBy(status.alias("status"), data.alias("data")).agg(F.count("*").alias("count"))
+    has = lambda letter: F.contains(F.col("completeness"), F.lit(letter))
+    server, client = F.substring("completeness", 5, 1) == "S", F.substring("completeness", 6, 1) == "S"
+    status = F.when(client & server & has("A"), "Complete").when(client & has("A"), "Established").when(client, "Half-open").otherwise("Unknown")
+    data = F.concat(F.when(has("D"), "WITH_DATA").otherwise("NO_DATA"), F.when(has("F") | has("R"), "_CLOSED").otherwise(""))
+    rating = F.when(F.col("status").isin("Half-open", "Unknown"), HIGH).when((F.col("status") == "Established") | F.startswith(F.col("data"), F.lit("NO_DATA")), MEDIUM).otherwise(LOW)
+    return streams.groupBy(status.alias("status"), data.alias("data"), F.col("completeness").alias("flags")).agg(F.count("*").alias("count")).withColumn("severity", rating)
 
 
 # ---- fields of one protocol --------------------------------------------------------------------
@@ -111,62 +136,73 @@ def http_tree(rows: DataFrame) -> DataFrame:
     return rows.select(kind.alias("kind"), group.alias("class"), F.when(F.col("method") == "", F.col("code")).otherwise("-").alias("code")).rollup("kind", "class", "code").agg(F.grouping_id().cast("int").alias("level_mask"), F.count("*").alias("count"))
 
 
-def message_sizes(rows: DataFrame, limits: Sequence[int] = (1024, 10240, 102400, 1048576)) -> DataFrame:
-    """Messages with a body by size bucket, with total and extreme sizes: json, xml, queue and call control messages."""
-    size = F.col("size")
-    bucket = F.lit(len(limits))
-    for i in reversed(range(len(limits))):
-        bucket = F.when(size < limits[i], i).otherwise(bucket)
-    return rows.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("count"), F.sum("size").cast("long").alias("bytes"), F.min("size").alias("least"), F.max("size").alias("most"))
-
-
-def content_types(rows: DataFrame) -> DataFrame:
-    """Messages by content type before any parameter, SOAP apart."""
-    kind = F.lower(F.trim(F.split_part("content_type", F.lit(";"), F.lit(1))))
-    return rows.groupBy(kind.alias("content_type")).agg(F.count("*").alias("count"), F.bool_or(F.contains(kind, F.lit("soap"))).alias("soap"))
+TRANSFER_RATES = ((50 * 1024, HIGH), (200 * 1024, MEDIUM))
+SMALL_TRANSFER = 10_240
 
 
 def data_transfers(rows: DataFrame) -> DataFrame:
     """Bytes, duration and rate of each data stream, with severity: small ones are no concern, slow ones are."""
-    grouped = rows.groupBy("stream_id").agg(F.sum("len").cast("long").alias("bytes"), F.count("*").alias("packets"), (F.max("time_ms") - F.min("time_ms")).alias("duration_ms"))
+    grouped = rows.groupBy("stream_id").agg(F.sum("len").cast("long").alias("bytes"), F.sum("frame_len").cast("long").alias("bytes_with_headers"), F.count("*").alias("packets"), (F.max("time_ms") - F.min("time_ms")).alias("duration_ms"))
     rate = F.when(F.col("duration_ms") > 0, F.col("bytes") * 1000.0 / F.col("duration_ms"))
-    rating = F.when(F.col("bytes") < 10240, LOW).when(rate.isNull(), MEDIUM).when(rate < 50 * 1024, HIGH).when(rate < 200 * 1024, MEDIUM).otherwise(LOW)
-    return grouped.select("*", F.round(rate, 6).alias("rate"), rating.alias("severity"))
+    rating = F.when(F.col("bytes") < SMALL_TRANSFER, LOW).when(rate.isNull(), MEDIUM)
+    for limit, name in TRANSFER_RATES:
+        rating = rating.when(rate < limit, name)
+    return grouped.select("*", F.round(rate, 6).alias("rate"), rating.otherwise(LOW).alias("severity"))
 
 
-def rtp_streams(packets: DataFrame, clock_hz: int = 8000) -> DataFrame:
+#: Packets over which the smoothing of jitter is summed at a time: (15/16)**512 is nothing to a double.
+JITTER_BLOCK = 512
+
+
+def rtp_streams(packets: DataFrame, clock_hz: int = 8000, key: Sequence[str] = ("src_ip", "src_port", "dst_ip", "dst_port", "ssrc")) -> DataFrame:
     """Loss and jitter of each stream, in the order of arrival.
 
-    Loss is what the range of sequence numbers lacks. Jitter is the smoothed
-    difference of arrival and media time, a fold over the stream's packets.
+    Loss is what the range of sequence numbers lacks. Jitter moves by a sixteenth
+    of the way towards each difference of arrival and media time. Its value at a
+    packet is a weighted sum of all differences before it, taken in blocks, so no
+    list of a stream's packets is made.
     """
-    order = Window.partitionBy("stream_id").orderBy("frame_number")
+    arrival, keep = Window.partitionBy(*key).orderBy("frame_number"), 15 / 16
     transit = F.col("time_ms") - F.col("media_time") * 1000.0 / clock_hz
-    steps = packets.withColumn("d", F.abs(transit - F.lag(transit).over(order)))
-    grouped = steps.groupBy("stream_id").agg(
-        F.count("*").alias("packets"), (F.max("media_seq") - F.min("media_seq") + 1).alias("expected"), F.max("d").alias("max_jitter"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("d").isNotNull(), F.struct("frame_number", "d")))), lambda x: x.d).alias("steps"),
-    )
-    jitter = F.aggregate("steps", F.lit(0.0), lambda j, d: j + (d - j) / 16)
-    loss = F.greatest(F.lit(0.0), 100.0 * (F.col("expected") - F.col("packets")) / F.col("expected"))
-    rated = grouped.select("stream_id", "packets", "expected", F.round(loss, 4).alias("loss"), F.round(jitter, 4).alias("jitter"), F.round(F.coalesce("max_jitter", F.lit(0.0)), 4).alias("max_jitter"))
+    steps = packets.withColumns({"_d": F.coalesce(F.abs(transit - F.lag(transit).over(arrival)), F.lit(0.0)), "_k": F.row_number().over(arrival) - 1})
+    place = F.col("_k") % JITTER_BLOCK
+    blocks = steps.withColumn("_block", F.floor(F.col("_k") / JITTER_BLOCK))
+    within = Window.partitionBy(*key).orderBy("frame_number")
+    # Sums run on over the stream; what they were before a block began is taken off.
+    weighted = F.col("_d") / 16 * F.pow(F.lit(1 / keep), place)
+    summed = blocks.withColumn("_own", F.sum(weighted).over(Window.partitionBy(*key, "_block").orderBy("frame_number")) * F.pow(F.lit(keep), place))
+    before = F.last(F.when(place == JITTER_BLOCK - 1, F.col("_own")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
+    jitter = F.col("_own") + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), place + 1)
+    grouped = summed.withColumn("_j", jitter).groupBy(*key).agg(F.count("*").alias("packets"), (F.max("media_seq") - F.min("media_seq") + 1).alias("expected"), F.avg("_j").alias("_mean"), F.max("_j").alias("_most"))
+    lost = F.greatest(F.lit(0), F.col("expected") - F.col("packets"))
+    rated = grouped.select(*key, "packets", "expected", lost.alias("lost"), F.round(100.0 * lost / F.col("expected"), 4).alias("loss"), F.round("_mean", 4).alias("jitter"), F.round("_most", 4).alias("max_jitter"))
     return rated.withColumn("severity", severity((F.col("loss") > 5) | (F.col("jitter") > 30) | (F.col("max_jitter") > 50), (F.col("loss") > 1) | (F.col("jitter") > 20)))
 
 
-def voice_quality(streams: DataFrame) -> DataFrame:
-    """R factor, mean opinion score and rating from loss (percent) and jitter (ms)."""
-    r = 93.2 - (10 + F.col("jitter") / 10) - 2.5 * F.col("loss")
-    r = F.greatest(F.lit(0.0), F.least(F.lit(100.0), r))
-    mos = F.when(r < 0, 1.0).otherwise(1 + 0.035 * r + 0.000007 * r * (r - 60) * (100 - r))
-    mos = F.greatest(F.lit(1.0), F.least(F.lit(5.0), mos))
-    rating = F.when(F.col("mos") >= 4.3, "Excellent").when(F.col("mos") >= 4.0, "Good").when(F.col("mos") >= 3.6, "Fair").when(F.col("mos") >= 3.1, "Poor").otherwise("Bad")
-    return streams.withColumn("r_factor", F.round(r, 4)).withColumn("mos", F.round(mos, 4)).withColumn("rating", rating)
+def rtp_summary(streams: DataFrame) -> DataFrame:
+    """One row: streams, packets, losses and the peak jitter of all, and how many streams have each severity."""
+    loss = F.when(F.col("packets") > 0, 100.0 * F.col("lost") / F.col("packets")).otherwise(0.0)
+    totals = streams.agg(F.count("*").alias("streams"), F.coalesce(F.sum("packets"), F.lit(0)).alias("packets"), F.coalesce(F.sum("lost"), F.lit(0)).alias("lost"), F.coalesce(F.max("max_jitter"), F.lit(0.0)).alias("peak_jitter"), *(F.count_if(F.col("severity") == s).alias(s.lower()) for s in (HIGH, MEDIUM, LOW)))
+    return totals.withColumn("loss", F.round(loss, 4))
+
 
+#: The R factor that a codec starts with; others start like the first.
+CODEC_R = {"g711u": 93.2, "g711a": 93.2, "g722": 92.0, "g729": 83.0, "opus": 92.0, "ilbc": 82.0}
+RATINGS = ((4.3, "Excellent"), (4.0, "Good"), (3.6, "Fair"), (3.1, "Poor"))
 
-def exploded_counts(rows: DataFrame, column: str, separator: str = ",") -> DataFrame:
-    """Counts and shares of the parts of a list kept as text: packet types, media, formats."""
-    parts = rows.select(F.explode(F.split(column, separator)).alias("part")).select(F.trim("part").alias("part")).where("part <> ''")
-    return parts.groupBy("part").count().withColumn("share", share())
+
+def voice_quality(streams: DataFrame) -> DataFrame:
+    """R factor, mean opinion score and rating from loss (percent), jitter (ms) and codec."""
+    loss, jitter = F.col("loss"), F.col("jitter")
+    base = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in CODEC_R.items() for x in kv)), F.lower("codec")), F.lit(93.2))
+    delayed = F.when(jitter < 20, 0.0).when(jitter < 50, (jitter - 20) * 0.5).when(jitter < 100, 15.0 + (jitter - 50) * 0.8).otherwise(55.0 + (jitter - 100))
+    r = F.greatest(F.lit(0.0), F.least(F.lit(100.0), base - (10.0 + 40.0 * loss / 100.0) - delayed))
+    mos = F.when(r <= 0, 1.0).when(r >= 100, 4.5).otherwise(1.0 + 0.035 * r + r * (r - 60.0) * (100.0 - r) * 7e-6)
+    mos = F.greatest(F.lit(1.0), F.least(F.lit(5.0), mos))
+    rating = F.lit("Bad")
+    for least, name in reversed(RATINGS):
+        rating = F.when(mos >= least, name).otherwise(rating)
+    return streams.select("*", F.round(r, 4).alias("r_factor"), F.round(mos, 4).alias("mos"), rating.alias("rating"))
 
 
 def request_response_times(rows: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions import packets as P
 from packetloom.operators import modules as M
+from packetloom.operators import protocols as R
 from packetloom.operators.connections import build_connections
-from packetloom.sources.testbed import duckdb_view, packet_view
+from packetloom.plans import sql
+from packetloom.sources.testbed import UDP_ROWS, duckdb_view, packet_view
 from packetloom.storage import table
 
 _PK = duckdb_view("packets")
@@ -21,14 +24,14 @@ def conversations_tcp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.conversations(packet_view(spark, sf_dir), ("ip", "port"))
 
 
-def _conversations_sql(ends: tuple[str, ...]) -> str:
+def _conversations_sql(ends: tuple[str, ...], source: str = _PK) -> str:
     src, dst = ", ".join(f"src_{e}" for e in ends), ", ".join(f"dst_{e}" for e in ends)
     low = ", ".join(f"CASE WHEN fwd THEN src_{e} ELSE dst_{e} END AS {e}_a, CASE WHEN fwd THEN dst_{e} ELSE src_{e} END AS {e}_b" for e in ends)
     return f"""
 SELECT {low}, count(*) FILTER (WHERE fwd) AS frames_ab, CAST(coalesce(sum(frame_len) FILTER (WHERE fwd), 0) AS BIGINT) AS bytes_ab,
        count(*) FILTER (WHERE NOT fwd) AS frames_ba, CAST(coalesce(sum(frame_len) FILTER (WHERE NOT fwd), 0) AS BIGINT) AS bytes_ba,
        count(*) AS frames, CAST(sum(frame_len) AS BIGINT) AS bytes, min(time_ms) AS start_ms, max(time_ms) - min(time_ms) AS duration_ms
-FROM (SELECT *, ({src}) <= ({dst}) AS fwd FROM {_PK}) GROUP BY {", ".join(str(i + 1) for i in range(2 * len(ends)))}"""
+FROM (SELECT *, ({src}) <= ({dst}) AS fwd FROM {source}) GROUP BY {", ".join(str(i + 1) for i in range(2 * len(ends)))}"""
 
 
 def hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,8 +100,10 @@ def tcp_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _COMPLETENESS_SQL = f"""
-WITH s AS (SELECT bool_or((flags & 18) = 2) AS c, bool_or((flags & 18) = 18) AS sv, bool_or((flags & 18) = 16) AS a, bool_or(len > 0) AS d FROM {_PK} GROUP BY stream_id)
-SELECT CASE WHEN c AND sv AND a THEN 'Complete' WHEN c AND a THEN 'Established' WHEN c OR sv THEN 'Half-open' ELSE 'Unknown' END AS status, CASE WHEN d THEN 'data' ELSE 'no data' END AS data, count(*) AS count FROM s GROUP BY 1, 2"""
+WITH s AS (SELECT bool_or((flags & 18) = 2) AS c, bool_or((flags & 18) = 18) AS sv, bool_or((flags & 18) = 16) AS a, bool_or(len > 0) AS d, bool_or((flags & 4) <> 0) AS r, bool_or((flags & 1) <> 0) AS fi FROM {_PK} GROUP BY stream_id)
+SELECT CASE WHEN c AND sv AND a THEN 'Complete' WHEN c AND a THEN 'Established' WHEN c THEN 'Half-open' ELSE 'Unknown' END AS status, CASE WHEN d THEN 'WITH_DATA' ELSE 'NO_DATA' END || CASE WHEN e THEN '_CLOSED' ELSE '' END AS data, flags, count(*) AS count,
+       CASE WHEN NOT c THEN 'High' WHEN NOT a THEN 'High' WHEN NOT sv OR NOT d THEN 'Medium' ELSE 'Low' END AS severity
+FROM (SELECT *, (CASE WHEN r THEN 'R' ELSE '-' END) || (CASE WHEN fi THEN 'F' ELSE '-' END) || (CASE WHEN d THEN 'D' ELSE '-' END) || (CASE WHEN a THEN 'A' ELSE '-' END) || (CASE WHEN sv THEN 'S' ELSE '-' END) || (CASE WHEN c THEN 'S' ELSE '-' END) AS flags, r OR fi AS e FROM s) GROUP BY 1, 2, 3, 5"""
 
 #: Application rows from pages and events: the digest of an id picks a code.
 _HTTP = (
@@ -128,104 +133,98 @@ FROM (SELECT CASE WHEN method <> '' THEN 'request' ELSE 'response' END AS kind,
 GROUP BY ROLLUP (kind, class, code)"""
 
 
-def json_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.message_sizes(table(spark, sf_dir, "pages").selectExpr(*_HTTP).where("lower(content_type) LIKE '%json%'"), (1024, 2048, 4096, 8192))
-
-
-_SIZES_SQL = f"""
-SELECT CASE WHEN size < 1024 THEN 0 WHEN size < 2048 THEN 1 WHEN size < 4096 THEN 2 WHEN size < 8192 THEN 3 ELSE 4 END AS bucket, count(*) AS count, CAST(sum(size) AS BIGINT) AS bytes, min(size) AS least, max(size) AS most
-FROM ({_HTTP_ROWS}) WHERE lower(content_type) LIKE '%json%' GROUP BY 1"""
+def data_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.data_transfers(packet_view(spark, sf_dir).withColumn("len", F.col("len") * 300))
 
 
-def content_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.content_types(table(spark, sf_dir, "pages").selectExpr(*_HTTP))
+_TRANSFERS_SQL = f"""
+WITH g AS (SELECT stream_id, CAST(sum(len * 300) AS BIGINT) AS bytes, CAST(sum(frame_len) AS BIGINT) AS bytes_with_headers, count(*) AS packets, max(time_ms) - min(time_ms) AS duration_ms FROM {_PK} GROUP BY 1),
+r AS (SELECT *, CASE WHEN duration_ms > 0 THEN bytes * CAST(1000.0 AS DOUBLE) / duration_ms END AS raw FROM g),
+t AS (SELECT * EXCLUDE (raw), round(raw, 6) AS rate, CASE WHEN bytes < 10240 THEN 'Low' WHEN raw IS NULL THEN 'Medium' WHEN raw < 51200 THEN 'High' WHEN raw < 204800 THEN 'Medium' ELSE 'Low' END AS severity FROM r)"""
+_RANK = "CASE severity WHEN 'High' THEN 0 WHEN 'Medium' THEN 1 ELSE 2 END"
 
 
-_TYPES_SQL = f"SELECT lower(trim(split_part(content_type, ';', 1))) AS content_type, count(*) AS count, bool_or(lower(content_type) LIKE '%soap%') AS soap FROM ({_HTTP_ROWS}) GROUP BY 1"
+def data_transfer_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.size_ranges(data_transfers(spark, sf_dir), "bytes")
 
-_EVENT_CODES = {
-    #: name -> (code expression, severity of the code: High if, Medium if)
-    "ftp_codes": ("CAST(200 + 100 * (event_id % 4) + user_id % 3 AS STRING)", "code >= '500'", "code >= '400'"),
-    "tls_alerts": ("CASE event_id % 3 WHEN 0 THEN 'fatal: bad certificate' WHEN 1 THEN 'warning: close notify' ELSE 'unknown ca handshake' END", "code LIKE '%fatal%' OR code LIKE '% handshake%'", "code LIKE '%warning%'"),
-    "icmp_types": ("CAST(event_id % 13 AS STRING) || ':' || CAST(user_id % 4 AS STRING)", "code LIKE '3:%'", "code LIKE '11:%' OR code LIKE '5:%'"),
-    "sip_status": ("CAST(100 + 100 * (event_id % 6) + user_id % 2 AS STRING)", "code >= '500'", "code >= '400'"),
-    "ssh_versions": ("CASE event_id % 7 WHEN 0 THEN 'SSH-1.99' ELSE 'SSH-2.0' END", "code LIKE 'SSH-1%'", "code NOT LIKE 'SSH-2%'"),
-    "mq_reasons": ("CAST(2000 + event_id % 35 AS STRING)", "code >= '2030'", "code >= '2009'"),
-    "mgcp_verbs": ("CASE event_id % 4 WHEN 0 THEN 'CRCX' WHEN 1 THEN 'MDCX' WHEN 2 THEN 'DLCX' ELSE 'RQNT' END", "false", "code = 'DLCX'"),
-    "dns_codes": ("CASE event_id % 9 WHEN 0 THEN 'NXDOMAIN' WHEN 1 THEN 'SERVFAIL' ELSE 'NOERROR' END", "code = 'SERVFAIL'", "code = 'NXDOMAIN'"),
-}
 
+_TRANSFER_SIZES_SQL = _TRANSFERS_SQL + " " + " UNION ALL ".join(
+    f"SELECT '{n}' AS range, count(*) FILTER (WHERE bytes >= {low} AND bytes < {high}) AS count, round(100.0 * count(*) FILTER (WHERE bytes >= {low} AND bytes < {high}) / count(*), 4) AS percent FROM t"
+    for n, low, high in (("< 1KB", 0, 1024), ("1KB - 10KB", 1024, 10240), ("10KB - 100KB", 10240, 102400), ("100KB - 1MB", 102400, 1048576), ("> 1MB", 1048576, 2**62))
+)
 
-def _event_query(name: str):
-    code, high, medium = _EVENT_CODES[name]
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return M.code_counts(table(spark, sf_dir, "events").selectExpr(f"{code} AS code", "user_id"), ["code"], M.severity(F.expr(high), F.expr(medium)), ["user_id"])
+def data_transfers_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.worst_streams(data_transfers(spark, sf_dir), "bytes")
 
-    query.__name__ = name
-    return query
 
+_TRANSFERS_WORST_SQL = _TRANSFERS_SQL + f" SELECT * FROM t ORDER BY {_RANK}, bytes DESC, stream_id LIMIT 5"
 
-def _event_sql(name: str) -> str:
-    code, high, medium = _EVENT_CODES[name]
-    return _CODES_SQL.format(code="code", conn="user_id", rating=f"CASE WHEN {high} THEN 'High' WHEN {medium} THEN 'Medium' ELSE 'Low' END", rows=f"SELECT {code} AS code, user_id FROM events".replace("STRING", "VARCHAR"))
 
+def ttl_bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.bursts(packet_view(spark, sf_dir), ("src_ip", "ttl"))
 
-def data_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.data_transfers(packet_view(spark, sf_dir).withColumn("len", F.col("len") * 300))
 
+_BURSTS_SQL = f"""
+WITH c AS (SELECT src_ip, ttl, time_ms, count(*) AS n FROM {_PK} GROUP BY ALL),
+b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src_ip, ttl ORDER BY time_ms RANGE BETWEEN CURRENT ROW AND 99 FOLLOWING) AS BIGINT) AS here FROM c)
+SELECT src_ip, ttl, here AS burst, time_ms AS burst_start_ms FROM b QUALIFY row_number() OVER (PARTITION BY src_ip, ttl ORDER BY here DESC, time_ms) = 1"""
 
-_TRANSFERS_SQL = f"""
-WITH g AS (SELECT stream_id, CAST(sum(len * 300) AS BIGINT) AS bytes, count(*) AS packets, max(time_ms) - min(time_ms) AS duration_ms FROM {_PK} GROUP BY 1),
-r AS (SELECT *, CASE WHEN duration_ms > 0 THEN bytes * CAST(1000.0 AS DOUBLE) / duration_ms END AS raw FROM g)
-SELECT * EXCLUDE (raw), round(raw, 6) AS rate, CASE WHEN bytes < 10240 THEN 'Low' WHEN raw IS NULL THEN 'Medium' WHEN raw < 51200 THEN 'High' WHEN raw < 204800 THEN 'Medium' ELSE 'Low' END AS severity FROM r"""
 
+def zero_windows_worst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.worst_zero_windows(zero_windows(spark, sf_dir))
 
 
-def rtp_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.rtp_streams(packet_view(spark, sf_dir, "capture_a").selectExpr("stream_id", "frame_number", "time_ms", "frame_number + stream_id % 2 AS media_seq", "frame_number * 160 AS media_time"))
+_ZERO_WORST_SQL = f"SELECT * FROM ({_ZERO_SQL}) ORDER BY {_RANK}, count DESC, src_ip, src_port, dst_ip, dst_port LIMIT 5"
 
 
-def voice_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.voice_quality(rtp_streams(spark, sf_dir).select("stream_id", "loss", "jitter"))
+def zero_window_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.severity_totals(zero_windows(spark, sf_dir))
 
 
-_RTP = f"""
-WITH RECURSIVE p AS MATERIALIZED (SELECT stream_id, frame_number, time_ms - frame_number * 160 * 1000.0::DOUBLE / 8000 AS t, frame_number + stream_id % 2 AS media_seq FROM {duckdb_view("capture_a")}),
-d AS MATERIALIZED (SELECT *, abs(t - lag(t) OVER (PARTITION BY stream_id ORDER BY frame_number)) AS d, row_number() OVER (PARTITION BY stream_id ORDER BY frame_number) AS k FROM p),
-f AS (SELECT stream_id, k, 0.0::DOUBLE AS j FROM d WHERE k = 1 UNION ALL SELECT d.stream_id, d.k, f.j + (d.d - f.j) / 16 FROM f JOIN d ON d.stream_id = f.stream_id AND d.k = f.k + 1),
-j AS (SELECT stream_id, arg_max(j, k) AS j FROM f GROUP BY 1),
-g AS (SELECT stream_id, count(*) AS packets, max(media_seq) - min(media_seq) + 1 AS expected, max(d) AS mj FROM d GROUP BY 1),
-s AS (SELECT stream_id, packets, expected, round(greatest(0, 100.0::DOUBLE * (expected - packets) / expected), 4) AS loss, round(j, 4) AS jitter, round(coalesce(mj, 0), 4) AS max_jitter FROM g JOIN j USING (stream_id))"""
-_RTP_SQL = _RTP + " SELECT *, CASE WHEN loss > 5 OR jitter > 30 OR max_jitter > 50 THEN 'High' WHEN loss > 1 OR jitter > 20 THEN 'Medium' ELSE 'Low' END AS severity FROM s"
-_VOICE_SQL = _RTP + """,
-r AS (SELECT stream_id, loss, jitter, greatest(0, least(100, 93.2::DOUBLE - (10 + jitter / 10) - 2.5::DOUBLE * loss)) AS r FROM s),
-m AS (SELECT *, greatest(1, least(5, 1 + 0.035::DOUBLE * r + 0.000007::DOUBLE * r * (r - 60) * (100 - r))) AS m FROM r)
-SELECT stream_id, loss, jitter, round(r, 4) AS r_factor, round(m, 4) AS mos,
-       CASE WHEN round(m, 4) >= 4.3 THEN 'Excellent' WHEN round(m, 4) >= 4 THEN 'Good' WHEN round(m, 4) >= 3.6 THEN 'Fair' WHEN round(m, 4) >= 3.1 THEN 'Poor' ELSE 'Bad' END AS rating
-FROM m"""
+_ZERO_TOTALS_SQL = f"SELECT x.s AS severity, count(y.severity) AS groups FROM (SELECT unnest(['High', 'Medium', 'Low']) AS s) x LEFT JOIN ({_ZERO_SQL}) y ON x.s = y.severity GROUP BY 1"
 
 
-def rtcp_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.exploded_counts(table(spark, sf_dir, "events").selectExpr("CASE event_id % 3 WHEN 0 THEN '200,202' WHEN 1 THEN '201' ELSE '201, 202,203' END AS types"), "types")
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    built = build_connections(packet_view(spark, sf_dir)).withColumns({"first_ms": F.col("first_ms") * 60, "last_ms": F.col("last_ms") * 60})
+    ends = {"src_ip": "client_ip", "src_port": "client_port", "dst_ip": "server_ip", "dst_port": "server_port"}
+    return built.select(M.duration_bucket((F.col("last_ms") - F.col("first_ms")) / 1000).alias("bucket"), *(F.col(c).alias(n) for n, c in ends.items()))
 
 
-def sdp_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.exploded_counts(table(spark, sf_dir, "events").selectExpr("event_type || ',' || CASE WHEN user_id % 2 = 0 THEN 'RTP/AVP' ELSE 'RTP/SAVP' END AS media"), "media")
+def duration_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three connections of each bucket, evenly spaced in their order."""
+    return R.with_samples(_timed(spark, sf_dir), ["bucket"], R.connection())
 
 
-_PARTS_SQL = "SELECT part, count(*) AS count, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS share FROM (SELECT trim(unnest(string_split(x, ','))) AS part FROM (SELECT {x} AS x FROM events)) WHERE part <> '' GROUP BY part"
+_DURATION_SAMPLES_SQL = f"""
+WITH {sql.connections("packets", "c")},
+b AS (SELECT DISTINCT CASE WHEN s < 1 THEN '<1s' WHEN s < 5 THEN '1-5s' WHEN s < 10 THEN '5-10s' WHEN s < 30 THEN '10-30s' WHEN s < 60 THEN '30-60s' ELSE '>=60s' END AS bucket, item
+      FROM (SELECT (last_ms - first_ms) * 60 / 1000 AS s, client_ip || ':' || client_port || ' -> ' || server_ip || ':' || server_port AS item FROM c)),
+p AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY item) - 1 AS place, count(*) OVER (PARTITION BY bucket) AS n FROM b)
+SELECT bucket, string_agg(item, '; ' ORDER BY place) AS samples FROM p WHERE n <= 3 OR place IN (0, CAST(round_even((n - 1) / 2, 0) AS BIGINT), n - 1) GROUP BY 1"""
 
 
 def dns_service_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = packet_view(spark, sf_dir).selectExpr("stream_id", "frame_number", "time_ms", "CASE WHEN dst_port < 1024 THEN 'query' ELSE 'response' END AS kind")
-    return M.request_response_times(rows, ["stream_id"])
+    """Queries paired with answers of the same id between the same ends."""
+    low, high = P.canonical_ends(F.col("src_ip"), F.col("src_port"), F.col("dst_ip"), F.col("dst_port"))
+    rows = packet_view(spark, sf_dir).selectExpr("*", "ip_id % 3 AS dns_id", "CASE WHEN frame_number % 2 = 1 THEN 'query' ELSE 'response' END AS kind")
+    keyed = rows.withColumns({"ip_1": low.ip, "port_1": low.port, "ip_2": high.ip, "port_2": high.port})
+    return M.request_response_times(keyed, ["dns_id", "ip_1", "port_1", "ip_2", "port_2"])
 
 
 _DNS_SQL = f"""
-WITH p AS (SELECT stream_id, frame_number, time_ms, CASE WHEN dst_port < 1024 THEN 'query' ELSE 'response' END AS kind FROM {_PK}),
-n AS (SELECT *, lead(kind) OVER w AS nk, lead(time_ms) OVER w AS nt FROM p WINDOW w AS (PARTITION BY stream_id ORDER BY time_ms, frame_number))
-SELECT stream_id, frame_number, coalesce(nk = 'response', false) AS answered, CASE WHEN nk = 'response' THEN nt - time_ms END AS service_ms FROM n WHERE kind = 'query'"""
+WITH p AS (SELECT ip_id % 3 AS dns_id, CASE WHEN f THEN src_ip ELSE dst_ip END AS ip_1, CASE WHEN f THEN src_port ELSE dst_port END AS port_1, CASE WHEN f THEN dst_ip ELSE src_ip END AS ip_2, CASE WHEN f THEN dst_port ELSE src_port END AS port_2, frame_number, time_ms,
+             CASE WHEN frame_number % 2 = 1 THEN 'query' ELSE 'response' END AS kind FROM (SELECT *, (src_ip, src_port) <= (dst_ip, dst_port) AS f FROM {_PK})),
+n AS (SELECT *, lead(kind) OVER w AS nk, lead(time_ms) OVER w AS nt FROM p WINDOW w AS (PARTITION BY dns_id, ip_1, port_1, ip_2, port_2 ORDER BY time_ms, frame_number))
+SELECT dns_id, ip_1, port_1, ip_2, port_2, frame_number, coalesce(nk = 'response', false) AS answered, CASE WHEN nk = 'response' THEN nt - time_ms END AS service_ms FROM n WHERE kind = 'query'"""
+
+
+def udp_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grouping over datagrams: events as asker and answerer."""
+    return M.conversations(table(spark, sf_dir, "events").selectExpr(*UDP_ROWS, "CAST(60 + event_id % 900 AS BIGINT) AS frame_len", "event_id * 3 AS time_ms"), ("ip", "port"))
+
+
+_UDP_CONVERSATIONS_SQL = _conversations_sql(("ip", "port"), "(SELECT " + ", ".join(UDP_ROWS).replace("STRING", "VARCHAR") + ", CAST(60 + event_id % 900 AS BIGINT) AS frame_len, event_id * 3 AS time_ms FROM events)")
 
 
 def sampled_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,15 +238,15 @@ SELECT o_orderkey, o_custkey FROM o JOIN i USING (place)"""
 QUERIES = {
     f.__name__: f
     for f in (
-        conversations_ip, conversations_tcp, hosts, protocol_hierarchy, source_ttl_tree, destination_tree, zero_windows, tcp_durations, tcp_completeness, http_responses, http_tree, json_sizes, content_types,
-        data_transfers, rtp_streams, voice_quality, rtcp_types, sdp_media, dns_service_times, sampled_orders, *map(_event_query, _EVENT_CODES),
+        conversations_ip, conversations_tcp, udp_conversations, hosts, protocol_hierarchy, source_ttl_tree, destination_tree, ttl_bursts, zero_windows, zero_windows_worst, zero_window_severities, tcp_durations, duration_samples, tcp_completeness,
+        http_responses, http_tree, data_transfers, data_transfer_sizes, data_transfers_worst, dns_service_times, sampled_orders,
     )
 }
 ORACLES = {
-    "conversations_ip": _conversations_sql(("ip",)), "conversations_tcp": _conversations_sql(("ip", "port")), "hosts": _HOSTS_SQL, "protocol_hierarchy": _HIERARCHY_SQL,
-    "source_ttl_tree": _tree_sql(("src_ip", "ttl", "dst_ip")), "destination_tree": _tree_sql(("dst_ip", "protocol", "dst_port")), "zero_windows": _ZERO_SQL, "tcp_durations": _DURATIONS_SQL, "tcp_completeness": _COMPLETENESS_SQL,
+    "conversations_ip": _conversations_sql(("ip",)), "conversations_tcp": _conversations_sql(("ip", "port")), "udp_conversations": _UDP_CONVERSATIONS_SQL, "hosts": _HOSTS_SQL, "protocol_hierarchy": _HIERARCHY_SQL,
+    "source_ttl_tree": _tree_sql(("src_ip", "ttl", "dst_ip")), "destination_tree": _tree_sql(("dst_ip", "protocol", "dst_port")), "ttl_bursts": _BURSTS_SQL, "zero_windows": _ZERO_SQL, "zero_windows_worst": _ZERO_WORST_SQL, "zero_window_severities": _ZERO_TOTALS_SQL,
+    "tcp_durations": _DURATIONS_SQL, "duration_samples": _DURATION_SAMPLES_SQL, "tcp_completeness": _COMPLETENESS_SQL,
     "http_responses": _CODES_SQL.format(code="code", conn="src", rating="CASE WHEN CAST(code AS INT) >= 500 THEN 'High' WHEN CAST(code AS INT) BETWEEN 400 AND 499 THEN 'Medium' ELSE 'Low' END", rows=_HTTP_ROWS + " WHERE page_id % 3 <> 0"),
-    "http_tree": _HTTP_TREE_SQL, "json_sizes": _SIZES_SQL, "content_types": _TYPES_SQL, "data_transfers": _TRANSFERS_SQL, "rtp_streams": _RTP_SQL, "voice_quality": _VOICE_SQL,
-    "rtcp_types": _PARTS_SQL.format(x="CASE event_id % 3 WHEN 0 THEN '200,202' WHEN 1 THEN '201' ELSE '201, 202,203' END"), "sdp_media": _PARTS_SQL.format(x="event_type || ',' || CASE WHEN user_id % 2 = 0 THEN 'RTP/AVP' ELSE 'RTP/SAVP' END"),
-    "dns_service_times": _DNS_SQL, "sampled_orders": _SAMPLE_SQL, **{name: _event_sql(name) for name in _EVENT_CODES},
+    "http_tree": _HTTP_TREE_SQL, "data_transfers": _TRANSFERS_SQL + " SELECT * FROM t", "data_transfer_sizes": _TRANSFER_SIZES_SQL, "data_transfers_worst": _TRANSFERS_WORST_SQL,
+    "dns_service_times": _DNS_SQL, "sampled_orders": _SAMPLE_SQL,
 }

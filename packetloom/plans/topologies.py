@@ -13,7 +13,7 @@ from packetloom.operators import topology as T
 from packetloom.operators.connections import build_connections
 from packetloom.plans import sql
 from packetloom.plans.flows import _MANY_SQL, _both
-from packetloom.sources.testbed import packet_view
+from packetloom.sources.testbed import UDP_ROWS, packet_view
 from packetloom.storage import materialize, shared_dir, table
 from packetloom.streaming import sessions as S
 
@@ -116,22 +116,13 @@ h AS (SELECT *, {_HOPS("client_ttl")} AS ch, {_HOPS("server_ttl")} AS sh FROM c)
 l AS (SELECT server_port, protocol_number, count(*) AS connections, count(DISTINCT client_ip) AS clients, count(DISTINCT server_ip) AS servers, list_sort(list(ch) FILTER (WHERE ch IS NOT NULL)) AS c, list_sort(list(sh) FILTER (WHERE sh IS NOT NULL)) AS s FROM h GROUP BY 1, 2)
 SELECT server_port, protocol_number, connections, clients, servers, c[len(c) // 2 + 1] AS client_hops, s[len(s) // 2 + 1] AS server_hops FROM l"""
 
-#: Events as datagrams: an asker and an answerer, some towards known ports.
-_UDP = (
-    "CASE WHEN event_id % 2 = 0 THEN '10.9.0.' || CAST(user_id % 50 AS STRING) ELSE '10.8.0.' || CAST(user_id % 4 AS STRING) END AS src_ip",
-    "CASE WHEN event_id % 2 = 0 THEN '10.8.0.' || CAST(user_id % 4 AS STRING) ELSE '10.9.0.' || CAST(user_id % 50 AS STRING) END AS dst_ip",
-    "CAST(CASE WHEN event_id % 2 = 0 THEN 1024 + user_id % 500 ELSE CASE user_id % 3 WHEN 0 THEN 53 WHEN 1 THEN 1812 ELSE 700 END END AS INT) AS src_port",
-    "CAST(CASE WHEN event_id % 2 = 0 THEN CASE user_id % 3 WHEN 0 THEN 53 WHEN 1 THEN 1812 ELSE 700 END ELSE 1024 + user_id % 500 END AS INT) AS dst_port",
-)
-
-
 def udp_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.udp_services(table(spark, sf_dir, "events").selectExpr(*_UDP))
+    return T.udp_services(table(spark, sf_dir, "events").selectExpr(*UDP_ROWS))
 
 
 _KNOWN_UDP = ", ".join(map(str, R.UDP_PORTS))
 _UDP_SQL = f"""
-WITH p AS (SELECT {", ".join(_UDP).replace("STRING", "VARCHAR")} FROM events),
+WITH p AS (SELECT {", ".join(UDP_ROWS).replace("STRING", "VARCHAR")} FROM events),
 c AS (SELECT CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN src_ip ELSE dst_ip END AS i1, CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN src_port ELSE dst_port END AS p1,
              CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN dst_ip ELSE src_ip END AS i2, CASE WHEN (src_ip, src_port) <= (dst_ip, dst_port) THEN dst_port ELSE src_port END AS p2 FROM p),
 f AS (SELECT i1, p1, i2, p2, count(*) AS packets FROM c GROUP BY ALL),
