@@ -163,8 +163,8 @@ def sampling_statistics(connections: DataFrame, sampled: DataFrame, special_port
     return counts.select("original", "sampled", "protected", (F.col("sampled") - F.col("protected")).alias("regular"), F.round(rate, 6).alias("reduction_rate"))
 
 
-def ranks(df: DataFrame, order: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
-    """Add each row's place, from 0, in a global order, without bringing all rows to one task.
+def ranks(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+    """Add each row's place, from 0, in a global order, or in that of each group of ``within``, without bringing all rows to one task.
 
     Rows are dealt into ranges of the first column at approximate quantiles;
     places within a range come from a window, those before it from counts.
@@ -175,6 +175,8 @@ def ranks(df: DataFrame, order: Sequence[str], name: str, buckets: int = 64) ->
     for cut in cuts:
         bucket = bucket + (F.col(first) > cut).cast("int")
     dealt = df.withColumn("_bucket", bucket)
-    before = dealt.groupBy("_bucket").count().withColumn("_before", F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).drop("count")
-    placed = dealt.withColumn("_within", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1)
-    return placed.join(F.broadcast(before), "_bucket").withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before")
+    keys = [*within, "_bucket"]
+    before = dealt.groupBy(*keys).count().withColumn("_before", F.sum("count").over(Window.partitionBy(*within).orderBy("_bucket")) - F.col("count")).drop("count")
+    placed = dealt.withColumn("_within", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    # A row per range, and per group.
+    return placed.join(before, keys).withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.functions.packets import flag_text
+from packetloom.functions.packets import flag_change_text, flag_text, nanoseconds
 
 COMPARED = ("flags", "seq", "ack", "len")
 
@@ -55,3 +55,33 @@ def flow_view(paired: DataFrame) -> DataFrame:
     time = F.least("a.time_ms", "b.time_ms")
     first = F.min(time).over(Window.partitionBy("id_a", "id_b"))
     return paired.select("id_a", "id_b", "ip_id", "k", F.col("a.frame_number").alias("frame_a"), F.col("b.frame_number").alias("frame_b"), (time - first).alias("offset_ms"), status.alias("status"))
+
+
+#: Examples that a group of differences shows.
+EXAMPLES = 10
+
+
+def diff_groups(paired: DataFrame) -> DataFrame:
+    """A row per matched pair of streams: when side A's packets begin and end (ns), how many pairs differ in flags and in sequence numbers, the most frequent change of flags, and the first examples of both.
+
+    Examples are the first by frame; each kind is ranked within its stream, and
+    only these reach a list.
+    """
+    keys = ["id_a", "id_b"]
+    both = paired.where("a IS NOT NULL AND b IS NOT NULL")
+    times = paired.where("a IS NOT NULL").groupBy(*keys).agg(nanoseconds(F.min("a.time_ms") / 1000).alias("first_ns"), nanoseconds(F.max("a.time_ms") / 1000).alias("last_ns"))
+    frames = F.concat(F.lit("Frame "), F.col("a.frame_number").cast("string"), F.lit("->"), F.col("b.frame_number").cast("string"))
+    out = times
+    for kind, text in (("flags", frames), ("seq", F.concat(frames, F.lit(": "), F.col("a.seq").cast("string"), F.lit("->"), F.col("b.seq").cast("string")))):
+        unequal = both.where(F.col(f"a.{kind}") != F.col(f"b.{kind}"))
+        counted = unequal.groupBy(*keys).agg(F.count("*").alias(f"{kind}_differences"))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("a.frame_number", "b.frame_number"))
+        shown = unequal.select(*keys, place.alias("_k"), text.alias("_text")).where(F.col("_k") <= EXAMPLES)
+        listed = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_text"))), lambda x: x["_text"]), "; ").alias("_examples"))
+        more = F.when(F.col(f"{kind}_differences") > EXAMPLES, F.concat(F.lit("; ... and "), (F.col(f"{kind}_differences") - EXAMPLES).cast("string"), F.lit(" more"))).otherwise("")
+        part = counted.join(listed, keys).select(*keys, f"{kind}_differences", F.concat("_examples", more).alias(f"{kind}_examples"))
+        out = out.join(part, keys, "left")
+    changed = both.where("a.flags <> b.flags").groupBy(*keys, F.col("a.flags").alias("_from"), F.col("b.flags").alias("_to")).agg(F.count("*").alias("_n"), F.min("a.frame_number").alias("_seen"))
+    most = changed.groupBy(*keys).agg(F.max_by(F.struct("_from", "_to"), F.struct("_n", -F.col("_seen"))).alias("_c")).select(*keys, flag_change_text(F.col("_c._from"), F.col("_c._to")).alias("flag_change"))
+    zero = {f"{k}_differences": F.coalesce(f"{k}_differences", F.lit(0)) for k in ("flags", "seq")} | {f"{k}_examples": F.coalesce(f"{k}_examples", F.lit("")) for k in ("flags", "seq")}
+    return out.join(most, keys, "left").withColumns(zero)

@@ -8,7 +8,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.operators.connections import ranks
+
 WRAP = 1 << 32
+STREAM = ("capture_id", "stream_id")
+#: What stands for a frame's bytes where the frame itself is not kept.
+CONTENT = ("src_ip", "dst_ip", "src_port", "dst_port", "ip_id", "seq", "ack", "flags", "len")
 
 
 def common_range(captures: Sequence[DataFrame]) -> DataFrame:
@@ -24,18 +29,36 @@ def align_times(captures: Sequence[DataFrame]) -> list[DataFrame]:
 
 
 def crop(packets: DataFrame, start_ms: int, end_ms: int) -> DataFrame:
+    """Packets within the range, ends included."""
     return packets.where(F.col("time_ms").between(start_ms, end_ms))
 
 
-def remove_duplicates(packets: DataFrame, content: Sequence[str], order: Sequence[str], window: int = 5, partition: Sequence[str] = ("capture_id",)) -> DataFrame:
-    """Drop a packet whose content one of the ``window`` packets before it has.
+#: Places of a capture that are compared together; more than any window.
+BLOCK = 1 << 16
+
+
+def remove_duplicates(packets: DataFrame, content: Sequence[str], order: Sequence[str] = ("time_ms", "stream_id", "frame_number"), window: int = 5) -> DataFrame:
+    """Drop a packet whose content one of the ``window`` - 1 packets before it in the same capture has.
 
-    Places are counted within ``partition``; equal contents meet by their hash.
+    Places come from counts of ranges of the order, not from one sorted capture.
+    Equal contents then meet within blocks of places, into which the last packets
+    of the block before are copied, so a content that fills a capture is split.
     """
-    placed = packets.withColumn("_place", F.row_number().over(Window.partitionBy(*partition).orderBy(*order)))
-    same = Window.partitionBy(*partition, F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in content)))).orderBy("_place")
-    gap = F.col("_place") - F.lag("_place").over(same)
-    return placed.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") > window)).drop("_place", "_gap")
+    if not 0 < window <= BLOCK:
+        raise ValueError(f"window must be within 1 and {BLOCK}")
+    placed = ranks(packets, list(order), "_place", ["capture_id"])
+    digest = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content)))
+    block = F.floor(F.col("_place") / BLOCK)
+    # The copies only serve as predecessors.
+    copied = F.when(F.col("_place") % BLOCK >= BLOCK - (window - 1), F.array(F.struct(block.alias("_block"), F.lit(True).alias("_own")), F.struct((block + 1).alias("_block"), F.lit(False).alias("_own")))).otherwise(F.array(F.struct(block.alias("_block"), F.lit(True).alias("_own"))))
+    dealt = placed.withColumn("_digest", digest).select("*", F.inline(copied))
+    gap = F.col("_place") - F.lag("_place").over(Window.partitionBy("capture_id", "_digest", "_block").orderBy("_place"))
+    return dealt.withColumn("_gap", gap).where(F.col("_own") & (F.col("_gap").isNull() | (F.col("_gap") >= window))).drop("_place", "_gap", "_digest", "_block", "_own")
+
+
+def crop_and_remove_duplicates(packets: DataFrame, start_ms: int, end_ms: int, content: Sequence[str], **by) -> DataFrame:
+    """Both steps as one plan: the range reaches the scan."""
+    return remove_duplicates(crop(packets, start_ms, end_ms), content, **by)
 
 
 def one_way_streams(packets: DataFrame, threshold: int = 20) -> DataFrame:
@@ -45,25 +68,25 @@ def one_way_streams(packets: DataFrame, threshold: int = 20) -> DataFrame:
     2**32, and at least one packet without payload must acknowledge more than the
     packet before it.
     """
-    order = Window.partitionBy("stream_id").orderBy("frame_number")
+    order = Window.partitionBy(*STREAM).orderBy("frame_number")
     acks = packets.where(F.col("ack") > 0).withColumn("_before", F.lag("ack").over(order))
-    grown = acks.groupBy("stream_id").agg(
+    grown = acks.groupBy(*STREAM).agg(
         F.min_by("ack", "frame_number").alias("first_ack"), F.max_by("ack", "frame_number").alias("last_ack"),
         F.bool_or((F.col("len") == 0) & (F.col("ack") > F.col("_before"))).alias("pure"),
     )
-    ways = packets.groupBy("stream_id").agg(F.count_distinct("src_ip", "src_port").alias("ways"), F.count("*").alias("packets"))
+    ways = packets.groupBy(*STREAM).agg(F.count_distinct("src_ip", "src_port").alias("ways"), F.count("*").alias("packets"))
     delta = F.pmod(F.col("last_ack") - F.col("first_ack"), F.lit(WRAP))
-    return ways.where("ways = 1").join(grown, "stream_id").where(F.coalesce("pure", F.lit(False)) & (delta > threshold)).select("stream_id", "packets", delta.alias("ack_delta"))
+    return ways.where("ways = 1").join(grown, list(STREAM)).where(F.coalesce("pure", F.lit(False)) & (delta > threshold)).select(*STREAM, "packets", delta.alias("ack_delta"))
 
 
 def remove_one_way(packets: DataFrame, threshold: int = 20) -> DataFrame:
-    return packets.join(one_way_streams(packets, threshold).select("stream_id"), "stream_id", "left_anti")
+    return packets.join(one_way_streams(packets, threshold).select(*STREAM), list(STREAM), "left_anti")
 
 
 Step = Callable[[Sequence[DataFrame]], list[DataFrame]]
 STEPS: dict[str, Step] = {
     "time-align": align_times,
-    "dedup": lambda captures: [remove_duplicates(c, ("src_ip", "dst_ip", "ip_id", "seq", "len"), ("time_ms", "stream_id", "frame_number")) for c in captures],
+    "dedup": lambda captures: [remove_duplicates(c, CONTENT) for c in captures],
     "oneway": lambda captures: [remove_one_way(c) for c in captures],
 }
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions import packets as P
+
 COUNTERS = ("retransmission", "duplicate_ack", "lost_segment", "ack_lost")
 
 
@@ -14,11 +16,49 @@ def _counters(from_client: Column) -> list[Column]:
     return out + [F.count_if(c & F.col(x)).alias(f"{s}_{x}") for s, c in side.items() for x in COUNTERS]
 
 
+def with_tcp_analysis(packets: DataFrame) -> DataFrame:
+    """Packets with the COUNTERS as flags, derived from sequence and acknowledgement numbers.
+
+    A packet is a retransmission if it carries data, a SYN or a FIN and ends no
+    further than its sender has got before; it follows a lost segment if it begins
+    beyond that; it is a duplicate acknowledgement if it carries nothing and
+    repeats its sender's last one; and it acknowledges what was not captured if it
+    names more than the other side was seen to send. Running maxima over each
+    stream in the order of frames; numbers are taken as they are, so a stream that
+    wraps is judged anew after it.
+    """
+    stream = Window.partitionBy("capture_id", "stream_id").orderBy("frame_number")
+    own = Window.partitionBy("capture_id", "stream_id", "_forward").orderBy("frame_number")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    marks = F.col("flags").bitwiseAND(P.SYN | P.FIN) != 0
+    counts = (F.col("len") > 0) | marks
+    end = F.col("seq") + F.col("len") + marks.cast("int")
+    placed = packets.withColumns({"_forward": (F.col("src_ip") < F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port"))), "_end": F.when(counts, end)})
+    other = F.when(F.col("_forward"), F.max(F.when(~F.col("_forward"), F.col("_end"))).over(before(stream))).otherwise(F.max(F.when(F.col("_forward"), F.col("_end"))).over(before(stream)))
+    seen = placed.withColumns({"_sent": F.max("_end").over(before(own)), "_got": other, "_last_ack": F.lag("ack").over(own)})
+    acked = F.col("flags").bitwiseAND(P.ACK) != 0
+    plain = (F.col("len") == 0) & acked & ~marks & ~P.has(F.col("flags"), P.RST)
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return seen.withColumns({
+        "retransmission": flag(counts & (F.col("_end") <= F.col("_sent"))), "duplicate_ack": flag(plain & (F.col("ack") == F.col("_last_ack"))),
+        "lost_segment": flag(counts & ~P.has(F.col("flags"), P.SYN) & (F.col("seq") > F.col("_sent"))), "ack_lost": flag(acked & (F.col("ack") > F.col("_got"))),
+    }).drop("_forward", "_end", "_sent", "_got", "_last_ack")
+
+
+STREAM = ("capture_id", "stream_id")
+
+
 def by_stream(packets: DataFrame) -> DataFrame:
-    """Counters of each direction; the client is who sent the first captured packet."""
-    first = packets.groupBy("stream_id").agg(F.min_by("src_ip", "frame_number").alias("client_ip"), F.min_by("src_port", "frame_number").alias("client_port"))
-    joined = packets.join(first, "stream_id")
-    return joined.groupBy("stream_id").agg(*_counters((F.col("src_ip") == F.col("client_ip")) & (F.col("src_port") == F.col("client_port"))))
+    """Counters of each direction of a capture's streams; the client is who sent the first captured packet.
+
+    Packets are counted by sender before a stream's senders are told apart.
+    """
+    ends = packets.groupBy(*STREAM, "src_ip", "src_port").agg(F.count("*").alias("packets"), *(F.count_if(F.col(x)).alias(x) for x in COUNTERS), F.min("frame_number").alias("_seen"))
+    fields = ("packets", *COUNTERS)
+    of_all = [F.sum(x).alias(f"_all_{x}") for x in fields]
+    grouped = ends.groupBy(*STREAM).agg(F.min_by(F.struct(*fields), "_seen").alias("_client"), *of_all)
+    sides = [F.col(f"_client.{x}").alias(f"client_{x}") for x in fields] + [(F.col(f"_all_{x}") - F.col(f"_client.{x}")).alias(f"server_{x}") for x in fields]
+    return grouped.select(*STREAM, *sides)
 
 
 def by_service(packets: DataFrame, services: DataFrame) -> DataFrame:
@@ -35,14 +75,14 @@ def by_service(packets: DataFrame, services: DataFrame) -> DataFrame:
 
 
 def with_rates(counted: DataFrame) -> DataFrame:
-    """Percentages of packets, loss net of what the other side saw acknowledged, and a score out of 100."""
+    """Percentages of packets, loss net of what the other side saw acknowledged, and a score: 100 less the weighted means of both directions."""
     out = counted
     for s, other in (("client", "server"), ("server", "client")):
         rate = lambda x, s=s: F.when(F.col(f"{s}_packets") > 0, 100.0 * x / F.col(f"{s}_packets")).otherwise(0.0)
         real = F.greatest(F.lit(0), F.col(f"{s}_lost_segment") - F.col(f"{other}_ack_lost"))
         out = out.withColumns({f"{s}_retransmission_rate": F.round(rate(F.col(f"{s}_retransmission")), 6), f"{s}_duplicate_ack_rate": F.round(rate(F.col(f"{s}_duplicate_ack")), 6), f"{s}_real_loss_rate": F.round(rate(real), 6)})
-    total = lambda x: F.col(f"client_{x}_rate") + F.col(f"server_{x}_rate")
-    cost = 0.4 * total("retransmission") + 0.3 * total("duplicate_ack") + 0.3 * total("real_loss")
+    mean = lambda x: (F.col(f"client_{x}_rate") + F.col(f"server_{x}_rate")) / 2
+    cost = 0.4 * mean("retransmission") + 0.3 * mean("duplicate_ack") + 0.3 * mean("real_loss")
     traffic = F.col("client_packets") + F.col("server_packets") > 0
     return out.withColumn("score", F.round(F.when(traffic, F.greatest(F.lit(0.0), 100 - cost)).otherwise(100.0), 4))
 

@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.functions import packets as P_
+from packetloom.functions.flowhash import flow_hash, flow_hash_text
+from packetloom.functions.packets import FLAG_STEPS
 from packetloom.operators import packetdiff as D
 from packetloom.operators import preprocess as P
 from packetloom.operators import quality as Q
+from packetloom.sources import scans
 from packetloom.sources.testbed import duckdb_view, packet_view
+from packetloom.storage import table
 
 _A, _B = duckdb_view("capture_a"), duckdb_view("capture_b")
 _SHIFT = 1_000_000
@@ -35,7 +40,7 @@ p AS (
   SELECT coalesce(a.id_a, b.id_a) AS id_a, coalesce(a.id_b, b.id_b) AS id_b, coalesce(a.ip_id, b.ip_id) AS ip_id, coalesce(a.k, b.k) AS k, a.frame_number AS fa, b.frame_number AS fb, a.time_ms AS ta, b.time_ms AS tb,
          a.flags AS flags_a, b.flags AS flags_b, a.seq AS seq_a, b.seq AS seq_b, a.ack AS ack_a, b.ack AS ack_b, a.len AS len_a, b.len AS len_b
   FROM a FULL JOIN b ON a.id_a = b.id_a AND a.id_b = b.id_b AND a.ip_id = b.ip_id AND a.k = b.k)"""
-_NAMES = ((2, "SYN"), (16, "ACK"), (1, "FIN"), (4, "RST"), (8, "PSH"), (32, "URG"))
+_NAMES = ((1, "FIN"), (2, "SYN"), (4, "RST"), (8, "PSH"), (16, "ACK"), (32, "URG"), (64, "ECE"), (128, "CWR"))
 _FLAGS = lambda c: f"'0x' || lpad(lower(to_hex({c})), 3, '0') || ' [' || coalesce(nullif(concat_ws(', ', {', '.join(f'CASE WHEN {c} & {b} <> 0 THEN {n!r} END' for b, n in _NAMES)}), ''), 'NONE') || ']'"
 _DIFFS_SQL = (
     _PAIRED_SQL + ", d AS (" + " UNION ALL ".join(
@@ -68,12 +73,61 @@ SELECT id_a, id_b, ip_id, k, fa AS frame_a, fb AS frame_b, least(ta, tb) - min(l
 FROM p"""
 
 
+def diff_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.diff_groups(_paired(spark, sf_dir))
+
+
+_PLUS = lambda c: f"coalesce(nullif(concat_ws('+', {', '.join(f'CASE WHEN {c} & {b} <> 0 THEN {n!r} END' for b, n in _NAMES)}), ''), 'NONE')"
+_STEP = lambda t: f"CASE {t} " + " ".join(f"WHEN {n!r} THEN {k}" for n, k in FLAG_STEPS.items()) + " ELSE 999 END"
+_EXAMPLE = {"flags": "'Frame ' || fa || '->' || fb", "seq": "'Frame ' || fa || '->' || fb || ': ' || seq_a || '->' || seq_b"}
+_GROUPS_SQL = _PAIRED_SQL + f""",
+{", ".join(f"""{k}_u AS (SELECT id_a, id_b, {_EXAMPLE[k]} AS x, row_number() OVER (PARTITION BY id_a, id_b ORDER BY fa, fb) AS place, count(*) OVER (PARTITION BY id_a, id_b) AS n FROM p WHERE {k}_a <> {k}_b),
+{k}_g AS (SELECT id_a, id_b, max(n) AS {k}_differences, string_agg(x, '; ' ORDER BY place) || CASE WHEN max(n) > 10 THEN '; ... and ' || (max(n) - 10) || ' more' ELSE '' END AS {k}_examples FROM {k}_u WHERE place <= 10 GROUP BY 1, 2)""" for k in ("flags", "seq"))},
+t AS (SELECT id_a, id_b, min(ta) * 1000000 AS first_ns, max(ta) * 1000000 AS last_ns FROM p WHERE fa IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT id_a, id_b, flags_a, flags_b FROM p WHERE flags_a <> flags_b GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY id_a, id_b ORDER BY count(*) DESC, min(fa)) = 1),
+w AS (SELECT id_a, id_b, {_PLUS("flags_a")} AS x, {_PLUS("flags_b")} AS y FROM c),
+v AS (SELECT id_a, id_b, CASE WHEN {_STEP("x")} <= {_STEP("y")} THEN x || ' (Local Side) -> ' || y ELSE y || ' -> ' || x || ' (Local Side)' END AS flag_change FROM w)
+SELECT id_a, id_b, first_ns, last_ns, coalesce(flags_differences, 0) AS flags_differences, coalesce(flags_examples, '') AS flags_examples, coalesce(seq_differences, 0) AS seq_differences, coalesce(seq_examples, '') AS seq_examples, flag_change
+FROM t LEFT JOIN flags_g USING (id_a, id_b) LEFT JOIN seq_g USING (id_a, id_b) LEFT JOIN v USING (id_a, id_b)"""
+
+
+def flow_view_by_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs are kept apart by the sender's port: differences by kind."""
+    paired = _paired(spark, sf_dir, direction_aware=True)
+    return D.differences(paired).groupBy("id_a", "diff_type").agg(F.count("*").alias("count"))
+
+
+_BY_SENDER_SQL = (
+    _PAIRED_SQL.replace("PARTITION BY stream_id, ip_id ORDER", "PARTITION BY stream_id, ip_id, src_port ORDER").replace("a.ip_id = b.ip_id AND a.k", "a.ip_id = b.ip_id AND a.src_port = b.src_port AND a.k")
+    + ", d AS (" + " UNION ALL ".join([f"SELECT id_a, '{c}' AS diff_type FROM p WHERE {c}_a <> {c}_b" for c in D.COMPARED] + ["SELECT id_a, 'only_in_a' FROM p WHERE fb IS NULL AND k = 1", "SELECT id_a, 'only_in_b' FROM p WHERE fa IS NULL AND k = 1"])
+    + ") SELECT id_a, diff_type, count(*) AS count FROM d GROUP BY 1, 2"
+)
+
+
+def packet_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each packet's scalar readings."""
+    p = packet_view(spark, sf_dir, "capture_a").withColumn("flags", F.expr("flags | CASE WHEN ip_id % 3 = 0 THEN 64 ELSE 0 END | CASE WHEN ip_id % 5 = 0 THEN 128 ELSE 0 END"))
+    pair = P_.port_pair(F.col("src_port"), F.col("dst_port"))
+    return p.select("stream_id", "frame_number", P_.flag_text(F.col("flags")).alias("flags"), P_.ends_connection(F.col("flags")).alias("ends"), P_.hops(F.col("ttl")).alias("hops"), P_.has_intermediate_device(F.col("ttl")).alias("device"), P_.nanoseconds(F.col("time_ms") / 1000).alias("ns"), pair.low.alias("low_port"), pair.high.alias("high_port"))
+
+
+_SCALARS_SQL = f"""
+WITH p AS (SELECT * REPLACE (flags | CASE WHEN ip_id % 3 = 0 THEN 64 ELSE 0 END | CASE WHEN ip_id % 5 = 0 THEN 128 ELSE 0 END AS flags) FROM {_A}), h AS (SELECT *, CASE WHEN ttl <= 0 THEN 0 WHEN ttl <= 64 THEN 64 - ttl WHEN ttl <= 128 THEN 128 - ttl ELSE 255 - ttl END AS hops FROM p)
+SELECT stream_id, frame_number, {_FLAGS("flags")} AS flags, flags & 5 <> 0 AS ends, hops, hops > 0 AS device, time_ms * 1000000 AS ns, least(src_port, dst_port) AS low_port, greatest(src_port, dst_port) AS high_port FROM h"""
+
+
+def flow_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hash per flow, the same for both directions (no SQL: SipHash; tests hold it against a plain one)."""
+    flow = flow_hash(F.col("src_ip"), F.col("dst_ip"), F.col("src_port"), F.col("dst_port"))
+    return packet_view(spark, sf_dir, "capture_a").select("src_ip", "src_port", "dst_ip", "dst_port").distinct().withColumn("f", flow).select("src_ip", "src_port", "dst_ip", "dst_port", "f.*", flow_hash_text(F.col("f")).alias("text"))
+
+
 def quality_by_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.with_rates(Q.by_stream(packet_view(spark, sf_dir, "capture_a")))
 
 
-def _services(packets: DataFrame) -> DataFrame:
-    return packets.where("flags = 18 AND src_port IN (443, 3306)").select(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")).distinct()
+def _services(packets: DataFrame, ports: tuple[int, int] = (443, 3306)) -> DataFrame:
+    return packets.where((F.col("flags") == 18) & F.col("src_port").isin(*ports)).select(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")).distinct()
 
 
 def quality_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +137,7 @@ def quality_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def service_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _views(spark, sf_dir)
-    services = _services(a)
-    return Q.service_comparison(Q.with_rates(Q.by_service(a, services)), Q.with_rates(Q.by_service(b, services.where("port = 443"))))
+    return Q.service_comparison(Q.with_rates(Q.by_service(a, _services(a))), Q.with_rates(Q.by_service(b, _services(b, (443, 80)))))
 
 
 def worst_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,17 +157,17 @@ def _rates_sql(counted: str) -> str:
     columns = ", ".join(
         f"{rate(s, f'{s}_retransmission')} AS {s}_retransmission_rate, {rate(s, f'{s}_duplicate_ack')} AS {s}_duplicate_ack_rate, {rate(s, f'greatest(0, {s}_lost_segment - {o}_ack_lost)')} AS {s}_real_loss_rate" for s, o in (("client", "server"), ("server", "client"))
     )
-    cost = "0.4::DOUBLE * (client_retransmission_rate + server_retransmission_rate) + 0.3::DOUBLE * (client_duplicate_ack_rate + server_duplicate_ack_rate) + 0.3::DOUBLE * (client_real_loss_rate + server_real_loss_rate)"
+    cost = "0.4::DOUBLE * ((client_retransmission_rate + server_retransmission_rate) / 2) + 0.3::DOUBLE * ((client_duplicate_ack_rate + server_duplicate_ack_rate) / 2) + 0.3::DOUBLE * ((client_real_loss_rate + server_real_loss_rate) / 2)"
     return f"SELECT *, round(CASE WHEN client_packets + server_packets > 0 THEN greatest(0, 100 - ({cost})) ELSE 100 END, 4) AS score FROM (SELECT *, {columns} FROM ({counted}))"
 
 
 def _stream_sql(view: str) -> str:
     first = f"(SELECT *, first_value(src_ip) OVER w AS cip, first_value(src_port) OVER w AS cport FROM {view} WINDOW w AS (PARTITION BY stream_id ORDER BY frame_number))"
-    return _rates_sql(_counters_sql(first, "stream_id", "src_ip = cip AND src_port = cport"))
+    return _rates_sql(_counters_sql(first, "capture_id, stream_id", "src_ip = cip AND src_port = cport"))
 
 
-def _service_sql(view: str, only: str = "true") -> str:
-    known = f"(SELECT DISTINCT src_ip AS ip, src_port AS port FROM {_A} WHERE flags = 18 AND src_port IN (443, 3306) AND {only.replace('port', 'src_port')})"
+def _service_sql(view: str, ports: str = "443, 3306") -> str:
+    known = f"(SELECT DISTINCT src_ip AS ip, src_port AS port FROM {view} WHERE flags = 18 AND src_port IN ({ports}))"
     source = f"(SELECT p.*, d.ip IS NOT NULL AS to_it, coalesce(d.ip, s.ip) AS ip, coalesce(d.port, s.port) AS port FROM {view} p LEFT JOIN {known} d ON p.dst_ip = d.ip AND p.dst_port = d.port LEFT JOIN {known} s ON p.src_ip = s.ip AND p.src_port = s.port WHERE d.ip IS NOT NULL OR s.ip IS NOT NULL)"
     return _rates_sql(_counters_sql(source, "ip, port", "to_it"))
 
@@ -123,68 +176,159 @@ _WORST_SQL = f"""
 SELECT id_a, id_b, score_a, score_b, least(score_a, score_b) AS score FROM (
   SELECT DISTINCT a.stream_id AS id_a, a.stream_id + {_SHIFT} AS id_b, coalesce(a.score, 100) AS score_a, coalesce(b.score, 100) AS score_b FROM ({_stream_sql(_A)}) a LEFT JOIN ({_stream_sql(_B)}) b ON b.stream_id = a.stream_id + {_SHIFT})
 ORDER BY 5, 1, 2 LIMIT 10"""
-_COMPARE_SQL = f"SELECT ip, port, coalesce(a.score, 100) AS score_a, coalesce(b.score, 100) AS score_b FROM ({_service_sql(_A)}) a FULL JOIN ({_service_sql(_B, 'port = 443')}) b USING (ip, port)"
+_COMPARE_SQL = f"SELECT ip, port, coalesce(a.score, 100) AS score_a, coalesce(b.score, 100) AS score_b FROM ({_service_sql(_A)}) a FULL JOIN ({_service_sql(_B, '443, 80')}) b USING (ip, port)"
+
+
+def derived_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags from sequence numbers that grow with the stream, sent again or left out here and there."""
+    given = packet_view(spark, sf_dir, "capture_a").drop("retransmission", "duplicate_ack", "lost_segment", "ack_lost").withColumns({"seq": F.expr(_GROWING), "ack": F.expr(_ACKED)})
+    return Q.with_tcp_analysis(given).select("stream_id", "frame_number", *Q.COUNTERS)
+
+
+_GROWING = "CAST(frame_number * 100 - CASE WHEN ip_id % 7 = 0 THEN 300 ELSE 0 END AS BIGINT)"
+_ACKED = "CAST(frame_number * 100 - CASE ip_id % 4 WHEN 0 THEN 0 ELSE 200 END AS BIGINT)"
+_DERIVED_SQL = f"""
+WITH p AS (SELECT * REPLACE ({_GROWING} AS seq, {_ACKED} AS ack), (src_ip, src_port) <= (dst_ip, dst_port) AS fwd, (flags & 3) <> 0 AS marks, (flags & 16) <> 0 AS acked FROM {_A}),
+e AS (SELECT *, len > 0 OR marks AS counts, CASE WHEN len > 0 OR marks THEN seq + len + CAST(marks AS INT) END AS ends FROM p),
+w AS (SELECT *, max(ends) OVER (PARTITION BY stream_id, fwd ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sent, lag(ack) OVER (PARTITION BY stream_id, fwd ORDER BY frame_number) AS last_ack,
+             max(CASE WHEN fwd THEN ends END) OVER s AS f_ends, max(CASE WHEN NOT fwd THEN ends END) OVER s AS b_ends FROM e WINDOW s AS (PARTITION BY stream_id ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT stream_id, frame_number, coalesce(counts AND ends <= sent, false) AS retransmission, coalesce(len = 0 AND acked AND NOT marks AND (flags & 4) = 0 AND ack = last_ack, false) AS duplicate_ack,
+       coalesce(counts AND (flags & 2) = 0 AND seq > sent, false) AS lost_segment, coalesce(acked AND ack > CASE WHEN fwd THEN b_ends ELSE f_ends END, false) AS ack_lost FROM w"""
+
+#: Capture B's clock runs ahead, so the captures share a part of their times.
+_LATER = 400_000
 
 
 def time_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = _views(spark, sf_dir)
-    aligned = P.align_times([a.where("time_ms > 300000"), b.where("time_ms < 2000000")])
+    aligned = P.align_times([a, b.withColumn("time_ms", F.col("time_ms") + _LATER)])
     return aligned[0].union(aligned[1]).select("capture_id", "stream_id", "frame_number")
 
 
-_ALIGNED_SQL = f"""
-WITH a AS (SELECT * FROM {_A} WHERE time_ms > 300000), b AS (SELECT * FROM {_B} WHERE time_ms < 2000000),
-r AS (SELECT greatest((SELECT min(time_ms) FROM a), (SELECT min(time_ms) FROM b)) AS s, least((SELECT max(time_ms) FROM a), (SELECT max(time_ms) FROM b)) AS e)
-SELECT capture_id, stream_id, frame_number FROM (SELECT * FROM a UNION ALL SELECT * FROM b), r WHERE time_ms BETWEEN s AND e"""
+_LATE_B = f"(SELECT * REPLACE (time_ms + {_LATER} AS time_ms) FROM {_B})"
+_RANGE = f"r AS (SELECT greatest((SELECT min(time_ms) FROM {_A}), (SELECT min(time_ms) FROM {_LATE_B})) AS s, least((SELECT max(time_ms) FROM {_A}), (SELECT max(time_ms) FROM {_LATE_B})) AS e)"
+_ALIGNED_SQL = f"WITH {_RANGE} SELECT capture_id, stream_id, frame_number FROM (SELECT * FROM {_A} UNION ALL SELECT * FROM {_LATE_B}), r WHERE time_ms BETWEEN s AND e"
+#: Frames whose content recurs: a few values of what a frame holds.
+_CONTENT = "len % 6"
 
 
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packets = packet_view(spark, sf_dir, "capture_a").withColumn("content", F.col("len") % 6)
-    return P.remove_duplicates(packets, ("content",), ("frame_number",), 3, ("stream_id",)).select("stream_id", "frame_number")
+    """Both captures in one table, each compared with itself in the order of its times."""
+    a, b = (x.withColumn("content", F.expr(_CONTENT)) for x in _views(spark, sf_dir))
+    return P.remove_duplicates(a.unionByName(b), ("content",), window=4).select("capture_id", "stream_id", "frame_number")
+
+
+def _dedup_sql(source: str, content: str, window: int) -> str:
+    return f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY capture_id ORDER BY time_ms, stream_id, frame_number) AS place, {content} AS content FROM {source}) QUALIFY coalesce(place - lag(place) OVER (PARTITION BY capture_id, content ORDER BY place) >= {window}, true))"""
 
 
-_DEDUP_SQL = f"""
-WITH p AS (SELECT stream_id, frame_number, len % 6 AS c, row_number() OVER (PARTITION BY stream_id ORDER BY frame_number) AS place FROM {_A})
-SELECT stream_id, frame_number FROM p QUALIFY coalesce(place - lag(place) OVER (PARTITION BY stream_id, c ORDER BY place) > 3, true)"""
+_DEDUP_SQL = f"SELECT capture_id, stream_id, frame_number FROM {_dedup_sql(f'(SELECT * FROM {_A} UNION ALL SELECT * FROM {_B})', _CONTENT, 4)}"
+
+
+def cropped_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = packet_view(spark, sf_dir, "capture_a").withColumn("content", F.expr(_CONTENT))
+    return P.crop_and_remove_duplicates(a, 500_000, 1_500_000, ("content",), window=3).select("stream_id", "frame_number")
+
+
+_CROPPED_SQL = f"SELECT stream_id, frame_number FROM {_dedup_sql(f'(SELECT * FROM {_A} WHERE time_ms BETWEEN 500000 AND 1500000)', _CONTENT, 3)}"
+#: A third of the streams answers to the client's own end, half of the packets carry nothing.
+_ONE_SIDED = {
+    "src_ip": "CASE WHEN stream_id % 3 = 0 AND frame_number % 2 = 0 THEN dst_ip ELSE src_ip END", "src_port": "CASE WHEN stream_id % 3 = 0 AND frame_number % 2 = 0 THEN dst_port ELSE src_port END", "len": "CASE WHEN stream_id % 2 = 0 THEN 0 ELSE len END",
+}
 
 
 def one_way_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = packet_view(spark, sf_dir, "capture_a").where("stream_id % 3 <> 0 OR frame_number % 2 = 1").withColumn("len", F.when(F.col("stream_id") % 2 == 0, 0).otherwise(F.col("len")))
-    return P.one_way_streams(one)
+    return P.one_way_streams(packet_view(spark, sf_dir, "capture_a").withColumns({c: F.expr(e) for c, e in _ONE_SIDED.items()}))
+
+
+def _one_way_sql(source: str) -> str:
+    delta = "((t - f) % 4294967296 + 4294967296) % 4294967296"
+    return f"""(WITH q AS (SELECT * FROM {source}), w AS (SELECT capture_id, stream_id, count(DISTINCT (src_ip, src_port)) AS ways, count(*) AS packets FROM q GROUP BY 1, 2),
+l AS (SELECT *, lag(ack) OVER (PARTITION BY capture_id, stream_id ORDER BY frame_number) AS before FROM q WHERE ack > 0),
+g AS (SELECT capture_id, stream_id, arg_min(ack, frame_number) AS f, arg_max(ack, frame_number) AS t, bool_or(len = 0 AND ack > before) AS pure FROM l GROUP BY 1, 2)
+SELECT capture_id, stream_id, packets, {delta} AS ack_delta FROM w JOIN g USING (capture_id, stream_id) WHERE ways = 1 AND pure AND {delta} > 20)"""
 
 
-_ONE_WAY_SQL = f"""
-WITH p AS (SELECT * REPLACE (CASE WHEN stream_id % 2 = 0 THEN 0 ELSE len END AS len) FROM {_A} WHERE stream_id % 3 <> 0 OR frame_number % 2 = 1),
-w AS (SELECT stream_id, count(DISTINCT (src_ip, src_port)) AS ways, count(*) AS packets FROM p GROUP BY 1),
-l AS (SELECT *, lag(ack) OVER (PARTITION BY stream_id ORDER BY frame_number) AS before FROM p WHERE ack > 0),
-g AS (SELECT stream_id, arg_min(ack, frame_number) AS f, arg_max(ack, frame_number) AS t, bool_or(len = 0 AND ack > before) AS pure FROM l GROUP BY 1)
-SELECT stream_id, packets, ((t - f) % 4294967296 + 4294967296) % 4294967296 AS ack_delta FROM w JOIN g USING (stream_id) WHERE ways = 1 AND pure AND ((t - f) % 4294967296 + 4294967296) % 4294967296 > 20"""
+_ONE_WAY_SQL = f"SELECT * FROM {_one_way_sql(f'(SELECT * REPLACE ({chr(44).join(f"{e} AS {c}" for c, e in _ONE_SIDED.items())}) FROM {_A})')}"
 
 
 def preprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Time alignment and one-way removal over both captures, as counts of what is left."""
-    out = P.preprocess(_views(spark, sf_dir), ("time-align", "oneway"))
+    """All three steps over both captures, as counts of what is left."""
+    a, b = _views(spark, sf_dir)
+    out = P.preprocess([a, b.withColumn("time_ms", F.col("time_ms") + _LATER)])
     return out[0].unionByName(out[1]).groupBy("capture_id").agg(F.count("*").alias("packets"), F.count_distinct("stream_id").alias("streams"))
 
 
-def _left_sql(v: str) -> str:
-    return f"""SELECT capture_id, count(*) AS packets, count(DISTINCT stream_id) AS streams FROM (
-  SELECT * FROM {v} v{v is _A:d} WHERE stream_id NOT IN (
-    SELECT stream_id FROM (SELECT stream_id, count(DISTINCT (src_ip, src_port)) AS ways FROM {v}, r WHERE time_ms BETWEEN s AND e GROUP BY 1) JOIN
-      (SELECT stream_id, arg_min(ack, frame_number) AS f, arg_max(ack, frame_number) AS t, bool_or(len = 0 AND ack > before) AS pure
-       FROM (SELECT *, lag(ack) OVER (PARTITION BY stream_id ORDER BY frame_number) AS before FROM {v}, r WHERE ack > 0 AND time_ms BETWEEN s AND e) GROUP BY 1) USING (stream_id)
-    WHERE ways = 1 AND pure AND ((t - f) % 4294967296 + 4294967296) % 4294967296 > 20)), r WHERE time_ms BETWEEN s AND e GROUP BY 1"""
+_FRAME = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in P.CONTENT)
+_PREPROCESSED_SQL = f"""
+WITH {_RANGE}, x AS (SELECT q.* FROM (SELECT * FROM {_A} UNION ALL SELECT * FROM {_LATE_B}) q, r WHERE time_ms BETWEEN s AND e), y AS (SELECT * FROM {_dedup_sql("x", _FRAME, 5)})
+SELECT capture_id, count(*) AS packets, count(DISTINCT stream_id) AS streams FROM y WHERE (capture_id, stream_id) NOT IN (SELECT (capture_id, stream_id) FROM {_one_way_sql("y")}) GROUP BY 1"""
 
 
-_PREPROCESSED_SQL = f"""
-WITH r AS (SELECT greatest((SELECT min(time_ms) FROM {_A}), (SELECT min(time_ms) FROM {_B})) AS s, least((SELECT max(time_ms) FROM {_A}), (SELECT max(time_ms) FROM {_B})) AS e)
-{_left_sql(_A)} UNION ALL {_left_sql(_B)}"""
+def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets and time range of each capture."""
+    a, b = _views(spark, sf_dir)
+    return a.unionByName(b).groupBy("capture_id").agg(F.count("*").alias("packets"), F.min("time_ms").alias("first_ms"), F.max("time_ms").alias("last_ms"))
+
+
+_SUMMARY_SQL = f"SELECT capture_id, count(*) AS packets, min(time_ms) AS first_ms, max(time_ms) AS last_ms FROM (SELECT * FROM {_A} UNION ALL SELECT * FROM {_B}) GROUP BY 1"
+
+
+def endpoint_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets between two ends, both ways: those of the first stream of capture A."""
+    p = packet_view(spark, sf_dir, "capture_a")
+    first = p.where("stream_id = 1 AND frame_number % 2 = 1").selectExpr("src_ip", "src_port", "dst_ip", "dst_port").first()
+    return scans.of_endpoints(p, *(first or ("", 0, "", 0))).select("stream_id", "frame_number")
+
+
+_ENDS_SQL = f"WITH p AS (SELECT * FROM {_A}), f AS (SELECT src_ip AS si, src_port AS sp, dst_ip AS di, dst_port AS dp FROM p WHERE stream_id = 1 AND frame_number % 2 = 1 LIMIT 1) SELECT stream_id, frame_number FROM p, f WHERE ((src_ip, src_port) = (si, sp) AND (dst_ip, dst_port) = (di, dp)) OR ((src_ip, src_port) = (di, dp) AND (dst_ip, dst_port) = (si, sp))"
+
+
+def stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.of_stream(packet_view(spark, sf_dir, "capture_a"), 7).select("stream_id", "frame_number")
+
+
+def many_stream_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of all streams that some report names: here those of every tenth order."""
+    ids = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 3").selectExpr("o_orderkey AS stream_id")
+    return scans.of_streams(packet_view(spark, sf_dir, "capture_a"), ids).select("stream_id", "frame_number")
 
-QUERIES = {f.__name__: f for f in (packet_diff, diff_summary, flag_changes, flow_view, quality_by_stream, quality_by_service, service_comparison, worst_pairs, time_aligned, deduplicated, one_way_streams, preprocessed)}
+
+_STACK = "'eth:ip:tcp' || CASE server WHEN 443 THEN ':tls' WHEN 80 THEN ':HTTP:json' ELSE '' END"
+
+
+def protocols_present(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.protocols(_stacks(spark, sf_dir))
+
+
+def _stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packet_view(spark, sf_dir, "capture_a").selectExpr("least(src_port, dst_port) AS server").selectExpr(f"{_STACK} AS protocols")
+
+
+_PROTOCOLS_SQL = f"SELECT DISTINCT unnest(string_split(lower(x), ':')) AS protocol FROM (SELECT {_STACK} AS x FROM (SELECT least(src_port, dst_port) AS server FROM {_A}))"
+_NEEDS = (("tls_alert", "tls"), ("tls_alert", "ssl"), ("json_stats", "json"), ("sip_stats", "sip"), ("protocol_hierarchy", None), ("tcp_duration", "tcp"))
+
+
+def runnable_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.runnable_modules(protocols_present(spark, sf_dir), spark.createDataFrame(_NEEDS, "module string, protocol string"))
+
+
+_NEED_ROWS = ", ".join(f"('{m}', {'NULL' if p is None else repr(p)})" for m, p in _NEEDS)
+_RUNNABLE_SQL = f"SELECT DISTINCT module FROM (VALUES {_NEED_ROWS}) v(module, protocol) WHERE protocol IS NULL OR protocol IN (SELECT protocol FROM ({_PROTOCOLS_SQL}))"
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        packet_diff, diff_summary, flag_changes, diff_groups, flow_view, flow_view_by_sender, packet_scalars, flow_hashes, quality_by_stream, quality_by_service, service_comparison, worst_pairs, derived_quality, time_aligned, deduplicated, cropped_deduplicated,
+        one_way_streams, preprocessed, capture_summary, endpoint_packets, stream_packets, many_stream_packets, protocols_present, runnable_modules,
+    )
+}
 ORACLES = {
     "packet_diff": _DIFFS_SQL + " SELECT * FROM d",
     "diff_summary": _DIFFS_SQL + " SELECT id_a, id_b, diff_type, count(*) AS count FROM d GROUP BY ALL",
     "flag_changes": _DIFFS_SQL + " SELECT id_a, id_b, value_a, value_b, count(*) AS count FROM d WHERE diff_type = 'flags' GROUP BY ALL",
-    "flow_view": _FLOW_SQL, "quality_by_stream": _stream_sql(_A), "quality_by_service": _service_sql(_A), "service_comparison": _COMPARE_SQL, "worst_pairs": _WORST_SQL,
-    "time_aligned": _ALIGNED_SQL, "deduplicated": _DEDUP_SQL, "one_way_streams": _ONE_WAY_SQL, "preprocessed": _PREPROCESSED_SQL,
+    "diff_groups": _GROUPS_SQL, "flow_view": _FLOW_SQL, "flow_view_by_sender": _BY_SENDER_SQL, "packet_scalars": _SCALARS_SQL, "quality_by_stream": _stream_sql(_A), "quality_by_service": _service_sql(_A), "service_comparison": _COMPARE_SQL, "worst_pairs": _WORST_SQL,
+    "derived_quality": _DERIVED_SQL, "time_aligned": _ALIGNED_SQL, "deduplicated": _DEDUP_SQL, "cropped_deduplicated": _CROPPED_SQL, "one_way_streams": _ONE_WAY_SQL, "preprocessed": _PREPROCESSED_SQL, "capture_summary": _SUMMARY_SQL,
+    "endpoint_packets": _ENDS_SQL, "stream_packets": f"SELECT stream_id, frame_number FROM {_A} WHERE stream_id = 7", "many_stream_packets": f"SELECT stream_id, frame_number FROM {_A} WHERE stream_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3)",
+    "protocols_present": _PROTOCOLS_SQL, "runnable_modules": _RUNNABLE_SQL,
 }

@@ -1,8 +1,12 @@
 """Small literal cases of roles, positions, assignment and streams."""
 
+import ipaddress
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from packetloom.operators import matching, roles, topology
+from packetloom.functions import flowhash, packets
+from packetloom.operators import graph, matching, modules, packetdiff, preprocess, quality, roles, topology
 from packetloom.streaming import sessions
 
 CONNECTION = "capture_id string, stream_id long, client_ip string, client_port int, server_ip string, server_port int, syn_options string"
@@ -160,3 +164,144 @@ def test_confidences(spark):
     assert [r[0] for r in rows.select(roles.lesser_confidence(F.col("a"), F.col("b"))).collect()] == ["LOW", "MEDIUM", "UNKNOWN"]
     assert rows.agg(roles.mean_confidence(F.col("a")), roles.mean_confidence(F.col("b"))).first()[:] == ("LOW", "MEDIUM")
     assert rows.limit(0).agg(roles.mean_confidence(F.col("a"))).first()[0] == "UNKNOWN"
+
+
+def plain_siphash(data):
+    """SipHash-1-3 with a zero key, word by word."""
+    mask = (1 << 64) - 1
+    v = [0x736F6D6570736575, 0x646F72616E646F6D, 0x6C7967656E657261, 0x7465646279746573]
+
+    def turn(x, b):
+        return (x << b | x >> (64 - b)) & mask
+
+    def step():
+        v[0] = (v[0] + v[1]) & mask
+        v[1] = turn(v[1], 13) ^ v[0]
+        v[0] = turn(v[0], 32)
+        v[2] = (v[2] + v[3]) & mask
+        v[3] = turn(v[3], 16) ^ v[2]
+        v[0] = (v[0] + v[3]) & mask
+        v[3] = turn(v[3], 21) ^ v[0]
+        v[2] = (v[2] + v[1]) & mask
+        v[1] = turn(v[1], 17) ^ v[2]
+        v[2] = turn(v[2], 32)
+
+    whole = len(data) // 8 * 8
+    words = [int.from_bytes(data[i : i + 8], "little") for i in range(0, whole, 8)] + [int.from_bytes(data[whole:], "little") | (len(data) & 255) << 56]
+    for w in words:
+        v[3] ^= w
+        step()
+        v[0] ^= w
+    v[2] ^= 0xFF
+    for _ in range(3):
+        step()
+    return v[0] ^ v[1] ^ v[2] ^ v[3]
+
+
+def test_flow_hashes_agree_with_plain_ones(spark):
+    rng = np.random.default_rng(1)
+    for n in (0, 5, 8, 53, 77):
+        records = rng.integers(0, 256, (3, n), dtype=np.uint8)
+        assert flowhash.siphash13(records).tolist() == [plain_siphash(r.tobytes()) for r in records]
+    flows = [("10.0.0.1", "10.0.0.2", 1000, 443), ("10.0.0.2", "10.0.0.1", 443, 1000), ("10.0.0.9", "10.0.0.10", 80, 80), ("10.0.0.10", "10.0.0.9", 80, 80), ("::1", "fe80::2", 5, 1280), ("no ip", "10.0.0.1", 1, 2), (None, "10.0.0.1", 1, 2)]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(flows)], "i int, s string, d string, sp int, dp int")
+    flow = flowhash.flow_hash(F.col("s"), F.col("d"), F.col("sp"), F.col("dp"))
+    got = {r.i: (r.flow_hash, r.side, r.text) for r in df.select("i", flow.alias("f")).select("i", "f.*", flowhash.flow_hash_text(F.col("f")).alias("text")).collect()}
+    for i, (s, d, sp, dp) in enumerate(flows[:5]):
+        swap = lambda p: int.from_bytes(p.to_bytes(2, "big"), "little")
+        forward = swap(sp) > swap(dp) or (sp == dp and int(ipaddress.ip_address(s)) >= int(ipaddress.ip_address(d)))
+        (a, p), (b, q) = ((s, sp), (d, dp)) if forward else ((d, dp), (s, sp))
+        packed = [ipaddress.ip_address(x).packed for x in (a, b)]
+        record = p.to_bytes(2, "big") + q.to_bytes(2, "big") + b"".join(bytes(8) + len(x).to_bytes(8, "little") + x for x in packed) + (1).to_bytes(8, "little") + b"\x06"
+        want = plain_siphash(record)
+        assert got[i][:2] == (want - (1 << 64) if want >> 63 else want, 1 if forward else 2)
+        assert got[i][2] == f"{got[i][0]} ({'LHS>=RHS' if forward else 'RHS>LHS'})"
+    assert got[0][0] == got[1][0] and got[2][0] == got[3][0] and got[5][:2] == got[6][:2] == (None, 0)
+
+
+def test_flags_print_in_their_bits_order(spark):
+    df = spark.createDataFrame([(0x11, 0x10), (0x12, 0x02), (0xC2, 0x00), (0x14, 0x11), (0x02, 0x12)], "a int, b int")
+    got = df.select(packets.flag_text(F.col("a")), packets.flag_change_text(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == ["0x011 [FIN, ACK]", "0x012 [SYN, ACK]", "0x0c2 [SYN, ECE, CWR]", "0x014 [RST, ACK]", "0x002 [SYN]"]
+    assert [r[1] for r in got] == ["ACK -> FIN+ACK (Local Side)", "SYN -> SYN+ACK (Local Side)", "SYN+ECE+CWR (Local Side) -> NONE", "FIN+ACK -> RST+ACK (Local Side)", "SYN (Local Side) -> SYN+ACK"]
+
+
+def test_score_takes_the_mean_of_both_directions(spark):
+    row = {"client_packets": 100, "server_packets": 50, "client_retransmission": 10, "server_retransmission": 0, "client_duplicate_ack": 4, "server_duplicate_ack": 1, "client_lost_segment": 6, "server_lost_segment": 0, "client_ack_lost": 0, "server_ack_lost": 4}
+    got = quality.with_rates(spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} long" for c in row))).first()
+    # Means: 5 % retransmitted, 3 % repeated, 1 % lost for good.
+    assert got.score == 100 - (0.4 * 5 + 0.3 * 3 + 0.3 * 1) and got.client_real_loss_rate == 2.0
+
+
+def test_flags_are_derived_from_numbers(spark):
+    ends = {True: ("1.1.1.1", 5, "2.2.2.2", 80), False: ("2.2.2.2", 80, "1.1.1.1", 5)}
+    rows = [
+        (True, 2, 99, 0, 0), (False, 18, 499, 100, 0), (True, 16, 100, 500, 10), (True, 16, 100, 500, 10), (True, 16, 140, 500, 10),  # sent again, then a gap of 30
+        (False, 16, 500, 110, 0), (False, 16, 500, 110, 0), (False, 16, 500, 200, 0), (True, 16, 150, 500, 0),
+    ]
+    df = spark.createDataFrame([("A", 1, i + 1, *ends[f], flags, seq, ack, n) for i, (f, flags, seq, ack, n) in enumerate(rows)], "capture_id string, stream_id long, frame_number long, src_ip string, src_port int, dst_ip string, dst_port int, flags int, seq long, ack long, len int")
+    got = {r.frame_number: {c for c in quality.COUNTERS if r[c]} for r in quality.with_tcp_analysis(df).collect()}
+    assert got == {1: set(), 2: set(), 3: set(), 4: {"retransmission"}, 5: {"lost_segment"}, 6: set(), 7: {"duplicate_ack"}, 8: {"ack_lost"}, 9: {"duplicate_ack"}}
+
+
+def test_captures_in_one_table_stay_apart(spark):
+    rows = [(c, 1, i, "a" if i % 2 else "b", 1 if i % 2 else 2, False, False, False, False) for c in "AB" for i in range(1, 5 if c == "A" else 3)]
+    df = spark.createDataFrame(rows, "capture_id string, stream_id long, frame_number long, src_ip string, src_port int, retransmission boolean, duplicate_ack boolean, lost_segment boolean, ack_lost boolean")
+    assert {(r.capture_id, r.client_packets, r.server_packets) for r in quality.by_stream(df).collect()} == {("A", 2, 2), ("B", 1, 1)}
+
+
+def test_duplicates_are_dropped_within_the_window_across_blocks(spark):
+    contents = [i % 7 if i % 3 else 0 for i in range(400)]
+    df = spark.createDataFrame([("A", 1, i, i, c) for i, c in enumerate(contents)] + [("B", 1, i, i, 0) for i in range(5)], "capture_id string, stream_id long, frame_number long, time_ms long, content int")
+    for window, block in ((5, 1 << 16), (5, 16), (1, 16), (16, 16)):
+        preprocess.BLOCK, kept = block, preprocess.BLOCK
+        got = {(r.capture_id, r.frame_number) for r in preprocess.remove_duplicates(df, ("content",), window=window).collect()}
+        preprocess.BLOCK = kept
+        # The packet is compared with the window's other packets before it.
+        want = {("A", i) for i in range(400) if contents[i] not in contents[max(0, i - window + 1) : i]} | {("B", i) for i in range(5) if window == 1 or i == 0}
+        assert got == want, (window, block)
+
+
+def test_voice_quality_of_known_cases(spark):
+    df = spark.createDataFrame([(0.0, 0.0, "g711u"), (2.0, 30.0, "G729"), (0.0, 60.0, "opus"), (100.0, 200.0, "x"), (0.0, 10.0, "ilbc")], "loss double, jitter double, codec string")
+    got = [(r.r_factor, r.rating) for r in modules.voice_quality(df).collect()]
+    # 93.2 - 10; 83 - 10.8 - 5; 92 - 10 - 15 - 8; below zero; 82 - 10.
+    assert got == [(83.2, "Good"), (67.2, "Poor"), (59.0, "Bad"), (0.0, "Bad"), (72.0, "Fair")]
+
+
+def test_completeness_of_flag_strings(spark):
+    df = spark.createDataFrame([("--DASS",), ("RFDASS",), ("---A-S",), ("-----S",), ("----S-",), ("-F---S",)], "completeness string")
+    got = {r.flags: (r.status, r.data, r.severity) for r in modules.completeness(df).collect()}
+    assert got == {
+        "--DASS": ("Complete", "WITH_DATA", "Low"), "RFDASS": ("Complete", "WITH_DATA_CLOSED", "Low"), "---A-S": ("Established", "NO_DATA", "Medium"), "-----S": ("Half-open", "NO_DATA", "High"), "----S-": ("Unknown", "NO_DATA", "High"), "-F---S": ("Half-open", "NO_DATA_CLOSED", "High"),
+    }
+
+
+def test_jitter_of_long_streams(spark):
+    rng = np.random.default_rng(2)
+    arrivals = np.cumsum(rng.integers(0, 60, 3000))
+    rows = [("a", 1, "b", 2, 7, i, int(t), i, i * 160) for i, t in enumerate(arrivals)]
+    got = modules.rtp_streams(spark.createDataFrame(rows, "src_ip string, src_port int, dst_ip string, dst_port int, ssrc long, frame_number long, time_ms long, media_seq long, media_time long")).first()
+    j, seen, last = 0.0, [], None
+    for i, t in enumerate(arrivals):
+        transit = int(t) - i * 20.0
+        j += (abs(transit - last) - j) / 16 if last is not None else 0.0
+        seen, last = [*seen, j], transit
+    assert abs(got.jitter - sum(seen) / len(seen)) < 1e-3 and abs(got.max_jitter - max(seen)) < 1e-3 and got.lost == 0
+
+
+def test_a_table_of_nodes_goes_to_a_database(spark, tmp_path):
+    nodes = spark.createDataFrame([(0, "10.0.0.1", [1]), (1, None, [])], "pcap_id int, ip string, net_area array<int>")
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    for mode in ("append", "append", "overwrite"):
+        graph.write_table(nodes, url, "nodes", mode)
+    rows = spark.read.format("jdbc").option("url", url).option("dbtable", "nodes").load().collect()
+    assert sorted((r[0], r[1], r[2]) for r in rows) == [(0, "10.0.0.1", "{1}"), (1, None, "{}")]
+
+
+def test_examples_of_differences_are_bounded(spark):
+    ends = [(1, 2, 5, k, {"frame_number": k, "time_ms": k, "flags": 16, "seq": k, "ack": 0, "len": 0}, {"frame_number": 100 + k, "time_ms": k, "flags": 24 if k < 12 else 16, "seq": k + (k == 3), "ack": 0, "len": 0}) for k in range(1, 21)]
+    packet = "struct<frame_number:long,time_ms:long,flags:int,seq:long,ack:long,len:int>"
+    got = packetdiff.diff_groups(spark.createDataFrame(ends, f"id_a long, id_b long, ip_id int, k int, a {packet}, b {packet}")).first()
+    assert (got.flags_differences, got.seq_differences, got.seq_examples) == (11, 1, "Frame 3->103: 3->4") and got.flags_examples.endswith("Frame 10->110; ... and 1 more")
+    assert got.flag_change == "ACK (Local Side) -> PSH+ACK" and (got.first_ns, got.last_ns) == (1_000_000, 20_000_000)

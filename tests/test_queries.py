@@ -30,7 +30,11 @@ def rows(df: pd.DataFrame) -> list[tuple]:
     return sorted(tuple(map(text, r)) for r in df.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+#: SQL cannot express these; they have tests of their own.
+WITHOUT_SQL = {"flow_hashes"}
+
+
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - WITHOUT_SQL))
 def test_query_agrees_with_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     answer = duck.execute(catalog.oracle_sql()[name])
@@ -40,4 +44,4 @@ def test_query_agrees_with_sql(spark, duck, name):
 
 
 def test_every_query_has_sql():
-    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    assert set(catalog.queries()) - WITHOUT_SQL == set(catalog.oracle_sql())
