@@ -17,21 +17,27 @@ from pyspark.sql import functions as F
 
 from packetloom.storage import materialize
 
-#: A candidate: a run of so many characters that tokens and keys are written in.
-LEAST_LENGTH = 16
-CANDIDATE = rf"[A-Za-z0-9_+/=-]{{{LEAST_LENGTH},}}"
+#: A candidate: a run of so many of the characters that tokens and keys are written in, or a shorter one with letters and figures.
+LONG, SHORT = 16, 8
+_SIGNS = "A-Za-z0-9_+/=-"
+CANDIDATE = rf"(?<![{_SIGNS}])(?:[{_SIGNS}]{{{LONG},}}|(?=[A-Za-z_+/=-]*[0-9])(?=[0-9_+/=-]*[A-Za-z])[{_SIGNS}]{{{SHORT},}})"
 #: A part of a run that is a candidate of its own; parts end behind equals signs: name=, value, base64==.
-VALUE = rf"^[A-Za-z0-9_+/-]{{{LEAST_LENGTH},}}"
+VALUE = rf"^(?:[A-Za-z0-9_+/-]{{{LONG},}}|(?=[A-Za-z_+/-]*[0-9])(?=[0-9_+/-]*[A-Za-z])[A-Za-z0-9_+/-]{{{SHORT},}})"
 #: Words on each side of a candidate that count as its neighbours.
 NEIGHBOURS = 3
-#: The dictionary: so many of the words that occur most in all texts.
-DICTIONARY_WORDS = 5000
-#: Labelled findings of each class that are made for training.
-LABELLED_ROWS = 2000
-TREES, DEPTH, SEED = 30, 8, 7
-
-SECRET_WORDS = r"token|secret|passw(or)?d|pwd|api.?key|access.?key|auth|bearer|credential|private"
-HARMLESS_WORDS = r"example|sample|dummy|placeholder|uuid|guid|commit|sha1|sha256|md5|checksum|digest|etag|revision|hash|order|invoice|isbn|card|phone"
+#: The dictionary: words that make up at least this share of all words, so at most 100 000, whatever the corpus.
+DICTIONARY_SHARE = 1e-5
+#: Labelled findings of each class that are made for training, and words of the dictionary that their prose is made of.
+LABELLED_ROWS, LABEL_WORDS = 3000, 200
+TREES, DEPTH, SEED = 40, 10, 7
+
+SECRET_WORDS = r"token|secret|passw(or)?d|pwd|passphrase|api.?key|access.?key|auth|bearer|credential|private"
+HARMLESS_WORDS = r"example|sample|dummy|placeholder|uuid|guid|commit|sha1|sha256|md5|checksum|digest|etag|revision|hash|order|invoice|isbn|card|phone|build|request.?id|trace.?id|session.?id"
+#: How tokens of well-known issuers begin.
+ISSUERS = r"^(ghp_|gho_|ghs_|github_pat_|glpat-|AKIA|ASIA|AIza|xox[abpr]-|sk-|sk_live_|rk_live_|npm_|pypi-|eyJ|SG\.)"
+UUID = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+#: The word right before a candidate, up to an assignment.
+_NEXT = r"(^|[^a-z0-9])[a-z0-9_.]*({})[a-z0-9_]*[\"'`]?\s*(is\s+)?[=:]*\s*[\"'`(\[<]*$"
 TEST_PATH = r"test|example|sample|fixture|mock|doc"
 CONFIG_PATH = r"\.(env|ini|conf|cfg|ya?ml|json|toml|properties)$|config|settings"
 
@@ -46,7 +52,7 @@ def candidates(documents: DataFrame) -> DataFrame:
     around = lambda ws, begin, end: F.array_join(F.slice(ws, begin, F.greatest(end - begin, F.lit(0))), " ")
 
     def found(ws: Column) -> Column:
-        index = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: (F.length(F.element_at(ws, i)) >= LEAST_LENGTH) & F.element_at(ws, i).rlike(CANDIDATE))
+        index = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: (F.length(F.element_at(ws, i)) >= SHORT) & F.element_at(ws, i).rlike(CANDIDATE))
         return F.transform(
             index,
             lambda i: F.struct(
@@ -88,10 +94,12 @@ def _parts(word: Column) -> Column:
     return held(F.regexp_extract_all(word, F.lit(f"({CANDIDATE})"), F.lit(1)), lambda runs: held(F.split(word, CANDIDATE), lambda gaps: of_word(runs, gaps)))
 
 
-def dictionary(documents: DataFrame, size: int = DICTIONARY_WORDS) -> DataFrame:
-    """The ``size`` words of at least four letters that occur most in all texts: bounded, so it may be broadcast."""
+def dictionary(documents: DataFrame, share: float = DICTIONARY_SHARE) -> DataFrame:
+    """The words of at least four letters that make up at least ``share`` of all such words: at most 1 / share, so they may be broadcast."""
     words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), F.lit(1))).alias("word"))
-    return materialize(words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(size).select("word"))
+    counted = materialize(words.groupBy("word").count())
+    total = counted.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("total"))
+    return materialize(counted.crossJoin(F.broadcast(total)).where(F.col("count") >= share * F.col("total")).select("word"))
 
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -126,6 +134,8 @@ def with_features(found: DataFrame, known_words: DataFrame) -> DataFrame:
         (F.coalesce("_covered", F.lit(0)) / n).alias("dictionary"),
         flag(path.rlike(TEST_PATH)).alias("test_path"), flag(path.rlike(CONFIG_PATH)).alias("config_path"),
         flag(F.lower("before").rlike(SECRET_WORDS)).alias("secret_before"), flag(near.rlike(HARMLESS_WORDS)).alias("harmless_near"),
+        flag(F.lower("before").rlike(_NEXT.format(SECRET_WORDS))).alias("secret_next"), flag(F.lower("before").rlike(_NEXT.format(HARMLESS_WORDS))).alias("harmless_next"),
+        flag(c.rlike(ISSUERS)).alias("issuer"), flag(c.rlike(UUID)).alias("uuid"), flag(F.col("before").rlike(r"://[^/ ]*:$")).alias("in_address"),
         flag(lower.rlike(r"example|your|placeholder|xxxx|1234|abcd|changeme")).alias("placeholder"),
         flag(F.col("before").rlike(r"[=:]\s*[\"'`]*$") & ~c.startswith("//")).alias("assigned"), flag(F.col("quoted")).alias("in_quotes"),
     )
@@ -133,57 +143,80 @@ def with_features(found: DataFrame, known_words: DataFrame) -> DataFrame:
 
 FEATURES = (
     "length", "digits", "capitals", "signs", "distinct", "hexadecimal", "numeric", "kind_transitions", "sound_transitions", "unequal_transitions",
-    "dictionary", "test_path", "config_path", "secret_before", "harmless_near", "placeholder", "assigned", "in_quotes",
+    "dictionary", "test_path", "config_path", "secret_before", "harmless_near", "secret_next", "harmless_next", "issuer", "uuid", "in_address", "placeholder", "assigned", "in_quotes",
 )
 
 
-def labelled_findings(spark: SparkSession, known_words: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
+#: Ways to write a finding: name, separator and what closes it, around @; the names come from the lists below.
+FORMS = ("{name} = \"@\"", "{name}: '@'", "{name}=@", "{\"{name}\":\"@\"}", "--{name} @", "export {name}=@", "- {name}: @", "{name} is @", "{name} @", "?{name}=@", "{name} := `@`")
+SECRET_NAMES = ("token", "secret", "password", "api_key", "access_key", "auth", "Bearer", "PASSWORD", "API_TOKEN", "db_passwd", "client_secret", "private_key", "AWS_SECRET_ACCESS_KEY")
+HARMLESS_NAMES = ("commit", "sha256", "md5", "checksum", "revision", "uuid", "etag", "build", "request_id", "trace_id", "token commit", "secret checksum", "digest")
+BARE = "@"
+
+
+def labelled_findings(spark: SparkSession, known_words: DataFrame, rows: int = LABELLED_ROWS, forms: tuple[str, ...] = FORMS) -> DataFrame:
     """Findings with a ``label``: ``rows`` secrets (1) and ``rows`` others (0), written by rule from a hash of their number.
 
-    Secrets are hexadecimal, base64 or mixed strings behind words such as token
-    or password, apart or in the same word. Others are words of the dictionary put together, numbers,
-    digests and identifiers named as such, paths and placeholders.
+    Secrets are random strings, or words and figures, behind the names of secrets in any of ``forms``,
+    in the credentials of an address, or with an issuer's prefix and no name.
+    Others are words of the dictionary put together, numbers, digests and
+    identifiers named as such or not at all, identifiers behind names of
+    secrets, and placeholders. They are made as texts, in which ``candidates``
+    then finds them.
     """
-    words = F.array(*(F.lit(r["word"]) for r in known_words.orderBy("word").limit(200).collect() or [{"word": "word"}]))
+    words = F.array(*(F.lit(r["word"]) for r in known_words.orderBy("word").limit(LABEL_WORDS).collect() or [{"word": "word"}]))
     i = F.col("id")
     draw = lambda salt, n: F.pmod(F.xxhash64(i, F.lit(salt)), F.lit(n))
     word = lambda salt: F.element_at(words, (draw(salt, 1 << 30) % F.size(words) + 1).cast("int"))
     pick = lambda salt, *options: F.element_at(F.array(*(o if isinstance(o, Column) else F.lit(o) for o in options)), (draw(salt, len(options)) + 1).cast("int"))
-    digest = F.sha2(i.cast("string").cast("binary"), 256)
-    base64 = F.translate(F.base64(F.unhex(digest)), "=", "")
-    secret = pick(1, F.sha1(i.cast("string").cast("binary")), digest, F.md5(i.cast("string").cast("binary")), base64, F.substring(base64, 1, 24), F.concat(pick(2, "ghp_", "sk-", "AKIA", "xoxb-"), F.substring(base64, 3, 30)))
-    secret_before = F.concat_ws(" ", word(3), pick(4, "token", "secret", "password", "api_key", "access_key", "auth", "Bearer", "PASSWORD", "TOKEN"), pick(5, "=", ":", "=", ""))
-    inline = lambda salt, name: F.concat(pick(salt, "", "{\"", "--"), name, pick(salt + 1, "=", "=\"", ":'", "\":\""))
-    apart = draw(27, 2) == 0
-    secret_before = F.when(apart, secret_before).otherwise(F.concat_ws(" ", word(3), inline(28, pick(4, "token", "secret", "password", "api_key", "access_key", "auth", "bearer", "PASSWORD", "TOKEN"))))
-    number = F.conv(F.substring(digest, 1, 15), 16, 10)
+    hexadecimal = F.sha2(i.cast("string").cast("binary"), 256)
+    base64 = F.translate(F.base64(F.unhex(hexadecimal)), "=", "")
+    some = lambda salt, least, most: F.substring(F.translate(base64, "+/", "xy"), F.lit(1), (draw(salt, most - least) + least).cast("int"))
+    issued = F.concat(pick(1, "ghp_", "gho_", "glpat-", "sk-", "sk_live_", "AKIA", "AIza", "xoxb-", "npm_", "eyJ"), some(2, 20, 36))
+    password = F.concat(F.substring(F.translate(base64, "+/0123456789", "ab"), 1, 6), F.lpad(draw(3, 10_000).cast("string"), 4, "0"))
+    worded = F.concat(word(40), draw(41, 10).cast("string"), F.substring(word(42), 1, 4), F.lpad(draw(43, 100).cast("string"), 2, "0"))
+    password = pick(44, password, worded)
+    secret = pick(4, F.substring(hexadecimal, 1, 32), F.substring(hexadecimal, 1, 40), hexadecimal, base64, some(5, 20, 42), issued, password)
+    number = F.conv(F.substring(hexadecimal, 1, 15), 16, 10)
     joint = pick(6, "", "_", "-", "/")
-    other_kind = draw(7, 6)
     compound = F.concat_ws("", word(8), joint, word(9), joint, word(10), joint, word(11), joint, word(12))
-    other = (
-        F.when(other_kind == 0, compound).when(other_kind == 1, F.concat(number, number)).when(other_kind == 2, F.upper(compound))
-        .when(other_kind == 3, pick(13, digest, F.sha1(digest.cast("binary")), F.md5(digest.cast("binary"))))
-        .when(other_kind == 4, pick(14, "xxxxxxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "EXAMPLE_TOKEN_PLACEHOLDER", "1234567890123456789", "abcdabcdabcdabcdabcd"))
-        .otherwise(F.repeat(pick(15, "-", "=", "_", "0", "ha"), 24))
+    uuid = F.concat_ws("-", *(F.substring(hexadecimal, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    digest = pick(13, F.substring(hexadecimal, 1, 40), hexadecimal, F.substring(hexadecimal, 1, 32), uuid)
+    placeholder = pick(14, "xxxxxxxxxxxxxxxxxxxxxxxx", "your_api_key_goes_here", "EXAMPLE_TOKEN_PLACEHOLDER", "1234567890123456789", "abcdabcdabcdabcdabcd", "changeme12345")
+    dull = F.repeat(pick(15, "-", "=", "_", "0", "ha"), 24)
+    named = lambda salt, *names: pick(salt, *names)
+
+    def written(salt: int, name: Column, value: Column) -> Column:
+        """A finding in one of the forms."""
+        forms_of = F.element_at(F.array(*map(F.lit, forms)), (draw(salt, len(forms)) + 1).cast("int"))
+        return F.replace(F.replace(forms_of, F.lit("{name}"), name), F.lit("@"), value)
+
+    kind = draw(16, 10)
+    prose = lambda salt: F.concat_ws(" ", word(salt), word(salt + 100), word(salt + 200))
+    positive = (
+        F.when(kind == 0, issued).when(kind == 1, F.concat(F.lit("https://"), word(17), F.lit(":"), secret, F.lit("@host.example.net/"), word(18)))
+        .when(kind == 2, F.concat(F.lit("https://host.net/"), word(17), F.lit("?"), named(19, *SECRET_NAMES), F.lit("="), secret, F.lit("&n=1"))).otherwise(written(20, named(21, *SECRET_NAMES), secret))
+    )
+    negative = (
+        F.when(kind <= 1, written(20, named(22, *HARMLESS_NAMES), digest)).when(kind == 2, digest).when(kind == 3, written(20, named(21, *SECRET_NAMES), pick(23, uuid, placeholder, compound)))
+        .when(kind == 4, compound).when(kind == 5, pick(24, F.concat(number, number), F.concat(word(25), number), dull)).when(kind == 6, F.upper(compound)).when(kind == 7, written(20, word(26), pick(27, digest, compound, number)))
+        .when(kind == 8, F.concat(F.lit("https://host.net/"), compound, F.lit("/"), digest)).otherwise(F.concat(word(28), F.lit("."), compound))
     )
-    plain_before = F.concat_ws(" ", word(16), word(17), word(18))
-    harmless = F.concat_ws(" ", word(16), pick(19, "commit", "sha256", "md5", "checksum", "revision", "uuid"), pick(20, "", "=", ":"))
-    harmless = F.when(apart, harmless).otherwise(F.concat_ws(" ", word(16), inline(30, pick(19, "commit", "sha256", "md5", "checksum", "revision", "uuid"))))
-    plain_before = F.when(draw(32, 3) > 0, plain_before).otherwise(F.concat_ws(" ", word(16), inline(33, word(17))))
-    other_before = F.when(other_kind == 3, harmless).when((other_kind == 4) & (draw(21, 2) == 0), secret_before).otherwise(plain_before)
-    base = lambda label: spark.range(rows).withColumn("id", i * 2 + label).withColumn("label", F.lit(float(label)))
-    path = pick(22, "src1", "src2/app.py", "config/settings.yaml", "tests/test_login.py", "docs/readme.md", ".env")
-    shared = [path.alias("path"), F.lit(0).alias("word_index"), F.lit(0).alias("place")]
-    after = F.concat_ws(" ", word(23), word(24), word(25)).alias("after")
-    secrets = base(1).select("label", i.alias("doc_id"), *shared, secret.alias("candidate"), secret_before.alias("before"), after, (draw(26, 3) > 0).alias("quoted"))
-    others = base(0).select("label", i.alias("doc_id"), *shared, other.alias("candidate"), other_before.alias("before"), after, (draw(26, 4) == 0).alias("quoted"))
-    return secrets.union(others).where(F.length("candidate") >= LEAST_LENGTH)
+    path = pick(29, "src1", "src2/app.py", "config/settings.yaml", "tests/test_login.py", "docs/readme.md", ".env", "web")
+    base = lambda label: spark.range(rows).withColumn("id", i * 2 + label)
+    text = lambda finding: F.concat_ws(" ", prose(30), finding, prose(31))
+    made = base(1).select(i.alias("doc_id"), text(positive).alias("text"), path.alias("source"), secret.alias("_value"), issued.alias("_issued")).union(base(0).select(i.alias("doc_id"), text(negative).alias("text"), path.alias("source"), F.lit(""), F.lit("")))
+    found = candidates(materialize(made.select("doc_id", "text", "source")))
+    truth = materialize(made.select("doc_id", "_value", "_issued"))
+    # In the text of a secret other strings may be candidates too: those are none.
+    is_secret = (F.col("doc_id") % 2 == 1) & (F.contains(F.col("candidate"), F.rtrim("_value", F.lit("="))) | F.contains(F.col("candidate"), F.col("_issued")))
+    return found.join(truth, "doc_id").select(is_secret.cast("double").alias("label"), *found.columns)
 
 
 def train(labelled: DataFrame, known_words: DataFrame) -> RandomForestClassificationModel:
     """Fit the forest on findings with a ``label``; their number is bounded by LABELLED_ROWS."""
     # One ordered partition of a bounded number of rows, so the forest is the same each time.
-    rows = materialize(with_features(labelled, known_words)).coalesce(1).sortWithinPartitions("label", "doc_id")
+    rows = materialize(with_features(labelled, known_words)).coalesce(1).sortWithinPartitions("label", "doc_id", "word_index", "place")
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
     return forest.fit(_assembled(rows))
 
@@ -202,7 +235,9 @@ def judge(found: DataFrame, model: RandomForestClassificationModel, known_words:
 def scan(documents: DataFrame) -> DataFrame:
     """Candidates of every text of ``documents`` (doc_id, text, source if any) and whether each is a secret.
 
-    The forest is trained on ``labelled_findings``. Null, empty and short texts
+    The forest is trained on ``labelled_findings``. Candidates are runs of at
+    least LONG signs, or of SHORT with letters and figures; other signs end a run,
+    so a password with such signs is seen in parts. Null, empty and short texts
     have no candidates; null doc_ids and sources pass; repeated rows are judged
     alike; other columns are left out; an empty table gives no rows.
     """

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from packetloom.llm import decontaminate, jpeg, near_dedup, packing, pii, secrets, substring_dedup, textkit, toxicity, url_filter, warc
 
@@ -513,13 +514,37 @@ def test_secrets_whose_names_stand_in_the_same_word(spark):
     assert got == {(i, 0) for i in forms}
 
 
-def test_forest_on_held_out_findings(spark):
-    known = spark.createDataFrame([(w,) for w in ("apple", "river", "stone", "cloud", "table")], "word string")
-    every = secrets.labelled_findings(spark, known, 600)
-    model = secrets.train(every.where("pmod(xxhash64(doc_id), 4) > 0"), known)
-    held = every.where("pmod(xxhash64(doc_id), 4) = 0")
-    judged = secrets.judge(held, model, known).groupBy("doc_id").agg({"secret": "max"}).collect()
-    assert sum((r[1] is True) == (r["doc_id"] % 2 == 1) for r in judged) / len(judged) > 0.97
+def test_secrets_in_the_lines_that_people_write(spark):
+    key, mixed = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "n4bQgYhMfWWaLqgxVrQFaOTxsrC0Is0V1sFbDwCgg"
+    secret = [
+        f"token={key}", f"export API_KEY={key}", f"ghp_{mixed[:36]}", f"AKIA{mixed[:16].upper()}", f"xoxb-{mixed[:30]}", f"password: '{mixed[:20]}'", f"https://bob:{mixed[:24]}@db.example.net/x", f'"client_secret":"{mixed}"', f"Bearer {mixed}",
+        "password = hunter2dog77",
+    ]
+    plain = [
+        "the token is 3f2504e0-4f89-11d3-9a0c-0305e82c3301", f"token commit {key}", f"sha256: {key}", "internationalisation of antidisestablishmentarianism", "https://host.net/some_long_path_of_words/index_page", f"etag={key}", "build 20240131123456789012", "==================",
+        "3f2504e0-4f89-11d3-9a0c-0305e82c3301", "api_key = your_api_key_goes_here",
+    ]
+    prose = "ordinary words stand around the finding in every text"
+    got = {r["doc_id"] for r in secrets.scan(documents(spark, [f"see {x} there" for x in secret + plain] + [prose] * 3)).collect() if r["secret"]}
+    assert got == set(range(len(secret)))
+
+
+def test_forest_on_forms_that_it_has_not_seen(spark):
+    """Trained on some ways to write a finding, judged on others; rates of single candidates."""
+    known = spark.createDataFrame([(w,) for w in ("apple", "river", "stone", "cloud", "table", "winter", "letter", "garden")], "word string")
+    model = secrets.train(secrets.labelled_findings(spark, known, 1500, secrets.FORMS[:8]), known)
+    held = secrets.labelled_findings(spark, known, 600, secrets.FORMS[8:]).withColumn("doc_id", F.col("doc_id") + 100_000)
+    judged = secrets.judge(held, model, known).join(held.select("doc_id", "word_index", "place", "label"), ["doc_id", "word_index", "place"])
+    n = {(r["label"] == 1, r["secret"]): r["count"] for r in judged.groupBy("label", "secret").count().collect()}
+    hits, missed, false = n[True, True], n.get((True, False), 0), n.get((False, True), 0)
+    precision, recall = hits / (hits + false), hits / (hits + missed)
+    assert precision > 0.93 and recall > 0.93, (precision, recall)
+
+
+def test_no_dictionary_without_words(spark):
+    assert secrets.dictionary(spark.createDataFrame([(1, None), (2, "a b")], "doc_id long, text string")).count() == 0
+    words_of = secrets.dictionary(spark.createDataFrame([(1, "apple apple river stone " * 5)], "doc_id long, text string"), share=0.3)
+    assert [r["word"] for r in words_of.collect()] == ["apple"]
 
 
 def test_url_rules_and_terms(spark):
