@@ -21,7 +21,7 @@ from packetloom.storage import materialize
 SPAN = 10
 GRAM = 5
 
-_WINDOWS = "item_id long, span int, window string, fingerprint long"
+_WINDOWS = "item_id string, span int, window string, fingerprint long"
 _DOCUMENTS = "doc_id long, version long, n_words long, hits array<struct<fingerprint:bigint,first:int,span:int,context:string>>"
 _HITS = pa.list_(pa.struct([("fingerprint", pa.int64()), ("first", pa.int32()), ("span", pa.int32()), ("context", pa.string())]))
 
@@ -51,9 +51,9 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                         for k, f in enumerate(window_fingerprints(words.hashes[a:b], span).view(np.int64).tolist()):
                             rows.append((ids[begin + i], span, words.text(a + k, a + k + span).decode(), f))
             columns = zip(*rows) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.string(), pa.int64()))], ["item_id", "span", "window", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], ["item_id", "span", "window", "fingerprint"])
 
-    return benchmark.selectExpr("CAST(item_id AS BIGINT) AS item_id", "text").where("item_id IS NOT NULL").mapInArrow(find, _WINDOWS)
+    return benchmark.selectExpr("CAST(item_id AS STRING) AS item_id", "text").where("item_id IS NOT NULL").mapInArrow(find, _WINDOWS)
 
 
 def document_fingerprints(documents: DataFrame, sieve, spans: list[int]) -> DataFrame:

@@ -382,6 +382,26 @@ def test_near_duplicate_edges(spark):
     assert near_dedup.group_near_duplicates(edges.limit(0)).count() == 0
 
 
+def test_texts_of_one_doc_id_are_judged_each(spark):
+    x, y = " ".join(words(70, 60)), " ".join(words(71, 60))
+    df = spark.createDataFrame([(3, x), (5, x), (5, y), (5, y), (7, y + " end")], "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_dedup.remove_near_duplicates(df).collect())
+    assert got == sorted([(3, x), (5, y), (5, y)])
+
+
+def test_crowded_bands_are_dealt_to_parts(spark, monkeypatch):
+    base = words(80, 200, 400)
+    r, texts = random.Random(8), []
+    for _ in range(60):
+        ws = list(base)
+        for _ in range(r.randrange(8)):
+            ws[r.randrange(len(ws))] = f"new{r.randrange(10**6)}"
+        texts.append(" ".join(ws))
+    monkeypatch.setattr(near_dedup, "PART", 10)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"], x["kept"]) for x in near_dedup.group_near_duplicates(documents(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
 def test_shingle_length_is_the_callers(spark):
     import corpus_pipeline
 
@@ -432,6 +452,35 @@ def test_toxicity_learns_stems_and_holds_out(spark):
     assert toxicity.grade_documents(docs.limit(0), table).count() == 0
 
 
+def test_ordinal_fit_is_as_likely_as_a_plain_optimiser_finds(spark):
+    """The fit's penalised likelihood against hill climbing from several starts, on a small problem."""
+    rng = np.random.default_rng(4)
+    x = rng.poisson(1.0, (60, 3)).astype(float)
+    grades = np.digitize(x @ np.array([1.0, 0.5, -0.5]) + rng.logistic(size=60), [0.5, 1.8])
+    rows, columns = np.nonzero(x)
+    weights, cuts = toxicity.fit_ordinal(rows, columns, x[rows, columns], grades, np.ones(60), 3)
+
+    def cost(p):
+        w, c = p[:3], np.array([p[3], p[3] + np.exp(p[4])])
+        above = np.column_stack([np.ones(60), 1 / (1 + np.exp(-(x @ w)[:, None] + c[None, :])), np.zeros(60)])
+        i = np.arange(60)
+        return -np.mean(np.log(np.maximum(above[i, grades] - above[i, grades + 1], 1e-12))) + toxicity._L2 / 2 * (w**2).sum()
+
+    best = np.inf
+    for start in range(4):
+        p, step = rng.normal(size=5), 1.0
+        value = cost(p)
+        while step > 1e-5:
+            tries = [p + step * d for d in np.vstack([np.eye(5), -np.eye(5)])]
+            values = [cost(t) for t in tries]
+            if min(values) < value - 1e-12:
+                p, value = tries[int(np.argmin(values))], min(values)
+            else:
+                step /= 2
+        best = min(best, value)
+    assert cost(np.array([*weights, cuts[0], np.log(cuts[1] - cuts[0])])) <= best + 1e-3
+
+
 def test_ordinal_gradient_fits_known_cuts():
     r = np.random.default_rng(7)
     x = r.normal(size=4000)
@@ -465,6 +514,38 @@ def test_plan_fills_sequences_without_gaps(capacity, counts):
     assert len(bins) <= max(1, 2 * -(-total // capacity)) or not counts
 
 
+def fewest(lengths, capacity):
+    """The fewest sequences for some lengths, by trying all."""
+    best = [len(lengths)]
+
+    def place(i, bins):
+        if len(bins) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(bins)
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[i] <= capacity and bins[j] not in bins[:j]:
+                place(i + 1, bins[:j] + [bins[j] + lengths[i]] + bins[j + 1 :])
+        place(i + 1, [*bins, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_plan_is_near_the_fewest_sequences():
+    r, over = random.Random(6), 0
+    for _ in range(150):
+        lengths = sorted((r.randrange(1, 21) for _ in range(r.randrange(1, 10))), reverse=True)
+        got, least = packing.n_sequences(packing.plan(collections.Counter(lengths), 20)), fewest(lengths, 20)
+        assert least <= got <= least + 1, lengths
+        over += got > least
+    assert over <= 15
+    many = collections.Counter(min(2048, 1 + int(r.expovariate(1 / 400))) for _ in range(20_000))
+    total = sum(k * n for k, n in many.items())
+    assert packing.n_sequences(packing.plan(many, 2048)) <= 1.001 * total / 2048 + 1
+
+
 def test_packing_agrees_with_the_tokenizer(spark):
     path = public_tokenizers.path(packing.VOCABULARY)
     texts = [*TEXTS, "It's O'CLOCK, don't! <|endoftext|>, <|ENDOFTEXT|>x É\u0301, a…, '' x²,12. ΣΑΣ İ. \x1cq\x85r", "word " * 5000]
