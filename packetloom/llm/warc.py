@@ -9,11 +9,13 @@ between stages.
 from __future__ import annotations
 
 import hashlib
+import io
 import re
 import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from typing import BinaryIO
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -39,6 +41,9 @@ ARCHIVE_BYTES = 256 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_REVISIT_BYTES = 1000
 
+#: Rows of records that a task passes on at once.
+ROWS_AT_ONCE = 4096
+
 MANIFEST = "path string, n_records long"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -111,43 +116,71 @@ def _check_digest(given: str | None, data: bytes) -> None:
         raise WarcError("a digest does not fit its data")
 
 
-def frame_length(data: bytes | memoryview, at: int) -> int:
-    """Bytes of the Zstandard frame at ``at``, from its header and block headers (RFC 8878)."""
-    magic, flags = struct.unpack_from("<IB", data, at)
-    if magic != ZSTD_FRAME:
-        raise WarcError(f"no Zstandard frame at byte {at}")
-    single = flags >> 5 & 1
-    end = at + 5 + (not single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
-    last = 0
-    while not last:
-        block = int.from_bytes(data[end : end + 3], "little")
-        last, kind, size = block & 1, block >> 1 & 3, block >> 3
-        end += 3 + (1 if kind == 1 else size)
-        if kind == 3 or end > len(data):
-            raise WarcError("a frame with a reserved block type or a cut end")
-    return end + 4 * (flags >> 2 & 1) - at
-
-
-def read_archive(data: bytes) -> Iterator[Record]:
-    """The records of an archive, one frame each."""
-    view, at, dictionary = memoryview(data), 0, None
-    if len(data) >= 8 and struct.unpack_from("<I", data)[0] == DICTIONARY_FRAME:
-        at = 8 + struct.unpack_from("<I", data, 4)[0]
-        raw = data[8:at]
-        if len(raw) != at - 8:
-            raise WarcError("the dictionary frame is cut")
-        if raw[:4] == struct.pack("<I", ZSTD_FRAME):
-            raw = zstandard.ZstdDecompressor().decompress(raw)
-        dictionary = zstandard.ZstdCompressionDict(raw)
-    decompressor = zstandard.ZstdDecompressor(dict_data=dictionary)
-    while at < len(data):
-        size = frame_length(view, at)
+#: Bytes of an archive that are read at a time.
+READ_BYTES = 1 << 18
+#: Magic numbers of skippable frames differ in their last four bits.
+SKIPPABLE, SKIPPABLE_MASK = 0x184D2A50, 0xFFFFFFF0
+
+
+class _Source:
+    """Bytes of an archive, read as they are needed."""
+
+    def __init__(self, file: BinaryIO):
+        self.file, self.held = file, b""
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer at the end."""
+        parts = [self.held[:n]]
+        left, self.held = n - len(parts[0]), self.held[n:]
+        while left > 0 and (more := self.file.read(max(left, READ_BYTES))):
+            parts.append(more[:left])
+            left, self.held = left - len(parts[-1]), more[left:]
+        return b"".join(parts)
+
+    def give_back(self, data: bytes) -> None:
+        self.held = data + self.held
+
+    def frame(self, decompressor: zstandard.ZstdDecompressor) -> bytes:
+        """The content of the frame that begins here, whether or not its header names a size."""
+        stream, parts = decompressor.decompressobj(), []
         try:
-            plain = decompressor.decompress(view[at : at + size])
+            while not stream.eof:
+                data = self.take(READ_BYTES)
+                if not data:
+                    raise WarcError("a frame's end is cut")
+                parts.append(stream.decompress(data))
         except zstandard.ZstdError as error:
             raise WarcError(str(error)) from error
-        yield parse_record(plain)
-        at += size
+        self.give_back(stream.unused_data)
+        return b"".join(parts)
+
+
+def read_archive(data: bytes | BinaryIO) -> Iterator[Record]:
+    """The records of an archive, one frame each; it is read in parts, and one record is held at a time.
+
+    The dictionary is in a leading skippable frame, if there is one; other
+    skippable frames, wherever they stand, are passed over.
+    """
+    source, decompressor, first = _Source(io.BytesIO(data) if isinstance(data, bytes) else data), zstandard.ZstdDecompressor(), True
+    while head := source.take(4):
+        if len(head) < 4:
+            raise WarcError("a frame's magic number is cut")
+        magic = struct.unpack("<I", head)[0]
+        if magic & SKIPPABLE_MASK == SKIPPABLE:
+            length = source.take(4)
+            raw = source.take(struct.unpack("<I", length)[0]) if len(length) == 4 else b""
+            if len(length) < 4 or len(raw) < struct.unpack("<I", length)[0]:
+                raise WarcError("a skippable frame is cut")
+            if first and magic == DICTIONARY_FRAME:
+                if raw[:4] == struct.pack("<I", ZSTD_FRAME):
+                    raw = _Source(io.BytesIO(raw)).frame(zstandard.ZstdDecompressor())
+                decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+        elif magic == ZSTD_FRAME:
+            source.give_back(head)
+            yield parse_record(source.frame(decompressor))
+        else:
+            raise WarcError("neither a Zstandard nor a skippable frame")
+        first = False
 
 
 @dataclass
@@ -237,7 +270,10 @@ def write_archives(records: DataFrame, folder: str, date: str = "1970-01-01T00:0
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    """A row per record of the archives in ``manifest``, from the records alone; a broken one fails the job."""
+    """A row per record of the archives in ``manifest``, from the records alone; a broken one fails the job.
+
+    An archive is read in parts; a task holds one record and some thousand rows.
+    """
 
     def page(urn: str | None) -> int | None:
         digits = (urn or "").removeprefix("<urn:page:").removesuffix(">")
@@ -247,17 +283,22 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
         files, _ = fs.FileSystem.from_uri(folder)
         names = [x.split()[0] for x in RECORDS.split(", ")]
         types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+        as_batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
         for batch in batches:
             for path, n_records in zip(batch.column("path").to_pylist(), batch.column("n_records").to_pylist()):
+                n, rows = 0, []
                 with files.open_input_stream(path) as source:
-                    data = source.read()
-                rows = []
-                for record in read_archive(data):
-                    h = record.headers
-                    rows.append((page(h["warc-record-id"]), h.get("warc-target-uri"), record.payload()[1], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], page(h.get("warc-refers-to"))))
-                if len(rows) != n_records:
-                    raise WarcError(f"{path} holds {len(rows)} records, not {n_records}")
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
+                    for record in read_archive(source):
+                        h = record.headers
+                        rows.append((page(h["warc-record-id"]), h.get("warc-target-uri"), record.payload()[1], h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], page(h.get("warc-refers-to"))))
+                        n += 1
+                        if len(rows) == ROWS_AT_ONCE:
+                            yield as_batch(rows)
+                            rows = []
+                if n != n_records:
+                    raise WarcError(f"{path} holds {n} records, not {n_records}")
+                if rows:
+                    yield as_batch(rows)
 
     # The number is given, since Spark would join so few small rows in one task.
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -5,12 +5,14 @@ import hashlib
 import os
 import random
 import re
+import struct
 import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -95,10 +97,33 @@ def test_warc_frames_and_faults():
     data = archive(records)
     assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_FRAME
     assert [r.headers["warc-record-id"] for r in warc.read_archive(data)] == [f"<urn:page:{i}>" for i in range(400)]
-    at, n = 8 + int.from_bytes(data[4:8], "little"), 0
+    plain, at = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(zstandard.ZstdDecompressor().decompress(data[8 : 8 + int.from_bytes(data[4:8], "little")]))), 8 + int.from_bytes(data[4:8], "little")
+    frames = 0
     while at < len(data):
-        at, n = at + warc.frame_length(data, at), n + 1
-    assert n == 400
+        one = plain.decompressobj()
+        one.decompress(data[at:])
+        at, frames = len(data) - len(one.unused_data), frames + 1
+    assert frames == 400
+    # Frames whose headers name no size, and skippable frames in between, read the same.
+    sizeless = zstandard.ZstdCompressor(write_content_size=False)
+    skip = struct.pack("<II", 0x184D2A53, 5) + b"aside"
+    other = skip + skip.join(sizeless.compress(r) for r in records[:5]) + skip
+    assert [r.block for r in warc.read_archive(other)] == [warc.parse_record(r).block for r in records[:5]]
+
+    class Dribble:
+        """Gives few bytes at a time."""
+
+        def __init__(self, data):
+            self.data, self.at = data, 0
+
+        def read(self, n):
+            self.at += min(n, 7)
+            return self.data[self.at - min(n, 7) : self.at]
+
+    assert sum(1 for _ in warc.read_archive(Dribble(other))) == 5
+    for cut in (other[:3], other[:10], other[:-3], other[: len(skip) + 20], b"junk" + other):
+        with pytest.raises(warc.WarcError):
+            list(warc.read_archive(cut))
     with pytest.raises(warc.WarcError):
         list(warc.read_archive(data[:-5]))
     for broken in (records[0].replace(b"WARC/1.1", b"WARC/9.9"), records[0].replace(b"WARC-Date", b"X-Date"), records[0] + b"x", records[0].replace(b"page 0", b"page 1")):
@@ -234,9 +259,22 @@ def test_substring_dedup_agrees_with_brute_force(spark, window, gram):
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, version string, start int").repartition(3)
     got = substring_dedup.remove_repeats(df, window, gram).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert sorted(map(tuple, got), key=str) == brute_removal(rows, window)
+    split = substring_dedup.remove_repeats(df, window, gram, crowd=2).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert sorted(map(tuple, split), key=str) == brute_removal(rows, window)
     assert substring_dedup.remove_repeats(df.limit(0), window, gram).count() == 0
 
 
+def test_windows_of_crowded_buckets_are_counted_by_themselves(spark):
+    """One gram in many contexts: its bucket's windows go on as rows, and none that is shared is lost."""
+    r = random.Random(3)
+    line = " ".join(f"line{k}" for k in range(6))
+    texts = [" ".join([*(f"a{r.randrange(10**6)}" for _ in range(3)), line, *(f"b{r.randrange(10**6)}" for _ in range(3))]) for _ in range(30)]
+    texts += [texts[i] + " tail" for i in range(0, 30, 7)]
+    for crowd in (0, 5):
+        got = substring_dedup.remove_repeats(documents(spark, texts), 8, 3, crowd).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == brute_removal(list(enumerate(texts)), 8)
+
+
 # ---- 5 JPEG ------------------------------------------------------------------------------------
 
 
@@ -639,3 +677,22 @@ def test_url_rules_and_terms(spark):
         ("xcom", "/en/", None, "allow"), ("h", "", None, "allow"), ("h", "", None, "allow"), ("b:", "//c/d", None, "allow"),
     ]
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_many_rules_agree_with_trying_all():
+    r = random.Random(1)
+    hosts = [".".join(r.choices("abc", k=r.randrange(1, 4))) for _ in range(60)]
+    rules = [url_filter.Rule(r.choice(("block", "allow")), h, "/" + "".join(r.choices("xy/", k=r.randrange(3)))) for h in hosts]
+    table = url_filter.RuleTable(rules)
+    for _ in range(2000):
+        host, path = ".".join(r.choices("abc", k=r.randrange(1, 5))), "/" + "".join(r.choices("xy/", k=r.randrange(4)))
+        fits = [x for x in rules if (host == x.host or host.endswith("." + x.host)) and path.startswith(x.path)]
+        want = max(fits, key=lambda x: (len(x.text), x.text), default=None)
+        got = table.longest(host, path)
+        assert (got and got.text) == (want and want.text)
+
+
+def test_vocabulary_file():
+    assert url_filter.read_vocabulary("# a\n\nCasino strict\nfree soft\n") == {"casino": "strict", "free": "soft"} and len(url_filter.VOCABULARY) > 50
+    with pytest.raises(ValueError):
+        url_filter.read_vocabulary("x loud")
