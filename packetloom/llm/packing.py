@@ -260,6 +260,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_group: int = RANK_GRO
     Pieces of a length are ranked in groups by a hash, and the groups follow one
     another, so a length that a third of all pieces share is ranked by many
     tasks. Only counts by length, at most ``capacity`` rows, reach the driver.
+    Sizes of groups grow with the data: they are joined where the ranks are.
     """
     spark = pieces.sparkSession
     n = pieces.count()
@@ -272,7 +273,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_group: int = RANK_GRO
     in_order = Window.partitionBy("length").orderBy("_group")
     before = sizes.withColumn("_before", F.sum("_n").over(in_order) - F.col("_n")).drop("_n")
     within = Window.partitionBy("length", "_group").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = grouped.withColumn("_rank", F.row_number().over(within) - 1).join(before, ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    ranked = grouped.withColumn("_rank", F.row_number().over(within) - 1).join(before.hint("shuffle_hash"), ["length", "_group"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     rows = [(x.length, x.rank_from, x.rank_from + x.n, x.per_sequence, x.sequence, x.offset) for x in placements]
     places = spark.createDataFrame(rows, "length long, _from long, _to long, _each long, _sequence long, _offset long")
     # At most a few placements per length: bounded by the capacity alone.
