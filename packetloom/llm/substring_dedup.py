@@ -10,6 +10,8 @@ Two things keep the traffic small and even. Grams that many documents share
 order after all others, so that a common line does not become the minimiser of
 every window that holds it. And only super-k-mers whose minimiser occurs in two
 documents travel; a bitmap of fixed size sorts out most others beforehand.
+A bucket of very many different strings is not counted by its task: its windows
+go on as rows, by their own hashes, and are counted by many tasks.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.llm import bitmap, textkit
@@ -30,6 +32,8 @@ GRAM = 6
 #: Slots that count grams; a slot is common if it holds more than this share of all words' grams.
 SLOTS = 1 << 20
 COMMON_SHARE = 1 / 50_000
+#: Different strings of a bucket that its task sorts itself.
+CROWD = 1 << 12
 
 
 # ---- super-k-mers ------------------------------------------------------------------------------
@@ -123,7 +127,8 @@ def super_kmers(documents: DataFrame, common, repeated, window: int = WINDOW, gr
 
 # ---- buckets -----------------------------------------------------------------------------------
 
-_FIRSTS = "digest binary, run_from int, run_to int, first_doc long"
+#: Runs of windows with the first document that has them; or, with a ``window``, one window that is still to be counted, of documents from first to last.
+_FIRSTS = "digest binary, run_from int, run_to int, first_doc long, last_doc long, window binary"
 
 
 def _window_slices(packed: bytes, window: int) -> Iterator[bytes]:
@@ -134,53 +139,70 @@ def _window_slices(packed: bytes, window: int) -> Iterator[bytes]:
         begin = ends[i] + 1
 
 
-def _bucket_firsts(group: list[tuple[bytes, bytes, int, int]], window: int) -> Iterator[tuple[bytes, int, int, int]]:
-    """Runs of windows, by packed string, with the first document that has them, where it is not the string's last one."""
-    firsts: dict[bytes, int] = {}
-    cut = [list(_window_slices(packed, window)) for _, packed, _, _ in group]
-    for (_, _, first, _), windows in zip(group, cut):
-        for w in windows:
-            if firsts.get(w, first + 1) > first:
-                firsts[w] = first
-    for (digest, _, _, last), windows in zip(group, cut):
-        begin, have = 0, None
-        for i, w in enumerate([*windows, None]):
-            value = firsts[w] if w is not None else None
-            if value != have or w is None:
-                if have is not None and have < last:
-                    yield digest, begin, i, have
-                begin, have = i, value
-
-
-def count_windows(packed: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For distinct super-k-mers (minimiser, digest, packed, first, last), dealt by minimiser: who has each window first."""
+def _bucket_firsts(group: list[tuple[bytes, bytes, int, int]], window: int) -> Iterator[tuple[bytes, int, int, int, int, None]]:
+    """Runs of windows, by packed string, with the first document that has them, where it is not the string's last one.
+
+    All windows of the bucket are sorted; equal ones stand together, the first document's ahead.
+    """
+    cut = sorted((w, row[2], g, i) for g, row in enumerate(group) for i, w in enumerate(_window_slices(row[1], window)))
+    firsts: list[list[tuple[int, int]]] = [[] for _ in group]
+    held = first = None
+    for w, own, g, i in cut:
+        if w != held:
+            held, first = w, own
+        firsts[g].append((i, first))
+    for (digest, _, _, last), places in zip(group, firsts):
+        places.sort()
+        begin = 0
+        for k in range(1, len(places) + 1):
+            if k == len(places) or places[k][1] != places[begin][1]:
+                if places[begin][1] < last:
+                    yield digest, begin, k, places[begin][1], last, None
+                begin = k
+
+
+def count_windows(packed: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
+    """For distinct super-k-mers (minimiser, digest, packed, first, last): runs of windows (digest, run_from, run_to, first_doc) that an earlier document has.
+
+    Strings are dealt by minimiser. A bucket of up to ``crowd`` strings is sorted
+    by its task; the windows of a larger one are passed on as they are read.
+    """
     names = [x.split()[0] for x in _FIRSTS.split(", ")]
-    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+    types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(rows: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, types)], names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, types)], names)
 
         held, group, out = None, [], []
         for batch in batches:
-            for minimiser, *row in zip(*(c.to_pylist() for c in batch.columns)):
+            for minimiser, size, *row in zip(*(c.to_pylist() for c in batch.columns)):
                 if minimiser != held:
                     out += _bucket_firsts(group, window)
                     held, group = minimiser, []
-                group.append(tuple(row))
+                if size <= crowd:
+                    group.append(tuple(row))
+                else:
+                    digest, text, first, last = row
+                    out += [(digest, i, i + 1, first, last, hashlib.blake2b(w, digest_size=16).digest()) for i, w in enumerate(_window_slices(text, window))]
                 if len(out) > 20_000:
                     yield flush(out)
                     out = []
         yield flush([*out, *_bucket_firsts(group, window)])
 
-    dealt = packed.select("minimiser", "digest", "packed", "first", "last").repartition("minimiser").sortWithinPartitions("minimiser")
-    return dealt.mapInArrow(count, _FIRSTS)
+    bucket = Window.partitionBy("minimiser")
+    dealt = packed.select("minimiser", "digest", "packed", "first", "last").withColumn("size", F.count("*").over(bucket))
+    counted = materialize(dealt.select("minimiser", "size", "digest", "packed", "first", "last").mapInArrow(count, _FIRSTS))
+    done, still = counted.where("window IS NULL").select("digest", "run_from", "run_to", "first_doc"), counted.where("window IS NOT NULL")
+    firsts = still.groupBy("window").agg(F.min("first_doc").alias("least"))
+    open_windows = still.join(firsts, "window").where("least < last_doc").select("digest", "run_from", "run_to", F.col("least").alias("first_doc"))
+    return done.union(open_windows)
 
 
 # ---- the operator ------------------------------------------------------------------------------
 
 
-def removable_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def removable_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(doc_id, version, begin, end): word spans, ends exclusive, that windows of smaller doc_ids cover."""
     context = documents.sparkSession.sparkContext
     common = context.broadcast(common_grams(documents, gram))
@@ -189,7 +211,7 @@ def removable_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     sieve = context.broadcast(bitmap.build(repeated, "minimiser", bitmap.bits_for(repeated.count())))
     found = materialize(super_kmers(documents, common, sieve, window, gram))
     distinct = found.groupBy("minimiser", "digest", "packed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = materialize(count_windows(distinct, window))
+    firsts = count_windows(distinct, window, crowd)
     met = found.select("digest", "doc_id", "version", "start").join(firsts, "digest").where("first_doc < doc_id")
     return met.select("doc_id", "version", (F.col("start") + F.col("run_from")).alias("begin"), (F.col("start") + F.col("run_to") + (window - 1)).alias("end"))
 
@@ -207,17 +229,18 @@ def keep_words(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, list[byt
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(documents: DataFrame, window: int = WINDOW, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """Remove from every text the words of windows that also start in a document with a smaller doc_id.
 
     Returns a row per row of ``documents`` (doc_id, text) with the kept words.
     Windows are judged on the input. Null and empty texts have no words; texts of
     fewer than ``window`` words, rows without doc_id, and repeats inside one
     document or between rows of the same doc_id lose nothing; other columns are
-    left out.
+    left out. A text is held whole in its task, with temporaries of some 40 times
+    its bytes.
     """
     own = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", "text", "xxhash64(text) AS version")
-    spans = removable_spans(own.where("doc_id IS NOT NULL AND text IS NOT NULL"), window, gram)
+    spans = removable_spans(own.where("doc_id IS NOT NULL AND text IS NOT NULL"), window, gram, crowd)
     by_document = spans.groupBy("doc_id", "version").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
     names = [x.split()[0] for x in _RESULT.split(", ")]
 
