@@ -278,21 +278,85 @@ def test_windows_of_crowded_buckets_are_counted_by_themselves(spark):
 # ---- 5 JPEG ------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("data", [b"", b"\xff" * 640, bytes(range(256)) * 3, os.urandom(5000), b"text"])
-def test_jpeg_keeps_the_payload_and_both_decoders_agree(data):
+def read_by(reader, picture):
+    """A parsed picture's coefficients in the order of its scan, by one of the readers."""
+    tables, pattern = jpeg._layout(picture)
+    intervals = list(jpeg._intervals(picture.scan))
+    return reader(intervals, jpeg._blocks_of_intervals(picture, len(intervals), len(pattern)), np.stack([jpeg._lookup(t) for t in tables]), np.array(pattern))
+
+
+@pytest.mark.parametrize("data", [b"", b"\xff" * 640, b"\x80" * 700, bytes(6400), bytes(200) + b"a" + bytes(700), bytes(range(256)) * 3, os.urandom(5000), b"text", "é ß 漢字 words ".encode() * 90])
+def test_jpeg_keeps_the_payload_and_both_readers_agree(data):
     file = jpeg.encode_payload(jpeg.pad(data))
     picture = jpeg.decode(file)
     assert jpeg.stored_payload(picture) == jpeg.pad(data)
-    slow = jpeg.parse(file)
-    c = slow.components[0]
-    c.columns, c.rows = picture.components[0].columns, picture.components[0].rows
-    jpeg._decode_general(slow, c.columns, c.rows)
-    assert (c.blocks == picture.components[0].blocks).all()
+    side, single = (read_by(r, jpeg.parse(file)) for r in (jpeg._read_side_by_side, jpeg._read_one_by_one))
+    assert (side == single).all() and (side == picture.components[0].blocks.reshape(-1, 64)).all()
     for cut in (file[:-2], file[2:], file[: len(file) // 2], file[:60]):
         with pytest.raises(jpeg.JpegError):
             jpeg.decode(cut)
 
 
+def test_many_pictures_at_once_are_each_as_alone():
+    r = random.Random(2)
+    payloads = [jpeg.pad(r.randbytes(r.randrange(3000)) if i % 2 else b"some words " * r.randrange(300)) for i in range(40)]
+    files = jpeg.encode_payloads(payloads)
+    assert files == [jpeg.encode_payload(p) for p in payloads] and jpeg.encode_payloads([]) == []
+    # Another layout in between is read in a group of its own.
+    mixed = [*files[:20], small_jpeg("01" + "101" + "00" + "00" + "00"), *files[20:]]
+    pictures = jpeg.decode_many(mixed)
+    assert [jpeg.stored_payload(p) for i, p in enumerate(pictures) if i != 20] == payloads and pictures[20].components[0].blocks[0, 0, 0] == 5
+    with pytest.raises(jpeg.JpegError):
+        jpeg.decode_many([*files, files[0][:-40] + b"\xff\xd9"])
+
+
+def test_interleaved_components_and_long_intervals():
+    """Three components, the first 2 x 1: a colour picture of two groups, in one interval, built code by code."""
+    tables = b"".join(jpeg._segment(0xC4, bytes([kind << 4]) + b"".join(t)) for kind, t in ((0, jpeg.DC_TABLE), (1, jpeg.AC_TABLE)))
+    dc, ac = ({s: f"{c:0{n}b}" for s, c, n in jpeg._codes(t)} for t in (jpeg.DC_TABLE, jpeg.AC_TABLE))
+
+    def block(difference, last_value):
+        size = abs(difference).bit_length()
+        bits = dc[size] + (f"{difference if difference > 0 else difference + (1 << size) - 1:0{size}b}" if size else "")
+        # Sixty-two zeros, then a value in the last place.
+        return bits + (ac[0xF0] * 3 + ac[14 << 4 | 2] + f"{last_value if last_value > 0 else last_value + 3:02b}" if last_value else ac[0])
+
+    bits = "".join(block(*x) for x in [(5, 3), (2, -2), (-1, 0), (9, 2), (1, 0), (0, 3), (0, 0), (-4, 0)])
+    bits += "1" * (-len(bits) % 8)
+    scan = int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+    frame = bytes([8, 0, 8, 0, 32, 3, 1, 0x21, 0, 2, 0x11, 0, 3, 0x11, 0])
+    file = b"".join([b"\xff\xd8", jpeg._segment(0xDB, bytes([0] + [1] * 64)), jpeg._segment(0xC0, frame), tables, jpeg._segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])), scan, b"\xff\xd9"])
+    for reader in (jpeg._read_side_by_side, jpeg._read_one_by_one):
+        got = read_by(reader, jpeg.parse(file))
+        assert got[:, 0].tolist() == [5, 7, -1, 9, 8, 8, -1, 5] and got[:, 63].tolist() == [3, -2, 0, 2, 0, 3, 0, 0]
+    y, cb, cr = jpeg.decode(file).components
+    assert y.blocks[0, :, 0].tolist() == [5, 7, 8, 8] and cb.blocks[0, :, 0].tolist() == [-1, -1] and cr.blocks[0, :, 0].tolist() == [9, 5]
+
+
+def test_one_long_interval_takes_linear_time():
+    text = jpeg.pad(b"plain words in one long interval " * 8_000)
+    n = len(text) // 64
+    begun = time.perf_counter()
+    # The codes of whole blocks without restarts: the file's intervals joined by differences of their own.
+    blocks = np.frombuffer(text, dtype=np.int8).reshape(n, 64).astype(np.int32)
+    kept, jpeg.INTERVAL = jpeg.INTERVAL, n
+    try:
+        scan = jpeg._write_scans(blocks, [n])[0]
+    finally:
+        jpeg.INTERVAL = kept
+    tables = np.stack([jpeg._lookup(t) for t in (jpeg.DC_TABLE, jpeg.AC_TABLE)])
+    assert (jpeg._read_one_by_one(list(jpeg._intervals(scan)), [n], tables, np.array([0])) == blocks).all()
+    assert time.perf_counter() - begun < 20
+
+
+def test_thumbnail_areas_cover_the_whole_picture():
+    pixels = np.zeros((80, 90), dtype=np.uint8)
+    before = jpeg.thumbnail_hashes(pixels)
+    pixels[-3, -3] = 255
+    assert jpeg.thumbnail_hashes(pixels) != before
+    assert jpeg._means(np.arange(6).reshape(2, 3), 1, 1).tolist() == [[2.5]] and jpeg._means(np.ones((1, 1)), 8, 9).shape == (8, 9)
+
+
 def small_jpeg(bits, quantiser=16):
     """An 16 x 8 grey picture with two-symbol DC and AC tables and a given scan."""
     dc, ac = bytes([0, 2, *[0] * 14, 0, 3]), bytes([0, 3, *[0] * 14, 0x00, 0x01, 0xF0])
