@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +13,10 @@ from packetloom.functions.packets import FLAG_STEPS
 from packetloom.operators import packetdiff as D
 from packetloom.operators import preprocess as P
 from packetloom.operators import quality as Q
-from packetloom.sources import scans
-from packetloom.sources.testbed import duckdb_view, packet_view
-from packetloom.storage import table
+from packetloom.operators.connections import build_connections
+from packetloom.sources import pcap, scans
+from packetloom.sources.testbed import as_frames, duckdb_view, packet_view
+from packetloom.storage import shared_dir, table
 
 _A, _B = duckdb_view("capture_a"), duckdb_view("capture_b")
 _SHIFT = 1_000_000
@@ -274,6 +277,30 @@ def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SUMMARY_SQL = f"SELECT capture_id, count(*) AS packets, min(time_ms) AS first_ms, max(time_ms) AS last_ms FROM (SELECT * FROM {_A} UNION ALL SELECT * FROM {_B}) GROUP BY 1"
 
 
+def capture_file_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture A written as capture files of ranges of time, and read again through the source."""
+    folder = f"{shared_dir(spark)}/captures/{uuid.uuid4().hex}"
+    pcap.write_captures(as_frames(packet_view(spark, sf_dir, "capture_a")), folder, parts=4)
+    return pcap.read_captures(spark, folder, _FROM_FILES, split_bytes=1 << 20)
+
+
+_FROM_FILES = ["time_ms", "frame_len", "protocol", "src_ip", "dst_ip", "src_port", "dst_port", "flags", "seq", "ack", "len", "ip_id", "ttl"]
+_FILES_SQL = f"SELECT {', '.join(_FROM_FILES)} FROM {_A}"
+
+
+def capture_file_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a capture file to connections: frames are numbered, streams told apart by their ends."""
+    folder = f"{shared_dir(spark)}/captures/{uuid.uuid4().hex}"
+    pcap.write_captures(as_frames(packet_view(spark, sf_dir, "capture_a").where("flags <> 2 OR frame_number = 1")), folder)
+    built = build_connections(pcap.connections_input(pcap.read_captures(spark, folder)))
+    return built.select(F.least("client_port", "server_port").alias("low"), F.greatest("client_port", "server_port").alias("high"), "packet_count", "total_bytes", "first_ms", "last_ms")
+
+
+_FILE_CONNECTIONS_SQL = f"""
+SELECT least(src_port, dst_port) AS low, greatest(src_port, dst_port) AS high, count(*) AS packet_count, CAST(sum(frame_len) AS BIGINT) AS total_bytes, min(time_ms) AS first_ms, max(time_ms) AS last_ms
+FROM {_A} GROUP BY least((src_ip, src_port), (dst_ip, dst_port)), greatest((src_ip, src_port), (dst_ip, dst_port)), 1, 2"""
+
+
 def endpoint_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The packets between two ends, both ways: those of the first stream of capture A."""
     p = packet_view(spark, sf_dir, "capture_a")
@@ -320,7 +347,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         packet_diff, diff_summary, flag_changes, diff_groups, flow_view, flow_view_by_sender, packet_scalars, flow_hashes, quality_by_stream, quality_by_service, service_comparison, worst_pairs, derived_quality, time_aligned, deduplicated, cropped_deduplicated,
-        one_way_streams, preprocessed, capture_summary, endpoint_packets, stream_packets, many_stream_packets, protocols_present, runnable_modules,
+        one_way_streams, preprocessed, capture_summary, capture_file_packets, capture_file_connections, endpoint_packets, stream_packets, many_stream_packets, protocols_present, runnable_modules,
     )
 }
 ORACLES = {
@@ -328,7 +355,7 @@ ORACLES = {
     "diff_summary": _DIFFS_SQL + " SELECT id_a, id_b, diff_type, count(*) AS count FROM d GROUP BY ALL",
     "flag_changes": _DIFFS_SQL + " SELECT id_a, id_b, value_a, value_b, count(*) AS count FROM d WHERE diff_type = 'flags' GROUP BY ALL",
     "diff_groups": _GROUPS_SQL, "flow_view": _FLOW_SQL, "flow_view_by_sender": _BY_SENDER_SQL, "packet_scalars": _SCALARS_SQL, "quality_by_stream": _stream_sql(_A), "quality_by_service": _service_sql(_A), "service_comparison": _COMPARE_SQL, "worst_pairs": _WORST_SQL,
-    "derived_quality": _DERIVED_SQL, "time_aligned": _ALIGNED_SQL, "deduplicated": _DEDUP_SQL, "cropped_deduplicated": _CROPPED_SQL, "one_way_streams": _ONE_WAY_SQL, "preprocessed": _PREPROCESSED_SQL, "capture_summary": _SUMMARY_SQL,
+    "derived_quality": _DERIVED_SQL, "time_aligned": _ALIGNED_SQL, "deduplicated": _DEDUP_SQL, "cropped_deduplicated": _CROPPED_SQL, "one_way_streams": _ONE_WAY_SQL, "preprocessed": _PREPROCESSED_SQL, "capture_summary": _SUMMARY_SQL, "capture_file_packets": _FILES_SQL, "capture_file_connections": _FILE_CONNECTIONS_SQL,
     "endpoint_packets": _ENDS_SQL, "stream_packets": f"SELECT stream_id, frame_number FROM {_A} WHERE stream_id = 7", "many_stream_packets": f"SELECT stream_id, frame_number FROM {_A} WHERE stream_id IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 10 = 3)",
     "protocols_present": _PROTOCOLS_SQL, "runnable_modules": _RUNNABLE_SQL,
 }

@@ -14,6 +14,7 @@ from packetloom.operators import topology as T
 from packetloom.operators.connections import build_connections
 from packetloom.plans import sql
 from packetloom.plans.flows import _MANY_SQL, _both
+from packetloom.sources import reports
 from packetloom.sources.testbed import UDP_ROWS, packet_view
 from packetloom.storage import materialize, shared_dir, table
 from packetloom.streaming import sessions as S
@@ -288,13 +289,56 @@ WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, coale
 n AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, count(*) AS packets, min(t) AS first_us, max(t) AS last_us FROM n GROUP BY user_id, k"""
 
+def _written(df: DataFrame, column: str, name: str) -> str:
+    """A text file of a column's lines in the shared folder."""
+    at = f"{shared_dir(df.sparkSession)}/{name}/{uuid.uuid4().hex}"
+    df.select(column).coalesce(1).write.text(at)
+    return at
+
+
+def report_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches printed as a report's table and read back from it."""
+    a, b = _both(spark, sf_dir)
+    m = M.attach(M.one_to_many(a, b), a, b, ["client_ip", "client_port", "server_ip", "server_port"])
+    end = lambda s, c: F.concat(F.col(f"{s}.{c}_ip"), F.lit(":"), F.col(f"{s}.{c}_port").cast("string"))
+    lines = m.select(F.concat_ws("  ", F.col("id_a").cast("string"), F.col("id_a").cast("string"), end("a", "client"), end("a", "server"), F.col("id_b").cast("string"), end("b", "client"), end("b", "server"), F.format_string("%.2f", F.bround("score", 2))).alias("line"))
+    heading = spark.createDataFrame([("No.  Stream A  Client A  Server A  Stream B  Client B  Server B  Conf",), ("-" * 40,)], "line string")
+    return reports.read_matched_connections(spark, _written(heading.union(lines), "line", "reports"))
+
+
+_REPORT_PAIRS_SQL = _MANY_SQL + """
+SELECT id_a AS pair_id, id_a, a.client_ip || ':' || a.client_port || ' <-> ' || a.server_ip || ':' || a.server_port AS connection_a, id_b, b.client_ip || ':' || b.client_port || ' <-> ' || b.server_ip || ':' || b.server_port AS connection_b, round_even(score, 2) AS score FROM va"""
+
+
+def listed_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services named in a text, and those of a service list, by how they were named."""
+    ends = packet_view(spark, sf_dir, "capture_a").where("flags = 18").selectExpr("concat('see ', src_ip, ':', src_port, ', or ', src_ip, ':', src_port + 1) AS line", "concat(src_ip, ':', CASE WHEN src_port = 443 THEN '*' ELSE CAST(src_port AS STRING) END) AS entry")
+    named = reports.read_services(spark, _written(ends, "line", "topologies")).select("ip", "port", F.lit("text").alias("source"))
+    return named.union(reports.read_service_list(spark, _written(ends, "entry", "services")).select("ip", "port", F.lit("list").alias("source")))
+
+
+_LISTED_SQL = f"""
+WITH e AS (SELECT src_ip, src_port FROM {sql.duckdb_view("capture_a")} WHERE flags = 18)
+SELECT DISTINCT src_ip AS ip, src_port AS port, 'text' AS source FROM e UNION SELECT src_ip, src_port + 1, 'text' FROM e UNION SELECT src_ip, CASE WHEN src_port = 443 THEN NULL ELSE src_port END, 'list' FROM e"""
+
+
+def grouped_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Services with the groups that a map gives some of them."""
+    groups = reports.read_group_map(spark, _written(spark.createDataFrame([('{"443": 7, "3306": 2}',)], "line string"), "line", "groups"))
+    return T.group_ids(T.service_stats(_endpoints(spark, sf_dir)), groups).select("server_port", "protocol_number", "connections", "group_id")
+
+
+_GROUPED_SQL = _ENDPOINTS_SQL + """,
+g AS (SELECT server_port_a AS server_port, protocol_number_a AS protocol_number, CAST(sum(count) AS BIGINT) AS connections, CASE server_port_a WHEN 443 THEN 7 WHEN 3306 THEN 2 END AS known FROM es GROUP BY 1, 2)
+SELECT server_port, protocol_number, connections, CASE WHEN known IS NOT NULL THEN known ELSE 7 + row_number() OVER (PARTITION BY known IS NULL ORDER BY server_port, protocol_number) END AS group_id FROM g"""
+
 QUERIES = {
     f.__name__: f
     for f in (
-        endpoint_stats, endpoint_report, endpoint_nodes, service_nodes, service_paths, topology_fallback, service_stats, capture_positions, role_detection, single_services, udp_services, icmp_unreachable, streaming_sessions,
+        endpoint_stats, endpoint_report, endpoint_nodes, service_nodes, service_paths, topology_fallback, service_stats, capture_positions, role_detection, single_services, udp_services, icmp_unreachable, streaming_sessions, report_pairs, listed_services, grouped_services,
     )
 }
 ORACLES = {
     "endpoint_stats": _ENDPOINTS_SQL + " SELECT * FROM es", "endpoint_report": _REPORT_SQL, "endpoint_nodes": _ENDPOINT_NODES_SQL, "service_nodes": _SERVICE_NODES_SQL, "service_paths": _PATHS_SQL, "topology_fallback": _FALLBACK_SQL,
-    "service_stats": _SERVICES_SQL, "capture_positions": _POSITIONS_SQL, "role_detection": _ROLES_SQL, "single_services": _SINGLE_SQL, "udp_services": _UDP_SQL, "icmp_unreachable": _ICMP_SQL, "streaming_sessions": _SESSIONS_SQL,
+    "service_stats": _SERVICES_SQL, "capture_positions": _POSITIONS_SQL, "role_detection": _ROLES_SQL, "single_services": _SINGLE_SQL, "udp_services": _UDP_SQL, "icmp_unreachable": _ICMP_SQL, "streaming_sessions": _SESSIONS_SQL, "report_pairs": _REPORT_PAIRS_SQL, "listed_services": _LISTED_SQL, "grouped_services": _GROUPED_SQL,
 }

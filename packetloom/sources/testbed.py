@@ -9,6 +9,7 @@ are two hops further on, and stream ids and clocks are its own.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packetloom.storage import table
 
@@ -79,3 +80,14 @@ def packet_view(spark: SparkSession, sf_dir: str, view: str = "packets") -> Data
 def duckdb_view(view: str) -> str:
     """The same table as a DuckDB sub-query."""
     return "(" + _VIEWS[view].replace("{days}", _DUCKDB_DAYS).replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ")"
+
+
+def as_frames(packets: DataFrame) -> DataFrame:
+    """Add each packet's ``frame``: Ethernet, IPv4 and TCP headers and as many zeros as its data is long; checksums are zero."""
+    number = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    address = lambda x: F.array_join(F.transform(F.split(x, r"\."), lambda p: F.lpad(F.hex(p.cast("int")), 2, "0")), "")
+    text = F.concat(
+        F.lit("00" * 12 + "0800" + "4500"), number(F.col("len") + 40, 2), number(F.col("ip_id"), 2), F.lit("0000"), number(F.col("ttl"), 1), F.lit("06" + "0000"), address("src_ip"), address("dst_ip"),
+        number(F.col("src_port"), 2), number(F.col("dst_port"), 2), number(F.col("seq"), 4), number(F.col("ack"), 4), F.lit("50"), number(F.col("flags"), 1), F.lit("0400" + "0000" + "0000"), F.repeat(F.lit("00"), F.col("len")),
+    )
+    return packets.withColumns({"frame": F.unhex(text), "time_ns": F.col("time_ms") * 1_000_000})
