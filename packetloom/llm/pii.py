@@ -15,6 +15,7 @@ import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -123,7 +124,7 @@ _PIECE = re.compile(rf"(?P<plus>plus[\s-]{{1,3}})|(?P<dot>\s{{1,3}}{_DOT_WORD}\s
 _HINT_STRANGE = re.compile(_STRANGE)
 _HINT_BRACKETS = re.compile(rf"{_OPEN}{_FEW}(?:at|@|{_DOT_WORD}|\.){_FEW}{_CLOSE}", re.IGNORECASE)
 _HINT_SIGN = re.compile(r"\s@|@\s|\s\.\s")
-_DOTS = ("dot", "point", "punkt", "punto")
+_DOTS = frozenset(("dot", "point", "punkt", "punto"))
 
 
 def _fold(text: str) -> str:
@@ -196,14 +197,15 @@ def rewrite(text: str) -> Rewritten:
 
 
 def may_be_disguised(text: str) -> bool:
-    """Whether rewriting may show more: a strange character, a bracketed or spaced sign, a dot word, or digit words."""
+    """Whether rewriting may show more: a strange character, a bracketed or spaced sign, a dot word, or digit words in a row."""
     if not text.isascii() and _HINT_STRANGE.search(text) or _HINT_BRACKETS.search(text) or "@" in text and _HINT_SIGN.search(text):
         return True
-    folded = _fold(text)
-    if any(dot in folded for dot in _DOTS):
+    words = _fold(text).replace(",", " ").replace("-", " ").split()
+    if not _DOTS.isdisjoint(words):
         return True
-    # Of four digit words in a row, at most the first and the last touch other signs.
-    return sum(map(_VALUES.__contains__, folded.replace(",", " ").replace("-", " ").split())) >= 2
+    # Of four digit words in a row, the two in the middle touch no other signs.
+    digits = list(map(_VALUES.__contains__, words))
+    return any(map(and_, digits, digits[1:]))
 
 
 def find_disguised(text: str, plain: dict[str, list[Span]], gate: bool = True) -> dict[str, list[Span]]:
