@@ -152,6 +152,8 @@ def data_transfers(rows: DataFrame) -> DataFrame:
 
 #: Packets over which the smoothing of jitter is summed at a time: (15/16)**512 is nothing to a double.
 JITTER_BLOCK = 512
+#: Jitters are sums of binary fractions, often halves of the last place shown: these go up, whatever order they were summed in.
+HALF_UP = 1e-7
 
 
 def rtp_streams(packets: DataFrame, clock_hz: int = 8000, key: Sequence[str] = ("src_ip", "src_port", "dst_ip", "dst_port", "ssrc")) -> DataFrame:
@@ -175,7 +177,7 @@ def rtp_streams(packets: DataFrame, clock_hz: int = 8000, key: Sequence[str] = (
     jitter = F.col("_own") + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), place + 1)
     grouped = summed.withColumn("_j", jitter).groupBy(*key).agg(F.count("*").alias("packets"), (F.max("media_seq") - F.min("media_seq") + 1).alias("expected"), F.avg("_j").alias("_mean"), F.max("_j").alias("_most"))
     lost = F.greatest(F.lit(0), F.col("expected") - F.col("packets"))
-    rated = grouped.select(*key, "packets", "expected", lost.alias("lost"), F.round(100.0 * lost / F.col("expected"), 4).alias("loss"), F.round("_mean", 4).alias("jitter"), F.round("_most", 4).alias("max_jitter"))
+    rated = grouped.select(*key, "packets", "expected", lost.alias("lost"), F.round(100.0 * lost / F.col("expected"), 4).alias("loss"), F.round(F.col("_mean") + HALF_UP, 5).alias("jitter"), F.round(F.col("_most") + HALF_UP, 5).alias("max_jitter"))
     return rated.withColumn("severity", severity((F.col("loss") > 5) | (F.col("jitter") > 30) | (F.col("max_jitter") > 50), (F.col("loss") > 1) | (F.col("jitter") > 20)))
 
 

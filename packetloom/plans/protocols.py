@@ -172,7 +172,7 @@ d AS MATERIALIZED (SELECT *, abs(t - lag(t) OVER w) AS d, row_number() OVER w AS
 f AS (SELECT {_KEY}, k, 0.0::DOUBLE AS j FROM d WHERE k = 1 UNION ALL SELECT d.src_ip, d.src_port, d.dst_ip, d.dst_port, d.ssrc, d.k, f.j + (d.d - f.j) / 16 FROM f JOIN d ON d.src_ip = f.src_ip AND d.src_port = f.src_port AND d.dst_ip = f.dst_ip AND d.dst_port = f.dst_port AND d.ssrc = f.ssrc AND d.k = f.k + 1),
 j AS (SELECT {_KEY}, avg(j) AS jm, max(j) AS jx FROM f GROUP BY ALL),
 g AS (SELECT {_KEY}, count(*) AS packets, max(media_seq) - min(media_seq) + 1 AS expected FROM d GROUP BY ALL),
-s AS (SELECT {_KEY}, packets, expected, greatest(0, expected - packets) AS lost, round(100.0::DOUBLE * greatest(0, expected - packets) / expected, 4) AS loss, round(jm, 4) AS jitter, round(jx, 4) AS max_jitter FROM g JOIN j USING ({_KEY})),
+s AS (SELECT {_KEY}, packets, expected, greatest(0, expected - packets) AS lost, round(100.0::DOUBLE * greatest(0, expected - packets) / expected, 4) AS loss, round(jm + {M.HALF_UP}::DOUBLE, 5) AS jitter, round(jx + {M.HALF_UP}::DOUBLE, 5) AS max_jitter FROM g JOIN j USING ({_KEY})),
 r AS (SELECT *, CASE WHEN loss > 5 OR jitter > 30 OR max_jitter > 50 THEN 'High' WHEN loss > 1 OR jitter > 20 THEN 'Medium' ELSE 'Low' END AS severity FROM s)"""
 _CODEC = "CASE ssrc % 4 WHEN 0 THEN 'G729' WHEN 1 THEN 'opus' WHEN 2 THEN 'g711U' ELSE 'other' END AS codec"
 
