@@ -289,6 +289,20 @@ WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, coale
 n AS (SELECT *, sum(CAST(starts AS INT)) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, count(*) AS packets, min(t) AS first_us, max(t) AS last_us FROM n GROUP BY user_id, k"""
 
+def streaming_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connections of capture A as a stream of files: those that FIN or RST ended, and those idle for long once the stream's time has moved on."""
+    source, packets = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}", packet_view(spark, sf_dir, "capture_a").select("capture_id", "stream_id", "time_ms", "flags", "frame_len")
+    packets.write.parquet(source)
+    return S.run_available(S.stateful_connections(spark.readStream.schema(packets.schema).parquet(source)))
+
+
+_STREAMED_SQL = f"""
+WITH p AS (SELECT *, (flags & 5) <> 0 AS ends FROM {sql.duckdb_view("capture_a")}),
+n AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY stream_id ORDER BY time_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS k FROM p),
+s AS (SELECT capture_id, stream_id, k, min(time_ms) AS first_ms, max(time_ms) AS last_ms, count(*) AS packet_count, CAST(sum(frame_len) AS BIGINT) AS total_bytes, bool_or(ends) AS ended FROM n GROUP BY ALL)
+SELECT * EXCLUDE (k) FROM s WHERE ended OR last_ms + 600000 < (SELECT max(time_ms) - 600000 FROM p)"""
+
+
 def _written(df: DataFrame, column: str, name: str) -> str:
     """A text file of a column's lines in the shared folder."""
     at = f"{shared_dir(df.sparkSession)}/{name}/{uuid.uuid4().hex}"
@@ -335,10 +349,10 @@ SELECT server_port, protocol_number, connections, CASE WHEN known IS NOT NULL TH
 QUERIES = {
     f.__name__: f
     for f in (
-        endpoint_stats, endpoint_report, endpoint_nodes, service_nodes, service_paths, topology_fallback, service_stats, capture_positions, role_detection, single_services, udp_services, icmp_unreachable, streaming_sessions, report_pairs, listed_services, grouped_services,
+        endpoint_stats, endpoint_report, endpoint_nodes, service_nodes, service_paths, topology_fallback, service_stats, capture_positions, role_detection, single_services, udp_services, icmp_unreachable, streaming_sessions, streaming_connections, report_pairs, listed_services, grouped_services,
     )
 }
 ORACLES = {
     "endpoint_stats": _ENDPOINTS_SQL + " SELECT * FROM es", "endpoint_report": _REPORT_SQL, "endpoint_nodes": _ENDPOINT_NODES_SQL, "service_nodes": _SERVICE_NODES_SQL, "service_paths": _PATHS_SQL, "topology_fallback": _FALLBACK_SQL,
-    "service_stats": _SERVICES_SQL, "capture_positions": _POSITIONS_SQL, "role_detection": _ROLES_SQL, "single_services": _SINGLE_SQL, "udp_services": _UDP_SQL, "icmp_unreachable": _ICMP_SQL, "streaming_sessions": _SESSIONS_SQL, "report_pairs": _REPORT_PAIRS_SQL, "listed_services": _LISTED_SQL, "grouped_services": _GROUPED_SQL,
+    "service_stats": _SERVICES_SQL, "capture_positions": _POSITIONS_SQL, "role_detection": _ROLES_SQL, "single_services": _SINGLE_SQL, "udp_services": _UDP_SQL, "icmp_unreachable": _ICMP_SQL, "streaming_sessions": _SESSIONS_SQL, "streaming_connections": _STREAMED_SQL, "report_pairs": _REPORT_PAIRS_SQL, "listed_services": _LISTED_SQL, "grouped_services": _GROUPED_SQL,
 }

@@ -5,13 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from packetloom.functions.packets import FIN, RST
 from packetloom.storage import shared_dir
 
+END_FLAGS = FIN | RST
+
 CONNECTION = "capture_id string, stream_id long, first_ms long, last_ms long, packet_count long, total_bytes long, ended boolean"
 _STATE = "first_ms long, last_ms long, packet_count long, total_bytes long"
 
@@ -30,28 +34,33 @@ def stateful_connections(packets: DataFrame, idle_ms: int = 600_000, late: str =
     rows = packets.withColumn("_time", F.timestamp_millis("time_ms")).withWatermark("_time", late)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def out(values: tuple, ended: bool) -> pd.DataFrame:
-            return pd.DataFrame([(*key, *values, ended)], columns=["capture_id", "stream_id", "first_ms", "last_ms", "packet_count", "total_bytes", "ended"])
+        def out(values: list[tuple], ended: bool) -> pd.DataFrame:
+            return pd.DataFrame([(*key, *v, ended) for v in values], columns=["capture_id", "stream_id", "first_ms", "last_ms", "packet_count", "total_bytes", "ended"])
 
         if state.hasTimedOut:
             values = state.get
             state.remove()
-            yield out(values, False)
+            yield out([values], False)
             return
         rows = pd.concat(batches).sort_values("time_ms", kind="stable")
-        values = state.get if state.exists else None
-        for time, flags, size in zip(rows["time_ms"].tolist(), rows["flags"].tolist(), rows["frame_len"].tolist()):
-            first, last, n, total = values or (time, time, 0, 0)
-            values = (min(first, time), max(last, time), n + 1, total + size)
-            if flags & 5:
-                yield out(values, True)
-                values = None
-        if values is None:
+        times, sizes, ends = (rows[c].to_numpy(np.int64) for c in ("time_ms", "frame_len", "flags"))
+        ends = ends & END_FLAGS != 0
+        # A connection begins with the first packet, and behind each end.
+        begins = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
+        parts = [np.minimum.reduceat(times, begins), np.maximum.reduceat(times, begins), np.diff(np.append(begins, len(times))), np.add.reduceat(sizes, begins)]
+        found = [tuple(int(p[i]) for p in parts) for i in range(len(begins))]
+        if state.exists:
+            first, last, n, total = state.get
+            found[0] = (min(first, found[0][0]), max(last, found[0][1]), n + found[0][2], total + found[0][3])
+        done = found if ends[-1] else found[:-1]
+        if done:
+            yield out(done, True)
+        if ends[-1]:
             if state.exists:
                 state.remove()
             return
-        state.update(values)
-        state.setTimeoutTimestamp(max(values[1] + idle_ms, state.getCurrentWatermarkMs() + 1))
+        state.update(found[-1])
+        state.setTimeoutTimestamp(max(found[-1][1] + idle_ms, state.getCurrentWatermarkMs() + 1))
 
     grouped = rows.select("capture_id", "stream_id", "time_ms", "flags", "frame_len", "_time").groupBy("capture_id", "stream_id")
     return grouped.applyInPandasWithState(step, CONNECTION, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

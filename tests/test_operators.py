@@ -305,3 +305,22 @@ def test_examples_of_differences_are_bounded(spark):
     got = packetdiff.diff_groups(spark.createDataFrame(ends, f"id_a long, id_b long, ip_id int, k int, a {packet}, b {packet}")).first()
     assert (got.flags_differences, got.seq_differences, got.seq_examples) == (11, 1, "Frame 3->103: 3->4") and got.flags_examples.endswith("Frame 10->110; ... and 1 more")
     assert got.flag_change == "ACK (Local Side) -> PSH+ACK" and (got.first_ns, got.last_ns) == (1_000_000, 20_000_000)
+
+
+def test_connections_time_out_in_a_stream(spark, tmp_path):
+    """Files come one by one: a connection that fell silent is given out once the stream's time is past its limit, one that goes on is not."""
+    schema = "capture_id string, stream_id long, time_ms long, flags int, frame_len long"
+    batches = [[("A", 1, 500, 2, 60), ("A", 2, 1_000, 2, 60), ("A", 3, 2_000, 2, 50)], [("A", 2, 400_000, 16, 40), ("A", 3, 401_000, 4, 40), ("A", 3, 402_000, 2, 70)], [("A", 9, 1_900_000, 2, 60)], [("A", 9, 1_950_000, 16, 10)]]
+    for i, rows in enumerate(batches):
+        at = tmp_path / f"b{i}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(at))
+        for part in at.glob("*.parquet"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            target = tmp_path / "in" / f"{i}.parquet"
+            target.write_bytes(part.read_bytes())
+            import os
+
+            os.utime(target, (1_000_000 + i, 1_000_000 + i))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted(tuple(r) for r in sessions.run_available(sessions.stateful_connections(stream, idle_ms=600_000, late="1 minute")).collect())
+    assert got == [("A", 1, 500, 500, 1, 60, False), ("A", 2, 1_000, 400_000, 2, 100, False), ("A", 3, 2_000, 401_000, 2, 90, True), ("A", 3, 402_000, 402_000, 1, 70, False)]
