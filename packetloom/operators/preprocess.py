@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.connections import ranks
+from packetloom.storage import materialize
 
 WRAP = 1 << 32
 STREAM = ("capture_id", "stream_id")
@@ -92,7 +93,10 @@ STEPS: dict[str, Step] = {
 
 
 def preprocess(captures: Sequence[DataFrame], steps: Sequence[str] = tuple(STEPS)) -> list[DataFrame]:
-    """Run steps in order; as many captures come out as went in."""
+    """Run steps in order; as many captures come out as went in.
+
+    What a step leaves is written, since the next one reads it several times.
+    """
     if unknown := [s for s in steps if s not in STEPS]:
         raise ValueError(f"unknown steps: {', '.join(unknown)}")
-    return reduce(lambda captures, step: STEPS[step](captures), steps, list(captures))
+    return reduce(lambda captures, step: [materialize(c) for c in STEPS[step](captures)], steps, list(captures))

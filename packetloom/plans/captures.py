@@ -16,7 +16,7 @@ from packetloom.operators import quality as Q
 from packetloom.operators.connections import build_connections
 from packetloom.sources import pcap, scans
 from packetloom.sources.testbed import as_frames, duckdb_view, packet_view
-from packetloom.storage import shared_dir, table
+from packetloom.storage import materialize, shared_dir, table
 
 _A, _B = duckdb_view("capture_a"), duckdb_view("capture_b")
 _SHIFT = 1_000_000
@@ -218,7 +218,7 @@ _CONTENT = "len % 6"
 def deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both captures in one table, each compared with itself in the order of its times."""
     a, b = (x.withColumn("content", F.expr(_CONTENT)) for x in _views(spark, sf_dir))
-    return P.remove_duplicates(a.unionByName(b), ("content",), window=4).select("capture_id", "stream_id", "frame_number")
+    return P.remove_duplicates(materialize(a.unionByName(b)), ("content",), window=4).select("capture_id", "stream_id", "frame_number")
 
 
 def _dedup_sql(source: str, content: str, window: int) -> str:
