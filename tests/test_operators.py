@@ -324,3 +324,26 @@ def test_connections_time_out_in_a_stream(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = sorted(tuple(r) for r in sessions.run_available(sessions.stateful_connections(stream, idle_ms=600_000, late="1 minute")).collect())
     assert got == [("A", 1, 500, 500, 1, 60, False), ("A", 2, 1_000, 400_000, 2, 100, False), ("A", 3, 2_000, 401_000, 2, 90, True), ("A", 3, 402_000, 402_000, 1, 70, False)]
+
+
+def test_pairs_are_picked_by_their_number(spark):
+    import pytest
+
+    pairs = spark.createDataFrame([(5, 1), (2, 9), (2, 3)], "id_a long, id_b long")
+    assert [[tuple(r) for r in matching.pick_pair(pairs, n).collect()] for n in (1, 2, 3, 4)] == [[(2, 3)], [(2, 9)], [(5, 1)], []]
+    with pytest.raises(ValueError):
+        matching.pick_pair(pairs, 0)
+
+
+def test_exact_evidence_falls_back_to_tuples(spark):
+    ends = "client_ip string, client_port int, server_ip string, server_port int"
+    side = lambda *rows: spark.createDataFrame(list(rows), f"stream_id long, {ends}")
+    a, b = side((1, "c", 5, "s", 80), (2, "c", 6, "s", 80)), side((7, "s", 80, "x", 5), (8, "x", 6, "s", 80))
+    tuples = "struct<ip_1:string,port_1:int,ip_2:string,port_2:int>"
+    found = spark.createDataFrame([
+        (1, 7, ("c", 5, "s", 80), ("s", 80, "x", 5), "trailer", "e"),  # both streams are there
+        (99, 8, ("c", 6, "s", 80), ("s", 80, "x", 6), "trailer", "e"),  # one is not: both tuples are looked up
+        (99, 98, ("c", 6, "s", 80), ("n", 1, "x", 6), "trailer", "e"),
+    ], f"id_a long, id_b long, tuple_a {tuples}, tuple_b {tuples}, kind string, evidence string")
+    got = sorted((r.id_a, r.id_b, r.score, r.forced) for r in matching.to_connections(found, a, b).collect())
+    assert got == [(1, 7, 1.0, True), (2, 8, 1.0, True)]
