@@ -52,7 +52,7 @@ MOST_DIFFERENT_MARK = 19
 #: Pivots that a document is compared with at first; the bands of the others are looked at again across components.
 FIRST_PIVOTS = 3
 #: Slots that count band keys, to find crowded ones; a task names the slots in which it has so many keys itself.
-SLOTS, LEAST_OF_TASK = 1 << 22, 16
+SLOTS, LEAST_OF_TASK = 1 << 20, 16
 #: Documents of a part of a crowded band; more where the mean of all slots is an eighth of this.
 PART = 1 << 12
 
@@ -222,7 +222,9 @@ def _texts(documents: DataFrame, ids: DataFrame) -> DataFrame:
     def may_matter(h: pd.Series) -> pd.Series:
         return pd.Series(bitmap.contains(sieve.value, h.to_numpy(dtype=np.int64).view(np.uint64)))
 
-    return materialize(documents.where(may_matter(F.xxhash64("doc_id"))).join(ids, "doc_id").select("doc_id", "text"))
+    out = materialize(documents.where(may_matter(F.xxhash64("doc_id"))).join(ids, "doc_id").select("doc_id", "text"))
+    sieve.unpersist()
+    return out
 
 
 def _links(pairs: DataFrame, signed: DataFrame, documents: DataFrame, shingle: int) -> DataFrame:
@@ -275,7 +277,9 @@ def _shared_bands(first: DataFrame) -> DataFrame:
 
     rows = first.select("a", "bands").mapInArrow(deal, "key long, part int, a long")
     sized = rows.withColumn("size", F.count("*").over(Window.partitionBy("key", "part")))
-    return materialize(sized.where("size > 1 OR part > 0"))
+    out = materialize(sized.where("size > 1 OR part > 0"))
+    crowded.unpersist()
+    return out
 
 
 def _nearest_pivots(shared: DataFrame, first: DataFrame) -> DataFrame:
