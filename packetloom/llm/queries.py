@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import decontaminate, jpeg, near_dedup, packing, pii, secrets, substring_dedup, toxicity, url_filter, warc
+from packetloom.llm import byte_bpe, decontaminate, jpeg, near_dedup, packing, pii, secrets, substring_dedup, toxicity, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,8 +53,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(byte_bpe.VOCABULARY))
+
+
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op3_secrets, op4_substring_dedup, op5_jpeg, op6_decontaminate, op7_near_dedup, op8_toxicity, op9_packing, op10_url_filter]
+    named = [op1_warc, op2_pii, op3_secrets, op4_substring_dedup, op5_jpeg, op6_decontaminate, op7_near_dedup, op8_toxicity, op9_packing, op10_url_filter, op11_byte_bpe]
     return {f.__name__: f for f in named}
 
 
