@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.llm import byte_bpe, collocations, decontaminate, jpeg, near_dedup, packing, pii, secrets, substring_dedup, toxicity, url_filter, warc
+from packetloom.llm import byte_bpe, collocations, conversation_repair, decontaminate, jpeg, near_dedup, packing, pii, secrets, substring_dedup, toxicity, url_filter, warc
 from packetloom.storage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,12 +57,17 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(byte_bpe.VOCABULARY))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversations, conversation_repair.damage(conversations))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    named = [op1_warc, op2_pii, op3_secrets, op4_substring_dedup, op5_jpeg, op6_decontaminate, op7_near_dedup, op8_toxicity, op9_packing, op10_url_filter, op11_byte_bpe, op13_collocations]
+    named = [op1_warc, op2_pii, op3_secrets, op4_substring_dedup, op5_jpeg, op6_decontaminate, op7_near_dedup, op8_toxicity, op9_packing, op10_url_filter, op11_byte_bpe, op12_conversation_repair, op13_collocations]
     return {f.__name__: f for f in named}
 
 
