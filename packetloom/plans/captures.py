@@ -291,8 +291,8 @@ _FILES_SQL = f"SELECT {', '.join(_FROM_FILES)} FROM {_A}"
 def capture_file_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From a capture file to connections: frames are numbered, streams told apart by their ends."""
     folder = f"{shared_dir(spark)}/captures/{uuid.uuid4().hex}"
-    pcap.write_captures(as_frames(packet_view(spark, sf_dir, "capture_a").where("flags <> 2 OR frame_number = 1")), folder)
-    built = build_connections(pcap.connections_input(pcap.read_captures(spark, folder)))
+    pcap.write_captures(as_frames(packet_view(spark, sf_dir, "capture_a")), folder)
+    built = build_connections(pcap.connections_input(pcap.read_captures(spark, folder, protocol=6)))
     return built.select(F.least("client_port", "server_port").alias("low"), F.greatest("client_port", "server_port").alias("high"), "packet_count", "total_bytes", "first_ms", "last_ms")
 
 
