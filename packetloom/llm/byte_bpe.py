@@ -40,6 +40,8 @@ PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{IsWhite_Space}").replace
 HEAD, BUCKETS = 1 << 17, 1 << 16
 #: Bits of a candidate that hold its length; a token is shorter than 2 to that.
 _LENGTH_BITS = 10
+#: Bytes that tell how long a token that begins with them can be.
+_PREFIX = 4
 
 Ranks = dict[bytes, int]
 
@@ -88,7 +90,12 @@ def _literal_map(df: DataFrame, entries: Iterable[tuple[str, object]], kind: str
 def _encoder(df: DataFrame, ranks: Ranks):
     """A function from a word's column to its array of ids."""
     rank_of = _literal_map(df, ((token.hex().upper(), rank) for token, rank in ranks.items()), "int")
-    longest = F.lit(max(map(len, ranks)))
+    longest: dict[str, int] = {}
+    for token in ranks:
+        if len(token) >= _PREFIX:
+            start = token[:_PREFIX].hex().upper()
+            longest[start] = max(longest.get(start, 0), len(token))
+    longest_of = _literal_map(df, longest.items(), "int")
     place_bits = 31
     shift_left, low = (lambda x, bits: F.call_function("shiftleft", x, F.lit(bits))), (1 << _LENGTH_BITS) - 1
     one, zeros = F.lit(b"1"), F.lit(b"0" * max(map(len, ranks)))
@@ -96,13 +103,14 @@ def _encoder(df: DataFrame, ranks: Ranks):
     def encode(word: Column) -> Column:
         data = word.cast("binary")
         size = F.octet_length(data)
-        token = lambda at, length: rank_of(F.hex(F.substring(data, at + 1, length)))
+        key = lambda at, length: F.hex(F.substring(data, at + 1, length))
 
         def at_start(i: Column) -> Column:
-            return F.transform(
-                F.sequence(F.lit(2), F.least(longest, size - i)),
-                lambda length: shift_left(token(i, length).cast("long"), place_bits + _LENGTH_BITS).bitwiseOR(shift_left(i.cast("long"), _LENGTH_BITS) + length),
-            )
+            """Candidates that begin at byte ``i``: rank, place and length in one number, so that they sort by rank, then place."""
+            most = F.least(F.coalesce(longest_of(key(i, F.lit(_PREFIX))), F.lit(_PREFIX - 1)), size - i)
+            keys = F.transform(F.sequence(F.lit(2), most), lambda length: key(i, length))
+            at = shift_left(i.cast("long"), _LENGTH_BITS)
+            return F.transform(keys, lambda k, nth: shift_left(rank_of(k).cast("long"), place_bits + _LENGTH_BITS).bitwiseOR(at + nth + 2))
 
         found = F.flatten(F.transform(F.sequence(F.lit(0), size - 2), at_start))
         candidates = F.when(size > 1, F.sort_array(F.filter(found, lambda c: c.isNotNull()))).otherwise(F.array().cast("array<long>"))
@@ -115,7 +123,7 @@ def _encoder(df: DataFrame, ranks: Ranks):
 
         marks = F.aggregate(candidates, F.repeat(F.lit("1"), size + 1).cast("binary"), merge)
         edges = lambda m: F.filter(F.sequence(F.lit(0), size), lambda i: F.substring(m, i + 1, F.lit(1)) == one)
-        pieces = lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda at, k: token(at, F.get(e, k + 1) - at))
+        pieces = lambda e: F.transform(F.slice(e, F.lit(1), F.size(e) - 1), lambda at, k: rank_of(key(at, F.get(e, k + 1) - at)))
         return F.flatten(F.transform(F.transform(F.array(marks), edges), pieces))
 
     return encode
