@@ -10,6 +10,7 @@ points of the source text, ends exclusive.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 from bisect import bisect_right
@@ -208,10 +209,59 @@ def may_be_disguised(text: str) -> bool:
     return any(map(and_, digits, digits[1:]))
 
 
+with open(os.path.join(os.path.dirname(__file__), "top_level_domains.txt"), encoding="utf-8") as _lines:
+    TOP_LEVEL = frozenset(w for line in _lines if not line.startswith("#") for w in line.split())
+#: Words of sentences that stand around ``at`` and ``point`` in plain prose, by language.
+ENGLISH_WORDS = frozenset(
+    """
+    a an the this that these those some any no one each every another what which such same its his her their our your my it he she they we you i me us him them
+    in on at to of by for from with as is was are were be been so and or but if when where while then than there here now not do does did has have had
+    """.split()
+)
+SENTENCE_WORDS = ENGLISH_WORDS | frozenset(
+    """
+    am im um ob an es er sie wir ihr du ich der die das den dem des ein eine einen einem einer dieser diese diesem diesen jener jedem und oder aber nicht so zu
+    le la les un une des de du ce cet cette ces mon ma ton ta son sa il elle on nous vous ils et ou mais ne pas se si au aux en y a
+    el los las uno una unos unas este esta ese esa lo su sus mi tu al del y o pero no se si que
+    """.split()
+)
+_STRONG_AT = re.compile(rf"{_OPEN}{_FEW}(?:at|@){_FEW}{_CLOSE}|\S@\S", re.IGNORECASE)
+_AT_WORD = re.compile(r"\sat\s", re.IGNORECASE)
+_POINT_WORD = re.compile(r"\s(point|punkt|punto)\s", re.IGNORECASE)
+_SPACED_SIGN = re.compile(r"\s\.\s")
+#: Words of sentences that are the domain of the language whose dot word stands before them.
+_OWN_DOMAIN = {"punkt": "de", "punto": "es"}
+
+
+def plausible_email(source: str, address: str) -> bool:
+    """Whether ``source``, which was rewritten to ``address``, is a hidden address rather than prose with "at" and "point".
+
+    A bracketed ``at``, or an @ without blanks, is enough. Otherwise the last label
+    must be a top-level domain; next to the word ``at`` neither the local part nor
+    the first label may be a word of sentences, and behind ``point`` (or ``punkt``,
+    ``punto``, but for the domain of that language) or a spaced dot (English words)
+    no such word is a domain.
+    """
+    if _STRONG_AT.search(source):
+        return True
+    local, _, host = address.lower().rpartition("@")
+    labels = host.split(".")
+    last = labels[-1]
+    if last not in TOP_LEVEL and not (len(last) == 2 and last.isascii() and last.isalpha()):
+        return False
+    if _AT_WORD.search(source) and (labels[0] in SENTENCE_WORDS or local in SENTENCE_WORDS):
+        return False
+    if _SPACED_SIGN.search(source) and last in ENGLISH_WORDS:
+        return False
+    points = {w.lower() for w in _POINT_WORD.findall(source)}
+    return not points or last not in SENTENCE_WORDS or last in {_OWN_DOMAIN.get(w) for w in points}
+
+
 def find_disguised(text: str, plain: dict[str, list[Span]], gate: bool = True) -> dict[str, list[Span]]:
     """Spans that only the rewritten text shows; those that meet a plain span of their kind are left out.
 
-    Rewriting is repeated once, since a homoglyph may stand inside a disguise.
+    Rewriting is repeated once, since a homoglyph may stand inside a disguise. An
+    e-mail address must be plausible, see ``plausible_email``.
     Without ``gate`` a text is rewritten whether or not it shows signs of a disguise.
     """
     if gate and not may_be_disguised(text):
@@ -225,6 +275,8 @@ def find_disguised(text: str, plain: dict[str, list[Span]], gate: bool = True) -
             begin, stop = first.source_span(*second.source_span(start, end))
             # The first plain span that ends behind the beginning; plain spans are in order and apart.
             k = bisect_right(ends, begin)
+            if kind == "email" and not plausible_email(text[begin:stop], second.text[start:end]):
+                continue
             if text[begin:stop] != second.text[start:end] and (k == len(ends) or plain[kind][k][0] >= stop):
                 found[kind].append((begin, stop))
     return found

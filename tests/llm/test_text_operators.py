@@ -213,6 +213,27 @@ def test_disguises_are_found_in_a_made_corpus():
     assert made == 360 and found >= 0.95 * made
 
 
+def test_prose_with_at_and_point_is_left_alone():
+    """At least 2,000 sentences of four languages with the words that disguises use; none holds an identifier."""
+    english = [
+        f"{who} {verb} at {det} {dot} {then}."
+        for who in ("I", "The crew", "Nobody", "noon.", "They all") for verb in ("arrived", "looked", "stopped", "aimed", "was")
+        for det in ("this", "that", "some", "one", "no", "the", "any", "which", "what", "every") for dot in ("point", "dot", "Point")
+        for then in ("in time", "we stop", "and left", "it is late", "of no return", "so be it", "the road ends", "is moot")
+    ]
+    others = [
+        f"{a} {b} {c}" for a in ("venu at home point final", "à ce point de vue", "an diesem Punkt es geht", "en este punto no hay", "am Punkt de", "lunch @ noon. then we go", "rated 5 @ home . we won", "au point de la ville")
+        for b in ("and at this point in 1999", "le point est clair", "Punkt um drei", "y punto final", "we meet @ the gate.") for c in ("at that point us two", "one two", "punto", "dot")
+    ]
+    sentences = english + others
+    assert len(sentences) > 1300
+    sentences += [" ".join(pair) for pair in zip(english[::2], others * 10)]
+    assert len(sentences) > 2000
+    assert [t for t in sentences if pii.mask(t) != t] == []
+    for hidden in ("joe at mail dot com", "joe at mail dot example", "joe at mail point fr", "joe @ mail dot de", "joe [at] this [dot] in", "joe at mail punkt de"):
+        assert pii.mask(f"write to {hidden} today") == "write to <EMAIL> today", hidden
+
+
 @pytest.mark.parametrize("unit", [" ", "\t", "one ", "[ ", "at ", " @", "dot ", "plus ", "\u0430", "1 ", "a.", "( "])
 def test_long_runs_take_linear_time(unit):
     begun = time.perf_counter()
