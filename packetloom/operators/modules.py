@@ -159,14 +159,17 @@ HALF_UP = 1e-7
 def rtp_streams(packets: DataFrame, clock_hz: int = 8000, key: Sequence[str] = ("src_ip", "src_port", "dst_ip", "dst_port", "ssrc")) -> DataFrame:
     """Loss and jitter of each stream, in the order of arrival.
 
-    Loss is what the range of sequence numbers lacks. Jitter moves by a sixteenth
+    Loss is what the range of sequence numbers lacks; these are of 16 bits and are
+    counted on by the shorter way from each packet to the next, so a stream may
+    wrap. Jitter moves by a sixteenth
     of the way towards each difference of arrival and media time. Its value at a
     packet is a weighted sum of all differences before it, taken in blocks, so no
     list of a stream's packets is made.
     """
     arrival, keep = Window.partitionBy(*key).orderBy("frame_number"), 15 / 16
     transit = F.col("time_ms") - F.col("media_time") * 1000.0 / clock_hz
-    steps = packets.withColumns({"_d": F.coalesce(F.abs(transit - F.lag(transit).over(arrival)), F.lit(0.0)), "_k": F.row_number().over(arrival) - 1})
+    steps = packets.withColumns({"_d": F.coalesce(F.abs(transit - F.lag(transit).over(arrival)), F.lit(0.0)), "_k": F.row_number().over(arrival) - 1, "_step": F.coalesce(F.pmod(F.col("media_seq") - F.lag("media_seq").over(arrival) + 32_768, F.lit(65_536)) - 32_768, F.lit(0))})
+    steps = steps.withColumn("_seq", F.sum("_step").over(arrival))
     place = F.col("_k") % JITTER_BLOCK
     blocks = steps.withColumn("_block", F.floor(F.col("_k") / JITTER_BLOCK))
     within = Window.partitionBy(*key).orderBy("frame_number")
@@ -175,7 +178,7 @@ def rtp_streams(packets: DataFrame, clock_hz: int = 8000, key: Sequence[str] = (
     summed = blocks.withColumn("_own", F.sum(weighted).over(Window.partitionBy(*key, "_block").orderBy("frame_number")) * F.pow(F.lit(keep), place))
     before = F.last(F.when(place == JITTER_BLOCK - 1, F.col("_own")), ignorenulls=True).over(within.rowsBetween(Window.unboundedPreceding, -1))
     jitter = F.col("_own") + F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(keep), place + 1)
-    grouped = summed.withColumn("_j", jitter).groupBy(*key).agg(F.count("*").alias("packets"), (F.max("media_seq") - F.min("media_seq") + 1).alias("expected"), F.avg("_j").alias("_mean"), F.max("_j").alias("_most"))
+    grouped = summed.withColumn("_j", jitter).groupBy(*key).agg(F.count("*").alias("packets"), (F.max("_seq") - F.min("_seq") + 1).alias("expected"), F.avg("_j").alias("_mean"), F.max("_j").alias("_most"))
     lost = F.greatest(F.lit(0), F.col("expected") - F.col("packets"))
     rated = grouped.select(*key, "packets", "expected", lost.alias("lost"), F.round(100.0 * lost / F.col("expected"), 4).alias("loss"), F.round(F.col("_mean") + HALF_UP, 5).alias("jitter"), F.round(F.col("_most") + HALF_UP, 5).alias("max_jitter"))
     return rated.withColumn("severity", severity((F.col("loss") > 5) | (F.col("jitter") > 30) | (F.col("max_jitter") > 50), (F.col("loss") > 1) | (F.col("jitter") > 20)))
@@ -208,11 +211,19 @@ def voice_quality(streams: DataFrame) -> DataFrame:
 
 
 def request_response_times(rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Each query with the next response of its key: answered or not, and the time between."""
+    """Each query with its response: answered or not, and the time between.
+
+    Responses answer the queries of their key in order: each the oldest one still
+    open. A response that finds none open, as its query was not captured, is left out.
+    """
     order = Window.partitionBy(*key).orderBy("time_ms", "frame_number")
-    following = rows.withColumn("next_kind", F.lead("kind").over(order)).withColumn("next_ms", F.lead("time_ms").over(order))
-    answered = F.coalesce(F.col("next_kind") == "response", F.lit(False))
-    return following.where("kind = 'query'").select(*key, "frame_number", answered.alias("answered"), F.when(answered, F.col("next_ms") - F.col("time_ms")).alias("service_ms"))
+    query = F.col("kind") == "query"
+    counted = rows.withColumns({"_queries": F.count_if(query).over(order), "_ahead": F.sum(F.when(query, -1).otherwise(1)).over(order)})
+    # How far responses have ever been ahead of queries is how many answer nothing.
+    counted = counted.withColumn("_idle", F.greatest(F.max("_ahead").over(order), F.lit(0)))
+    placed = counted.withColumns({"_nth": F.when(query, F.col("_queries")).otherwise(F.col("_queries") + F.col("_ahead") - F.col("_idle")), "_new": F.col("_idle") > F.coalesce(F.lag("_idle").over(order), F.lit(0))})
+    paired = placed.where(query | ~F.col("_new")).groupBy(*key, "_nth").agg(F.max(F.when(query, F.col("frame_number"))).alias("frame_number"), F.max(F.when(query, F.col("time_ms"))).alias("_asked"), F.max(F.when(~query, F.col("time_ms"))).alias("_told"))
+    return paired.select(*key, "frame_number", F.col("_told").isNotNull().alias("answered"), (F.col("_told") - F.col("_asked")).alias("service_ms"))
 
 
 def sample_items(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:

@@ -62,20 +62,20 @@ EXAMPLES = 10
 
 
 def diff_groups(paired: DataFrame) -> DataFrame:
-    """A row per matched pair of streams: when side A's packets begin and end (ns), how many pairs differ in flags and in sequence numbers, the most frequent change of flags, and the first examples of both.
+    """A row per stream of side A, whatever number of streams it is matched with: when its packets begin and end (ns), how many pairs differ in flags and in sequence numbers, the most frequent change of flags, and the first examples of both.
 
     Examples are the first by frame; each kind is ranked within its stream, and
     only these reach a list.
     """
-    keys = ["id_a", "id_b"]
+    keys = ["id_a"]
     both = paired.where("a IS NOT NULL AND b IS NOT NULL")
-    times = paired.where("a IS NOT NULL").groupBy(*keys).agg(nanoseconds(F.min("a.time_ms") / 1000).alias("first_ns"), nanoseconds(F.max("a.time_ms") / 1000).alias("last_ns"))
+    times = paired.where("a IS NOT NULL").groupBy(*keys).agg(F.count_distinct("id_b").alias("streams_b"), nanoseconds(F.min("a.time_ms") / 1000).alias("first_ns"), nanoseconds(F.max("a.time_ms") / 1000).alias("last_ns"))
     frames = F.concat(F.lit("Frame "), F.col("a.frame_number").cast("string"), F.lit("->"), F.col("b.frame_number").cast("string"))
     out = times
     for kind, text in (("flags", frames), ("seq", F.concat(frames, F.lit(": "), F.col("a.seq").cast("string"), F.lit("->"), F.col("b.seq").cast("string")))):
         unequal = both.where(F.col(f"a.{kind}") != F.col(f"b.{kind}"))
         counted = unequal.groupBy(*keys).agg(F.count("*").alias(f"{kind}_differences"))
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy("a.frame_number", "b.frame_number"))
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("a.frame_number", "b.frame_number", "id_b"))
         shown = unequal.select(*keys, place.alias("_k"), text.alias("_text")).where(F.col("_k") <= EXAMPLES)
         listed = shown.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_text"))), lambda x: x["_text"]), "; ").alias("_examples"))
         more = F.when(F.col(f"{kind}_differences") > EXAMPLES, F.concat(F.lit("; ... and "), (F.col(f"{kind}_differences") - EXAMPLES).cast("string"), F.lit(" more"))).otherwise("")

@@ -16,33 +16,85 @@ def _counters(from_client: Column) -> list[Column]:
     return out + [F.count_if(c & F.col(x)).alias(f"{s}_{x}") for s, c in side.items() for x in COUNTERS]
 
 
+#: Frames of a block: a stream's frames of a block are looked at by one task.
+BLOCK = 1 << 16
+
+
+def _signed(x: Column, bits: int = 32) -> Column:
+    """``x`` modulo 2**bits as a number of both signs: the shorter way between two serial numbers."""
+    half = 1 << (bits - 1)
+    return F.pmod(x + half, F.lit(1 << bits)) - half
+
+
+def _block_carries(placed: DataFrame, block: list[str]) -> DataFrame:
+    """What each block of a stream needs from the blocks before it, a row per block.
+
+    For each direction, ``f`` and ``b``: ``base``, the number of its first packet
+    here counted on since the stream began; ``most``, how far it has got before;
+    and its last acknowledgement.
+    """
+    sides = {"f": F.col("_forward"), "b": ~F.col("_forward")}
+    split = placed.withColumns({f"_{c}_{d}": F.when(of, F.col(c)) for d, of in sides.items() for c in ("seq", "ack", "_rel", "_end", "frame_number")})
+    made = []
+    for d in sides:
+        seq, ack, rel, end, frame = (f"_{c}_{d}" for c in ("seq", "ack", "_rel", "_end", "frame_number"))
+        made += [F.min_by(seq, frame).alias(f"{d}_first"), F.max_by(seq, frame).alias(f"{d}_last"), F.max_by(rel, frame).alias(f"{d}_moved"), F.max(end).alias(f"{d}_far"), F.max_by(ack, frame).alias(f"{d}_ack")]
+    blocks = split.groupBy(*block).agg(*made)
+    here = Window.partitionBy(*block[:-1]).orderBy(block[-1])
+    before = here.rowsBetween(Window.unboundedPreceding, -1)
+    held = lambda c: F.last(c, ignorenulls=True).over(before)
+    steps = blocks.withColumns({f"{d}_step": F.coalesce(held(f"{d}_moved") + _signed(F.col(f"{d}_first") - held(f"{d}_last")), F.lit(0)) for d in sides})
+    begun = {f"{d}_base": F.first(f"{d}_first", ignorenulls=True).over(here) + F.sum(F.when(F.col(f"{d}_first").isNotNull(), F.col(f"{d}_step"))).over(here) for d in sides}
+    based = steps.withColumns(begun)
+    out = based.withColumns({f"{d}_most": F.max(F.col(f"{d}_base") + F.col(f"{d}_far")).over(before) for d in sides} | {f"{d}_acked": held(f"{d}_ack") for d in sides})
+    return out.select(*block, *(f"{d}_{c}" for d in sides for c in ("base", "most", "acked")))
+
+
 def with_tcp_analysis(packets: DataFrame) -> DataFrame:
-    """Packets with the COUNTERS as flags, derived from sequence and acknowledgement numbers.
-
-    A packet is a retransmission if it carries data, a SYN or a FIN and ends no
-    further than its sender has got before; it follows a lost segment if it begins
-    beyond that; it is a duplicate acknowledgement if it carries nothing and
-    repeats its sender's last one; and it acknowledges what was not captured if it
-    names more than the other side was seen to send. Running maxima over each
-    stream in the order of frames; numbers are taken as they are, so a stream that
-    wraps is judged anew after it.
+    """Packets with the COUNTERS and ``keep_alive`` as flags, derived from sequence and acknowledgement numbers.
+
+    A packet is a keep-alive if it carries at most one byte, neither SYN, FIN nor
+    RST, and begins one before its sender's next number; else a retransmission if
+    it carries data, a SYN or a FIN and ends no further than its sender has got
+    before; it follows a lost segment if it begins beyond that; it is a duplicate
+    acknowledgement if it carries nothing and repeats its sender's last one; and it
+    acknowledges what was not captured if it names more than the other side was
+    seen to send.
+
+    Numbers are of 32 bits: each direction's are counted on by the shorter way from
+    one packet to its next, so a stream may wrap as often as it likes. A stream is
+    looked at in blocks of BLOCK frames, and what a block needs from those before
+    it is one row, so a stream of a third of all packets is no task's own.
     """
-    stream = Window.partitionBy("capture_id", "stream_id").orderBy("frame_number")
-    own = Window.partitionBy("capture_id", "stream_id", "_forward").orderBy("frame_number")
+    block = ["capture_id", "stream_id", "_block"]
+    inside = Window.partitionBy(*block).orderBy("frame_number")
+    own = Window.partitionBy(*block, "_forward").orderBy("frame_number")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
     marks = F.col("flags").bitwiseAND(P.SYN | P.FIN) != 0
     counts = (F.col("len") > 0) | marks
-    end = F.col("seq") + F.col("len") + marks.cast("int")
-    placed = packets.withColumns({"_forward": (F.col("src_ip") < F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port"))), "_end": F.when(counts, end)})
-    other = F.when(F.col("_forward"), F.max(F.when(~F.col("_forward"), F.col("_end"))).over(before(stream))).otherwise(F.max(F.when(F.col("_forward"), F.col("_end"))).over(before(stream)))
-    seen = placed.withColumns({"_sent": F.max("_end").over(before(own)), "_got": other, "_last_ack": F.lag("ack").over(own)})
+    forward = (F.col("src_ip") < F.col("dst_ip")) | ((F.col("src_ip") == F.col("dst_ip")) & (F.col("src_port") <= F.col("dst_port")))
+    placed = packets.withColumns({"_forward": forward, "_block": F.floor(F.col("frame_number") / BLOCK)})
+    placed = placed.withColumn("_step", F.coalesce(_signed(F.col("seq") - F.lag("seq").over(own)), F.lit(0))).withColumn("_rel", F.sum("_step").over(own))
+    placed = placed.withColumn("_end", F.when(counts, F.col("_rel") + F.col("len") + marks.cast("int")))
+    seen = placed.withColumns({
+        "_own": F.max("_end").over(before(own)), "_f": F.max(F.when(F.col("_forward"), F.col("_end"))).over(before(inside)), "_b": F.max(F.when(~F.col("_forward"), F.col("_end"))).over(before(inside)), "_last_ack": F.lag("ack").over(own),
+    })
+    side = lambda c, other=False: F.when(F.col("_forward") != F.lit(other), F.col(f"f_{c}")).otherwise(F.col(f"b_{c}"))
+    base, sent = side("base"), F.greatest(side("most"), side("base") + F.col("_own"))
+    other_in_block = F.when(F.col("_forward"), F.col("_b")).otherwise(F.col("_f"))
+    got = F.greatest(side("most", True), side("base", True) + other_in_block)
+    begin, end = base + F.col("_rel"), base + F.col("_end")
     acked = F.col("flags").bitwiseAND(P.ACK) != 0
-    plain = (F.col("len") == 0) & acked & ~marks & ~P.has(F.col("flags"), P.RST)
+    reset = P.has(F.col("flags"), P.RST)
+    plain = (F.col("len") == 0) & acked & ~marks & ~reset
+    last_ack = F.coalesce("_last_ack", side("acked"))
     flag = lambda c: F.coalesce(c, F.lit(False))
-    return seen.withColumns({
-        "retransmission": flag(counts & (F.col("_end") <= F.col("_sent"))), "duplicate_ack": flag(plain & (F.col("ack") == F.col("_last_ack"))),
-        "lost_segment": flag(counts & ~P.has(F.col("flags"), P.SYN) & (F.col("seq") > F.col("_sent"))), "ack_lost": flag(acked & (F.col("ack") > F.col("_got"))),
-    }).drop("_forward", "_end", "_sent", "_got", "_last_ack")
+    keep_alive = flag((F.col("len") <= 1) & ~marks & ~reset & (begin == sent - 1))
+    judged = seen.join(_block_carries(placed, block), block).withColumns({
+        "keep_alive": keep_alive, "retransmission": flag(counts & (end <= sent)) & ~keep_alive, "duplicate_ack": flag(plain & (F.col("ack") == last_ack)) & ~keep_alive,
+        "lost_segment": flag(counts & ~P.has(F.col("flags"), P.SYN) & (begin > sent)), "ack_lost": flag(acked & (_signed(F.col("ack") - got) > 0)),
+    })
+    return judged.select(*packets.columns, *COUNTERS, "keep_alive")
 
 
 STREAM = ("capture_id", "stream_id")

@@ -84,14 +84,14 @@ _PLUS = lambda c: f"coalesce(nullif(concat_ws('+', {', '.join(f'CASE WHEN {c} &
 _STEP = lambda t: f"CASE {t} " + " ".join(f"WHEN {n!r} THEN {k}" for n, k in FLAG_STEPS.items()) + " ELSE 999 END"
 _EXAMPLE = {"flags": "'Frame ' || fa || '->' || fb", "seq": "'Frame ' || fa || '->' || fb || ': ' || seq_a || '->' || seq_b"}
 _GROUPS_SQL = _PAIRED_SQL + f""",
-{", ".join(f"""{k}_u AS (SELECT id_a, id_b, {_EXAMPLE[k]} AS x, row_number() OVER (PARTITION BY id_a, id_b ORDER BY fa, fb) AS place, count(*) OVER (PARTITION BY id_a, id_b) AS n FROM p WHERE {k}_a <> {k}_b),
-{k}_g AS (SELECT id_a, id_b, max(n) AS {k}_differences, string_agg(x, '; ' ORDER BY place) || CASE WHEN max(n) > 10 THEN '; ... and ' || (max(n) - 10) || ' more' ELSE '' END AS {k}_examples FROM {k}_u WHERE place <= 10 GROUP BY 1, 2)""" for k in ("flags", "seq"))},
-t AS (SELECT id_a, id_b, min(ta) * 1000000 AS first_ns, max(ta) * 1000000 AS last_ns FROM p WHERE fa IS NOT NULL GROUP BY 1, 2),
-c AS (SELECT id_a, id_b, flags_a, flags_b FROM p WHERE flags_a <> flags_b GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY id_a, id_b ORDER BY count(*) DESC, min(fa)) = 1),
-w AS (SELECT id_a, id_b, {_PLUS("flags_a")} AS x, {_PLUS("flags_b")} AS y FROM c),
-v AS (SELECT id_a, id_b, CASE WHEN {_STEP("x")} <= {_STEP("y")} THEN x || ' (Local Side) -> ' || y ELSE y || ' -> ' || x || ' (Local Side)' END AS flag_change FROM w)
-SELECT id_a, id_b, first_ns, last_ns, coalesce(flags_differences, 0) AS flags_differences, coalesce(flags_examples, '') AS flags_examples, coalesce(seq_differences, 0) AS seq_differences, coalesce(seq_examples, '') AS seq_examples, flag_change
-FROM t LEFT JOIN flags_g USING (id_a, id_b) LEFT JOIN seq_g USING (id_a, id_b) LEFT JOIN v USING (id_a, id_b)"""
+{", ".join(f"""{k}_u AS (SELECT id_a, {_EXAMPLE[k]} AS x, row_number() OVER (PARTITION BY id_a ORDER BY fa, fb, id_b) AS place, count(*) OVER (PARTITION BY id_a) AS n FROM p WHERE {k}_a <> {k}_b),
+{k}_g AS (SELECT id_a, max(n) AS {k}_differences, string_agg(x, '; ' ORDER BY place) || CASE WHEN max(n) > 10 THEN '; ... and ' || (max(n) - 10) || ' more' ELSE '' END AS {k}_examples FROM {k}_u WHERE place <= 10 GROUP BY 1)""" for k in ("flags", "seq"))},
+t AS (SELECT id_a, count(DISTINCT id_b) AS streams_b, min(ta) * 1000000 AS first_ns, max(ta) * 1000000 AS last_ns FROM p WHERE fa IS NOT NULL GROUP BY 1),
+c AS (SELECT id_a, flags_a, flags_b FROM p WHERE flags_a <> flags_b GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY id_a ORDER BY count(*) DESC, min(fa)) = 1),
+w AS (SELECT id_a, {_PLUS("flags_a")} AS x, {_PLUS("flags_b")} AS y FROM c),
+v AS (SELECT id_a, CASE WHEN {_STEP("x")} <= {_STEP("y")} THEN x || ' (Local Side) -> ' || y ELSE y || ' -> ' || x || ' (Local Side)' END AS flag_change FROM w)
+SELECT id_a, streams_b, first_ns, last_ns, coalesce(flags_differences, 0) AS flags_differences, coalesce(flags_examples, '') AS flags_examples, coalesce(seq_differences, 0) AS seq_differences, coalesce(seq_examples, '') AS seq_examples, flag_change
+FROM t LEFT JOIN flags_g USING (id_a) LEFT JOIN seq_g USING (id_a) LEFT JOIN v USING (id_a)"""
 
 
 def flow_view_by_sender(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,20 +183,22 @@ _COMPARE_SQL = f"SELECT ip, port, coalesce(a.score, 100) AS score_a, coalesce(b.
 
 
 def derived_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags from sequence numbers that grow with the stream, sent again or left out here and there."""
-    given = packet_view(spark, sf_dir, "capture_a").drop("retransmission", "duplicate_ack", "lost_segment", "ack_lost").withColumns({"seq": F.expr(_GROWING), "ack": F.expr(_ACKED)})
-    return Q.with_tcp_analysis(given).select("stream_id", "frame_number", *Q.COUNTERS)
+    """Flags from sequence numbers that grow with the stream, past 2**32, sent again or left out here and there; the SQL has them without a wrap."""
+    wrapped = {"seq": F.expr(_GROWING) % (1 << 32), "ack": F.expr(_ACKED) % (1 << 32)}
+    given = packet_view(spark, sf_dir, "capture_a").drop("retransmission", "duplicate_ack", "lost_segment", "ack_lost").withColumns(wrapped)
+    return Q.with_tcp_analysis(given).select("stream_id", "frame_number", *Q.COUNTERS, "keep_alive")
 
 
-_GROWING = "CAST(frame_number * 100 - CASE WHEN ip_id % 7 = 0 THEN 300 ELSE 0 END AS BIGINT)"
-_ACKED = "CAST(frame_number * 100 - CASE ip_id % 4 WHEN 0 THEN 0 ELSE 200 END AS BIGINT)"
+_GROWING = "CAST(4294966996 + frame_number * 100 - CASE WHEN ip_id % 7 = 0 THEN 300 ELSE 0 END AS BIGINT)"
+_ACKED = "CAST(4294966996 + frame_number * 100 - CASE ip_id % 4 WHEN 0 THEN 0 ELSE 200 END AS BIGINT)"
 _DERIVED_SQL = f"""
 WITH p AS (SELECT * REPLACE ({_GROWING} AS seq, {_ACKED} AS ack), (src_ip, src_port) <= (dst_ip, dst_port) AS fwd, (flags & 3) <> 0 AS marks, (flags & 16) <> 0 AS acked FROM {_A}),
 e AS (SELECT *, len > 0 OR marks AS counts, CASE WHEN len > 0 OR marks THEN seq + len + CAST(marks AS INT) END AS ends FROM p),
 w AS (SELECT *, max(ends) OVER (PARTITION BY stream_id, fwd ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sent, lag(ack) OVER (PARTITION BY stream_id, fwd ORDER BY frame_number) AS last_ack,
              max(CASE WHEN fwd THEN ends END) OVER s AS f_ends, max(CASE WHEN NOT fwd THEN ends END) OVER s AS b_ends FROM e WINDOW s AS (PARTITION BY stream_id ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT stream_id, frame_number, coalesce(counts AND ends <= sent, false) AS retransmission, coalesce(len = 0 AND acked AND NOT marks AND (flags & 4) = 0 AND ack = last_ack, false) AS duplicate_ack,
-       coalesce(counts AND (flags & 2) = 0 AND seq > sent, false) AS lost_segment, coalesce(acked AND ack > CASE WHEN fwd THEN b_ends ELSE f_ends END, false) AS ack_lost FROM w"""
+SELECT stream_id, frame_number, coalesce(counts AND ends <= sent, false) AND NOT kept AS retransmission, coalesce(len = 0 AND acked AND NOT marks AND (flags & 4) = 0 AND ack = last_ack, false) AND NOT kept AS duplicate_ack, kept AS keep_alive,
+       coalesce(counts AND (flags & 2) = 0 AND seq > sent, false) AS lost_segment, coalesce(acked AND ack > CASE WHEN fwd THEN b_ends ELSE f_ends END, false) AS ack_lost
+FROM (SELECT *, coalesce(len <= 1 AND NOT marks AND (flags & 4) = 0 AND seq = sent - 1, false) AS kept FROM w)"""
 
 #: Capture B's clock runs ahead, so the captures share a part of their times.
 _LATER = 400_000

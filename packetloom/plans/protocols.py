@@ -158,7 +158,8 @@ SELECT m.stream, messages, types FROM m LEFT JOIN (SELECT stream, string_agg(par
 # ---- voice -------------------------------------------------------------------------------------
 
 _RTP = ("src_ip", "src_port", "dst_ip", "dst_port", "stream_id AS ssrc", "frame_number", "time_ms", "frame_number + stream_id % 2 * (frame_number // 4) AS media_seq", "frame_number * 160 AS media_time")
-_RTP_SPARK = tuple(x.replace("frame_number // 4", "frame_number DIV 4") for x in _RTP)
+#: Spark's streams have 16-bit numbers and wrap, the SQL's do not.
+_RTP_SPARK = tuple(x.replace("frame_number // 4", "frame_number DIV 4").replace("frame_number + stream_id % 2 *", "(65533 + frame_number + stream_id % 2 *").replace(" AS media_seq", ") % 65536 AS media_seq") for x in _RTP)
 _KEY = "src_ip, src_port, dst_ip, dst_port, ssrc"
 
 

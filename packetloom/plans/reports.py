@@ -212,11 +212,16 @@ def dns_service_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.request_response_times(keyed, ["dns_id", "ip_1", "port_1", "ip_2", "port_2"])
 
 
+_DNS_KEY = "dns_id, ip_1, port_1, ip_2, port_2"
 _DNS_SQL = f"""
 WITH p AS (SELECT ip_id % 3 AS dns_id, CASE WHEN f THEN src_ip ELSE dst_ip END AS ip_1, CASE WHEN f THEN src_port ELSE dst_port END AS port_1, CASE WHEN f THEN dst_ip ELSE src_ip END AS ip_2, CASE WHEN f THEN dst_port ELSE src_port END AS port_2, frame_number, time_ms,
              CASE WHEN frame_number % 2 = 1 THEN 'query' ELSE 'response' END AS kind FROM (SELECT *, (src_ip, src_port) <= (dst_ip, dst_port) AS f FROM {_PK})),
-n AS (SELECT *, lead(kind) OVER w AS nk, lead(time_ms) OVER w AS nt FROM p WINDOW w AS (PARTITION BY dns_id, ip_1, port_1, ip_2, port_2 ORDER BY time_ms, frame_number))
-SELECT dns_id, ip_1, port_1, ip_2, port_2, frame_number, coalesce(nk = 'response', false) AS answered, CASE WHEN nk = 'response' THEN nt - time_ms END AS service_ms FROM n WHERE kind = 'query'"""
+x AS (SELECT *, count(*) FILTER (WHERE kind = 'query') OVER w AS q, sum(CASE WHEN kind = 'query' THEN -1 ELSE 1 END) OVER w AS ahead FROM p WINDOW w AS (PARTITION BY {_DNS_KEY} ORDER BY time_ms, frame_number)),
+y AS (SELECT *, greatest(max(ahead) OVER (PARTITION BY {_DNS_KEY} ORDER BY time_ms, frame_number), 0) AS idle FROM x),
+z AS (SELECT *, idle > coalesce(lag(idle) OVER (PARTITION BY {_DNS_KEY} ORDER BY time_ms, frame_number), 0) AS lone FROM y)
+SELECT {", ".join("a." + c for c in _DNS_KEY.split(", "))}, a.frame_number, r.time_ms IS NOT NULL AS answered, r.time_ms - a.time_ms AS service_ms
+FROM z a LEFT JOIN (SELECT {_DNS_KEY}, q + ahead - idle AS nth, time_ms FROM z WHERE kind = 'response' AND NOT lone) r ON {" AND ".join(f"a.{c} = r.{c}" for c in _DNS_KEY.split(", "))} AND a.q = r.nth
+WHERE a.kind = 'query'"""
 
 
 def udp_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import ipaddress
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from packetloom.functions import flowhash, packets
@@ -244,6 +245,67 @@ def test_flags_are_derived_from_numbers(spark):
     assert got == {1: set(), 2: set(), 3: set(), 4: {"retransmission"}, 5: {"lost_segment"}, 6: set(), 7: {"duplicate_ack"}, 8: {"ack_lost"}, 9: {"duplicate_ack"}}
 
 
+PACKETS = "capture_id string, stream_id long, frame_number long, src_ip string, src_port int, dst_ip string, dst_port int, flags int, seq long, ack long, len int"
+ENDS = {True: ("1.1.1.1", 5, "2.2.2.2", 80), False: ("2.2.2.2", 80, "1.1.1.1", 5)}
+
+
+def judged(spark, rows):
+    df = spark.createDataFrame([("A", 1, i + 1, *ENDS[f], flags, seq % (1 << 32), ack % (1 << 32), n) for i, (f, flags, seq, ack, n) in enumerate(rows)], PACKETS)
+    return {r.frame_number: {c for c in (*quality.COUNTERS, "keep_alive") if r[c]} for r in quality.with_tcp_analysis(df).collect()}
+
+
+@pytest.mark.parametrize("block", [1 << 16, 3, 1])
+def test_streams_that_wrap_are_judged_on(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    first = 4_294_967_000
+    in_order = [(True, 16, first + 100 * i, 500, 100) for i in range(8)]
+    assert judged(spark, in_order) == {i: set() for i in range(1, 9)}
+    rows = [
+        (True, 2, first - 1, 0, 0), (False, 18, 499, first, 0), (True, 16, first, 500, 200), (False, 16, 500, first + 200, 0), (True, 16, first + 200, 500, 200),  # past 2**32
+        (False, 16, 500, first + 400, 0), (True, 16, first + 200, 500, 200), (True, 16, first + 500, 500, 10), (False, 16, 500, first + 400, 0), (False, 16, 500, first + 900, 0),
+        (True, 16, first + 509, 500, 1), (True, 16, first + 509, 500, 0),
+    ]
+    assert judged(spark, rows) == {
+        1: set(), 2: set(), 3: set(), 4: set(), 5: set(), 6: set(), 7: {"retransmission"}, 8: {"lost_segment"}, 9: {"duplicate_ack"}, 10: {"ack_lost"}, 11: {"keep_alive"}, 12: {"keep_alive"},
+    }
+
+
+def test_blocks_judge_as_one_task_would(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    at, rows = {True: 4_294_900_000, False: 4_294_000_000}, []
+    for _ in range(1500):
+        f, n = bool(rng.integers(2)), int(rng.choice([0, 1, 900]))
+        seq = at[f] + int(rng.choice([0, 0, 0, 0, -900, 900, -1]))
+        rows.append((f, 16, seq, at[not f] + int(rng.choice([0, 0, 5000])), n))
+        at[f] = max(at[f], seq + n)
+    monkeypatch.setattr(quality, "BLOCK", 1 << 20)
+    whole = judged(spark, rows)
+    monkeypatch.setattr(quality, "BLOCK", 64)
+    assert judged(spark, rows) == whole and sum(map(bool, whole.values())) > 300
+
+
+def test_media_numbers_wrap(spark):
+    rows = [("a", 1, "b", 2, 7, i, i * 20, (65_530 + i) % 65_536, i * 160) for i in range(12)] + [("a", 1, "b", 2, 8, i, i * 20, (65_530 + n) % 65_536, i * 160) for i, n in enumerate([0, 1, 3, 2, 9, 8])]
+    df = spark.createDataFrame(rows, "src_ip string, src_port int, dst_ip string, dst_port int, ssrc long, frame_number long, time_ms long, media_seq long, media_time long")
+    assert {r.ssrc: (r.expected, r.lost) for r in modules.rtp_streams(df).collect()} == {7: (12, 0), 8: (10, 4)}
+
+
+def test_responses_answer_the_oldest_open_query(spark):
+    cases = {"QQR": [True, False], "RQR": [True], "QRQR": [True, True], "QQRR": [True, True], "RRQ": [False], "QRRQR": [True, True], "QQQ": [False] * 3, "R": []}
+    rows = [(name, i, i * 10, {"Q": "query", "R": "response"}[c]) for name in cases for i, c in enumerate(name)]
+    got = modules.request_response_times(spark.createDataFrame(rows, "id string, frame_number long, time_ms long, kind string"), ["id"]).orderBy("id", "frame_number").collect()
+    assert {n: [r.answered for r in got if r.id == n] for n in cases} == cases
+    assert [r.service_ms for r in got if r.id == "QQRR"] == [20, 20] and [r.service_ms for r in got if r.id == "QQR"] == [20, None]
+
+
+def test_a_stream_matched_twice_is_one_group(spark):
+    packet = "struct<frame_number:long,time_ms:long,flags:int,seq:long,ack:long,len:int>"
+    one = lambda frame, flags: {"frame_number": frame, "time_ms": frame, "flags": flags, "seq": 1, "ack": 0, "len": 0}
+    rows = [(1, 7, 5, 1, one(1, 16), one(9, 24)), (1, 8, 5, 1, one(1, 16), one(3, 24)), (2, 9, 5, 1, one(4, 16), one(4, 16))]
+    got = packetdiff.diff_groups(spark.createDataFrame(rows, f"id_a long, id_b long, ip_id int, k int, a {packet}, b {packet}")).orderBy("id_a").collect()
+    assert [(r.id_a, r.streams_b, r.flags_differences, r.flags_examples) for r in got] == [(1, 2, 2, "Frame 1->3; Frame 1->9"), (2, 1, 0, "")]
+
+
 def test_captures_in_one_table_stay_apart(spark):
     rows = [(c, 1, i, "a" if i % 2 else "b", 1 if i % 2 else 2, False, False, False, False) for c in "AB" for i in range(1, 5 if c == "A" else 3)]
     df = spark.createDataFrame(rows, "capture_id string, stream_id long, frame_number long, src_ip string, src_port int, retransmission boolean, duplicate_ack boolean, lost_segment boolean, ack_lost boolean")
