@@ -25,10 +25,10 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Iterable
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.storage import materialize
@@ -36,8 +36,8 @@ from packetloom.storage import materialize
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: White space of Unicode, where Java's own class has ASCII only.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
-#: Words whose ids are kept in a literal, and hash buckets of both literals.
-HEAD, BUCKETS = 1 << 17, 1 << 16
+#: Words whose ids are kept in a literal, and characters of a plan's text.
+HEAD, PLAN_TEXT = 1 << 18, 1 << 16
 #: Bits of a candidate that hold its length; a token is shorter than 2 to that.
 _LENGTH_BITS = 10
 #: Bytes that tell how long a token that begins with them can be.
@@ -72,30 +72,42 @@ def unreachable(ranks: Ranks) -> list[bytes]:
     return [token for token in ranks if merged(token) > 1]
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.hash(key), F.lit(BUCKETS))
+def _bucket(key: Column, buckets: int) -> Column:
+    return F.pmod(F.hash(key), F.lit(buckets))
 
 
-def _literal_map(df: DataFrame, entries: Iterable[tuple[str, object]], kind: str):
-    """A lookup in a literal: a function from a key's column to its value or null."""
-    entries = list(entries)
-    places = df.sparkSession.createDataFrame([(k,) for k, _ in entries], "key string").select(_bucket(F.col("key"))).toPandas().iloc[:, 0].tolist() if entries else []
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
-    for place, (key, value) in zip(places, entries):
-        maps[place][key] = value
+def _literal_map(keys: DataFrame, kind: str):
+    """A lookup in a literal made of ``keys`` (key, value): a function from a key's column to its value or null.
+
+    The number of hash buckets follows that of the keys. All keys reach the driver.
+    """
+    spark = keys.sparkSession
+    # A plan's text shows its literals; Spark keeps such texts, so they are cut unless the session has a limit of its own.
+    if int(spark.conf.get("spark.sql.maxPlanStringLength", "0")) > PLAN_TEXT:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
+    rows = keys.withColumn("_hash", F.hash("key")).select("_hash", "key", "value").toArrow()
+    buckets = 1 << max(rows.num_rows - 1, 15).bit_length()
+    maps: list[dict] = [{} for _ in range(buckets)]
+    for batch in rows.to_batches(max_chunksize=8192):
+        for place, key, value in zip(*(c.to_pylist() for c in batch.columns)):
+            maps[place % buckets][key] = value
     literal = F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), f"array<map<string,{kind}>>")
-    return lambda key: F.element_at(F.get(literal, _bucket(key)), key)
+    return lambda key: F.element_at(F.get(literal, _bucket(key, buckets)), key)
+
+
+def _table(spark: SparkSession, entries: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame(pa.table({"key": pa.array(entries.keys(), pa.string()), "value": pa.array(entries.values(), pa.int32())}))
 
 
 def _encoder(df: DataFrame, ranks: Ranks):
     """A function from a word's column to its array of ids."""
-    rank_of = _literal_map(df, ((token.hex().upper(), rank) for token, rank in ranks.items()), "int")
+    rank_of = _literal_map(_table(df.sparkSession, {token.hex().upper(): rank for token, rank in ranks.items()}), "int")
     longest: dict[str, int] = {}
     for token in ranks:
         if len(token) >= _PREFIX:
             start = token[:_PREFIX].hex().upper()
             longest[start] = max(longest.get(start, 0), len(token))
-    longest_of = _literal_map(df, longest.items(), "int")
+    longest_of = _literal_map(_table(df.sparkSession, longest), "int")
     place_bits = 31
     shift_left, low = (lambda x, bits: F.call_function("shiftleft", x, F.lit(bits))), (1 << _LENGTH_BITS) - 1
     one, zeros = F.lit(b"1"), F.lit(b"0" * max(map(len, ranks)))
@@ -142,8 +154,8 @@ def encode(documents: DataFrame, path: str, text: str = "text", ids: str = "ids"
     encoder = _encoder(documents, read_ranks(path))
     counts = documents.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").count()
     frequent = counts.where("count > 1").orderBy(F.desc("count"), "word").limit(head)
-    known = materialize(materialize(frequent).select("word", encoder(F.col("word")).alias("ids")))
-    ids_of = _literal_map(documents, ((r.word, list(r.ids)) for r in known.toLocalIterator()), "array<int>")
+    known = materialize(materialize(frequent).select(F.col("word").alias("key"), encoder(F.col("word")).alias("value")))
+    ids_of = _literal_map(known, "array<int>")
     # One fold for a word: a case that an optimizer could copy would be folded twice.
     return documents.withColumn(ids, F.flatten(F.transform(words(F.col(text)), lambda word: F.coalesce(ids_of(word), encoder(word)))))
 
@@ -156,7 +168,8 @@ def decode(ids: Column, path: str) -> Column:
         pieces[rank] = token.hex()
     literal = F.from_json(F.lit(json.dumps(pieces)), "array<string>")
     found = F.transform(ids, lambda i: F.get(literal, i))
-    return F.when(~F.exists(found, lambda p: p.isNull()), F.unhex(F.array_join(found, "")))
+    whole = ~F.exists(found, lambda p: p.isNull()) if None in pieces else (F.size(ids) == 0) | ((F.array_min(ids) >= 0) & (F.array_max(ids) < len(pieces)))
+    return F.when(whole, F.unhex(F.array_join(found, "")))
 
 
 def digests(documents: DataFrame, path: str) -> DataFrame:
