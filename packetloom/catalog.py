@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.plans import captures, flows, protocols, reports, topologies
+from packetloom.plans import captures, flows, payloads, protocols, reports, topologies
 
 Query = Callable[[SparkSession, str], DataFrame]
-_FAMILIES = (flows, captures, reports, protocols, topologies)
+_FAMILIES = (flows, captures, reports, protocols, topologies, payloads)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

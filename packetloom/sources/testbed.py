@@ -91,3 +91,12 @@ def as_frames(packets: DataFrame) -> DataFrame:
         number(F.col("src_port"), 2), number(F.col("dst_port"), 2), number(F.col("seq"), 4), number(F.col("ack"), 4), F.lit("50"), number(F.col("flags"), 1), F.lit("0400" + "0000" + "0000"), F.repeat(F.lit("00"), F.col("len")),
     )
     return packets.withColumns({"frame": F.unhex(text), "time_ns": F.col("time_ms") * 1_000_000})
+
+
+def as_datagrams(rows: DataFrame) -> DataFrame:
+    """Add ``frame``: Ethernet and IPv4 headers around ``data``, the hexadecimal bytes of an IP payload of the row's ``protocol``."""
+    number = lambda x, n: F.lpad(F.hex(x), 2 * n, "0")
+    address = lambda x: F.array_join(F.transform(F.split(x, r"\."), lambda p: F.lpad(F.hex(p.cast("int")), 2, "0")), "")
+    size = 20 + F.length("data") / 2
+    text = F.concat(F.lit("00" * 12 + "0800" + "4500"), number(size.cast("int"), 2), F.lit("00000000"), number(F.col("ttl"), 1), number(F.col("protocol"), 1), F.lit("0000"), address("src_ip"), address("dst_ip"), F.col("data"))
+    return rows.withColumns({"frame": F.unhex(text), "frame_len": (14 + size).cast("int")})
