@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions import packets as P
+from packetloom.storage import materialize
 
 #: Packets that the length signature shows.
 SIGNATURE_PACKETS = 20
@@ -163,20 +164,22 @@ def sampling_statistics(connections: DataFrame, sampled: DataFrame, special_port
     return counts.select("original", "sampled", "protected", (F.col("sampled") - F.col("protected")).alias("regular"), F.round(rate, 6).alias("reduction_rate"))
 
 
-def ranks(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = (), buckets: int = 64) -> DataFrame:
+def ranks(df: DataFrame, order: Sequence[str], name: str, within: Sequence[str] = ()) -> DataFrame:
     """Add each row's place, from 0, in a global order, or in that of each group of ``within``, without bringing all rows to one task.
 
-    Rows are dealt into ranges of the first column at approximate quantiles;
-    places within a range come from a window, those before it from counts.
+    One exchange deals rows into ranges, as many as the data's size asks for; they
+    are sorted there, numbered, and written once. What stands before a range comes
+    from a count for each range and group, a table that the join may broadcast if
+    it is small. Rows that ``order`` does not tell apart stand in one range.
     """
-    first = order[0]
-    cuts = sorted(set(df.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.01)))
-    bucket = F.lit(0)
-    for cut in cuts:
-        bucket = bucket + (F.col(first) > cut).cast("int")
-    dealt = df.withColumn("_bucket", bucket)
-    keys = [*within, "_bucket"]
-    before = dealt.groupBy(*keys).count().withColumn("_before", F.sum("count").over(Window.partitionBy(*within).orderBy("_bucket")) - F.col("count")).drop("count")
-    placed = dealt.withColumn("_within", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    # A row per range, and per group.
-    return placed.join(before, keys).withColumn(name, F.col("_within") + F.col("_before")).drop("_bucket", "_within", "_before")
+    by = [*within, *order]
+    ranged = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = materialize(ranged.withColumns({"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    keys = [*within, "_range"]
+    counts = dealt.groupBy(*keys).agg(F.min("_row").alias("_first"), F.count("*").alias("_count"))
+    before = F.sum("_count").over(Window.partitionBy(*within).orderBy("_range")) - F.col("_count")
+    starts = materialize(counts.withColumn("_start", before - F.col("_first")).drop("_count", "_first"))
+    same = F.col("d._range") == F.col("s._range")
+    for c in within:
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"s.{c}"))
+    return dealt.alias("d").join(starts.alias("s"), same).select(*(F.col(f"d.{c}") for c in df.columns), (F.col("_row") + F.col("_start")).alias(name))
