@@ -22,6 +22,10 @@ from packetloom.storage import materialize
 SERVER, PORT, NONE = "server", "port", "none"
 
 
+#: Words of evidence of matches by trailer and by client hello.
+TRAILER_WORD, HELLO_WORD = "F5_TRAILER", "TLS_CLIENT_HELLO"
+
+
 def choose_bucket(a: DataFrame, b: DataFrame) -> str:
     """Which key to compare connections by, from which clients, servers and ports both captures have.
 
@@ -209,7 +213,7 @@ def match_trailers(snat: DataFrame, vip: DataFrame) -> DataFrame:
     last = peers.groupBy(F.col("stream_id").alias("id_a")).agg(F.max_by(F.struct(F.col("peer_ips")[0].alias("ip"), F.col("peer_ports")[0].alias("port"), F.col("_tuple").alias("tuple_a")), "frame_number").alias("p"))
     clients = syn(vip).withColumn("_tuple", ends).groupBy(F.col("stream_id").alias("id_b")).agg(F.max_by(F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port"), F.col("_tuple").alias("tuple_b")), "frame_number").alias("c"))
     met = last.select("id_a", "p.*").join(clients.select("id_b", "c.*"), ["ip", "port"])
-    evidence = F.concat(F.lit("TRAILER(client="), F.col("ip"), F.lit(":"), F.col("port").cast("string"), F.lit(")"))
+    evidence = F.concat(F.lit(f"{TRAILER_WORD}(client="), F.col("ip"), F.lit(":"), F.col("port").cast("string"), F.lit(")"))
     return met.select("id_a", "id_b", "tuple_a", "tuple_b", F.lit("trailer").alias("kind"), evidence.alias("evidence"))
 
 
@@ -221,7 +225,7 @@ def match_hellos(a: DataFrame, b: DataFrame) -> DataFrame:
         return x.groupBy(F.col("stream_id").alias(f"id_{s}")).agg(F.min_by(hello, "frame_number").alias("h")).select(f"id_{s}", "h.*")
 
     met = first(a, "a").join(first(b, "b"), ["random", "session_id"])
-    evidence = F.concat(F.lit("CLIENT_HELLO(random="), F.substring("random", 1, 16), F.lit("..., session_id="), F.substring("session_id", 1, 16), F.lit("...)"))
+    evidence = F.concat(F.lit(f"{HELLO_WORD}(random="), F.substring("random", 1, 16), F.lit("..., session_id="), F.substring("session_id", 1, 16), F.lit("...)"))
     return met.select("id_a", "id_b", "tuple_a", "tuple_b", F.lit("hello").alias("kind"), evidence.alias("evidence"))
 
 

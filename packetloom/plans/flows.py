@@ -166,7 +166,7 @@ def trailer_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TRAILER_CTES = f"""
 ta AS (SELECT stream_id AS id_a, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_a")} WHERE flags = 2 AND stream_id % 4 = 0 GROUP BY 1),
 tb AS (SELECT stream_id AS id_b, arg_max(src_ip, frame_number) AS ip, arg_max(src_port, frame_number) AS port FROM {sql.duckdb_view("capture_b")} WHERE flags = 2 GROUP BY 1),
-tr AS (SELECT id_a, id_b, 'trailer' AS kind, 'TRAILER(client=' || ip || ':' || port || ')' AS evidence FROM ta JOIN tb USING (ip, port))"""
+tr AS (SELECT id_a, id_b, 'trailer' AS kind, 'F5_TRAILER(client=' || ip || ':' || port || ')' AS evidence FROM ta JOIN tb USING (ip, port))"""
 _TRAILER_SQL = f"WITH {_TRAILER_CTES} SELECT * FROM tr"
 
 
@@ -177,7 +177,7 @@ def hello_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 _HELLO_CTES = f"""
 ha AS (SELECT stream_id AS id_a, arg_min(hello_random, frame_number) AS r, arg_min(hello_session, frame_number) AS s FROM {_field_sql("capture_a")} WHERE hello_type = '1' AND hello_random <> '' GROUP BY 1),
 hb AS (SELECT stream_id AS id_b, arg_min(hello_random, frame_number) AS r, arg_min(hello_session, frame_number) AS s FROM {_field_sql("capture_b")} WHERE hello_type = '1' AND hello_random <> '' GROUP BY 1),
-hl AS (SELECT id_a, id_b, 'hello' AS kind, 'CLIENT_HELLO(random=' || r[:16] || '..., session_id=' || s[:16] || '...)' AS evidence FROM ha JOIN hb USING (r, s))"""
+hl AS (SELECT id_a, id_b, 'hello' AS kind, 'TLS_CLIENT_HELLO(random=' || r[:16] || '..., session_id=' || s[:16] || '...)' AS evidence FROM ha JOIN hb USING (r, s))"""
 _HELLO_SQL = f"WITH {_HELLO_CTES} SELECT * FROM hl"
 
 
