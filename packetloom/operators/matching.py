@@ -27,12 +27,12 @@ TRAILER_WORD, HELLO_WORD = "F5_TRAILER", "TLS_CLIENT_HELLO"
 
 
 def choose_bucket(a: DataFrame, b: DataFrame) -> str:
-    """Which key to compare connections by, from which clients, servers and ports both captures have.
+    """Which key to compare connections by, from whether both captures have clients and servers in common.
 
     One row of flags reaches the driver.
     """
     sets = {}
-    for c in ("client_ip", "server_ip", "server_port"):
+    for c in ("client_ip", "server_ip"):
         left, right = a.select(c).distinct(), b.select(c).distinct()
         sets[c] = not left.join(right, c, "left_semi").isEmpty()
     if sets["client_ip"] != sets["server_ip"] or not sets["server_ip"]:

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions import packets as P
+
 HIGH, MEDIUM, LOW = "High", "Medium", "Low"
 
 
@@ -104,6 +106,14 @@ def durations(connections: DataFrame) -> DataFrame:
     return counted.select("bucket", "count", share().alias("share"), rating.alias("severity"))
 
 
+def completeness_of_streams(packets: DataFrame, key: Sequence[str] = ("capture_id", "stream_id")) -> DataFrame:
+    """(key, completeness): the six letters that ``completeness`` reads, from the flags and lengths of each stream's packets."""
+    handshake = F.col("flags").bitwiseAND(P.SYN | P.ACK)
+    shown = {"R": P.has(F.col("flags"), P.RST), "F": P.has(F.col("flags"), P.FIN), "D": F.col("len") > 0, "A": handshake == P.ACK, "S": handshake == (P.SYN | P.ACK), "s": handshake == P.SYN}
+    letters = [F.when(F.bool_or(seen), letter.upper()).otherwise("-") for letter, seen in shown.items()]
+    return packets.groupBy(*key).agg(F.concat(*letters).alias("completeness"))
+
+
 def completeness(streams: DataFrame) -> DataFrame:
     """Streams by what their flag string shows: six places R F D A S S for reset, end, data, acknowledgement, server and client SYN."""
     has = lambda letter: F.contains(F.col("completeness"), F.lit(letter))

@@ -10,12 +10,6 @@ from packetloom.functions import packets as P
 COUNTERS = ("retransmission", "duplicate_ack", "lost_segment", "ack_lost")
 
 
-def _counters(from_client: Column) -> list[Column]:
-    side = {"client": from_client, "server": ~from_client}
-    out = [F.count_if(c).alias(f"{s}_packets") for s, c in side.items()]
-    return out + [F.count_if(c & F.col(x)).alias(f"{s}_{x}") for s, c in side.items() for x in COUNTERS]
-
-
 #: Frames of a block: a stream's frames of a block are looked at by one task.
 BLOCK = 1 << 16
 
@@ -116,14 +110,19 @@ def by_stream(packets: DataFrame) -> DataFrame:
 def by_service(packets: DataFrame, services: DataFrame) -> DataFrame:
     """Counters of each listed service (ip, port): the destination is looked up first.
 
-    The list is configuration, a few rows, so it is broadcast.
+    Packets are counted by their ends before services are looked up, so neither
+    join reads packets and the list may be of any size.
     """
     known = services.select("ip", "port").where("port IS NOT NULL").distinct()
-    to = packets.join(F.broadcast(known.select(F.col("ip").alias("dst_ip"), F.col("port").alias("dst_port"), F.lit(True).alias("_to"))), ["dst_ip", "dst_port"], "left")
-    both = to.join(F.broadcast(known.select(F.col("ip").alias("src_ip"), F.col("port").alias("src_port"), F.lit(True).alias("_from"))), ["src_ip", "src_port"], "left")
+    fields = ("packets", *COUNTERS)
+    ends = packets.groupBy("src_ip", "src_port", "dst_ip", "dst_port").agg(F.count("*").alias("packets"), *(F.count_if(F.col(x)).alias(x) for x in COUNTERS))
+    to = ends.join(known.select(F.col("ip").alias("dst_ip"), F.col("port").alias("dst_port"), F.lit(True).alias("_to")), ["dst_ip", "dst_port"], "left")
+    both = to.join(known.select(F.col("ip").alias("src_ip"), F.col("port").alias("src_port"), F.lit(True).alias("_from")), ["src_ip", "src_port"], "left")
     service = F.when(F.col("_to"), F.struct(F.col("dst_ip").alias("ip"), F.col("dst_port").alias("port"))).when(F.col("_from"), F.struct(F.col("src_ip").alias("ip"), F.col("src_port").alias("port")))
     kept = both.withColumn("_service", service).where("_service IS NOT NULL")
-    return kept.groupBy(F.col("_service.ip").alias("ip"), F.col("_service.port").alias("port")).agg(*_counters(F.coalesce(F.col("_to"), F.lit(False))))
+    side = {"client": F.coalesce(F.col("_to"), F.lit(False)), "server": F.col("_to").isNull()}
+    summed = [F.sum(F.when(c, F.col(x)).otherwise(0)).alias(f"{s}_{x}") for s, c in side.items() for x in fields]
+    return kept.groupBy(F.col("_service.ip").alias("ip"), F.col("_service.port").alias("port")).agg(*summed)
 
 
 def with_rates(counted: DataFrame) -> DataFrame:

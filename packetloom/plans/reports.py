@@ -94,9 +94,7 @@ SELECT bucket, count, round(100.0 * count / sum(count) OVER (), 4) AS share, CAS
 
 
 def tcp_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flag = lambda condition, letter: F.when(F.expr(f"bool_or({condition})"), letter).otherwise("-")
-    text = F.concat(flag("flags & 4 <> 0", "R"), flag("flags & 1 <> 0", "F"), flag("len > 0", "D"), flag("flags & 18 = 16", "A"), flag("flags & 18 = 18", "S"), flag("flags & 18 = 2", "S"))
-    return M.completeness(packet_view(spark, sf_dir).groupBy("stream_id").agg(text.alias("completeness")))
+    return M.completeness(M.completeness_of_streams(packet_view(spark, sf_dir), ["stream_id"]))
 
 
 _COMPLETENESS_SQL = f"""
