@@ -32,8 +32,8 @@ GRAM = 6
 #: Slots that count grams; a slot is common if it holds more than this share of all words' grams.
 SLOTS = 1 << 20
 COMMON_SHARE = 1 / 50_000
-#: Different strings of a bucket that its task sorts itself.
-CROWD = 1 << 12
+#: Windows of a bucket's different strings that its task sorts itself, and rows that it gives out at a time.
+CROWD, ROWS = 1 << 17, 20_000
 
 
 # ---- super-k-mers ------------------------------------------------------------------------------
@@ -102,8 +102,8 @@ def minimisers(documents: DataFrame, common, window: int = WINDOW, gram: int = G
     return documents.select("doc_id", "text").mapInArrow(find, "minimiser long, doc_id long")
 
 
-_SUPER = "minimiser long, doc_id long, version long, start int, digest binary, packed binary"
-_SUPER_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+_SUPER = "minimiser long, doc_id long, version long, start int, windows int, digest binary, packed binary"
+_SUPER_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 
 
 def super_kmers(documents: DataFrame, common, repeated, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -119,8 +119,8 @@ def super_kmers(documents: DataFrame, common, repeated, window: int = WINDOW, gr
                 rows, data = [], words.data.tobytes() if pick.any() else b""
                 for a, b, m in zip(first[pick].tolist(), last[pick].tolist(), least[pick].view(np.int64).tolist()):
                     packed, d = data[words.starts[a] : words.ends[b + window - 1]], int(words.doc[a])
-                    rows.append((m, ids[begin + d], versions[begin + d], a - int(words.first[d]), hashlib.blake2b(packed, digest_size=16).digest(), packed))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, _SUPER_TYPES)], names)
+                    rows.append((m, ids[begin + d], versions[begin + d], a - int(words.first[d]), b - a + 1, hashlib.blake2b(packed, digest_size=16).digest(), packed))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 7, _SUPER_TYPES)], names)
 
     return documents.select("doc_id", "text", "version").mapInArrow(find, _SUPER)
 
@@ -162,10 +162,11 @@ def _bucket_firsts(group: list[tuple[bytes, bytes, int, int]], window: int) -> I
 
 
 def count_windows(packed: DataFrame, window: int = WINDOW, crowd: int = CROWD) -> DataFrame:
-    """For distinct super-k-mers (minimiser, digest, packed, first, last): runs of windows (digest, run_from, run_to, first_doc) that an earlier document has.
+    """For distinct super-k-mers (minimiser, digest, packed, windows, first, last): runs of windows (digest, run_from, run_to, first_doc) that an earlier document has.
 
-    Strings are dealt by minimiser. A bucket of up to ``crowd`` strings is sorted
-    by its task; the windows of a larger one are passed on as they are read.
+    Strings are dealt by minimiser. A bucket whose strings have up to ``crowd``
+    windows is sorted by its task; the windows of a larger one, be it of many
+    strings or of one long one, are passed on as they are cut.
     """
     names = [x.split()[0] for x in _FIRSTS.split(", ")]
     types = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
@@ -184,14 +185,18 @@ def count_windows(packed: DataFrame, window: int = WINDOW, crowd: int = CROWD) -
                     group.append(tuple(row))
                 else:
                     digest, text, first, last = row
-                    out += [(digest, i, i + 1, first, last, hashlib.blake2b(w, digest_size=16).digest()) for i, w in enumerate(_window_slices(text, window))]
-                if len(out) > 20_000:
+                    for i, w in enumerate(_window_slices(text, window)):
+                        out.append((digest, i, i + 1, first, last, hashlib.blake2b(w, digest_size=16).digest()))
+                        if len(out) > ROWS:
+                            yield flush(out)
+                            out = []
+                if len(out) > ROWS:
                     yield flush(out)
                     out = []
         yield flush([*out, *_bucket_firsts(group, window)])
 
     bucket = Window.partitionBy("minimiser")
-    dealt = packed.select("minimiser", "digest", "packed", "first", "last").withColumn("size", F.count("*").over(bucket))
+    dealt = packed.select("minimiser", "digest", "packed", "first", "last", "windows").withColumn("size", F.sum("windows").over(bucket))
     counted = materialize(dealt.select("minimiser", "size", "digest", "packed", "first", "last").mapInArrow(count, _FIRSTS))
     done, still = counted.where("window IS NULL").select("digest", "run_from", "run_to", "first_doc"), counted.where("window IS NOT NULL")
     firsts = still.groupBy("window").agg(F.min("first_doc").alias("least"))
@@ -210,7 +215,7 @@ def removable_spans(documents: DataFrame, window: int = WINDOW, gram: int = GRAM
     repeated = materialize(seen.where("first < last").select("minimiser"))
     sieve = context.broadcast(bitmap.build(repeated, "minimiser", bitmap.bits_for(repeated.count())))
     found = materialize(super_kmers(documents, common, sieve, window, gram))
-    distinct = found.groupBy("minimiser", "digest", "packed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    distinct = found.groupBy("minimiser", "digest", "packed").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("windows").alias("windows"))
     firsts = count_windows(distinct, window, crowd)
     met = found.select("digest", "doc_id", "version", "start").join(firsts, "digest").where("first_doc < doc_id")
     return met.select("doc_id", "version", (F.col("start") + F.col("run_from")).alias("begin"), (F.col("start") + F.col("run_to") + (window - 1)).alias("end"))

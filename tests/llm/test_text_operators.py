@@ -296,6 +296,16 @@ def test_windows_of_crowded_buckets_are_counted_by_themselves(spark):
         assert sorted(map(tuple, got), key=str) == brute_removal(list(enumerate(texts)), 8)
 
 
+def test_one_word_repeated_is_cut_in_slices(spark, monkeypatch):
+    """A text of one word is one string of thousands of windows: it counts by its windows, and its rows are given out in slices."""
+    monkeypatch.setattr(substring_dedup, "ROWS", 500)
+    texts = ["same " * (3000 + 7 * i) + f"end{i}" for i in range(12)]
+    want = brute_removal(list(enumerate(texts)), 50)
+    for crowd in (1000, 1 << 17):
+        got = substring_dedup.remove_repeats(documents(spark, texts), crowd=crowd).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == want
+
+
 # ---- 5 JPEG ------------------------------------------------------------------------------------
 
 
