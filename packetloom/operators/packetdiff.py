@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packetloom.functions.flowhash import flow_hash
 from packetloom.functions.packets import flag_change_text, flag_text, nanoseconds
 
 COMPARED = ("flags", "seq", "ack", "len")
@@ -85,3 +86,16 @@ def diff_groups(paired: DataFrame) -> DataFrame:
     most = changed.groupBy(*keys).agg(F.max_by(F.struct("_from", "_to"), F.struct("_n", -F.col("_seen"))).alias("_c")).select(*keys, flag_change_text(F.col("_c._from"), F.col("_c._to")).alias("flag_change"))
     zero = {f"{k}_differences": F.coalesce(f"{k}_differences", F.lit(0)) for k in ("flags", "seq")} | {f"{k}_examples": F.coalesce(f"{k}_examples", F.lit("")) for k in ("flags", "seq")}
     return out.join(most, keys, "left").withColumns(zero)
+
+
+def stream_extra(groups: DataFrame, connections: DataFrame, pcap_id: int = 0) -> DataFrame:
+    """Groups of differences as rows of the database's table of streams: with the capture's number and the flow hash of side A's connection.
+
+    Fixed values: the table's column names, and its arrow between frames.
+    """
+    ends = connections.select(F.col("stream_id").alias("id_a"), flow_hash(F.col("client_ip"), F.col("server_ip"), F.col("client_port"), F.col("server_port"))["flow_hash"].alias("flow_hash"))
+    arrows = lambda c: F.regexp_replace(c, "->", "\u2192")
+    return groups.join(ends, "id_a").select(
+        F.lit(pcap_id).alias("pcap_id"), "flow_hash", F.col("first_ns").alias("first_time"), F.col("last_ns").alias("last_time"), F.col("flags_differences").cast("bigint").alias("tcp_flags_different_cnt"), F.col("flag_change").alias("tcp_flags_different_type"),
+        arrows("flags_examples").alias("tcp_flags_different_text"), F.col("seq_differences").cast("bigint").alias("seq_num_different_cnt"), arrows("seq_examples").alias("seq_num_different_text"),
+    )

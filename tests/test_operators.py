@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from packetloom.functions.flowhash import flow_hash
 from packetloom.functions import flowhash, packets
 from packetloom.operators import graph, matching, modules, packetdiff, preprocess, quality, roles, topology
 from packetloom.streaming import sessions
@@ -361,6 +362,36 @@ def test_a_table_of_nodes_goes_to_a_database(spark, tmp_path):
     assert sorted((r[0], r[1], r[2]) for r in rows) == [(0, "10.0.0.1", "{1}"), (1, None, "{}")]
 
 
+def test_a_batch_is_in_the_database_once(spark, tmp_path):
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    rows = lambda *ids: spark.createDataFrame([(i, f"ip{i}", [i]) for i in ids], "pcap_id int, ip string, net_area array<int>").repartition(3)
+    kept = lambda: sorted((r.batch_id, r.pcap_id, r.ip, r.net_area) for r in spark.read.format("jdbc").option("url", url).option("dbtable", "nodes").load().collect())
+    for _ in range(2):
+        graph.write_batch(rows(1, 2, 3), url, "nodes", "one")
+        graph.write_batch(rows(9), url, "nodes", "two")
+    whole = [("one", 1, "ip1", "{1}"), ("one", 2, "ip2", "{2}"), ("one", 3, "ip3", "{3}"), ("two", 9, "ip9", "{9}")]
+    assert kept() == whole
+    # A job that dies after some of its rows leaves the table as it was; its next run puts them in once.
+    broken = rows(4, 5).withColumn("ip", F.when(F.col("pcap_id") == 5, F.raise_error(F.lit("lost"))).otherwise(F.col("ip")))
+    with pytest.raises(Exception, match="lost"):
+        graph.write_batch(broken, url, "nodes", "three")
+    assert kept() == whole
+    graph.write_batch(rows(4, 5), url, "nodes", "three")
+    assert kept() == sorted([*whole, ("three", 4, "ip4", "{4}"), ("three", 5, "ip5", "{5}")])
+    with pytest.raises(ValueError):
+        graph.write_batch(rows(1), url, "nodes", "x'; DROP")
+
+
+def test_rows_for_the_table_of_streams(spark):
+    packet = "struct<frame_number:long,time_ms:long,flags:int,seq:long,ack:long,len:int>"
+    one = lambda frame, flags: {"frame_number": frame, "time_ms": frame, "flags": flags, "seq": 1, "ack": 0, "len": 0}
+    groups = packetdiff.diff_groups(spark.createDataFrame([(1, 7, 5, 1, one(1, 16), one(9, 24))], f"id_a long, id_b long, ip_id int, k int, a {packet}, b {packet}"))
+    ends = spark.createDataFrame([(1, "10.0.0.1", "10.0.0.2", 5000, 443)], "stream_id long, client_ip string, server_ip string, client_port int, server_port int")
+    row = packetdiff.stream_extra(groups, ends, 3).first()
+    want = ends.select(flow_hash(F.col("server_ip"), F.col("client_ip"), F.col("server_port"), F.col("client_port"))["flow_hash"]).first()[0]
+    assert tuple(row) == (3, want, 1_000_000, 1_000_000, 1, "ACK (Local Side) -> PSH+ACK", "Frame 1\u21929", 0, "")
+
+
 def test_examples_of_differences_are_bounded(spark):
     ends = [(1, 2, 5, k, {"frame_number": k, "time_ms": k, "flags": 16, "seq": k, "ack": 0, "len": 0}, {"frame_number": 100 + k, "time_ms": k, "flags": 24 if k < 12 else 16, "seq": k + (k == 3), "ack": 0, "len": 0}) for k in range(1, 21)]
     packet = "struct<frame_number:long,time_ms:long,flags:int,seq:long,ack:long,len:int>"
