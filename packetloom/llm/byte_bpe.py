@@ -37,7 +37,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: White space of Unicode, where Java's own class has ASCII only.
 PATTERN = public_tokenizers.PATTERN.replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
 #: Words whose ids are kept in a literal, and characters of a plan's text.
-HEAD, PLAN_TEXT = 1 << 18, 1 << 16
+HEAD, PLAN_TEXT = 1 << 17, 1 << 16
 #: Bits of a candidate that hold its length; a token is shorter than 2 to that.
 _LENGTH_BITS = 10
 #: Bytes that tell how long a token that begins with them can be.
