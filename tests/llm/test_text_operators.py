@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from packetloom.llm import decontaminate, jpeg, near_dedup, packing, pii, secrets, substring_dedup, textkit, toxicity, url_filter, warc
+from packetloom.llm import decontaminate, jpeg, near_dedup, packing, pii, queries, secrets, substring_dedup, textkit, toxicity, url_filter, warc
 
 DOCS = "doc_id long, text string, source string, version string, kept string"
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -774,6 +774,16 @@ def test_url_rules_and_terms(spark):
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_url_query_has_the_contracts_rules(spark, tmp_path):
+    wanted = {
+        "http://com/en/": ("com/en/", "block"), "http://a.example.com/en/8": ("com/en/", "block"), "http://example.com/en/7x": ("example.com/en/7", "allow"), "http://net/de/": ("net/de/", "allow"),
+        "http://casino.example.net/de/7": ("net/de/", "allow"), "http://x.example.net/de/8": ("example.net/de/8", "block"), "http://example.org/es/1": ("org/es/", "block"),
+    }
+    spark.createDataFrame(list(enumerate(wanted)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = queries.op10_url_filter(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [(r["rule"], r["verdict"]) for r in got] == list(wanted.values())
+
+
 def test_many_rules_agree_with_trying_all():
     r = random.Random(1)
     hosts = [".".join(r.choices("abc", k=r.randrange(1, 4))) for _ in range(60)]
