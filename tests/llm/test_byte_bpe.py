@@ -68,3 +68,18 @@ def test_rank_files(tmp_path):
     (tmp_path / "few").write_text("YQ== 0\n")
     with pytest.raises(ValueError):
         byte_bpe.read_ranks(str(tmp_path / "few"))
+
+
+def test_a_plan_has_each_table_once(spark):
+    df = spark.createDataFrame([(1, "abcb")], "doc_id long, text string")
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 256, b"cb": 257, b"abcb": 258, b"bc": 259}
+    coded = df.select(byte_bpe._encoder(df, ranks)(F.col("text")).alias("ids"))
+    assert coded.first().ids == [258]
+    assert coded._jdf.queryExecution().analyzed().toString().count("from_json(") == 2
+
+
+def test_words_at_the_border_of_marks_as_bits(spark, library):
+    texts = ["x" * n + "ab" * k for n in (57, 58, 59, 60, 61, 62, 63, 64) for k in (0, 1, 2)] + ["thequick" * 8 + "z" * n for n in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in byte_bpe.encode(df, PATH, head=0).collect():
+        assert row.ids == library.encode_ordinary(texts[row.doc_id]), row.text
