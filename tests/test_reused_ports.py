@@ -23,7 +23,7 @@ def reused(tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["connections_five_tuple", "dns_service_times"])
+@pytest.mark.parametrize("name", ["capture_file_connections", "connections_five_tuple", "dns_service_times"])
 def test_reused_ends_agree_with_sql(spark, reused, name):
     con = duckdb.connect()
     for table in ("lineitem", "orders"):
