@@ -24,8 +24,11 @@ def common_range(captures: Sequence[DataFrame]) -> DataFrame:
 
 
 def align_times(captures: Sequence[DataFrame]) -> list[DataFrame]:
-    """Each capture within the range that all share, ends included; empty if there is none."""
-    bounds = F.broadcast(common_range(captures))
+    """Each capture within the range that all share, ends included; empty if there is none.
+
+    The range is found once: it is written, or each capture would read all again.
+    """
+    bounds = F.broadcast(materialize(common_range(captures)))
     return [c.join(bounds, F.col("time_ms").between(F.col("range_start"), F.col("range_end"))).drop("range_start", "range_end") for c in captures]
 
 
@@ -48,7 +51,7 @@ def remove_duplicates(packets: DataFrame, content: Sequence[str], order: Sequenc
     if not 0 < window <= BLOCK:
         raise ValueError(f"window must be within 1 and {BLOCK}")
     placed = ranks(packets, list(order), "_place", ["capture_id"])
-    digest = F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content)))
+    digest = F.unhex(F.md5(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in content))))
     block = F.floor(F.col("_place") / BLOCK)
     # The copies only serve as predecessors.
     copied = F.when(F.col("_place") % BLOCK >= BLOCK - (window - 1), F.array(F.struct(block.alias("_block"), F.lit(True).alias("_own")), F.struct((block + 1).alias("_block"), F.lit(False).alias("_own")))).otherwise(F.array(F.struct(block.alias("_block"), F.lit(True).alias("_own"))))
